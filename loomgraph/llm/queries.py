@@ -1,13 +1,16 @@
 """The corpus operators' registered queries and their SQL."""
 
-from .minhash import op6_minhash
+from . import minhash, quality
 
 
 def queries():
     return {
-        "op6_minhash": op6_minhash,
+        "op6_minhash": minhash.op6_minhash,
+        "op9_quality": quality.op9_quality,
     }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op9_quality": quality.OP9_SQL,
+    }
