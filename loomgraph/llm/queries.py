@@ -1,12 +1,13 @@
 """The corpus operators' registered queries and their SQL."""
 
-from . import minhash, quality
+from . import minhash, quality, tokenids
 
 
 def queries():
     return {
         "op6_minhash": minhash.op6_minhash,
         "op9_quality": quality.op9_quality,
+        "op10_token_ids": tokenids.op10_token_ids,
     }
 
 
