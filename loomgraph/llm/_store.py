@@ -61,7 +61,7 @@ def write_file(uri: str, attempt: str, chunks) -> int:
     where, path = filesystem(uri)
     where.create_dir(os.path.dirname(path), recursive=True)
     temporary, total = f"{path}.{attempt}.tmp", 0
-    with where.open_output_stream(temporary) as out:
+    with where.open_output_stream(temporary, compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
             total += len(chunk)
@@ -71,5 +71,5 @@ def write_file(uri: str, attempt: str, chunks) -> int:
 
 def read_file(uri: str) -> bytes:
     where, path = filesystem(uri)
-    with where.open_input_stream(path) as src:
+    with where.open_input_stream(path, compression=None) as src:
         return src.read()

@@ -1,11 +1,12 @@
 """The corpus operators' registered queries and their SQL."""
 
-from . import minhash, quality, tokenids
+from . import minhash, quality, tokenids, warc
 
 
 def queries():
     return {
         "op6_minhash": minhash.op6_minhash,
+        "op7_warc": warc.op7_warc,
         "op9_quality": quality.op9_quality,
         "op10_token_ids": tokenids.op10_token_ids,
     }
@@ -13,5 +14,6 @@ def queries():
 
 def oracle_sql():
     return {
+        "op7_warc": warc.OP7_SQL,
         "op9_quality": quality.OP9_SQL,
     }
