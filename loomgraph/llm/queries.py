@@ -1,10 +1,12 @@
 """The corpus operators' registered queries and their SQL."""
 
-from . import minhash, quality, tokenids, warc
+from . import decontaminate, minhash, mixing, quality, tokenids, warc
 
 
 def queries():
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op4_mixing": mixing.op4_mixing,
         "op6_minhash": minhash.op6_minhash,
         "op7_warc": warc.op7_warc,
         "op9_quality": quality.op9_quality,
@@ -14,6 +16,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op4_mixing": mixing.OP4_SQL,
         "op7_warc": warc.OP7_SQL,
         "op9_quality": quality.OP9_SQL,
     }

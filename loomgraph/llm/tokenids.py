@@ -8,8 +8,9 @@ A corpus is cut by ranges of doc_id into parts; part p is one file:
     ids, little-endian unsigned 32-bit
 
 so that a document is found by two selects, in about two bytes each and no 64-bit table.
-Text is tokenised once per distinct white-space-separated word of a slice: the tokenizer's
-pre-tokens never span ASCII white space, so a text's ids are its words' ids in a row.
+Text is tokenised once per distinct piece of a slice.  Pieces end at ASCII white space and
+where a letter and plain punctuation meet, A-Z folded: this tokenizer folds case itself and
+its pre-tokens never span such a place, so a text's ids are its pieces' ids in a row.
 
 Edge cases: null or empty texts give only the end id; documents with equal doc_id stand
 next to each other, ordered by their text; null doc_ids come first; extra columns are
@@ -18,13 +19,14 @@ ignored; an empty table writes no part and gives no rows.
 
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ._store import fresh_path, read_file, stored, tune, write_file
-from ._text import text_slices, word_hashes
+from ._text import INVERSE, lower_ascii, powers, prefix_hash, span_hash, text_slices, word_spans
 from .eliasfano import EliasFano, encode
 
 HEAD = "<4sHHQQQQ"
@@ -33,10 +35,35 @@ TAIL = "<qQ"
 FILE_IDS = 1 << 25
 
 
+def pieces(data, offs):
+    """(hashes, starts, ends, first_piece, folded data) of the pieces of each text.
+
+    Not cut: before or after an apostrophe, which joins contractions, and < | >, which may
+    belong to a special token.  A text slice with "<|" isn't folded, as special tokens aren't.
+    """
+    raw = data.tobytes()
+    if b"<|" not in raw:
+        data = lower_ascii(data)
+    starts, ends, _ = word_spans(data, offs)
+    kind = np.zeros(256, np.uint8)
+    kind[65:91] = kind[97:123] = 1
+    kind[[i for i in (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)) if i not in b"'<>|"]] = 2
+    here = kind[data]
+    cut = np.flatnonzero(here[1:] * here[:-1] == 2) + 1
+    cut = cut[~np.isin(cut, offs)]
+    starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, ends, np.zeros(len(offs), np.int64), data
+    return span_hash(prefix_hash(data), starts, ends, powers(INVERSE, len(data) + 1)), starts, ends, np.searchsorted(starts, offs), data
+
+
 class WordEncoder:
-    """Ids of texts by way of their distinct words; at most ``keep`` words are remembered."""
+    """Ids of texts by way of their distinct pieces; at most ``keep`` of them are remembered."""
 
-    def __init__(self, path, keep=500_000):
+    def __init__(self, path, keep=1_000_000):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
@@ -50,17 +77,15 @@ class WordEncoder:
             self.clear()
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.array([len(x) for x in found], np.int64)
-        ids = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
         starts = len(self.ids) + np.cumsum(lengths) - lengths
         self.ids = np.concatenate([self.ids, ids])
-        h = np.concatenate([self.hashes, hashes])
-        order = np.argsort(h)
-        self.hashes = h[order]
-        self.lengths, self.starts = np.concatenate([self.lengths, lengths])[order], np.concatenate([self.starts, starts])[order]
+        at = np.searchsorted(self.hashes, hashes)  # both sorted: a merge
+        self.hashes, self.lengths, self.starts = np.insert(self.hashes, at, hashes), np.insert(self.lengths, at, lengths), np.insert(self.starts, at, starts)
 
     def encode(self, data, offs, end_id=None):
         """(ids, boundaries): all texts' ids in a row, and each text's end among them."""
-        hashes, s, e, first = word_hashes(data, offs, lower=False)
+        hashes, s, e, first, data = pieces(data, offs)
         distinct, where, which = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.hashes, distinct)
         known = np.zeros(len(distinct), bool)
@@ -84,6 +109,16 @@ class WordEncoder:
         return np.insert(ids, bounds[1:], end_id), bounds[1:] + np.arange(1, len(bounds))
 
 
+def worker_encoder(path):
+    """The Python worker's encoder: loaded once a worker, its pieces serve later tasks too."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_worker_encoders", {})
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
+
+
 def part_bytes(doc_ids, ids, ends):
     """One part's file as a list of chunks."""
     nulls = sum(d is None for d in doc_ids)
@@ -134,7 +169,7 @@ def _write(uri, path, end_id):
         for batch in batches:
             names = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             for first, count, data, offs in text_slices(batch, "text"):
-                encoder = encoder or WordEncoder(path)
+                encoder = encoder or worker_encoder(path)
                 found, bounds = encoder.encode(data, offs, end_id)
                 doc_ids += names[first : first + count]
                 ids.append(found)
