@@ -5,7 +5,7 @@ A corpus is cut by ranges of doc_id into parts; part p is one file:
     TOKB | version, id width | n documents, n ids, bytes of boundaries, bytes of doc_ids
     Elias-Fano boundaries (each document's end, counted from the part's first id)
     Elias-Fano doc_ids (minus the part's least), least doc_id, number of null doc_ids
-    ids, little-endian unsigned 32-bit
+    ids, little-endian unsigned, of 16 bits where all of the part's fit in them, else of 32
 
 so that a document is found by two selects, in about two bytes each and no 64-bit table.
 Text is tokenised once per distinct piece of a slice.  Pieces end at ASCII white space and
@@ -125,8 +125,8 @@ def part_bytes(doc_ids, ids, ends):
     numbers = np.array([d for d in doc_ids if d is not None], np.int64)
     least = int(numbers[0]) if len(numbers) else 0
     bounds, names = encode(ends), encode((numbers - least).astype(np.uint64))
-    total = sum(len(x) for x in ids)
-    return [struct.pack(HEAD, b"TOKB", 1, 4, len(doc_ids), total, len(bounds), len(names)), bounds, names, struct.pack(TAIL, least, nulls), *[x.astype("<u4").tobytes() for x in ids]]
+    total, width = sum(len(x) for x in ids), 2 if max((int(x.max()) for x in ids if len(x)), default=0) < 1 << 16 else 4
+    return [struct.pack(HEAD, b"TOKB", 1, width, len(doc_ids), total, len(bounds), len(names)), bounds, names, struct.pack(TAIL, least, nulls), *[x.astype(f"<u{width}").tobytes() for x in ids]]
 
 
 class Part:
@@ -134,11 +134,11 @@ class Part:
 
     def __init__(self, data):
         magic, version, width, self.n, self.total, bounds, names = struct.unpack_from(HEAD, data)
-        if (magic, version, width) != (b"TOKB", 1, 4):
+        if (magic, version) != (b"TOKB", 1) or width not in (2, 4):
             raise ValueError("not a token-id part")
         self.bounds, self.names = EliasFano(data, struct.calcsize(HEAD)), EliasFano(data, struct.calcsize(HEAD) + bounds)
         self.least, self.nulls = struct.unpack_from(TAIL, data, struct.calcsize(HEAD) + bounds + names)
-        self.array = np.frombuffer(data, "<u4", self.total, struct.calcsize(HEAD) + bounds + names + struct.calcsize(TAIL))
+        self.array = np.frombuffer(data, f"<u{width}", self.total, struct.calcsize(HEAD) + bounds + names + struct.calcsize(TAIL))
 
     def __len__(self):
         return self.n
@@ -191,7 +191,7 @@ def _read(uri):
                 p = Part(read_file(f"{uri}/part-{part:014d}.tokb"))
                 ends, names = p.bounds.all(), p.names.all() + p.least
                 begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                raw = memoryview(p.array.tobytes())
+                raw = memoryview(p.array.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([None] * p.nulls + names.tolist(), pa.int64()), pa.array(begins + start), pa.array(ends - begins), pa.array(crc, pa.int64())],
