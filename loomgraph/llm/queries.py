@@ -1,14 +1,16 @@
 """The corpus operators' registered queries and their SQL."""
 
-from . import decontaminate, minhash, mixing, quality, tokenids, warc
+from . import decontaminate, minhash, mixing, quality, tokencount, tokenids, toxicity, warc
 
 
 def queries():
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op4_mixing": mixing.op4_mixing,
+        "op5_token_counts": tokencount.op5_token_counts,
         "op6_minhash": minhash.op6_minhash,
         "op7_warc": warc.op7_warc,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_quality": quality.op9_quality,
         "op10_token_ids": tokenids.op10_token_ids,
     }
