@@ -1,11 +1,12 @@
 """The corpus operators' registered queries and their SQL."""
 
-from . import classlm, decontaminate, minhash, mixing, quality, tokencount, tokenids, toxicity, warc
+from . import classlm, decontaminate, minhash, mixing, quality, suffix, tokencount, tokenids, toxicity, warc
 
 
 def queries():
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_suffix_dedup": suffix.op2_suffix_dedup,
         "op3_class_lm": classlm.op3_class_lm,
         "op4_mixing": mixing.op4_mixing,
         "op5_token_counts": tokencount.op5_token_counts,
