@@ -28,6 +28,8 @@ FORM = F.expr(f"""case when 20 * (length({_T}) - length(translate({_T}, '|#*$%&<
 #: exponents that flatten a dimension's own shares into its default targets
 FLATTEN = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 TOLERANCE, ROUNDS, SPREAD = 1e-10, 60, 50.0
+#: cells up to which raking runs in one task; more are dealt out by source, language and topic in turn
+ONE_TASK = 200_000
 
 
 def cell_keys(topic: Column = FORM) -> dict:
@@ -64,8 +66,9 @@ def rake(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, rou
         goal = both.crossJoin(sums).select(f"m_{d}", F.coalesce(F.expr(f"want_{d} / nullif(ws, 0) * os"), F.col(f"own_{d}").cast("double")).alias(f"goal_{d}"))
         cells = cells.join(goal, f"m_{d}")
     now, done = stored(cells.withColumn("factor", F.lit(1.0)), "rake"), 0
+    few = now.count() <= ONE_TASK
     while done < rounds:
-        step = now.withColumn("before", F.col("factor"))
+        step = (now.coalesce(1) if few else now).withColumn("before", F.col("factor"))  # in one partition windows need no exchange
         for _ in range(4):
             for d in DIMENSIONS:
                 have = F.sum(F.col("tokens") * F.col("factor")).over(Window.partitionBy(f"m_{d}"))
@@ -94,19 +97,27 @@ def uniform(seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
+def chances(keyed: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """The probability of each cell of ``keyed(m_source, m_lang, m_topic, tokens)``."""
+    cells = stored(keyed.groupBy(*(f"m_{d}" for d in DIMENSIONS)).agg(F.sum("tokens").alias("tokens")).coalesce(1), "cells")
+    # the cells are far fewer than the documents: Spark broadcasts them by their written size
+    return stored(probabilities(cells, targets if targets is not None else flattened_targets(cells)), "chances")
+
+
 def sample(docs: DataFrame, targets: DataFrame | None = None, topic: Column = FORM, seed: int = 1) -> DataFrame:
     """``docs`` with m_source, m_lang, m_topic, probability and ``kept``."""
     tune(docs.sparkSession)
     keyed = docs.withColumns(cell_keys(topic))
-    cells = stored(keyed.withColumn("tokens", TOKENS).groupBy(*(f"m_{d}" for d in DIMENSIONS)).agg(F.sum("tokens").alias("tokens")), "cells")
-    chances = probabilities(cells, targets if targets is not None else flattened_targets(cells))
-    # the cells are far fewer than the documents: Spark broadcasts them by their written size
-    return keyed.join(stored(chances, "chances"), [f"m_{d}" for d in DIMENSIONS], "left").withColumn("kept", uniform(seed) < F.col("probability"))
+    found = chances(keyed.withColumn("tokens", TOKENS), targets)
+    return keyed.join(found, [f"m_{d}" for d in DIMENSIONS], "left").withColumn("kept", uniform(seed) < F.col("probability"))
 
 
 def op4_mixing(spark, sf_dir):
+    tune(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return sample(docs).select("doc_id", F.col("m_source").alias("source"), F.col("m_lang").alias("lang"), F.col("m_topic").alias("topic"), TOKENS.alias("n_tokens"), "probability", "kept")
+    measured = stored(docs.select("doc_id", TOKENS.alias("tokens"), *(c.alias(k) for k, c in cell_keys().items())), "mixing")
+    rows = measured.join(chances(measured), [f"m_{d}" for d in DIMENSIONS], "left")
+    return rows.select("doc_id", *(F.col(f"m_{d}").alias(d) for d in DIMENSIONS), F.col("tokens").alias("n_tokens"), "probability", (uniform(1) < F.col("probability")).alias("kept"))
 
 
 def _round_sql(rounds):
