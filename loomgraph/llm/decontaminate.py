@@ -199,6 +199,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
     return found.groupBy(*key).agg(best).select(*key, "b.*")
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` into which no benchmark item leaks."""
+    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_bad_hash")).distinct()
+    return docs.join(bad, docs.doc_id.eqNullSafe(bad._bad) & (F.xxhash64(docs.text) == bad._bad_hash), "left_anti")
+
+
 def op1_decontaminate(spark, sf_dir):
     found = contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.drop("text_hash")

@@ -177,5 +177,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bins:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One document of each near-duplicate group, with the columns of ``docs``.
+
+    Repeated rows of one doc_id and text are one document; rows without a doc_id stay.
+    """
+    found = near_duplicates(docs, **options)
+    keep = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_keep")).distinct()
+    named = docs.where("doc_id is not null")
+    kept = named.join(keep, named.doc_id == keep._keep, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
 def op6_minhash(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

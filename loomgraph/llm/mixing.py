@@ -112,6 +112,13 @@ def sample(docs: DataFrame, targets: DataFrame | None = None, topic: Column = FO
     return keyed.join(found, [f"m_{d}" for d in DIMENSIONS], "left").withColumn("kept", uniform(seed) < F.col("probability"))
 
 
+def sampled(docs: DataFrame, targets: DataFrame | None = None, topic: Column = FORM, seed: int = 1) -> DataFrame:
+    """The sampled rows of ``docs``, with their own columns only, whatever these are called."""
+    tune(docs.sparkSession)
+    rows = docs.select("source", "lang", "text", "doc_id", F.struct(*(docs[c] for c in docs.columns)).alias("_row"))
+    return sample(rows, targets, topic, seed).where("kept").select("_row.*")
+
+
 def op4_mixing(spark, sf_dir):
     tune(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

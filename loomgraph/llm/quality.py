@@ -47,7 +47,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     The repeated three-word windows are found by sorting (window hash, position) packed in
     one long and comparing neighbours' words themselves, all inside the row.
     """
-    t = f"coalesce(cast(`{text}` as string), '')"
+    t = f"coalesce(cast({text} as string), '')"
     lines = f"filter(split({t}, '\\n'), x -> btrim(x, ' \\t\\n\\u000B\\u000C\\r') <> '')"
     found = f"""element_at(transform(array({_WORDS.format(t=t)}), w -> named_struct(
         'n_words', bigint(size(w)), 'n_repeat_words', bigint({_REPEATS}))), 1)"""
@@ -115,6 +115,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta
     return judged(features, cutoffs(features, labels, alpha, delta, stratum), stratum)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """The rows of ``docs`` that pass, with their own columns only, whatever these are called."""
+    tune(docs.sparkSession)
+    rows = measured(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row")), "_row.text")
+    rows = stored(rows.withColumn("lang", F.col("_row.lang")).withColumn("doc_id", F.col("_row.doc_id")), "quality-rows")
+    # the cutoffs read the measurements alone, the filter everything
+    return judged(rows, cutoffs(rows.drop("_row"), labels, alpha, delta)).where("kept").select("_row.*")
+
+
 def op9_quality(spark, sf_dir):
     found = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

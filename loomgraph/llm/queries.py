@@ -3,8 +3,15 @@
 from . import classlm, decontaminate, minhash, mixing, quality, suffix, tokencount, tokenids, toxicity, warc
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
+        "pipeline": pipeline,
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_suffix_dedup": suffix.op2_suffix_dedup,
         "op3_class_lm": classlm.op3_class_lm,
