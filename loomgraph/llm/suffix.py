@@ -14,9 +14,9 @@ once, with the common prefixes of neighbours.  A window o bytes before its sampl
 the pair (rank of the o bytes before the sample, rank of the sample's suffix cut at 200 - o
 bytes), so that ties, however long, compare two numbers.  Equal pairs are equal windows.
 
-Buckets of more than ``HOT`` samples are divided again, by 16 distances and by the bytes
-that all windows at those distances share; equal pieces of them are counted before they
-are dealt out, and ranked once.
+Of buckets of more than ``HOT`` samples, equal pieces are counted before they are dealt out
+(all windows of a piece that is there twice repeat) and the distinct ones are divided again,
+by 16 distances and by the bytes that all windows at those distances share.
 
 Edge cases: a null or empty text has no byte; texts shorter than the window only keep; null,
 equal or repeated doc_ids are rows of their own, and rows equal in doc_id and text are
@@ -104,15 +104,9 @@ def _pieces(window):
                     key, begin = keys[first + i], int(offs[i])
                     for k in range(int(bounds[first + i]), int(bounds[first + i + 1])):
                         g, c, a, l, h = int(gram[k]), int(count[k]), int(at[k]), int(lo[k]), int(hi[k])
-                        if c <= HOT:
-                            rows.append((g, False, None, key, l, h - l + 1, a - l, raw[begin + l : begin + h + window]))
-                            continue
-                        for slot in range((a - h) // SLOT, (a - l) // SLOT + 1):
-                            x, y = max(l, a - slot * SLOT - SLOT + 1), min(h, a - slot * SLOT)
-                            piece = raw[begin + x : begin + y + window]
-                            core = raw[begin + a - slot * SLOT : begin + a - slot * SLOT - SLOT + 1 + window]
-                            named = int.from_bytes(hashlib.blake2b(core + b"%d %d" % (slot, g), digest_size=8).digest(), "little", signed=True)
-                            rows.append((named, True, hashlib.blake2b(piece + b"%d" % (a - x), digest_size=16).digest(), key, x, y - x + 1, a - x, piece))
+                        piece = raw[begin + l : begin + h + window]
+                        digest = hashlib.blake2b(piece + b"%d" % (a - l), digest_size=16).digest() if c > HOT else None
+                        rows.append((g, c > HOT, digest, key, l, h - l + 1, a - l, piece))
                     if len(rows) >= 4000:
                         yield _piece_batch(rows)
                         rows = []
@@ -122,6 +116,25 @@ def _pieces(window):
     return run
 
 
+def _divide(window):
+    """Divides pieces of hot buckets by distance to the sample, and by what all windows at those distances share."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["bucket", "weight", "text_key", "lo", "windows", "before", "piece"]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for gram, weight, key, lo, count, before, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                for slot in range((before - count + 1) // SLOT, before // SLOT + 1):
+                    x, y = max(0, before - slot * SLOT - SLOT + 1), min(count - 1, before - slot * SLOT)
+                    shared = piece[before - slot * SLOT : before - slot * SLOT - SLOT + 1 + window]
+                    named = hashlib.blake2b(shared + b"%d %d" % (slot, gram), digest_size=8).digest()
+                    rows.append((int.from_bytes(named, "little", signed=True), weight, key, lo + x, y - x + 1, before - x, piece[x : y + window]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=names)
+
+    return run
+
+
 def _piece_batch(rows):
     kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
     names = ["bucket", "hot", "digest", "text_key", "lo", "windows", "before", "piece"]
@@ -173,16 +186,16 @@ def runs(flags):
 
 
 def _rank(window):
-    names = ["bucket", "digest", "text_key", "lo", "first", "last"]
+    names = ["text_key", "lo", "first", "last"]
 
     def finish(rows):
-        found = repeated_windows([r[0] for r in rows], [r[1] for r in rows], [r[5] for r in rows], [r[6] for r in rows], [r[7] for r in rows], window)
+        found = repeated_windows([r[0] for r in rows], [r[1] for r in rows], [r[4] for r in rows], [r[5] for r in rows], [r[6] for r in rows], window)
         out = []
         for r, flags in zip(rows, found):
-            if flags.any():
+            if r[2] is not None and flags.any():
                 a, b = runs(flags)
-                out.append((r[0], r[2], r[3], r[4], a.tolist(), b.tolist()))
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+                out.append((r[2], r[3], a.tolist(), b.tolist()))
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
@@ -242,20 +255,24 @@ def repeated_pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     schema = "bucket long, hot boolean, digest binary, text_key long, lo int, windows int, before int, piece binary"
     pieces = stored(docs.select("text_key", "text").join(lists, "text_key").select("text_key", "text", "samples").mapInArrow(_pieces(window), schema), "suffix-pieces")
     drop(kept)
+    columns = ["bucket", "weight", "text_key", "lo", "windows", "before", "piece"]
+    cold = pieces.where("not hot").withColumn("weight", F.lit(1).cast("long")).select(*columns)
+    # equal pieces of hot buckets are one before they are dealt out; all windows of a piece that is there twice repeat
     hot = pieces.where("hot")
-    cold = pieces.where("not hot").select("bucket", F.lit(1).cast("long").alias("weight"), "digest", "text_key", "lo", "windows", "before", "piece")
     once = hot.groupBy("bucket", "digest").agg(
-        F.count("*").alias("weight"), F.first("windows").alias("windows"), F.first("before").alias("before"), F.first("piece").alias("piece")
-    ).select("bucket", "weight", "digest", F.lit(None).cast("long").alias("text_key"), F.lit(0).alias("lo"), "windows", "before", "piece")
+        F.count("*").alias("weight"), F.expr("if(count(*) = 1, min(text_key), null)").alias("text_key"), F.min("lo").alias("lo"),
+        F.first("windows").alias("windows"), F.first("before").alias("before"), F.first("piece").alias("piece"),
+    )
+    divided = once.select(*columns).mapInArrow(_divide(window), "bucket long, weight long, text_key long, lo int, windows int, before int, piece binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranked = stored(
-        cold.union(once).repartition(parts, "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_rank(window), "bucket long, digest binary, text_key long, lo int, first array<int>, last array<int>"),
-        "suffix-ranked",
+    ranked = (
+        cold.union(divided).repartition(parts, "bucket").sortWithinPartitions("bucket")
+        .mapInArrow(_rank(window), "text_key long, lo int, first array<int>, last array<int>")
     )
-    back = hot.select("bucket", "digest", "text_key", "lo").join(ranked.where("text_key is null").select("bucket", "digest", "first", "last"), ["bucket", "digest"])
-    found = stored(ranked.where("text_key is not null").select("text_key", "lo", "first", "last").union(back.select("text_key", "lo", "first", "last")), "suffix-found")
-    drop(pieces, ranked)
+    again = hot.groupBy("bucket", "digest").agg(F.count("*").alias("weight")).where("weight > 1").select("bucket", "digest")
+    whole = hot.select("bucket", "digest", "text_key", "lo", "windows").join(again, ["bucket", "digest"]).select("text_key", "lo", F.expr("array(0)").alias("first"), F.expr("array(windows)").alias("last"))
+    found = stored(ranked.union(whole), "suffix-found")
+    drop(pieces)
     return found
 
 
