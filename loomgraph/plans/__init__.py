@@ -2,4 +2,4 @@
 
 
 def load():
-    pass
+    from . import analytics, filters, graphs, joins, retrieval, storage, texts  # noqa: F401

@@ -1,0 +1,26 @@
+"""Queries whose SQL text means the same in both engines: Spark plans it over lazily read tables."""
+
+import re
+
+from ..registry import query
+from .base import GRAPH, graph_edges, graph_nodes
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def shared(name, sql, doc=None):
+    """Register ``sql`` for Spark and DuckDB; ``nodes`` and ``edges`` are the derived graph."""
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
+    graph = re.search(r"\b(nodes|edges)\b", sql) is not None
+
+    def run(spark, sf):
+        for t in used:
+            spark.read.parquet(f"{sf}/{t}.parquet").createOrReplaceTempView(t)
+        if graph:
+            graph_nodes(spark, sf).createOrReplaceTempView("nodes")
+            graph_edges(spark, sf).createOrReplaceTempView("edges")
+        return spark.sql(sql)
+
+    run.__name__, run.__doc__ = name, doc
+    twin = sql if not graph else f"WITH {GRAPH}, {sql.strip()[5:]}" if sql.strip().startswith("WITH ") else f"WITH {GRAPH} {sql}"
+    return query(name, twin)(run)
