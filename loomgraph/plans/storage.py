@@ -1 +1,131 @@
-"""..."""
+"""Scans, keyed writes, logs, ingest, sync."""
+
+from pyspark.sql import Window, functions as F
+
+from ..operators import records, vector
+from ..registry import query
+from ..sources import readers
+from .base import table
+from .retrieval import vectors
+from .shared import shared
+
+shared("collection_scan", "SELECT vec_id, label FROM embeddings")
+shared("point_lookup", "SELECT vec_id, label FROM embeddings WHERE vec_id = 42")
+shared("exists_check", "SELECT d.doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM embeddings v WHERE v.vec_id = d.doc_id)")
+shared("collection_catalog", "SELECT label AS collection, count(*) AS records, min(vec_id) AS first_id, max(vec_id) AS last_id FROM embeddings GROUP BY label")
+shared("object_hashes", "SELECT doc_id, md5(text) AS digest, sha1(text) AS sha1 FROM documents")
+shared("sync_export", "SELECT o_orderkey, o_totalprice, o_orderdate FROM orders WHERE o_orderdate > TIMESTAMP '1998-01-01 00:00:00'")
+
+
+@query("vector_upsert", """WITH up AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS v FROM embeddings WHERE vec_id % 7 = 0)
+SELECT e.vec_id AS id, round(coalesce(u.v[1] / sqrt(list_dot_product(u.v, u.v)), e.embedding[1]::DOUBLE), 6) AS first FROM embeddings e LEFT JOIN up u USING (vec_id)""")
+def vector_upsert(spark, sf):
+    """Replace by id; vectors are normalised, those that aren't finite refused."""
+    v = vectors(spark, sf).select("id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    new = v.where("id % 7 = 0").withColumn("embedding", F.transform("embedding", lambda x: x * 3))
+    bad = v.where("id = 7").withColumn("embedding", F.transform("embedding", lambda x: F.lit(float("nan"))))
+    ok = new.union(bad).where(vector.finite(F.col("embedding"))).withColumn("embedding", vector.normalise(F.col("embedding")))
+    return records.upsert(v, ok, "id").select("id", F.round(F.col("embedding")[0], 6).alias("first"))
+
+
+@query("vector_delete", "SELECT vec_id AS id FROM embeddings WHERE vec_id % 5 <> 0")
+def vector_delete(spark, sf):
+    v = vectors(spark, sf)
+    return records.delete(v, v.where("id % 5 = 0"), "id").select("id")
+
+
+@query("log_replay", "WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) SELECT user_id, event_id, value FROM l WHERE n = 1 AND event_type <> 'error'")
+def log_replay(spark, sf):
+    return records.replay(table(spark, sf, "events"), "user_id", "event_id", F.col("event_type") == "error").select("user_id", "event_id", "value")
+
+
+@query("compact", "WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) SELECT count(*) AS live FROM l WHERE n = 1 AND event_type <> 'error'")
+def compact(spark, sf):
+    return records.replay(table(spark, sf, "events"), "user_id", "event_id", F.col("event_type") == "error").agg(F.count("*").alias("live"))
+
+
+@query("sync_import", """WITH al AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate AS stamp, 1 AS side FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate, 0 FROM orders WHERE o_orderkey % 2 = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY stamp DESC, side DESC, o_orderkey DESC) AS n FROM al) SELECT o_custkey, stamp FROM r WHERE n = 1""")
+def sync_import(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.col("o_orderdate").alias("stamp"))
+    return records.import_newer(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "o_custkey", "stamp").select("o_custkey", "stamp")
+
+
+UUID = """substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ((strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4)::INT + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"""
+
+
+@query("ingest_dedup", f"""WITH s AS (SELECT doc_id AS pos, sha256(text) AS sha256, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(sha256(text) || source)) AS h FROM documents)
+SELECT pos, sha256, {UUID} AS id, row_number() OVER (PARTITION BY sha256 ORDER BY pos) > 1 AS already_exists FROM s""")
+def ingest_dedup(spark, sf):
+    return readers.ingest(table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.col("source").alias("owner"), F.col("text").alias("content")))
+
+
+@query("detect_format", """WITH n AS (SELECT doc_id, 'f' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.PDF' WHEN 1 THEN '.md' WHEN 2 THEN '.yml' WHEN 3 THEN '.jpeg' ELSE '' END AS name FROM documents)
+SELECT doc_id, CASE lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'pdf' THEN 'pdf' WHEN 'md' THEN 'md' WHEN 'yml' THEN 'yaml' WHEN 'jpeg' THEN 'image' ELSE 'txt' END AS format FROM n""")
+def detect_format(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text", F.concat(F.lit("f"), "doc_id", F.expr("element_at(array('.PDF', '.md', '.yml', '.jpeg', ''), cast(doc_id % 5 + 1 as int))")).alias("name"))
+    return d.select("doc_id", readers.file_format(F.col("name"), F.col("text").cast("binary")).alias("format"))
+
+
+@query("git_log", "SELECT lpad(o_orderkey::VARCHAR, 40, '0') AS sha, 'c' || o_custkey AS author, count(l_linenumber) AS files FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 2000 GROUP BY ALL")
+def git_log(spark, sf):
+    """A log made of orders (headers) and their lines (file names), read back as commits."""
+    o = table(spark, sf, "orders").where("o_orderkey < 2000")
+    head = o.select(F.struct("o_orderkey", F.lit(0).alias("n")).alias("pos"), F.concat_ws("|", F.lpad(F.col("o_orderkey").cast("string"), 40, "0"), F.concat(F.lit("c"), "o_custkey"), F.col("o_orderdate").cast("string"), F.lit("work")).alias("line"))
+    body = table(spark, sf, "lineitem").where("l_orderkey < 2000").select(F.struct(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("n")).alias("pos"), F.concat(F.lit("file"), "l_partkey").alias("line"))
+    found = readers.git_commits(head.union(body)).select("sha", "author", F.size("files").cast("long").alias("files"))
+    return found.where("files > 0")
+
+
+@query("html_text")
+def html_text(spark, sf):
+    return readers.page_texts(table(spark, sf, "pages"))
+
+
+@query("audit_replay", "SELECT event_id AS id, event_type FROM events")
+def audit_replay(spark, sf):
+    """A log that was written twice, once per id."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), "event_type")
+    return e.union(e.where("id % 3 = 0")).dropDuplicates(["id"])
+
+
+@query("consolidation_plan", """WITH m AS (SELECT doc_id AS id, text, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY md5(text)) AS size, min(doc_id) OVER (PARTITION BY md5(text)) AS c, max(doc_id) OVER (PARTITION BY md5(text)) AS s FROM documents)
+SELECT DISTINCT c AS cluster, CASE WHEN size > 6 THEN 'skip' ELSE 'merge' END AS action, s AS survivor, size FROM m WHERE size > 1""")
+def consolidation_plan(spark, sf):
+    """Identical documents as clusters: the newest survives, large clusters are skipped."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("value"), F.col("doc_id").alias("created"), F.md5("text").alias("h"))
+    first = d.groupBy("h").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
+    clusters = d.join(first, "h").select("id", "component")
+    edges = clusters.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
+    return records.consolidation_plan(d.drop("h"), edges, clusters)
+
+
+@query("memory_supersede", "SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS superseded_by FROM orders")
+def memory_supersede(spark, sf):
+    w = Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, sf, "orders").select("o_orderkey", F.lead("o_orderkey").over(w).alias("superseded_by"))
+
+
+@query("vsa_shards", "SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, ((row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey, l_orderkey, l_linenumber)) - 1) // 12 AS shard FROM lineitem WHERE l_suppkey <= 10")
+def vsa_shards(spark, sf):
+    facts = table(spark, sf, "lineitem").where("l_suppkey <= 10").select(
+        F.col("l_suppkey").alias("relation"), F.col("l_partkey").alias("source_id"), F.col("l_orderkey").alias("target_id"), F.col("l_linenumber").alias("id")
+    )
+    return records.shards(facts).toDF("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "shard")
+
+
+@query("vsa_superposition", "SELECT label, list(s ORDER BY pos) AS bundle FROM (SELECT label, pos, sum(CASE WHEN x >= 0 THEN 1 ELSE -1 END)::BIGINT AS s FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL) GROUP BY label")
+def vsa_superposition(spark, sf):
+    v = vectors(spark, sf).select("label", records.sign(F.col("embedding")).alias("v"))
+    return records.bundle(v, "label", "v")
+
+
+@query("vsa_query")
+def vsa_query(spark, sf):
+    """Which nation does a customer's bundle of facts hold: bound symbols, summed, unbound, compared."""
+    c = table(spark, sf, "customer").where("c_custkey <= 40").select(F.concat(F.lit("c"), "c_custkey").alias("s"), F.concat(F.lit("n"), "c_nationkey").alias("o"), (F.col("c_custkey") % 8).alias("shard"))
+    facts = c.withColumn("v", records.bind(records.symbol(F.col("s"), 256), records.symbol(F.col("o"), 256)))
+    sums = records.bundle(facts, "shard", "v")
+    names = c.select("o").distinct().select(F.col("o").alias("guess"), records.symbol(F.col("o"), 256).alias("g"))
+    asked = c.join(sums, "shard").withColumn("u", records.bind(F.col("bundle"), records.symbol(F.col("s"), 256))).crossJoin(F.broadcast(names))
+    return asked.groupBy("s", "o").agg(F.max_by("guess", vector.dot(F.col("u"), F.col("g"))).alias("answer"))

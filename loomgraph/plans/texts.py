@@ -1 +1,127 @@
-"""..."""
+"""Chunkers, identifiers, classification, dates and other text functions."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from ..operators import chunk, temporal, texts
+from ..registry import query
+from .base import table
+from .shared import shared
+from .storage import UUID
+
+
+def docs(spark, sf):
+    return table(spark, sf, "documents")
+
+
+@query("chunk_ids", f"WITH s AS (SELECT doc_id, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(doc_id || '-0')) AS h FROM documents) SELECT doc_id, {UUID} AS id FROM s")
+def chunk_ids(spark, sf):
+    return docs(spark, sf).select("doc_id", chunk.uuid5(F.concat(F.col("doc_id").cast("string"), F.lit("-0"))).alias("id"))
+
+
+@query("sentences", "SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''))::BIGINT AS n FROM documents")
+def sentences(spark, sf):
+    return docs(spark, sf).select("doc_id", F.size(F.filter(F.split("text", r"(?<=[.!?])[ \t\n\r\f]+"), lambda x: x != "")).cast("long").alias("n"))
+
+
+@query("fixed_windows", "SELECT doc_id, i::INT AS chunk_index, substr(text, (i * 400 + 1)::INT, 500) AS text FROM (SELECT doc_id, text, unnest(range(0, (greatest(length(text) - 1, 0) // 400 + 1)::BIGINT)) AS i FROM documents WHERE length(text) > 0)")
+def fixed_windows(spark, sf):
+    return chunk.fixed_windows(docs(spark, sf), 500, 400)
+
+
+@query("row_chunks", r"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents), g AS (SELECT doc_id, l[1] AS head, l[2:] AS l FROM l WHERE len(l) > 1),
+p AS (SELECT doc_id, head, unnest(list_transform(range(0, (len(l) - 1) // 5 + 1), lambda i: {'i': i, 'b': array_to_string(l[i * 5 + 1 : i * 5 + 5], chr(10))})) AS s FROM g)
+SELECT doc_id, s.i::INT AS chunk_index, head || chr(10) || s.b AS text FROM p WHERE s.b <> head""")
+def row_chunks(spark, sf):
+    return chunk.row_groups(docs(spark, sf), 5)
+
+
+@query("simple_paragraphs", "SELECT doc_id, 0::INT AS chunk_index, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 200 AND NOT contains(text, chr(10) || chr(10))")
+def simple_paragraphs(spark, sf):
+    return chunk.simple_paragraphs(docs(spark, sf).where(~F.contains("text", F.lit("\n\n"))), 200)
+
+
+for _name in ("merged", "sentence", "sliding", "row", "code"):
+
+    def _chunks(spark, sf, name=_name):
+        return chunk.chunks(docs(spark, sf), name)
+
+    query(f"chunk_{_name}")(_chunks)
+
+
+@query("classify_documents", texts.CLASSIFY_SQL)
+def classify_documents(spark, sf):
+    return docs(spark, sf).select("doc_id", texts.classify(F.col("text")).alias("kind"))
+
+
+@query("table_detection", texts.TABLE_SQL)
+def table_detection(spark, sf):
+    return texts.table_scores(docs(spark, sf))
+
+
+@query("iso_dates", "SELECT o_orderkey, ('due ' || strftime(o_orderdate, '%Y-%m-%d') || ' or 1999-02-31') AS text, list_filter(list_transform(list_distinct(regexp_extract_all('due ' || strftime(o_orderdate, '%Y-%m-%d') || ' or 1999-02-31', '[0-9]{4}-[0-9]{2}-[0-9]{2}')), lambda x: try_cast(x AS DATE)), lambda x: x IS NOT NULL) AS days FROM orders")
+def iso_dates(spark, sf):
+    t = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("due "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" or 1999-02-31")).alias("text"))
+    return t.withColumn("days", temporal.iso_dates(F.col("text")))
+
+
+@query("extract_dates")
+def extract_dates(spark, sf):
+    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("ordered on "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(" and due "), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("text"))
+    return temporal.extract_dates(t, dt.date(2024, 1, 1))
+
+
+@query("snippets", "SELECT doc_id, CASE WHEN strpos(text, 'tion ') > 0 THEN substr(text, greatest(strpos(text, 'tion ') - 20, 1)::INT, (strpos(text, 'tion ') + 25 - greatest(strpos(text, 'tion ') - 20, 1))::INT) ELSE '' END AS snippet FROM documents")
+def snippets(spark, sf):
+    return docs(spark, sf).select("doc_id", temporal.snippet(F.col("text"), F.lit("tion "), 20).alias("snippet"))
+
+
+@query("json_from_answer", """SELECT item_id, list_transform(['a' || item_id, 'b'], lambda x: x) AS variants FROM benchmark""")
+def json_from_answer(spark, sf):
+    """A JSON array inside a fenced answer."""
+    answer = table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("Sure:\n```json\n[\"a"), F.col("item_id").cast("string"), F.lit("\", \"b\"]\n```")).alias("t"))
+    return answer.select("item_id", texts.json_array(F.col("t")).alias("variants"))
+
+
+@query("python_entities")
+def python_entities(spark, sf):
+    code = spark.range(1).select(F.col("id").alias("doc_id"), F.lit("import os\nclass A(B):\n    def f(self):\n        pass\ndef g():\n    return f()\n").alias("text"))
+    return texts.python_entities(code)
+
+
+@query("titles", "SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:7], ' ') AS title FROM documents")
+def titles(spark, sf):
+    return docs(spark, sf).select("doc_id", texts.title(F.col("text")).alias("title"))
+
+
+@query("embed_context", "SELECT doc_id, 'Document: ' || source || chr(10) || 'Section: ' || lang || chr(10) || chr(10) || text AS text FROM documents")
+def embed_context(spark, sf):
+    return docs(spark, sf).select("doc_id", texts.embed_context(F.col("source"), F.col("lang"), F.col("text")).alias("text"))
+
+
+@query("cache_keys", "SELECT item_id, sha256('m|' || text || '||0.7000') AS key FROM benchmark")
+def cache_keys(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", texts.cache_key(F.lit("m"), F.col("text"), F.lit(""), F.lit(0.7)).alias("key"))
+
+
+@query("embedding_contract", "SELECT label, substr(sha256('enc|tok|mean|l2|64|' || label), 1, 24) AS contract FROM (SELECT DISTINCT label FROM embeddings)")
+def embedding_contract(spark, sf):
+    d = table(spark, sf, "embeddings").select("label").distinct()
+    return d.select("label", F.substring(F.sha2(F.concat_ws("|", F.lit("enc"), F.lit("tok"), F.lit("mean"), F.lit("l2"), F.lit("64"), F.col("label").cast("string")), 256), 1, 24).alias("contract"))
+
+
+@query("fuzzy_match", "SELECT a.n_name AS a, b.n_name AS b, round(1 - levenshtein(a.n_name, b.n_name)::DOUBLE / greatest(strlen(a.n_name), strlen(b.n_name)), 6) AS sim FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey WHERE 1 - levenshtein(a.n_name, b.n_name)::DOUBLE / greatest(strlen(a.n_name), strlen(b.n_name)) >= 0.8")
+def fuzzy_match(spark, sf):
+    """Names against a closed vocabulary, which is small by definition and broadcast."""
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    b = F.broadcast(n.toDF("k2", "b"))
+    sim = 1 - F.levenshtein("n_name", "b") / F.greatest(F.octet_length("n_name"), F.octet_length("b"))
+    return n.join(b, n.n_nationkey < b.k2).where(sim >= 0.8).select(F.col("n_name").alias("a"), "b", F.round(sim, 6).alias("sim"))
+
+
+shared("uri_local_name", "SELECT page_id, regexp_replace(url, '^.*[/#]', '') AS name FROM pages")
+shared("retry_backoff", "SELECT event_id, CAST(30 * power(2, event_id % 6) AS BIGINT) AS delay FROM events")
+shared("half_hour_buckets", "SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY user_id, date_trunc('hour', ts)")
+shared("date_range_of_events", "SELECT user_id, min(CAST(ts AS DATE)) AS first_day, max(CAST(ts AS DATE)) AS last_day FROM events GROUP BY user_id")
+shared("score_normalise", "SELECT event_id, round(CASE WHEN value - 50 < 0 THEN CAST(0 AS DOUBLE) WHEN value - 50 <= 1 THEN value - 50 ELSE 1 / (1 + (value - 50)) END, 6) AS score FROM events")
