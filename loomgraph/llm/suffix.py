@@ -9,6 +9,8 @@ the least hashed 48-byte gram of the window, samples 1.3 %.)  A window's bucket
 at its sample.  Samples whose gram is unique in the corpus end there: no window of theirs
 repeats.
 
+A text that is there twice goes whole; for the others it stands once.
+
 In a bucket the samples' suffixes, and their preceding bytes read backwards, are sorted
 once, with the common prefixes of neighbours.  A window o bytes before its sample is then
 the pair (rank of the o bytes before the sample, rank of the sample's suffix cut at 200 - o
@@ -78,12 +80,12 @@ def cover_samples(data, offs, window=WINDOW, gram=GRAM):
 def _samples(window, gram):
     def run(batches):
         for batch in batches:
-            keys = np.asarray(batch.column(0))
+            keys = batch.column(0)
             for first, _, data, offs in text_slices(batch, "text"):
                 text, hashes, sample, lo, hi = cover_samples(data, offs, window, gram)
                 base = offs[text]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), pa.array(keys[first + text]), *[pa.array((x - base).astype(np.int32)) for x in (sample, lo, hi)]],
+                    [pa.array(hashes.view(np.int64)), keys.take(pa.array(first + text)), *[pa.array((x - base).astype(np.int32)) for x in (sample, lo, hi)]],
                     names=["gram", "text_key", "at", "lo", "hi"],
                 )
 
@@ -92,6 +94,7 @@ def _samples(window, gram):
 
 def _pieces(window):
     def run(batches):
+        before = None
         for batch in batches:
             keys = batch.column(0).to_pylist()
             lists = batch.column(2)
@@ -102,6 +105,9 @@ def _pieces(window):
                 raw = data.tobytes()
                 for i in range(number):
                     key, begin = keys[first + i], int(offs[i])
+                    if key == before:  # a copy: its windows all repeat, and are in the corpus once already
+                        continue
+                    before = key
                     for k in range(int(bounds[first + i]), int(bounds[first + i + 1])):
                         g, c, a, l, h = int(gram[k]), int(count[k]), int(at[k]), int(lo[k]), int(hi[k])
                         piece = raw[begin + l : begin + h + window]
@@ -118,7 +124,7 @@ def _pieces(window):
 
 def _divide(window):
     """Divides pieces of hot buckets by distance to the sample, and by what all windows at those distances share."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
     names = ["bucket", "weight", "text_key", "lo", "windows", "before", "piece"]
 
     def run(batches):
@@ -136,7 +142,7 @@ def _divide(window):
 
 
 def _piece_batch(rows):
-    kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
     names = ["bucket", "hot", "digest", "text_key", "lo", "windows", "before", "piece"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
@@ -195,7 +201,7 @@ def _rank(window):
             if r[2] is not None and flags.any():
                 a, b = runs(flags)
                 out.append((r[2], r[3], a.tolist(), b.tolist()))
-        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        kinds = [pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
@@ -216,14 +222,15 @@ def _rank(window):
 def _remove(window):
     def run(batches):
         for batch in batches:
-            ids, lists = batch.column(0), batch.column(2)
-            found = lists.to_pylist()
+            ids, found, copies = batch.column(0), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for first, count, data, offs in text_slices(batch, "text"):
                 rows = []
                 for i in range(count):
                     text = data[offs[i] : offs[i + 1]]
                     removed = spans = 0
-                    if found[first + i]:
+                    if copies[first + i] and len(text) >= window:
+                        removed, spans, text = len(text), 1, text[:0]
+                    elif found[first + i]:
                         edge = np.zeros(len(text) + 1, np.int64)
                         for piece in found[first + i]:
                             for a, b in zip(piece["first"], piece["last"]):
@@ -244,15 +251,15 @@ def _remove(window):
 def repeated_pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(text_key, lo, first, last): windows lo + first[i] .. lo + last[i] - 1 of a text begin elsewhere too.
 
-    ``docs`` has text_key and text; equal keys mean equal rows.
+    ``docs`` has text_key and text; rows of equal keys are one text here.
     """
-    samples = stored(docs.select("text_key", "text").mapInArrow(_samples(window, gram), "gram long, text_key long, at int, lo int, hi int"), "suffix-samples")
+    samples = stored(docs.select("text_key", "text").mapInArrow(_samples(window, gram), "gram long, text_key binary, at int, lo int, hi int").distinct(), "suffix-samples")
     counts = samples.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     kept = stored(samples.join(counts, "gram").select("text_key", "gram", "n", "at", "lo", "hi"), "suffix-cover")
     drop(samples)
     # a text's samples are a piece of the text: the list is no larger than the row it joins
-    lists = kept.distinct().groupBy("text_key").agg(F.collect_list(F.struct("gram", "n", "at", "lo", "hi")).alias("samples"))
-    schema = "bucket long, hot boolean, digest binary, text_key long, lo int, windows int, before int, piece binary"
+    lists = kept.groupBy("text_key").agg(F.collect_list(F.struct("gram", "n", "at", "lo", "hi")).alias("samples"))
+    schema = "bucket long, hot boolean, digest binary, text_key binary, lo int, windows int, before int, piece binary"
     pieces = stored(docs.select("text_key", "text").join(lists, "text_key").select("text_key", "text", "samples").mapInArrow(_pieces(window), schema), "suffix-pieces")
     drop(kept)
     columns = ["bucket", "weight", "text_key", "lo", "windows", "before", "piece"]
@@ -263,11 +270,11 @@ def repeated_pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         F.count("*").alias("weight"), F.expr("if(count(*) = 1, min(text_key), null)").alias("text_key"), F.min("lo").alias("lo"),
         F.first("windows").alias("windows"), F.first("before").alias("before"), F.first("piece").alias("piece"),
     )
-    divided = once.select(*columns).mapInArrow(_divide(window), "bucket long, weight long, text_key long, lo int, windows int, before int, piece binary")
+    divided = once.select(*columns).mapInArrow(_divide(window), "bucket long, weight long, text_key binary, lo int, windows int, before int, piece binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranked = (
         cold.union(divided).repartition(parts, "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_rank(window), "text_key long, lo int, first array<int>, last array<int>")
+        .mapInArrow(_rank(window), "text_key binary, lo int, first array<int>, last array<int>")
     )
     again = hot.groupBy("bucket", "digest").agg(F.count("*").alias("weight")).where("weight > 1").select("bucket", "digest")
     whole = hot.select("bucket", "digest", "text_key", "lo", "windows").join(again, ["bucket", "digest"]).select("text_key", "lo", F.expr("array(0)").alias("first"), F.expr("array(windows)").alias("last"))
@@ -279,9 +286,10 @@ def repeated_pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs(doc_id, text)``."""
     tune(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("doc_id", "text"))
-    found = repeated_pieces(rows, window, gram).distinct().groupBy("text_key").agg(F.collect_list(F.struct("lo", "first", "last")).alias("found"))
-    return rows.join(found, "text_key", "left").select("doc_id", "text", "found").mapInArrow(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    found = repeated_pieces(rows, window, gram).groupBy("text_key").agg(F.collect_list(F.struct("lo", "first", "last")).alias("found"))
+    copied = rows.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key", F.lit(True).alias("copied"))
+    return rows.join(found, "text_key", "left").join(copied, "text_key", "left").select("doc_id", "text", "found", "copied").mapInArrow(
         _remove(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
 
