@@ -11,7 +11,7 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def text_slices(batch, column, max_bytes=2_000_000):
+def text_slices(batch, column, max_bytes=500_000):
     """Yield (first_row, n_rows, data, offsets) pieces of a batch's string column.
 
     Null is the empty text.  A piece holds whole texts and at most ``max_bytes``

@@ -19,12 +19,12 @@ from ._store import drop, stored, tune
 DIMENSIONS = ("source", "lang", "topic")
 _T = "coalesce(cast(text as string), '')"
 _WS = "' \\t\\n\\u000B\\u000C\\r'"
-#: a document's words, and its topic by its form
-TOKENS = F.expr(f"if(btrim({_T}, {_WS}) = '', 0L, bigint(size(split(btrim({_T}, {_WS}), '[\\\\x20\\\\x09-\\\\x0D]+'))))")
-FORM = F.expr(f"""case when 20 * (length({_T}) - length(translate({_T}, '|#*$%&<>', ''))) > length({_T}) then 'symbols'
+#: SQL of a document's words, and of its topic by its form
+TOKENS = f"if(btrim({_T}, {_WS}) = '', 0L, bigint(size(split(btrim({_T}, {_WS}), '[\\\\x20\\\\x09-\\\\x0D]+'))))"
+FORM = f"""case when 20 * (length({_T}) - length(translate({_T}, '|#*$%&<>', ''))) > length({_T}) then 'symbols'
   when 10 * (length({_T}) - length(translate({_T}, '0123456789', ''))) > length({_T}) then 'numbers'
   when 3 * (length({_T}) - length(translate({_T}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > length({_T}) then 'capitals'
-  else 'prose' end""")
+  else 'prose' end"""
 #: exponents that flatten a dimension's own shares into its default targets
 FLATTEN = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 TOLERANCE, ROUNDS, SPREAD = 1e-10, 60, 50.0
@@ -32,11 +32,11 @@ TOLERANCE, ROUNDS, SPREAD = 1e-10, 60, 50.0
 ONE_TASK = 200_000
 
 
-def cell_keys(topic: Column = FORM) -> dict:
+def cell_keys(topic: str = FORM) -> dict:
     return {
         "m_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
         "m_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
-        "m_topic": F.coalesce(topic, F.lit("")),
+        "m_topic": F.coalesce(F.expr(topic), F.lit("")),
     }
 
 
@@ -53,8 +53,8 @@ def flattened_targets(cells: DataFrame, exponents=None) -> DataFrame:
 def rake(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """``cells(m_source, m_lang, m_topic, tokens)`` with their raked ``factor``.
 
-    A round is a window sum per dimension over the cells, which are few; four rounds make one
-    query, then the cells are written and the largest relative change decides.
+    A round is a window sum per dimension over the cells, which are few; it is one query,
+    whose result is written, and whose largest relative change decides about the next.
     """
     total = F.sum("tokens").alias("all")
     for d in DIMENSIONS:
@@ -69,11 +69,10 @@ def rake(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, rou
     few = now.count() <= ONE_TASK
     while done < rounds:
         step = (now.coalesce(1) if few else now).withColumn("before", F.col("factor"))  # in one partition windows need no exchange
-        for _ in range(4):
-            for d in DIMENSIONS:
-                have = F.sum(F.col("tokens") * F.col("factor")).over(Window.partitionBy(f"m_{d}"))
-                step = step.withColumn("have", have).withColumn("factor", F.expr(f"if(have > 0, factor * goal_{d} / have, factor)")).drop("have")
-        done += 4
+        for d in DIMENSIONS:
+            have = F.sum(F.col("tokens") * F.col("factor")).over(Window.partitionBy(f"m_{d}"))
+            step = step.withColumn("have", have).withColumn("factor", F.expr(f"if(have > 0, factor * goal_{d} / have, factor)")).drop("have")
+        done += 1
         following = stored(step, "rake")
         moved = following.agg(F.max(F.expr("if(tokens > 0, abs(factor / before - 1), 0)"))).first()[0] or 0.0
         drop(now)
@@ -104,15 +103,15 @@ def chances(keyed: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     return stored(probabilities(cells, targets if targets is not None else flattened_targets(cells)), "chances")
 
 
-def sample(docs: DataFrame, targets: DataFrame | None = None, topic: Column = FORM, seed: int = 1) -> DataFrame:
-    """``docs`` with m_source, m_lang, m_topic, probability and ``kept``."""
+def sample(docs: DataFrame, targets: DataFrame | None = None, topic: str = FORM, seed: int = 1) -> DataFrame:
+    """``docs`` with m_source, m_lang, m_topic, probability and ``kept``, in place of columns of these names."""
     tune(docs.sparkSession)
-    keyed = docs.withColumns(cell_keys(topic))
-    found = chances(keyed.withColumn("tokens", TOKENS), targets)
+    keyed = docs.drop("probability", "kept", "tokens").withColumns(cell_keys(topic))
+    found = chances(keyed.withColumn("tokens", F.expr(TOKENS)), targets)
     return keyed.join(found, [f"m_{d}" for d in DIMENSIONS], "left").withColumn("kept", uniform(seed) < F.col("probability"))
 
 
-def sampled(docs: DataFrame, targets: DataFrame | None = None, topic: Column = FORM, seed: int = 1) -> DataFrame:
+def sampled(docs: DataFrame, targets: DataFrame | None = None, topic: str = FORM, seed: int = 1) -> DataFrame:
     """The sampled rows of ``docs``, with their own columns only, whatever these are called."""
     tune(docs.sparkSession)
     rows = docs.select("source", "lang", "text", "doc_id", F.struct(*(docs[c] for c in docs.columns)).alias("_row"))
@@ -122,7 +121,7 @@ def sampled(docs: DataFrame, targets: DataFrame | None = None, topic: Column = F
 def op4_mixing(spark, sf_dir):
     tune(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    measured = stored(docs.select("doc_id", TOKENS.alias("tokens"), *(c.alias(k) for k, c in cell_keys().items())), "mixing")
+    measured = stored(docs.select("doc_id", F.expr(TOKENS).alias("tokens"), *(c.alias(k) for k, c in cell_keys().items())), "mixing")
     rows = measured.join(chances(measured), [f"m_{d}" for d in DIMENSIONS], "left")
     return rows.select("doc_id", *(F.col(f"m_{d}").alias(d) for d in DIMENSIONS), F.col("tokens").alias("n_tokens"), "probability", (uniform(1) < F.col("probability")).alias("kept"))
 

@@ -101,7 +101,10 @@ def cutoffs(features: DataFrame, labels: DataFrame, alpha: float = 0.02, delta:
 
 
 def judged(features: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFrame:
-    """``features`` with ``kept``: false where the base rule failed or a cutoff is exceeded."""
+    """``features`` with ``kept``: false where the base rule failed or a cutoff is exceeded.
+
+    ``cuts`` has a row per stratum; written beforehand, it is broadcast by its size or joined.
+    """
     over = " OR ".join(f"coalesce({ratio} > cut_{rule}, false)" for rule, (ratio, _) in RULES.items())
     rows = features.withColumn("stratum", F.expr(f"coalesce(cast(`{stratum}` as string), '')")).join(cuts, "stratum", "left")
     return rows.withColumn("kept", F.expr(f"if(base_failed, false, not ({over}))")).drop("stratum", *[f"cut_{rule}" for rule in RULES])
@@ -112,7 +115,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta
     tune(docs.sparkSession)
     rows = docs.select("doc_id", stratum, F.xxhash64("text").alias("text_hash"), "text")
     features = stored(measured(rows).drop("text"), "quality")
-    return judged(features, cutoffs(features, labels, alpha, delta, stratum), stratum)
+    return judged(features, stored(cutoffs(features, labels, alpha, delta, stratum), "cutoffs"), stratum)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
@@ -121,7 +124,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: fl
     rows = measured(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row")), "_row.text")
     rows = stored(rows.withColumn("lang", F.col("_row.lang")).withColumn("doc_id", F.col("_row.doc_id")), "quality-rows")
     # the cutoffs read the measurements alone, the filter everything
-    return judged(rows, cutoffs(rows.drop("_row"), labels, alpha, delta)).where("kept").select("_row.*")
+    return judged(rows, stored(cutoffs(rows.drop("_row"), labels, alpha, delta), "cutoffs")).where("kept").select("_row.*")
 
 
 def op9_quality(spark, sf_dir):
