@@ -2,9 +2,9 @@
 
 Documents are read once.  Word n-grams that may stand in a benchmark item, by a bitmap of
 fixed size, mark regions of a document; a region reaches as far as the longest item on both
-sides of its marks.  A join on the n-gram names the items, each item's commonest n-grams
-(by document frequency in the corpus) are no seeds, and each (region, item) with a seed is
-aligned: match +2, other word -1, gap -1.  An item leaks into a document whose best local
+sides of its marks.  A join on the n-gram names the items.  Seeds are n-grams in at most
+``RARE`` documents and the rarer half of each item's; each (region, item) with a seed, or
+with two common n-grams (an edited passage may stand in very many documents), is aligned: match +2, other word -1, gap -1.  An item leaks into a document whose best local
 alignment reaches ``least`` of the item's alignment with itself.
 
 Words are runs of bytes of the lower-cased text without white space or ASCII punctuation.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ._store import drop, stored, tune
 from ._text import gram_hashes, powers, prefix_hash, span_hash, text_slices, INVERSE
 
-BITS = 22
+BITS, RARE = 22, 100
 
 
 def plain_words(data, offs):
@@ -151,11 +151,10 @@ def _score(least):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, seeds: float = 0.75) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5) -> DataFrame:
     """(doc_id, text_hash, item_id, score, share, word_start, word_end) of every leak.
 
-    ``seeds`` is the share of an item's n-grams, the rarest ones and eight at least, that
-    are seeds.  What is broadcast is a bitmap of 2**22 bits, whatever the benchmark's size;
+    What is broadcast is a bitmap of 2**22 bits, whatever the benchmark's size;
     the joins on n-grams are ordinary ones, whose side Spark may broadcast by its size.
     """
     spark = docs.sparkSession
@@ -185,8 +184,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
         "rank": F.row_number().over(Window.partitionBy("item_key").orderBy("df", "place")),
         "all": F.count("*").over(Window.partitionBy("item_key")),
     })
-    chosen = ranked.where(f"rank <= greatest(8, ceil({seeds} * all))").select("gram", "item_key")
-    pairs = hits.select("region", "gram").join(chosen, "gram").select("region", "item_key").distinct()
+    chosen = ranked.select("gram", "item_key", F.expr(f"df <= {RARE} or 2 * rank <= all or all <= 2").alias("seed"))
+    pairs = (
+        hits.select("region", "gram").join(chosen, "gram").groupBy("region", "item_key").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
+        .where("seed or n > 1").select("region", "item_key")
+    )
     compared = (
         pairs.join(items.select("item_key", "item_id", "item_words"), "item_key")
         .join(regions.select("region", "doc_id", "text_hash", "start", "words"), "region")
