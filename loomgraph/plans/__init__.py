@@ -2,4 +2,4 @@
 
 
 def load():
-    from . import analytics, filters, graphs, joins, retrieval, storage, texts  # noqa: F401
+    from . import analytics, composed, filters, graphs, joins, retrieval, storage, texts  # noqa: F401
