@@ -107,12 +107,18 @@ def _pieces(window):
                     key, begin = keys[first + i], int(offs[i])
                     if key == before:  # a copy: its windows all repeat, and are in the corpus once already
                         continue
-                    before = key
+                    before, here = key, {}
                     for k in range(int(bounds[first + i]), int(bounds[first + i + 1])):
                         g, c, a, l, h = int(gram[k]), int(count[k]), int(at[k]), int(lo[k]), int(hi[k])
                         piece = raw[begin + l : begin + h + window]
                         digest = hashlib.blake2b(piece + b"%d" % (a - l), digest_size=16).digest() if c > HOT else None
-                        rows.append((g, c > HOT, digest, key, l, h - l + 1, a - l, piece))
+                        if digest in here:
+                            here[digest].append(l)
+                            continue
+                        places = [l]
+                        if digest:
+                            here[digest] = places
+                        rows.append((g, c > HOT, digest, key, places, h - l + 1, a - l, piece))
                     if len(rows) >= 4000:
                         yield _piece_batch(rows)
                         rows = []
@@ -142,8 +148,8 @@ def _divide(window):
 
 
 def _piece_batch(rows):
-    kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    names = ["bucket", "hot", "digest", "text_key", "lo", "windows", "before", "piece"]
+    kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()]
+    names = ["bucket", "hot", "digest", "text_key", "los", "windows", "before", "piece"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
@@ -233,9 +239,10 @@ def _remove(window):
                     elif found[first + i]:
                         edge = np.zeros(len(text) + 1, np.int64)
                         for piece in found[first + i]:
-                            for a, b in zip(piece["first"], piece["last"]):
-                                edge[piece["lo"] + a] += 1
-                                edge[piece["lo"] + b - 1 + window] -= 1
+                            for lo in piece["los"]:
+                                for a, b in zip(piece["first"], piece["last"]):
+                                    edge[lo + a] += 1
+                                    edge[lo + b - 1 + window] -= 1
                         gone = np.cumsum(edge[:-1]) > 0
                         removed, spans = int(gone.sum()), len(runs(gone)[0])
                         text = text[~gone]
@@ -249,25 +256,26 @@ def _remove(window):
 
 
 def repeated_pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(text_key, lo, first, last): windows lo + first[i] .. lo + last[i] - 1 of a text begin elsewhere too.
+    """(text_key, los, first, last): windows lo + first[i] .. lo + last[i] - 1, lo each of ``los``, of a text begin elsewhere too.
 
     ``docs`` has text_key and text; rows of equal keys are one text here.
     """
     samples = stored(docs.select("text_key", "text").mapInArrow(_samples(window, gram), "gram long, text_key binary, at int, lo int, hi int").distinct(), "suffix-samples")
-    counts = samples.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    # written first, so that the join reads plain tables and Spark can split a hot gram's rows
+    counts = stored(samples.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "suffix-counts")
     kept = stored(samples.join(counts, "gram").select("text_key", "gram", "n", "at", "lo", "hi"), "suffix-cover")
-    drop(samples)
+    drop(samples, counts)
     # a text's samples are a piece of the text: the list is no larger than the row it joins
-    lists = kept.groupBy("text_key").agg(F.collect_list(F.struct("gram", "n", "at", "lo", "hi")).alias("samples"))
-    schema = "bucket long, hot boolean, digest binary, text_key binary, lo int, windows int, before int, piece binary"
+    lists = stored(kept.groupBy("text_key").agg(F.collect_list(F.struct("gram", "n", "at", "lo", "hi")).alias("samples")), "suffix-lists")
+    schema = "bucket long, hot boolean, digest binary, text_key binary, los array<int>, windows int, before int, piece binary"
     pieces = stored(docs.select("text_key", "text").join(lists, "text_key").select("text_key", "text", "samples").mapInArrow(_pieces(window), schema), "suffix-pieces")
     drop(kept)
     columns = ["bucket", "weight", "text_key", "lo", "windows", "before", "piece"]
-    cold = pieces.where("not hot").withColumn("weight", F.lit(1).cast("long")).select(*columns)
+    cold = pieces.where("not hot").withColumn("weight", F.lit(1).cast("long")).withColumn("lo", F.col("los")[0]).select(*columns)
     # equal pieces of hot buckets are one before they are dealt out; all windows of a piece that is there twice repeat
     hot = pieces.where("hot")
     once = hot.groupBy("bucket", "digest").agg(
-        F.count("*").alias("weight"), F.expr("if(count(*) = 1, min(text_key), null)").alias("text_key"), F.min("lo").alias("lo"),
+        F.sum(F.size("los")).alias("weight"), F.expr("if(sum(size(los)) = 1, min(text_key), null)").alias("text_key"), F.min(F.col("los")[0]).alias("lo"),
         F.first("windows").alias("windows"), F.first("before").alias("before"), F.first("piece").alias("piece"),
     )
     divided = once.select(*columns).mapInArrow(_divide(window), "bucket long, weight long, text_key binary, lo int, windows int, before int, piece binary")
@@ -276,10 +284,10 @@ def repeated_pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         cold.union(divided).repartition(parts, "bucket").sortWithinPartitions("bucket")
         .mapInArrow(_rank(window), "text_key binary, lo int, first array<int>, last array<int>")
     )
-    again = hot.groupBy("bucket", "digest").agg(F.count("*").alias("weight")).where("weight > 1").select("bucket", "digest")
-    whole = hot.select("bucket", "digest", "text_key", "lo", "windows").join(again, ["bucket", "digest"]).select("text_key", "lo", F.expr("array(0)").alias("first"), F.expr("array(windows)").alias("last"))
-    found = stored(ranked.union(whole), "suffix-found")
-    drop(pieces)
+    again = stored(hot.groupBy("bucket", "digest").agg(F.sum(F.size("los")).alias("weight")).where("weight > 1").select("bucket", "digest"), "suffix-again")
+    whole = hot.select("bucket", "digest", "text_key", "los", "windows").join(again, ["bucket", "digest"]).select("text_key", "los", F.expr("array(0)").alias("first"), F.expr("array(windows)").alias("last"))
+    found = stored(ranked.select("text_key", F.array("lo").alias("los"), "first", "last").union(whole), "suffix-found")
+    drop(pieces, again)
     return found
 
 
@@ -287,9 +295,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs(doc_id, text)``."""
     tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    found = repeated_pieces(rows, window, gram).groupBy("text_key").agg(F.collect_list(F.struct("lo", "first", "last")).alias("found"))
+    each = repeated_pieces(rows, window, gram).groupBy("text_key").agg(F.collect_list(F.struct("los", "first", "last")).alias("found"))
     copied = rows.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key", F.lit(True).alias("copied"))
-    return rows.join(found, "text_key", "left").join(copied, "text_key", "left").select("doc_id", "text", "found", "copied").mapInArrow(
+    told = stored(each.join(copied, "text_key", "full_outer"), "suffix-told")
+    return rows.join(told, "text_key", "left").select("doc_id", "text", "found", "copied").mapInArrow(
         _remove(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
 
