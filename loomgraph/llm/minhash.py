@@ -120,10 +120,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bins:
         docs.mapInArrow(_features(bins, bands, shingle), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "minhash-features"
     )
     known = features.where("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    # grouped tables are written before they are joined: between plain reads Spark can split a hot key's rows
+    classes = stored(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "minhash-classes")
     reps = known.join(classes, ["d1", "d2"]).where("doc_id = rep").dropDuplicates(["rep"])
     rows = reps.select("rep", F.explode("bands").alias("key"))
-    crowded = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    crowded = stored(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "minhash-crowded")
     buckets = stored(rows.join(crowded, "key").select("key", F.col("rep").alias("node")), "minhash-buckets")
     # texts of the classes that share a bucket with another: only these are compared
     nodes = buckets.select("node").distinct()
@@ -134,11 +135,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bins:
             buckets.join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         )
         order = F.col("node") if number == 0 else F.xxhash64(F.col("key"), F.col("node"), F.lit(number))
-        centres = (
+        centres = stored(
             members.groupBy("key")
             .agg(F.min_by(F.struct("node", "comp"), order).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
             .where("low <> high")
-            .select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp"))
+            .select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp")),
+            "minhash-centres",
         )
         pairs = (
             members.join(centres, "key")
@@ -155,6 +157,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bins:
             .mapInArrow(_confirm(shingle, percent), "a long, b long, linked boolean"),
             "minhash-checked",
         )
+        drop(centres)
         found = checked.where("linked").select("a", "b")
         new = found.count()
         number += 1
@@ -166,7 +169,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bins:
         if number > 2 and not new or number == 1 and links is None:
             break
         tried = checked.select("a", "b") if tried is None else tried.union(checked.select("a", "b"))
-    drop(texts, buckets)
+    drop(texts, buckets, crowded)
     member = known.join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "rep")
     if labels is None:
         linked = member.withColumn("component_id", F.col("rep"))

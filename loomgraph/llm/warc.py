@@ -182,15 +182,15 @@ def _read(uri):
 def write_warc(pages: DataFrame, uri: str, least: int = 1000) -> DataFrame:
     """Write ``pages(page_id, url, html)`` as archives under ``uri``; (archive, n_records, n_bytes) of each.
 
-    Payloads that repeat are found from digests alone: a grouped maximum, then a left join
-    whose hot digests Spark may split, since only the pages' side is large.
+    Payloads that repeat are found from digests alone: a grouped maximum, written, then a left
+    join whose hot digests Spark may split, since both sides are plain reads.
     """
     tune(pages.sparkSession)
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")
     ).withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     digests = rows.where(F.octet_length("html") >= least).select("digest", "page_id")
-    repeated = digests.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("again"), "last")
+    repeated = stored(digests.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("again"), "last"), "warc-repeated")
     told = rows.join(repeated, F.col("digest") == F.col("again"), "left").withColumn("refers", F.expr("if(last is null or page_id <=> last, null, last)"))
     return stored(told.select("page_id", "url", "html", "digest", "refers").mapInArrow(_write(uri), "archive long, n_records long, n_bytes long"), "warc-archives")
 
