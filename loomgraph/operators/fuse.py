@@ -44,19 +44,17 @@ def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
     return F.when(union == 0, F.lit(both_empty)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def jaccard_pairs(results: DataFrame, least: float) -> DataFrame:
-    """(a, b, sim) of results (id, text) whose word sets' Jaccard exceeds ``least``.
+def jaccard_pairs(results: DataFrame, least: float, by: str) -> DataFrame:
+    """(by, a, b, sim) of results (by, id, text) of one list whose word sets' Jaccard exceeds ``least``.
 
-    Pairs meet on one of the words of their prefixes (a set of n words has n - ceil(n * least)
-    + 1 of them, in word order), which every such pair shares; texts without words pair with none.
+    A list is what one search returned, k rows.  Sizes that can't reach ``least`` are passed
+    over; texts without words pair with none.
     """
-    sets = results.select("id", F.array_sort(word_set(F.col("text"))).alias("w")).where(F.size("w") > 0)
-    prefix = F.expr(f"slice(w, 1, size(w) - cast(ceil(size(w) * {least} - 1e-9) as int) + 1)")
-    keyed = sets.select("id", "w", F.explode(prefix).alias("key"))
-    a, b = keyed.select(F.col("id").alias("a"), F.col("w").alias("wa"), "key"), keyed.select(F.col("id").alias("b"), F.col("w").alias("wb"), "key")
+    sets = results.select(by, "id", word_set(F.col("text")).alias("w")).where(F.size("w") > 0)
+    a, b = sets.toDF(by, "a", "wa"), sets.toDF(by, "b", "wb")
     close = F.expr(f"size(wa) >= {least} * size(wb) - 1e-9 and size(wb) >= {least} * size(wa) - 1e-9")
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & close).dropDuplicates(["a", "b"])
-    return pairs.select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("sim")).where(F.col("sim") > least)
+    pairs = a.join(b, by).where((F.col("a") < F.col("b")) & close)
+    return pairs.select(by, "a", "b", jaccard(F.col("wa"), F.col("wb")).alias("sim")).where(F.col("sim") > least)
 
 
 def rerank(results: DataFrame, max_gap: float | None = None) -> DataFrame:

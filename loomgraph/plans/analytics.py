@@ -70,7 +70,7 @@ shared("coverage_by_collection", "SELECT d.source, count(*) AS docs, count(v.vec
 shared("dataset_counts", "SELECT source AS dataset, count(*) AS items FROM documents GROUP BY source")
 shared("predicate_list", "SELECT relation AS predicate FROM edges UNION SELECT lower(type) FROM nodes")
 shared("char_density", "SELECT source, round(CAST(sum(CASE WHEN doc_id % 2 = 0 THEN length(text) ELSE 0 END) AS DOUBLE) / sum(length(text)), 6) AS density FROM documents GROUP BY source")
-shared("task_validation", """WITH crit AS (SELECT o_orderkey AS task, o_orderstatus FROM orders WHERE o_orderkey < 500), r AS (SELECT l_orderkey AS task, max(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS ok, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS failed, max(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS stale FROM lineitem GROUP BY l_orderkey)
+shared("task_validation", """WITH crit AS (SELECT o_orderkey AS task, o_orderstatus FROM orders), r AS (SELECT l_orderkey AS task, max(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS ok, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS failed, max(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS stale FROM lineitem GROUP BY l_orderkey)
 SELECT c.task, CASE WHEN r.ok = 1 THEN 'found' WHEN r.stale = 1 THEN 'stale' WHEN r.failed = 1 THEN 'failed' ELSE 'missing' END AS state FROM crit c LEFT JOIN r ON r.task = c.task""")
 shared("project_context", "SELECT kind, id FROM (SELECT 'memory' AS kind, o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS pos FROM orders UNION ALL SELECT 'chat', conv_id, row_number() OVER (ORDER BY conv_id DESC, turn DESC) + 15 FROM conversations) x WHERE pos <= 20")
 shared("chat_history", "WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) SELECT conv_id, turn, role FROM r WHERE back <= 5")

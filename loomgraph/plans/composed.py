@@ -21,7 +21,7 @@ SELECT id, source_id, relation, target_id FROM hit WHERE (valid_from IS NULL OR
 shared("workspace_conflicts", """WITH disk AS (SELECT p_partkey AS path, p_name AS digest FROM part WHERE p_partkey % 3 <> 0), idx AS (SELECT p_partkey AS path, CASE WHEN p_partkey % 5 = 0 THEN 'old' ELSE p_name END AS digest FROM part WHERE p_partkey % 4 <> 0)
 SELECT coalesce(d.path, i.path) AS path, CASE WHEN i.path IS NULL THEN 'unindexed' WHEN d.path IS NULL THEN 'missing' ELSE 'dirty' END AS state FROM disk d FULL OUTER JOIN idx i ON i.path = d.path WHERE i.path IS NULL OR d.path IS NULL OR d.digest <> i.digest""")
 shared("stale_vector_ids", "SELECT vec_id FROM embeddings EXCEPT SELECT doc_id FROM documents WHERE source <> 'src1'")
-shared("link_events_entities", """WITH ev AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE ts < TIMESTAMP '2024-01-04 00:00:00'), en AS (SELECT n_nationkey FROM nation)
+shared("link_events_entities", """WITH ev AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), en AS (SELECT n_nationkey FROM nation)
 SELECT concat('temporal_', CAST(day AS VARCHAR(10))) AS event, n_nationkey AS entity FROM ev CROSS JOIN en""", "Every event of a run with every entity of it, both few: what the operator is.")
 shared("memory_upsert", """WITH al AS (SELECT o_custkey AS k, o_orderpriority AS room, o_orderkey AS version, o_totalprice AS value FROM orders), r AS (SELECT k, room, version, value, row_number() OVER (PARTITION BY k, room ORDER BY version DESC) AS n FROM al)
 SELECT k, room, version, value FROM r WHERE n = 1""")

@@ -23,8 +23,8 @@ SELECT id, (upper(text) LIKE 'MATCH%' OR upper(text) LIKE 'WITH%' OR upper(text)
   AND NOT (upper(text) LIKE '%DELETE%' OR upper(text) LIKE '%CREATE%' OR upper(text) LIKE '%MERGE%' OR upper(text) LIKE '%SET %' OR upper(text) LIKE '%REMOVE%' OR upper(text) LIKE '%DROP%' OR upper(text) LIKE '%CALL %') AS allowed FROM q""")
 shared("code_entities", "SELECT p_partkey FROM part WHERE lower(p_type) IN ('economy', 'standard') OR (p_type = '' AND p_name LIKE '%code%')")
 shared("embedding_drift", "SELECT label, count(*) AS n FROM embeddings WHERE label <> 3 GROUP BY label HAVING count(*) > 0")
-shared("good_traces", """WITH s AS (SELECT user_id, ts, event_id, event_type, max(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS consulted FROM events WHERE ts < TIMESTAMP '2024-01-03 00:00:00')
-SELECT user_id, count(*) AS events FROM s GROUP BY user_id HAVING max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) = 0 AND max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 AND min(CASE WHEN event_type = 'purchase' THEN coalesce(consulted, 0) ELSE 1 END) = 1""")
+shared("good_traces", """WITH s AS (SELECT user_id, CAST(ts AS DATE) AS day, ts, event_id, event_type, max(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS consulted FROM events)
+SELECT user_id, day, count(*) AS events FROM s GROUP BY user_id, day HAVING max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) = 0 AND max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 AND min(CASE WHEN event_type = 'purchase' THEN coalesce(consulted, 0) ELSE 1 END) = 1""")
 shared("text_projection", "SELECT conv_id, turn, coalesce(text, role, '') AS body FROM conversations WHERE turn < 2")
 shared("sensitive_suppression", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN '[hidden]' ELSE c_name END AS name FROM customer")
 shared("collection_resolution", "SELECT DISTINCT source FROM documents WHERE CASE WHEN '' <> '' THEN source = '' WHEN 'de' <> '' THEN lang = 'de' ELSE 1 = 1 END")

@@ -70,10 +70,10 @@ BATCH = f"""WITH s AS (SELECT q.vec_id AS qid, e.vec_id AS id, {COS.format('e.em
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM s)"""
 
 
-@query("cosine_topk_batch", BATCH.format("q.vec_id < 50") + " SELECT qid, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
+@query("cosine_topk_batch", BATCH.format("q.vec_id % 100 = 0") + " SELECT qid, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
 def cosine_topk_batch(spark, sf):
     v = vectors(spark, sf)
-    queries = v.where("id < 50").select(F.col("id").alias("qid"), "embedding")
+    queries = v.where("id % 100 = 0").select(F.col("id").alias("qid"), "embedding")
     return vector.batch_topk(v, queries, 10).withColumn("score", F.round("score", 6))
 
 
@@ -185,13 +185,15 @@ def lexical_strategy(spark, sf):
 WS = "list_distinct(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: trim(w, '.,!?;:\"''()[]{}')), lambda w: w <> ''))"
 
 
-@query("jaccard_pairs", f"""WITH s AS (SELECT doc_id AS id, {WS} AS w FROM documents WHERE source = 'src1' OR source = 'src2'),
-p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) AS sim FROM s a JOIN s b ON a.id < b.id AND len(a.w) > 0 AND len(b.w) > 0)
-SELECT a, b, round(sim, 6) AS sim FROM p WHERE sim > 0.85""")
+@query("jaccard_pairs", f"""WITH q AS (SELECT item_id AS qid, text FROM benchmark), {BM25}, s AS (SELECT qid, doc AS id, {WS} AS w FROM ranked JOIN documents ON doc_id = doc WHERE rank <= 20),
+p AS (SELECT a.qid, a.id AS a, b.id AS b, len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) AS sim FROM s a JOIN s b ON a.qid = b.qid AND a.id < b.id AND len(a.w) > 0 AND len(b.w) > 0)
+SELECT qid, a, b, round(sim, 6) AS sim FROM p WHERE sim > 0.85""")
 def jaccard_pairs(spark, sf):
-    """Two sources' results: the whole of what a search of them returned."""
-    found = docs(spark, sf).where("source = 'src1' OR source = 'src2'")
-    return fuse.jaccard_pairs(found, 0.85).withColumn("sim", F.round("sim", 6))
+    """Near-equal results of each query, among its twenty best documents."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    best = lexical.bm25(docs(spark, sf), items, 20).select("qid", F.col("doc").alias("id"))
+    found = best.join(docs(spark, sf).select("id", "text"), "id")
+    return fuse.jaccard_pairs(found, 0.85, "qid").withColumn("sim", F.round("sim", 6))
 
 
 @query("similar_vector_pairs", f"SELECT a.vec_id AS a, b.vec_id AS b, round({COS.format('a.embedding', 'b.embedding')}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {COS.format('a.embedding', 'b.embedding')} >= 0.4")
@@ -221,12 +223,12 @@ def search_confidence(spark, sf):
     return fuse.confidence(_lists(spark, sf)[0])
 
 
-@query("shadow_compare", f"""{BATCH.format('q.vec_id < 20')}, a AS (SELECT qid, list(id ORDER BY rank) AS ids FROM r WHERE rank <= 10 GROUP BY qid), b AS (SELECT qid, list(id ORDER BY rank) AS ids FROM r WHERE rank BETWEEN 3 AND 12 GROUP BY qid)
+@query("shadow_compare", f"""{BATCH.format('q.vec_id % 100 = 0')}, a AS (SELECT qid, list(id ORDER BY rank) AS ids FROM r WHERE rank <= 10 GROUP BY qid), b AS (SELECT qid, list(id ORDER BY rank) AS ids FROM r WHERE rank BETWEEN 3 AND 12 GROUP BY qid)
 SELECT count(*) AS queries, round(avg(len(list_intersect(a.ids, b.ids))::DOUBLE / len(list_distinct(list_concat(a.ids, b.ids)))), 6) AS jaccard, round(avg((a.ids[1] = b.ids[1])::INT), 6) AS top1 FROM a JOIN b USING (qid)""")
 def shadow_compare(spark, sf):
     """Primary against shadow results: Jaccard at k and top-1 stability (two empty lists agree)."""
     v = vectors(spark, sf)
-    both = vector.batch_topk(v, v.where("id < 20").select(F.col("id").alias("qid"), "embedding"), 12)
+    both = vector.batch_topk(v, v.where("id % 100 = 0").select(F.col("id").alias("qid"), "embedding"), 12)
     ids = lambda low, high: F.transform(F.sort_array(F.collect_list(F.expr(f"if(rank between {low} and {high}, struct(rank, id), null)"))), lambda x: x["id"])
     lists = both.groupBy("qid").agg(ids(1, 10).alias("a"), ids(3, 12).alias("b"))
     return lists.agg(F.count("*").alias("queries"), F.round(F.avg(fuse.jaccard(F.col("a"), F.col("b"), 1.0)), 6).alias("jaccard"), F.round(F.avg((F.col("a")[0] == F.col("b")[0]).cast("int")), 6).alias("top1"))
@@ -240,9 +242,11 @@ def retrieval_quality(spark, sf):
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
     d = docs(spark, sf)
     found = lexical.bm25(d, items, 5).select("qid", F.col("doc").alias("id"), "rank")
-    # candidates share the item's rarest words: only the best 200 by score are compared with the text itself
-    near = lexical.bm25(d, items, 200).select("qid", F.col("doc").alias("id"))
-    truth = near.join(items, "qid").join(d.select("id", F.col("text").alias("body")), "id").where(F.contains("body", "text")).select("qid", "id")
+    # three inner words of an item in a row name the documents that are compared with its text
+    words = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 2), lambda i: F.concat_ws(" ", F.slice(c, i, 3)))
+    named = items.withColumn("ts", lexical.tokens(F.col("text"))).where("size(ts) >= 5").select("qid", F.col("text").alias("item"), F.concat_ws(" ", F.slice("ts", 2, 3)).alias("key"))
+    keyed = d.withColumn("ts", lexical.tokens(F.col("text"))).where("size(ts) >= 3").select("id", "text", F.explode(F.array_distinct(words(F.col("ts")))).alias("key"))
+    truth = keyed.join(named, "key").where(F.contains("text", "item")).select("qid", "id")
     best = truth.join(found, ["qid", "id"], "left").groupBy("qid").agg(F.coalesce(F.min("rank"), F.lit(99)).alias("r"))
     return best.agg(
         F.count("*").alias("queries"), F.round(F.avg((F.col("r") == 1).cast("double")), 2).alias("recall_1"),

@@ -67,12 +67,12 @@ def detect_format(spark, sf):
     return d.select("doc_id", readers.file_format(F.col("name"), F.col("text").cast("binary")).alias("format"))
 
 
-@query("git_log", "SELECT lpad(o_orderkey::VARCHAR, 40, '0') AS sha, 'c' || o_custkey AS author, count(l_linenumber) AS files FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 2000 GROUP BY ALL")
+@query("git_log", "SELECT lpad(o_orderkey::VARCHAR, 40, '0') AS sha, 'c' || o_custkey AS author, count(l_linenumber) AS files FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
 def git_log(spark, sf):
     """A log made of orders (headers) and their lines (file names), read back as commits."""
-    o = table(spark, sf, "orders").where("o_orderkey < 2000")
-    head = o.select(F.struct("o_orderkey", F.lit(0).alias("n")).alias("pos"), F.concat_ws("|", F.lpad(F.col("o_orderkey").cast("string"), 40, "0"), F.concat(F.lit("c"), "o_custkey"), F.col("o_orderdate").cast("string"), F.lit("work")).alias("line"))
-    body = table(spark, sf, "lineitem").where("l_orderkey < 2000").select(F.struct(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("n")).alias("pos"), F.concat(F.lit("file"), "l_partkey").alias("line"))
+    o = table(spark, sf, "orders")
+    head = o.select(F.col("o_custkey").alias("repo"), F.struct("o_orderkey", F.lit(0).alias("n")).alias("pos"), F.concat_ws("|", F.lpad(F.col("o_orderkey").cast("string"), 40, "0"), F.concat(F.lit("c"), "o_custkey"), F.col("o_orderdate").cast("string"), F.lit("work")).alias("line"))
+    body = table(spark, sf, "lineitem").join(o.select("o_custkey", F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").select(F.col("o_custkey").alias("repo"), F.struct(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("n")).alias("pos"), F.concat(F.lit("file"), "l_partkey").alias("line"))
     found = readers.git_commits(head.union(body)).select("sha", "author", F.size("files").cast("long").alias("files"))
     return found.where("files > 0")
 
@@ -106,9 +106,9 @@ def memory_supersede(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.lead("o_orderkey").over(w).alias("superseded_by"))
 
 
-@query("vsa_shards", "SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, ((row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey, l_orderkey, l_linenumber)) - 1) // 12 AS shard FROM lineitem WHERE l_suppkey <= 10")
+@query("vsa_shards", "SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, ((row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey, l_orderkey, l_linenumber)) - 1) // 12 AS shard FROM lineitem")
 def vsa_shards(spark, sf):
-    facts = table(spark, sf, "lineitem").where("l_suppkey <= 10").select(
+    facts = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("relation"), F.col("l_partkey").alias("source_id"), F.col("l_orderkey").alias("target_id"), F.col("l_linenumber").alias("id")
     )
     return records.shards(facts).toDF("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "shard")
@@ -123,7 +123,7 @@ def vsa_superposition(spark, sf):
 @query("vsa_query")
 def vsa_query(spark, sf):
     """Which nation does a customer's bundle of facts hold: bound symbols, summed, unbound, compared."""
-    c = table(spark, sf, "customer").where("c_custkey <= 40").select(F.concat(F.lit("c"), "c_custkey").alias("s"), F.concat(F.lit("n"), "c_nationkey").alias("o"), (F.col("c_custkey") % 8).alias("shard"))
+    c = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("s"), F.concat(F.lit("n"), "c_nationkey").alias("o"), F.floor(F.col("c_custkey") / 12).alias("shard"))
     facts = c.withColumn("v", records.bind(records.symbol(F.col("s"), 256), records.symbol(F.col("o"), 256)))
     sums = records.bundle(facts, "shard", "v")
     names = c.select("o").distinct().select(F.col("o").alias("guess"), records.symbol(F.col("o"), 256).alias("g"))

@@ -115,13 +115,13 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
 
 def git_commits(lines: DataFrame) -> DataFrame:
-    """(sha, author, day, subject, files) of a log's ``lines(pos, line)``: headers are hash|author|date|subject."""
+    """(repo, sha, author, day, subject, files) of logs' ``lines(repo, pos, line)``: headers are hash|author|date|subject."""
     head = F.col("line").rlike(r"^[0-9a-f]{40}\|[^|]*\|[^|]*\|")
-    grouped = lines.withColumn("head", head).withColumn("commit", F.sum(F.col("head").cast("int")).over(Window.orderBy("pos")))
+    grouped = lines.withColumn("head", head).withColumn("commit", F.sum(F.col("head").cast("int")).over(Window.partitionBy("repo").orderBy("pos")))
     part = F.split("line", r"\|", 4)
     one = F.max(F.when(F.col("head"), F.struct(part[0].alias("sha"), part[1].alias("author"), part[2].alias("day"), part[3].alias("subject"))))
     names = F.transform(F.sort_array(F.collect_list(F.when(~F.col("head") & (F.trim("line") != ""), F.struct("pos", "line")))), lambda x: x["line"])
-    return grouped.where("commit > 0").groupBy("commit").agg(one.alias("h"), names.alias("files")).select("h.*", "files")
+    return grouped.where("commit > 0").groupBy("repo", "commit").agg(one.alias("h"), names.alias("files")).select("repo", "h.*", "files")
 
 
 def front_matter(docs: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def test_merge_fixture(spark):
 
 def test_jaccard_and_rerank(spark):
     r = spark.createDataFrame([(1, "The same, text!"), (2, "the same text"), (3, ""), (4, "")], "id int, text string")
-    assert rows(fuse.jaccard_pairs(r, 0.85)) == [(1, 2, 1.0)]
+    assert rows(fuse.jaccard_pairs(r.withColumn("q", F.lit(0)), 0.85, "q")) == [(0, 1, 2, 1.0)]
     s = spark.createDataFrame([(1, 0.9, 1, None), (2, 0.8, 2, 5.0), (3, 0.7, 3, 7.0)], "id int, score double, rank long, rerank_score double")
     assert [x.id for x in fuse.rerank(s).orderBy("new_rank").collect()] == [3, 2, 1]
     assert [x.id for x in fuse.rerank(s, 0.1).orderBy("new_rank").collect()] == [1, 2, 3]
@@ -155,7 +155,7 @@ def test_readers(spark, tmp_path):
     assert readers.html_text(page) == "# Title\n\nOne two.\n\nThree"
     assert readers.html_text("<body>just words</body>") == "just words" and readers.html_text("") == ""
     log = [f"{'a' * 40}|Ann|2024|First", "x.py", "", "y.py", f"{'b' * 40}|Bob|2024|Second | part", "z.py"]
-    found = readers.git_commits(spark.createDataFrame(list(enumerate(log)), "pos int, line string")).orderBy("sha").collect()
+    found = readers.git_commits(spark.createDataFrame(list(enumerate(log)), "pos int, line string").withColumn("repo", F.lit("r"))).orderBy("sha").collect()
     assert found[0].files == ["x.py", "y.py"] and found[1].subject == "Second | part"
     d = spark.createDataFrame([("a.md", "---\ntype: note\ntitle: \"T\"\n---\nBody"), ("INDEX.md", "x")], "name string, text string")
     (r,) = readers.front_matter(d).collect()
