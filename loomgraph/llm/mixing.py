@@ -12,7 +12,7 @@ rows that share a doc_id are kept or dropped alike; extra columns are kept by ``
 empty tables give empty results.
 """
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ._store import drop, stored, tune
 
@@ -27,7 +27,7 @@ FORM = f"""case when 20 * (length({_T}) - length(translate({_T}, '|#*$%&<>', '')
   else 'prose' end"""
 #: exponents that flatten a dimension's own shares into its default targets
 FLATTEN = {"source": 0.5, "lang": 0.7, "topic": 1.0}
-TOLERANCE, ROUNDS, SPREAD = 1e-10, 60, 50.0
+TOLERANCE, ROUNDS, SPREAD = 1e-9, 60, 50.0
 #: cells up to which raking runs in one task; more are dealt out by source, language and topic in turn
 ONE_TASK = 200_000
 
@@ -56,22 +56,21 @@ def rake(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, rou
     A round is a window sum per dimension over the cells, which are few; it is one query,
     whose result is written, and whose largest relative change decides about the next.
     """
-    total = F.sum("tokens").alias("all")
     for d in DIMENSIONS:
-        own = cells.groupBy(f"m_{d}").agg(F.sum("tokens").alias(f"own_{d}")).crossJoin(cells.agg(total))
-        want = targets.where(F.col("dimension") == d).groupBy(F.col("value").alias(f"m_{d}")).agg(F.max("share").alias(f"want_{d}"))
-        both = own.join(want, f"m_{d}", "left")
-        sums = both.agg(F.sum(F.when(F.col(f"want_{d}").isNotNull(), F.col(f"want_{d}"))).alias("ws"), F.sum(F.when(F.col(f"want_{d}").isNotNull(), F.col(f"own_{d}"))).alias("os"))
+        want = targets.where(F.col("dimension") == d).groupBy(F.col("value").alias(f"m_{d}")).agg(F.max("share").alias("want"))
+        own = stored(cells.groupBy(f"m_{d}").agg(F.sum("tokens").alias("own")).join(want, f"m_{d}", "left"), "margin")
         # values with targets share the tokens that they have together
-        goal = both.crossJoin(sums).select(f"m_{d}", F.coalesce(F.expr(f"want_{d} / nullif(ws, 0) * os"), F.col(f"own_{d}").cast("double")).alias(f"goal_{d}"))
+        both = own.agg(F.sum("want").alias("ws"), F.sum(F.expr("if(want is null, null, own)")).alias("os"))
+        goal = stored(own.crossJoin(both).select(f"m_{d}", F.expr(f"coalesce(want / nullif(ws, 0) * os, double(own)) as goal_{d}")), "goal")
         cells = cells.join(goal, f"m_{d}")
     now, done = stored(cells.withColumn("factor", F.lit(1.0)), "rake"), 0
     few = now.count() <= ONE_TASK
     while done < rounds:
-        step = (now.coalesce(1) if few else now).withColumn("before", F.col("factor"))  # in one partition windows need no exchange
+        # in one partition windows need no exchange
+        step = (now.coalesce(1) if few else now).selectExpr("*", "factor as before")
         for d in DIMENSIONS:
-            have = F.sum(F.col("tokens") * F.col("factor")).over(Window.partitionBy(f"m_{d}"))
-            step = step.withColumn("have", have).withColumn("factor", F.expr(f"if(have > 0, factor * goal_{d} / have, factor)")).drop("have")
+            rest = [c for c in step.columns if c != "factor"]
+            step = step.selectExpr(*rest, "factor", f"sum(tokens * factor) over (partition by m_{d}) as have").selectExpr(*rest, f"if(have > 0, factor * goal_{d} / have, factor) as factor")
         done += 1
         following = stored(step, "rake")
         moved = following.agg(F.max(F.expr("if(tokens > 0, abs(factor / before - 1), 0)"))).first()[0] or 0.0
@@ -87,7 +86,7 @@ def probabilities(cells: DataFrame, targets: DataFrame, spread: float = SPREAD)
     """(m_source, m_lang, m_topic, probability): factors over the largest, which is held to ``spread`` times their token-weighted mean."""
     raked = rake(cells, targets)
     top = raked.agg(F.expr(f"least(max(if(tokens > 0, factor, 0)), {spread}D * sum(tokens * factor) / nullif(sum(tokens), 0))").alias("top"))
-    return raked.crossJoin(top).select(*(f"m_{d}" for d in DIMENSIONS), F.expr("if(top > 0, round(least(1D, factor / top), 9), 1D)").alias("probability"))
+    return raked.crossJoin(top).select(*(f"m_{d}" for d in DIMENSIONS), F.expr("if(top > 0, round(least(1D, factor / top), 6), 1D)").alias("probability"))
 
 
 def uniform(seed: int) -> Column:
@@ -100,7 +99,7 @@ def chances(keyed: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """The probability of each cell of ``keyed(m_source, m_lang, m_topic, tokens)``."""
     cells = stored(keyed.groupBy(*(f"m_{d}" for d in DIMENSIONS)).agg(F.sum("tokens").alias("tokens")).coalesce(1), "cells")
     # the cells are far fewer than the documents: Spark broadcasts them by their written size
-    return stored(probabilities(cells, targets if targets is not None else flattened_targets(cells)), "chances")
+    return stored(probabilities(cells, targets if targets is not None else stored(flattened_targets(cells), "targets")), "chances")
 
 
 def sample(docs: DataFrame, targets: DataFrame | None = None, topic: str = FORM, seed: int = 1) -> DataFrame:
@@ -152,7 +151,7 @@ pl AS (SELECT sum(pow(o, 0.7)) AS z FROM (SELECT DISTINCT lang, ol AS o FROM g))
 r0 AS (SELECT source, lang, topic, tokens, pow(os, 0.5) / ps.z * ps.n AS goal_source, pow(ol, 0.7) / pl.z * ps.n AS goal_lang, goal_topic, 1.0::DOUBLE AS f FROM g, ps, pl),
 {_ROUNDS},
 top AS (SELECT least(max(CASE WHEN tokens > 0 THEN f ELSE 0 END), 50.0 * sum(tokens * f) / sum(tokens)) AS top FROM {_LAST}),
-p AS (SELECT source, lang, topic, round(least(1.0, f / top), 9) AS probability FROM {_LAST}, top)
+p AS (SELECT source, lang, topic, round(least(1.0, f / top), 6) AS probability FROM {_LAST}, top)
 SELECT doc_id, source, lang, topic, n_tokens, probability,
   ('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0 < probability AS kept FROM d JOIN p USING (source, lang, topic)
 """
