@@ -67,8 +67,8 @@ def vsa_rerank(spark, sf):
     return e.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
 
 
-@query("llm_entities", "SELECT n_nationkey, 'nation' || n_nationkey AS source, 'IN' AS relation, 'region' || n_regionkey AS target FROM nation")
-def llm_entities(spark, sf):
+@query("answer_entities", "SELECT n_nationkey, 'nation' || n_nationkey AS source, 'IN' AS relation, 'region' || n_regionkey AS target FROM nation")
+def answer_entities(spark, sf):
     """Entities and relations in a model's JSON, names resolved to ids."""
     answer = table(spark, sf, "nation").select("n_nationkey", F.concat(
         F.lit('text {"nodes": [{"id": "nation'), "n_nationkey", F.lit('", "name": "A"}, {"id": "region'), "n_regionkey", F.lit('", "name": "B"}], "edges": [{"source": "A", "target": "B", "relation": "IN"}]} text')).alias("t"))
