@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.store import written
+
 RRF_K = 60
 
 
@@ -50,7 +52,7 @@ def jaccard_pairs(results: DataFrame, least: float, by: str) -> DataFrame:
     A list is what one search returned, k rows.  Sizes that can't reach ``least`` are passed
     over; texts without words pair with none.
     """
-    sets = results.select(by, "id", word_set(F.col("text")).alias("w")).where(F.size("w") > 0)
+    sets = written(results.select(by, "id", word_set(F.col("text")).alias("w")).where(F.size("w") > 0), "sets")  # read twice
     a, b = sets.toDF(by, "a", "wa"), sets.toDF(by, "b", "wb")
     close = F.expr(f"size(wa) >= {least} * size(wb) - 1e-9 and size(wb) >= {least} * size(wa) - 1e-9")
     pairs = a.join(b, by).where((F.col("a") < F.col("b")) & close)
