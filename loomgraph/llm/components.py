@@ -1,21 +1,51 @@
 """Connected components by alternating large-star and small-star steps on edge tables."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._store import drop, stored
 
+#: edges up to which one task does it all; more are alternated over the cluster
+ONE_TASK = 200_000
+
+
+def _labels(batches):
+    """All edges of a small table: least labels by propagation and pointer jumping."""
+    u, v = [], []
+    for batch in batches:
+        u.append(np.asarray(batch.column(0)))
+        v.append(np.asarray(batch.column(1)))
+    if not u:
+        return
+    nodes, at = np.unique(np.concatenate(u + v), return_inverse=True)  # places in order of ids
+    a, b = np.split(at, 2)
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
+
 
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component): component is the smallest node reachable over ``edges(a, b)``.
 
     Nodes without edges are absent.  Null endpoints, self loops and repeated edges are
-    ignored; an empty edge table gives no rows.  Each step is one grouped minimum and one
+    ignored; an empty edge table gives no rows.  Up to ``ONE_TASK`` edges are one task's work.
+    Beyond, each step is one grouped minimum and one
     join, O(log n) steps in practice; nothing is collected, and each step's edges are
     written to the shared folder, so that a lost executor costs at most one step.
     """
     current = stored(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name
     )
+    if current.count() <= ONE_TASK:
+        return current.coalesce(1).mapInArrow(_labels, "node long, component long")
     before = None
     while True:
         # large star: every neighbour larger than u moves to the smallest node around u

@@ -104,7 +104,11 @@ def test_densified_signatures_estimate_jaccard():
     assert abs((s[0] == s[1]).mean() - 700 / 1100) < 0.08 and (s != np.uint64(0xFFFFFFFFFFFFFFFF)).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_components(spark, monkeypatch, most):
+    from loomgraph.llm import components
+
+    monkeypatch.setattr(components, "ONE_TASK", most)
     e = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i != 30] + [(5, 5), (None, 3)], "a long, b long")
     assert {r.node: r.component for r in connected_components(e).collect()} == {i: 0 if i <= 30 else 31 for i in range(61)}
     assert connected_components(e.where("false")).count() == 0
@@ -231,7 +235,7 @@ def test_mixing(spark, odd, none):
     targets = spark.createDataFrame([("source", "a", 3.0), ("source", "", 1.0), ("lang", "xx", 1.0)], "dimension string, value string, share double")
     t = mixing.sample(odd.withColumn("lang", F.lit("en")), targets).withColumn("t", F.expr(mixing.TOKENS)).groupBy("m_source").agg(F.sum(F.col("t") * F.col("probability")).alias("x")).collect()
     x = {r.m_source: r.x for r in t}
-    assert x["a"] / x[""] == pytest.approx(3.0, rel=1e-6)
+    assert x["a"] / x[""] == pytest.approx(3.0, rel=1e-5)  # probabilities have six digits
 
 
 def test_token_counts(spark, odd, none):
