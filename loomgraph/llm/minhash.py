@@ -5,6 +5,8 @@ has one signature; bands of it are bucket keys.  A bucket of m classes proposes
 edges, from one centre to the others, never all pairs.  Candidate edges are confirmed
 on full shingle sets.  Later rounds look only at buckets whose members are still in
 different components and draw other centres there, until a round confirms nothing.
+The members of buckets that span components even then are joined exactly: every pair of
+them that can reach the threshold shares one of the first shingles of both.
 
 Edge cases: null or empty texts have the empty set, link with nothing and are their own
 component; a null doc_id row stays, unlinked; repeated rows and exact copies are one class;
@@ -107,6 +109,93 @@ def _confirm(n, percent):
     return run
 
 
+#: counters and texts of the sample that tells common shingles from rare ones; only speed depends on them
+TALLY, SAMPLE = 1 << 20, 4096
+
+
+def _slots(hashes):
+    return (hashes >> np.uint64(44)).astype(np.int64)
+
+
+def _tally(n):
+    def run(batches):
+        total = np.zeros(TALLY, np.int64)
+        for batch in batches:
+            for _, _, data, offs in text_slices(batch, "text"):
+                for s in shingle_sets(data, offs, n):
+                    np.add.at(total, _slots(s), 1)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["slot", "n"])
+
+    return run
+
+
+def _prefixes(n, percent, tally):
+    """A text's first shingles, rare ones first: all that the first common shingle of a linked pair can be."""
+
+    def run(batches):
+        for batch in batches:
+            ids, comps = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for first, _, data, offs in text_slices(batch, "text"):
+                node, comp, size, at, key = [], [], [], [], []
+                for i, s in enumerate(shingle_sets(data, offs, n), first):
+                    m = len(s) + (-percent * len(s)) // 100 + 1
+                    s2 = s[np.lexsort((s, tally[_slots(s)]))[:m]]
+                    node.append(np.full(len(s2), ids[i]))
+                    comp.append(np.full(len(s2), comps[i]))
+                    size.append(np.full(len(s2), len(s)))
+                    at.append(np.arange(len(s2)))
+                    key.append(s2.view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c).astype(np.int64)) for c in (key, node, comp, size, at)],
+                    names=["shingle", "node", "comp", "size", "at"],
+                )
+
+    return run
+
+
+def _exact_candidates(members: DataFrame, texts: DataFrame, shingle: int, percent: int):
+    """(a, b) of ``members(key, node, comp)`` that may link, from buckets that span components; None if there are none.
+
+    In any one order of all shingles, the first that two sets with ``need`` common ones share
+    has at least ``need`` shingles from it on in both.
+    """
+    spark = members.sparkSession
+    open_ = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"))
+    open_ = open_.where("low <> high and m > 2").select("key")  # a bucket of two is its one pair, compared in round 1
+    nodes = stored(members.join(open_, "key").select("node", "comp").distinct(), "minhash-open")
+    if nodes.isEmpty():
+        drop(nodes)
+        return None
+    some = nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("node")
+    tally = np.zeros(TALLY, np.int64)
+    seen = texts.join(some, "node").select("text").mapInArrow(_tally(shingle), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    seen = seen.where("n > 1").toArrow()
+    tally[np.asarray(seen.column(0))] = np.asarray(seen.column(1))
+    tally = np.minimum(tally, SAMPLE).astype(np.int16)
+    firsts = stored(
+        texts.join(nodes, "node").select("node", "comp", "text")
+        .mapInArrow(_prefixes(shingle, percent, tally), "shingle long, node long, comp long, size long, at long"),
+        "minhash-firsts",
+    )
+    x = firsts.select("shingle", *(F.col(c).alias(c + "_x") for c in ("node", "comp", "size", "at")))
+    y = firsts.select("shingle", *(F.col(c).alias(c + "_y") for c in ("node", "comp", "size", "at")))
+    # the smaller set's first shingles suffice up to the bound for equal sizes
+    x = x.where(f"(size_x - at_x) * {100 + percent} >= {2 * percent} * size_x")
+    need = f"{percent} * (size_x + size_y)"
+    pairs = (
+        x.join(y, "shingle")
+        .where("comp_x <> comp_y and (size_x < size_y or size_x = size_y and node_x < node_y)")
+        .where(f"100 * size_x >= {percent} * size_y")
+        .where(f"(size_x - at_x) * {100 + percent} >= {need} and (size_y - at_y) * {100 + percent} >= {need}")
+        .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+        .distinct()
+    )
+    pairs = stored(pairs, "minhash-pairs")
+    drop(firsts, nodes)
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bins: int = 128, bands: int = 32) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): near-duplicate components of ``docs(doc_id, text)``.
 
@@ -129,35 +218,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bins:
     # texts of the classes that share a bucket with another: only these are compared
     nodes = buckets.select("node").distinct()
     texts = stored(docs.join(nodes, docs.doc_id == nodes.node).dropDuplicates(["node"]).select("node", "text"), "minhash-texts")
-    labels, tried, links, number = None, None, None, 0
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left_text"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right_text"))
+    labels, tried, links, number, exact = None, None, None, 0, False
     while True:
         members = buckets.withColumn("comp", F.col("node")) if labels is None else (
             buckets.join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         )
-        order = F.col("node") if number == 0 else F.xxhash64(F.col("key"), F.col("node"), F.lit(number))
-        centres = stored(
-            members.groupBy("key")
-            .agg(F.min_by(F.struct("node", "comp"), order).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-            .where("low <> high")
-            .select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp")),
-            "minhash-centres",
-        )
-        pairs = (
-            members.join(centres, "key")
-            .where("comp <> centre_comp")
-            .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-            .distinct()
-        )
+        if exact:
+            pairs = written = _exact_candidates(members, texts, shingle, percent)
+            if pairs is None:
+                break
+        else:
+            order = F.col("node") if number == 0 else F.xxhash64(F.col("key"), F.col("node"), F.lit(number))
+            centres = written = stored(
+                members.groupBy("key")
+                .agg(F.min_by(F.struct("node", "comp"), order).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+                .where("low <> high")
+                .select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp")),
+                "minhash-centres",
+            )
+            pairs = (
+                members.join(centres, "key")
+                .where("comp <> centre_comp")
+                .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+                .distinct()
+            )
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        left = texts.select(F.col("node").alias("a"), F.col("text").alias("left_text"))
-        right = texts.select(F.col("node").alias("b"), F.col("text").alias("right_text"))
         checked = stored(
             pairs.join(right, "b").join(left, "a").select("a", "b", "left_text", "right_text")
             .mapInArrow(_confirm(shingle, percent), "a long, b long, linked boolean"),
             "minhash-checked",
         )
-        drop(centres)
+        drop(written)
         found = checked.where("linked").select("a", "b")
         new = found.count()
         number += 1
@@ -166,8 +260,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bins:
             if labels is not None:
                 drop(labels)
             labels = stored(connected_components(links, "minhash-cc"), "minhash-labels")
-        if number > 2 and not new or number == 1 and links is None:
+        if exact:
             break
+        exact = number > 2 and not new or number == 1 and links is None
         tried = checked.select("a", "b") if tried is None else tried.union(checked.select("a", "b"))
     drop(texts, buckets, crowded)
     member = known.join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "rep")

@@ -96,6 +96,16 @@ def test_minhash_edges(spark, odd, none):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == want
 
 
+def test_minhash_template_family(spark):
+    # pairs at 90 / 110 = 0.82, all others at 84 / 116 = 0.72: one crowded family, and texts of half its size
+    def text(pair, side, k):
+        return " ".join([f"t{i}" for i in range(84 // k)] + [f"p{k}x{pair}x{i}" for i in range(6 // k)] + [f"o{k}x{pair}x{side}x{i}" for i in range(10 // k)])
+
+    docs = [(1000 * k + pair + 300 * side, text(pair, side, k)) for k in (1, 2) for pair in range(300) for side in (0, 1)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=1).collect()}
+    assert got == {d: d - 300 * ((d % 1000) // 300) for d, _ in docs}
+
+
 def test_densified_signatures_estimate_jaccard():
     r = np.random.default_rng(1)
     a = r.integers(1, 2**63, 900).astype(np.uint64)
