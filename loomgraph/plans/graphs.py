@@ -160,12 +160,12 @@ def modularity(spark, sf):
 
 @query("louvain")
 def louvain(spark, sf):
-    return graph.louvain(graph.community_graph(graph_edges(spark, sf).where("relation in ('IN_REGION', 'BASED_IN')")))
+    return graph.louvain(graph.community_graph(graph.active(graph_edges(spark, sf), now())))
 
 
 @query("label_moves")
 def label_moves(spark, sf):
-    return graph.label_moves(graph.community_graph(graph_edges(spark, sf).where("relation in ('IN_REGION', 'BASED_IN')")))
+    return graph.label_moves(graph.community_graph(graph.active(graph_edges(spark, sf), now())))
 
 
 @query("similarity_components", f"""WITH RECURSIVE s AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE {COS.format('a.embedding', 'b.embedding')} >= 0.35),
