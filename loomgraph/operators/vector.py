@@ -86,21 +86,44 @@ def _best(block, k):
     return run
 
 
-def similar_pairs(vectors: DataFrame, least: float, id_col: str = "id", vec_col: str = "embedding", tables: int = 12, bits: int = 6) -> DataFrame:
+def similar_pairs(vectors: DataFrame, least: float, id_col: str = "id", vec_col: str = "embedding", tables: int | None = None, bits: int = 6, recall: float = 0.95) -> DataFrame:
     """(a, b, score), a < b, score >= least, found by random hyperplanes and confirmed by cosine.
 
     Used where the table is too large for all pairs; ``exact_pairs`` is the exact form.
+    A pair at ``least`` shares a table's key with probability (1 - angle / pi) ** bits;
+    there are as many tables as find it with probability ``recall``, 12 at least.
     """
+    if tables is None:
+        meet = (1 - np.arccos(np.clip(least, -1, 1)) / np.pi) ** bits
+        tables = 12 if meet >= 1 else max(12, int(np.ceil(np.log(1 - recall) / np.log1p(-max(meet, 1e-3)))))
     dim = vectors.select(F.max(F.size(vec_col))).first()[0] or 1
     planes = np.random.default_rng(42).standard_normal((tables, bits, dim))
-    code = lambda t: F.concat_ws("", *[F.when(dot(F.col("v"), F.array(*[F.lit(float(x)) for x in p])) >= 0, "1").otherwise("0") for p in planes[t]])
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    keyed = rows.select("id", "v", F.explode(F.array(*[F.concat(F.lit(f"{t}:"), code(t)) for t in range(tables)])).alias("key"))
-    left, right = keyed.select(F.col("id").alias("a"), F.col("v").alias("va"), "key"), keyed.select(F.col("id").alias("b"), F.col("v").alias("vb"), "key")
-    pairs = left.join(right, "key").where("a < b").dropDuplicates(["a", "b"])
+    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    kind = rows.schema["id"].dataType.simpleString()
+    keyed = rows.select("id", F.transform("v", lambda x: x.cast("double")).alias("v")).mapInArrow(_keys(planes), f"id {kind}, key long")
+    left, right = keyed.select(F.col("id").alias("a"), "key"), keyed.select(F.col("id").alias("b"), "key")
+    pairs = left.join(right, "key").where("a < b").select("a", "b").distinct()
+    pairs = pairs.join(rows.toDF("a", "va"), "a").join(rows.toDF("b", "vb"), "b").dropDuplicates(["a", "b"])
     return pairs.select("a", "b", cosine(F.col("va"), F.col("vb")).alias("score")).where(F.col("score") >= least)
 
 
+def _keys(planes):
+    tables, bits, dim = planes.shape
+    flat = planes.reshape(-1, dim).T
+
+    def run(batches):
+        for batch in batches:
+            m = np.zeros((batch.num_rows, dim))
+            for i, v in enumerate(batch.column(1).to_pylist()):
+                m[i, : len(v)] = np.asarray(v, np.float64)
+            sides = ((m @ flat) >= 0).reshape(-1, tables, bits)
+            keys = (np.arange(tables) << bits) + sides @ (1 << np.arange(bits))
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), tables)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(keys.ravel().astype(np.int64))], names=["id", "key"])
+
+    return run
+
+
 def exact_pairs(vectors: DataFrame, least: float, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """(a, b, score), a < b, cosine >= least: every row against all rows, in broadcast blocks of bounded size."""
     queries = vectors.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("embedding"))

@@ -73,6 +73,14 @@ def test_lsh_finds_most_pairs(spark):
     assert found <= exact and len(found) >= 0.9 * len(exact)
 
 
+def test_lsh_recall_at_the_registered_threshold(spark):
+    sf = "/root/testdata/sf0.01"
+    exact = {(r.a, r.b) for r in registry.queries()["similar_vector_pairs"](spark, sf).collect()}
+    found = {(r.a, r.b) for r in registry.queries()["similar_vector_pairs_lsh"](spark, sf).collect()}
+    print("recall", len(found & exact), len(exact))
+    assert found <= exact and len(found) >= 0.9 * len(exact)
+
+
 def test_communities_cover_all_active_edges(spark):
     sf = "/root/testdata/sf0.001"
     e = graph.active(base.graph_edges(spark, sf), graphs.now())
