@@ -1,13 +1,14 @@
 """Quality rules with risk-controlled cutoffs (DataFrame and SQL functions only).
 
-Each rule measures one ratio; a document whose ratio exceeds the rule's cutoff goes.
-Cutoffs come from a fixed grid, tested from the most lenient to the strictest on the
-labelled good documents of each stratum: a cutoff passes when the exact binomial tail
-P(Bin(n, alpha / rules) <= k) is at most delta / (strata * rules), k of n good documents
-being above it.  Testing stops at the first failure (a fixed sequence needs no further
-correction), strata and rules are corrected by Bonferroni, and alpha is shared among
-the rules: with probability 1 - delta, no stratum falsely loses more than alpha of its
-good documents to the rules.  A stratum with too few labels keeps everything.
+Each rule measures one ratio; a document whose ratio exceeds the rule's cutoff goes.  A level
+is a cutoff for every rule; the levels are fixed beforehand and go from lenient to strict.
+They are tested in this order on the labelled good documents of each stratum: a level passes
+when the exact binomial tail P(Bin(n, alpha) <= k) is at most delta / strata, k of the n good
+documents exceeding any of its cutoffs.  Testing stops at the first failure (a fixed sequence
+needs no further correction) and the strata are corrected by Bonferroni: with probability
+1 - delta, no stratum falsely loses more than alpha of its good documents to its level.  A
+stratum with fewer than ln(delta / strata) / ln(1 - alpha) good labels (173 for four strata)
+can't pass any level and keeps everything that the base rule keeps.
 
 Edge cases: a null text has no words and fails the base rule; a null stratum is the
 stratum ''; labels that are null or of unknown documents are ignored; a document with
@@ -20,13 +21,15 @@ from pyspark.sql import DataFrame, functions as F
 from ._store import stored, tune
 
 SPACE = "[\\\\x20\\\\x09-\\\\x0D]"
-#: rule -> (ratio, grid of cutoffs from lenient to strict)
+#: rule -> (ratio, its cutoff at each level)
 RULES = {
-    "symbols": ("n_symbols / n_words", (2.0, 1.0, 0.75, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05)),
-    "repeats": ("n_repeat_words / n_words", (0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1)),
-    "lines": ("n_dup_lines / n_words", (0.2, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02)),
-    "long_words": ("word_chars / n_words", (40.0, 30.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0)),
+    "symbols": ("n_symbols / n_words", (2.0, 1.0, 0.75, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05, 0.05, 0.04, 0.03, 0.02, 0.02)),
+    "repeats": ("n_repeat_words / n_words", (0.49, 0.48, 0.47, 0.46, 0.45, 0.44, 0.42, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05, 0.02)),
+    "lines": ("n_dup_lines / n_words", (0.3, 0.25, 0.2, 0.18, 0.16, 0.14, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01, 0.005)),
+    "long_words": ("word_chars / n_words", (40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0, 13.0, 12.0, 11.0, 10.0, 9.0, 8.0, 7.0, 6.0, 5.5)),
 }
+LEVELS = 16
+ALPHA, DELTA = 0.025, 0.05
 
 # let-bindings are one-element arrays: Catalyst would otherwise copy the expression to each use
 _WORDS = f"if(btrim({{t}}, ' \\t\\n\\u000B\\u000C\\r') = '', array(), split(btrim({{t}}, ' \\t\\n\\u000B\\u000C\\r'), '{SPACE}+'))"
@@ -80,45 +83,44 @@ def binomial_tail(k: str, n: str, p: float) -> str:
         (a, i) -> named_struct('term', a.term * ({k} - i) / ({n} - {k} + i + 1) * {odds}D, 'total', a.total + a.term), a -> a.total))"""
 
 
-def cutoffs(features: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, stratum: str = "lang") -> DataFrame:
-    """(stratum, rule columns): each stratum's strictest passing cutoff per rule; null where none passes."""
+def exceeds(level: int) -> str:
+    """SQL: whether a document exceeds a cutoff of this level."""
+    return "(" + " OR ".join(f"coalesce({ratio} > {grid[level]}D, false)" for ratio, grid in RULES.values()) + ")"
+
+
+def cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, stratum: str = "lang") -> DataFrame:
+    """(stratum, n_good, level, rule columns): each stratum's strictest passing level and its cutoffs; null where none passes."""
     good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     held = features.where("not base_failed").join(good, "doc_id", "left_semi").withColumn("stratum", F.expr(f"coalesce(cast(`{stratum}` as string), '')"))
-    counts = [F.count("*").alias("n")] + [
-        F.sum(F.expr(f"bigint({ratio} > {c}D)")).alias(f"{rule}_{i}") for rule, (ratio, grid) in RULES.items() for i, c in enumerate(grid)
-    ]
-    each = held.groupBy("stratum").agg(*counts)
-    strata = held.agg(F.countDistinct("stratum").alias("strata"))
-    each = each.crossJoin(strata)  # one row
-    share = alpha / len(RULES)
-    for rule, (_, grid) in RULES.items():
-        tests = ", ".join(f"named_struct('c', {c}D, 'ok', {binomial_tail(f'{rule}_{i}', 'n', share)} <= {delta}D / (strata * {len(RULES)}))" for i, c in enumerate(grid))
-        # the longest run of passes from the lenient end
-        each = each.withColumn(f"cut_{rule}", F.expr(
-            f"aggregate(array({tests}), named_struct('go', true, 'c', double(null)), (a, x) -> named_struct('go', a.go AND x.ok, 'c', if(a.go AND x.ok, x.c, a.c)), a -> a.c)"
-        ))
-    return each.select("stratum", *[f"cut_{rule}" for rule in RULES])
+    each = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum(F.expr(f"bigint({exceeds(i)})")).alias(f"k_{i}") for i in range(LEVELS)])
+    each = each.crossJoin(held.agg(F.countDistinct("stratum").alias("strata")))  # one row
+    tests = ", ".join(f"{binomial_tail(f'k_{i}', 'n', alpha)} <= {delta}D / strata" for i in range(LEVELS))
+    # the longest run of passes from the lenient end
+    level = F.expr(f"nullif(aggregate(array({tests}), named_struct('go', true, 'n', 0), (a, ok) -> named_struct('go', a.go AND ok, 'n', a.n + int(a.go AND ok)), a -> a.n), 0) - 1")
+    told = each.select("stratum", F.col("n").alias("n_good"), level.alias("level"))
+    return told.select("*", *[F.expr(f"get(array({', '.join(f'{c}D' for c in grid)}), level)").alias(f"cut_{rule}") for rule, (_, grid) in RULES.items()])
 
 
 def judged(features: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFrame:
-    """``features`` with ``kept``: false where the base rule failed or a cutoff is exceeded.
+    """``features`` with ``n_good``, ``level`` and ``kept``: false where the base rule failed or a cutoff is exceeded.
 
     ``cuts`` has a row per stratum; written beforehand, it is broadcast by its size or joined.
     """
     over = " OR ".join(f"coalesce({ratio} > cut_{rule}, false)" for rule, (ratio, _) in RULES.items())
     rows = features.withColumn("stratum", F.expr(f"coalesce(cast(`{stratum}` as string), '')")).join(cuts, "stratum", "left")
+    rows = rows.withColumn("n_good", F.coalesce("n_good", F.lit(0)))
     return rows.withColumn("kept", F.expr(f"if(base_failed, false, not ({over}))")).drop("stratum", *[f"cut_{rule}" for rule in RULES])
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, stratum: str = "lang") -> DataFrame:
-    """One row per document with its measurements, ``base_failed`` and ``kept``."""
+def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, stratum: str = "lang") -> DataFrame:
+    """One row per document with its measurements, its stratum's good labels and level, ``base_failed`` and ``kept``."""
     tune(docs.sparkSession)
     rows = docs.select("doc_id", stratum, F.xxhash64("text").alias("text_hash"), "text")
     features = stored(measured(rows).drop("text"), "quality")
     return judged(features, stored(cutoffs(features, labels, alpha, delta, stratum), "cutoffs"), stratum)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only, whatever these are called."""
     tune(docs.sparkSession)
     rows = measured(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row")), "_row.text")
@@ -129,15 +131,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: fl
 
 def op9_quality(spark, sf_dir):
     found = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_good", "level")
 
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-_CASES = "\n".join(
-    f"SELECT '{rule}' AS rule, {i} AS i, CAST({c} AS DOUBLE) AS c, {ratio.replace('/', '::DOUBLE /')} AS v, doc_id, lang, base_failed FROM f" + ("" if (rule, i) == ("long_words", 7) else " UNION ALL")
-    for rule, (ratio, grid) in RULES.items()
-    for i, c in enumerate(grid)
-)
+_GRID = ", ".join("(" + ", ".join(map(str, (i, *(grid[i] for _, grid in RULES.values())))) + ")" for i in range(LEVELS))
 OP9_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -149,13 +147,16 @@ f AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(t, '
         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
         coalesce(p.n, 0)::BIGINT AS n_repeat_words, len(w) < 50 OR 100 * coalesce(p.n, 0) > 50 * len(w) AS base_failed
       FROM w LEFT JOIN p USING (doc_id)),
-good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-cases AS ({_CASES}),
-tested AS (SELECT lang, rule, i, c, count(*) AS n, count(*) FILTER (v > c) AS k FROM cases WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
-tail AS (SELECT *, list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.005) + (n - j) * ln(0.995)))) AS p,
-        (SELECT count(DISTINCT lang) FROM tested) AS strata FROM tested),
-ok AS (SELECT *, bool_and(p <= 0.05 / (strata * 4)) OVER (PARTITION BY lang, rule ORDER BY i) AS pass FROM tail),
-cuts AS (SELECT lang, rule, min(c) AS cut FROM ok WHERE pass GROUP BY ALL),
-bad AS (SELECT DISTINCT doc_id FROM cases JOIN cuts USING (lang, rule) WHERE v > cut)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f
+grid AS (SELECT * FROM (VALUES {_GRID}) AS g(i, c_symbols, c_repeats, c_lines, c_chars)),
+good AS (SELECT f.* FROM f JOIN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id) WHERE NOT base_failed),
+tested AS (SELECT lang, i, count(*) AS n, count(*) FILTER (n_symbols::DOUBLE / n_words > c_symbols OR n_repeat_words::DOUBLE / n_words > c_repeats
+    OR n_dup_lines::DOUBLE / n_words > c_lines OR word_chars::DOUBLE / n_words > c_chars) AS k FROM good, grid GROUP BY ALL),
+tail AS (SELECT *, list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA})))) AS p,
+        (SELECT count(DISTINCT lang) FROM good) AS strata FROM tested),
+ok AS (SELECT *, bool_and(p <= {DELTA} / strata) OVER (PARTITION BY lang ORDER BY i) AS pass FROM tail),
+cuts AS (SELECT lang, max(n) AS n_good, max(i) FILTER (pass) AS level FROM ok GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(n_good, 0)::BIGINT AS n_good, level::INTEGER AS level,
+  NOT base_failed AND coalesce(NOT (n_symbols::DOUBLE / n_words > c_symbols OR n_repeat_words::DOUBLE / n_words > c_repeats
+    OR n_dup_lines::DOUBLE / n_words > c_lines OR word_chars::DOUBLE / n_words > c_chars), true) AS kept
+FROM f LEFT JOIN cuts USING (lang) LEFT JOIN grid ON i = level
 """
