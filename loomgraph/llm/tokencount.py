@@ -1,16 +1,23 @@
 """Token counts by offset-mapped attribution.
 
-A document is encoded once, whole.  Its tokens' spans, running sums of their byte lengths,
-are joined to the spans of its sections, and a token that crosses a boundary is allocated
-by a rule: ``start`` (the section of its first byte), ``majority`` (the section with most
-of its bytes, the earlier one on a tie) or ``split`` (each section its share of the bytes).
+A document is encoded once, whole.  Its tokens' character spans (a character belongs to each
+token that holds a byte of it) are interval-joined, both sides sorted, to the spans of its
+sections, and a token that crosses a boundary is allocated by a rule: ``start`` (the section
+of its first character), ``majority`` (the section with most of its characters, the earlier
+one on a tie) or ``split`` (each section its share of the characters).
 Sections are a text's lines, each with its line feed, or several fields in a row.
 
+White space of ``LONG_RUN`` characters and more is encoded beside the library's pattern, whose
+matcher recurses over such runs: the pattern makes one piece of a run without its last
+character, which begins the next piece, or of the whole run where the text ends.
+
 Edge cases: a null or empty text has no tokens and no sections; a null field is an empty
 section, which gets no token; equal or null doc_ids give a row each; extra columns are
 ignored; an empty table gives no rows.
 """
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -41,13 +48,30 @@ def worker_encoding(path, pattern):
     return kept[path]
 
 
-def attribute(ends, bounds, rule="majority"):
-    """(tokens per section, crossing tokens) of tokens that end at ``ends`` and sections that begin at ``bounds[:-1]``.
+LONG_RUN = 4096
+#: Unicode's White_Space, which the pattern's \\s means
+_RUN = re.compile("[\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
+
+
+def encoded(encoding, text):
+    """``encoding.encode_ordinary(text)``, for texts with white space of any length."""
+    out, at = [], 0
+    for run in _RUN.finditer(text):
+        begin, end = run.span()
+        if end < len(text):
+            end -= 1  # the last one may begin the next word's piece
+        out += encoding.encode_ordinary(text[at:begin])
+        out += encoding._core_bpe.encode_single_piece(text[begin:end].encode())
+        at = end
+    return out + encoding.encode_ordinary(text[at:]) if at else encoding.encode_ordinary(text)
+
+
+def attribute(begins, ends, bounds, rule="majority"):
+    """(tokens per section, crossing tokens) of tokens over [begin, end) and sections between ``bounds``.
 
-    Both tile the same bytes.  Sections may be empty.
+    Both are sorted.  Sections tile the text and may be empty; a token is never empty.
     """
     sections = len(bounds) - 1
-    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     first = np.searchsorted(bounds, begins, side="right") - 1
     last = np.searchsorted(bounds, ends - 1, side="right") - 1
     crossing = np.flatnonzero(first != last)
@@ -75,6 +99,8 @@ def _count(path, pattern, rule, fields):
             ids = batch.column(0)
             for first, count, data, offs in text_slices(batch, "text"):
                 raw = data.tobytes()
+                # characters before each byte: a byte that continues one adds none
+                letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 feeds = np.flatnonzero(data == 10) + 1
                 sizes = batch.column(2).slice(first, count).to_pylist() if fields else None
                 rows = []
@@ -84,11 +110,14 @@ def _count(path, pattern, rule, fields):
                     elif a == b:
                         bounds = np.zeros(1, np.int64)
                     else:
-                        inner = feeds[np.searchsorted(feeds, a, side="right") : np.searchsorted(feeds, b)] - a
-                        bounds = np.concatenate([[0], inner, [b - a]])
-                    tokens = encoding.encode_ordinary(raw[a:b].decode("utf-8", "replace")) if b > a else []
+                        inner = letters[feeds[np.searchsorted(feeds, a, side="right") : np.searchsorted(feeds, b)]] - letters[a]
+                        bounds = np.concatenate([[0], inner, [letters[b] - letters[a]]])
+                    tokens = encoded(encoding, raw[a:b].decode("utf-8", "replace")) if b > a else []
                     if tokens:
-                        counts, crossing = attribute(np.cumsum(lengths[tokens]), bounds, rule)
+                        ends = a + np.cumsum(lengths[tokens])
+                        # the character of a token's first byte, and the one after that of its last
+                        begins = letters[np.concatenate([[a], ends[:-1]]) + 1] - letters[a] - 1
+                        counts, crossing = attribute(begins, letters[ends] - letters[a], bounds, rule)
                     else:
                         counts, crossing = np.zeros(len(bounds) - 1), 0
                     rows.append((len(tokens), len(counts), crossing, counts))
@@ -112,7 +141,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, rule: str = "majority
     tune(docs.sparkSession)
     if fields:
         parts = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(*parts).alias("text"), F.array(*[F.octet_length(p).cast("long") for p in parts]).alias("sizes"))
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(*parts).alias("text"), F.array(*[F.length(p).cast("long") for p in parts]).alias("sizes"))
     else:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = "double" if rule == "split" else "long"
