@@ -1,9 +1,12 @@
 """Whole-batch text kernels on Arrow string buffers (NumPy, no per-word Python).
 
 Everything works on the UTF-8 bytes.  The word separators (space and 0x09-0x0D)
-and the letters folded by ``lower`` (A-Z) are ASCII, so byte-level scanning is exact.
+and the letters folded by ``lower`` (A-Z) are ASCII, so byte-level scanning is exact.  A word is named by two unrelated 64-bit hashes
+where its identity counts across texts (counts, ids), by one inside a text's shingle set.
 """
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -77,25 +80,81 @@ def word_spans(data, offs):
 
 
 def prefix_hash(data):
-    """Running polynomial sums S with S[j]-S[i] = BASE**i * hash(data[i:j]) modulo 2**64."""
+    """Running polynomial sums S with S[j]-S[i] = BASE**i * hash(data[i:j]) modulo 2**64.
+
+    For bucket keys of short strings, whose bytes are compared afterwards: long strings
+    collide modulo a power of two.
+    """
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=sums[1:])
     return sums
 
 
-def span_hash(sums, starts, ends, inverse):
-    raw = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: spans longer than this many bytes are digested by BLAKE2
+LONG_SPAN = 128
+
 
+def _scramble(x):
+    """Another finaliser than ``mix64``, with other shifts and factors."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
-def word_hashes(data, offs, lower=True):
-    """(hashes, starts, ends, first_word) of the words of each text."""
+
+def span_hashes(data, starts, ends, both=True):
+    """Two unrelated 64-bit hashes of the bytes of each span, together its 128-bit name (one, if not ``both``).
+
+    Eight bytes a step, each step finalised, so that no sum of bytes decides; a span's length
+    begins its chain.  Spans above ``LONG_SPAN`` bytes take the halves of a BLAKE2 digest.
+    """
+    size = (ends - starts).astype(np.int64)
+    first = mix64(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+    second = _scramble(size.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D)) if both else None
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    live, at = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+    whole = len(live) == len(size)
+    while len(live):
+        left = (size if whole else size[live]) - at
+        chunk = words[(starts if whole else starts[live]) + at]
+        short = left < 8
+        chunk = np.where(short, chunk & ((np.uint64(1) << (np.where(short, left, 0) * 8).astype(np.uint64)) - np.uint64(1)), chunk)
+        h = first if whole else first[live]
+        first[live] = mix64((h ^ chunk) * np.uint64(BASE) + (h >> np.uint64(29)))
+        if both:
+            h = second if whole else second[live]
+            second[live] = _scramble((h << np.uint64(23) | h >> np.uint64(41)) + chunk * np.uint64(0x9FB21C651E98DF25))
+        live, at, whole = live[left > 8], at + 8, False
+    raw = memoryview(data)
+    for k in np.flatnonzero(size > LONG_SPAN).tolist():
+        name = hashlib.blake2b(raw[int(starts[k]) : int(ends[k])], digest_size=16).digest()
+        first[k] = int.from_bytes(name[:8], "little")
+        if both:
+            second[k] = int.from_bytes(name[8:], "little")
+    return first, second
+
+
+def distinct_names(first, second):
+    """(first, second, place of one, number of each): the distinct 128-bit names, sorted."""
+    u, where, which = np.unique(first, return_index=True, return_inverse=True)
+    if (second[where][which] == second).all():
+        return u, second[where], where, which
+    order = np.lexsort((second, first))  # two names share their first half
+    a, b = first[order], second[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    which = np.empty(len(a), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return a[new], b[new], order[new], which
+
+
+def word_hashes(data, offs, lower=True, both=False):
+    """(hashes, starts, ends, first_word) of the words of each text; with ``both``, (hashes, second hashes, ...)."""
     if lower:
         data = lower_ascii(data)
     starts, ends, first = word_spans(data, offs)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts, ends, first
-    return span_hash(prefix_hash(data), starts, ends, powers(INVERSE, len(data) + 1)), starts, ends, first
+    one, two = span_hashes(np.ascontiguousarray(data), starts, ends, both)
+    return (one, two, starts, ends, first) if both else (one, starts, ends, first)
 
 
 def gram_hashes(words, n, salt=0):

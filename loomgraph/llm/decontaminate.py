@@ -15,14 +15,17 @@ a null doc_id is reported as null, and ``text_hash`` tells which text it was; re
 are reported once for each doc_id and text; extra columns are ignored; empty tables give no rows.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ._store import drop, stored, tune
-from ._text import gram_hashes, powers, prefix_hash, span_hash, text_slices, INVERSE
+from ._text import gram_hashes, span_hashes, text_slices
 
-BITS, RARE = 22, 100
+#: log2 of the bitmap's bits, at least and at most; a seed's documents at most
+BITS, MOST_BITS, RARE = 22, 27, 100
 
 
 def plain_words(data, offs):
@@ -38,9 +41,7 @@ def plain_words(data, offs):
     left[1:] = ink[: n - 1]
     starts = np.flatnonzero(ink[:n] & (~left | edge[:n]))
     ends = np.flatnonzero(ink[:n] & (~ink[1:] | edge[1:])) + 1
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
-    return span_hash(prefix_hash(data), starts, ends, powers(INVERSE, n + 1)), np.searchsorted(starts, offs)
+    return span_hashes(np.ascontiguousarray(data), starts, ends, both=False)[0], np.searchsorted(starts, offs)
 
 
 def _items(n):
@@ -64,8 +65,8 @@ def _items(n):
 
 def _regions(n, bitmap, reach, shorts):
     def run(batches):
-        table = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).view(bool)
-        mask = np.uint64((1 << BITS) - 1)
+        table = np.frombuffer(bitmap.value, np.uint8)
+        mask = np.uint64(8 * len(table) - 1)
         for batch in batches:
             ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for first, count, data, offs in text_slices(batch, "text"):
@@ -73,7 +74,8 @@ def _regions(n, bitmap, reach, shorts):
                 out = []
                 for size in (n, *shorts):
                     grams = gram_hashes(words, size, salt=int(size != n))
-                    hit = np.flatnonzero(table[(grams & mask).astype(np.int64)])
+                    slot = (grams & mask).astype(np.int64)
+                    hit = np.flatnonzero(table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
                     doc = np.searchsorted(at, hit, side="right") - 1
                     inside = hit + size <= at[doc + 1]
                     out.append((doc[inside], hit[inside], grams[hit[inside]]))
@@ -154,8 +156,9 @@ def _score(least):
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5) -> DataFrame:
     """(doc_id, text_hash, item_id, score, share, word_start, word_end) of every leak.
 
-    What is broadcast is a bitmap of 2**22 bits, whatever the benchmark's size;
-    the joins on n-grams are ordinary ones, whose side Spark may broadcast by its size.
+    What is broadcast is a bitmap of 16 bits an n-gram of the benchmark, 2**22 to 2**27 (16 MB);
+    a fuller one only lets more regions through to the joins.  The
+    joins on n-grams are ordinary ones, whose side Spark may broadcast by its size.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -167,11 +170,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
     )
     grams = items.select("item_key", F.posexplode("grams").alias("place", "gram"))
     reach, shorts = items.agg(F.max(F.size("item_words")), F.sort_array(F.collect_set(F.expr(f"if(size(item_words) < {n}, size(item_words), null)")))).first()
-    bits = np.zeros(1 << BITS, bool)
-    marked = grams.select(F.col("gram").bitwiseAND((1 << BITS) - 1).cast("int").alias("bit")).distinct()
-    for batch in marked.toArrow().to_batches():  # at most 2**22 numbers
-        bits[batch.column(0).to_numpy()] = True
-    bitmap = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
+    width = min(max(BITS, int(grams.count() * 16).bit_length()), MOST_BITS)
+    bits = np.zeros(1 << width, bool)
+    # a word of 63 marks a row: at most 2**27 / 63 numbers
+    marked = grams.select(F.expr(f"(gram & {(1 << width) - 1}L) div 63").alias("word"), F.expr(f"shiftleft(1L, int((gram & {(1 << width) - 1}L) % 63))").alias("mark"))
+    for batch in marked.groupBy("word").agg(F.bit_or("mark").alias("marks")).toArrow().to_batches():
+        word, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for k in range(63):
+            bits[word[(marks >> k) & 1 == 1] * 63 + k] = True
+    bitmap = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.lower(F.col("text").cast("string")).alias("text"))
     regions = stored(
         rows.mapInArrow(_regions(n, bitmap, int(reach or 0), list(shorts or [])), "doc_id long, text_hash long, start long, words array<int>, grams array<long>")
@@ -184,7 +191,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
         "rank": F.row_number().over(Window.partitionBy("item_key").orderBy("df", "place")),
         "all": F.count("*").over(Window.partitionBy("item_key")),
     })
-    chosen = ranked.select("gram", "item_key", F.expr(f"df <= {RARE} or 2 * rank <= all or all <= 2").alias("seed"))
+    alone = math.floor(n / least) - n + 1  # n-grams of the longest item that one of them alone may give away
+    chosen = ranked.select("gram", "item_key", F.expr(f"df <= {RARE} or 2 * rank <= all or all <= {alone}").alias("seed"))
     pairs = (
         hits.select("region", "gram").join(chosen, "gram").groupBy("region", "item_key").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
         .where("seed or n > 1").select("region", "item_key")

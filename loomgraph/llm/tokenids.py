@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ._store import fresh_path, read_file, stored, tune, write_file
-from ._text import INVERSE, lower_ascii, powers, prefix_hash, span_hash, text_slices, word_spans
+from ._text import distinct_names, lower_ascii, span_hashes, text_slices, word_spans
 from .eliasfano import EliasFano, encode
 
 HEAD = "<4sHHQQQQ"
@@ -36,7 +36,7 @@ FILE_IDS = 1 << 25
 
 
 def pieces(data, offs):
-    """(hashes, starts, ends, first_piece, folded data) of the pieces of each text.
+    """(hashes, second hashes, starts, ends, first_piece, folded data) of the pieces of each text.
 
     Not cut: before or after an apostrophe, which joins contractions, and < | >, which may
     belong to a special token.  A text slice with "<|" isn't folded, as special tokens aren't.
@@ -52,13 +52,16 @@ def pieces(data, offs):
     cut = np.flatnonzero(here[1:] * here[:-1] == 2) + 1
     cut = cut[~np.isin(cut, offs)]
     starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts, ends, np.zeros(len(offs), np.int64), data
-    return span_hash(prefix_hash(data), starts, ends, powers(INVERSE, len(data) + 1)), starts, ends, np.searchsorted(starts, offs), data
+    one, two = span_hashes(np.ascontiguousarray(data), starts, ends)
+    return one, two, starts, ends, np.searchsorted(starts, offs), data
 
 
 class WordEncoder:
-    """Ids of texts by way of their distinct pieces; at most ``keep`` of them are remembered."""
+    """Ids of texts by way of their distinct pieces; at most ``keep`` of them are remembered.
+
+    A piece is known by two unrelated 64-bit hashes.  A slice in which two pieces share the
+    first one, with each other or with a remembered piece, is encoded text by text.
+    """
 
     def __init__(self, path, keep=1_000_000):
         import os
@@ -70,40 +73,52 @@ class WordEncoder:
         self.clear()
 
     def clear(self):
-        self.hashes, self.lengths, self.starts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.hashes, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.lengths, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def learn(self, hashes, words):
+    def encoded(self, texts):
+        """(ids in a row, number of each text's) by the library itself."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.array([len(x) for x in found], np.int64)
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+    def learn(self, hashes, checks, words):
         if len(self.hashes) + len(hashes) > self.keep:
             self.clear()
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in found], np.int64)
-        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        ids, lengths = self.encoded(words)
         starts = len(self.ids) + np.cumsum(lengths) - lengths
         self.ids = np.concatenate([self.ids, ids])
         at = np.searchsorted(self.hashes, hashes)  # both sorted: a merge
-        self.hashes, self.lengths, self.starts = np.insert(self.hashes, at, hashes), np.insert(self.lengths, at, lengths), np.insert(self.starts, at, starts)
+        self.hashes, self.checks = np.insert(self.hashes, at, hashes), np.insert(self.checks, at, checks)
+        self.lengths, self.starts = np.insert(self.lengths, at, lengths), np.insert(self.starts, at, starts)
 
     def encode(self, data, offs, end_id=None):
         """(ids, boundaries): all texts' ids in a row, and each text's end among them."""
-        hashes, s, e, first, data = pieces(data, offs)
-        distinct, where, which = np.unique(hashes, return_index=True, return_inverse=True)
+        plain = data
+        hashes, checks, s, e, first, data = pieces(data, offs)
+        distinct, second, where, which = distinct_names(hashes, checks)
         at = np.searchsorted(self.hashes, distinct)
         known = np.zeros(len(distinct), bool)
         inside = at < len(self.hashes)
         known[inside] = self.hashes[at[inside]] == distinct[inside]
-        if not known.all():
-            raw = data.tobytes()
-            if len(self.hashes) + int((~known).sum()) > self.keep:
-                self.clear()
-                known[:] = False
-            new = where[~known]
-            self.learn(distinct[~known], [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[new].tolist(), e[new].tolist())])
-            at = np.searchsorted(self.hashes, distinct)
-        lengths, starts = self.lengths[at][which], self.starts[at][which]
-        total = np.zeros(len(lengths) + 1, np.int64)
-        np.cumsum(lengths, out=total[1:])
-        take = np.repeat(starts - total[:-1], lengths) + np.arange(total[-1])
-        ids, bounds = self.ids[take], total[first]
+        if (self.checks[at[known]] != second[known]).any() or (distinct[1:] == distinct[:-1]).any():
+            raw = plain.tobytes()
+            ids, lengths = self.encoded([raw[a:b].decode("utf-8", "replace") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())])
+            bounds = np.concatenate([[0], np.cumsum(lengths)])
+        else:
+            if not known.all():
+                raw = data.tobytes()
+                if len(self.hashes) + int((~known).sum()) > self.keep:
+                    self.clear()
+                    known[:] = False
+                new = where[~known]
+                self.learn(distinct[~known], second[~known], [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[new].tolist(), e[new].tolist())])
+                at = np.searchsorted(self.hashes, distinct)
+            lengths, starts = self.lengths[at][which], self.starts[at][which]
+            total = np.zeros(len(lengths) + 1, np.int64)
+            np.cumsum(lengths, out=total[1:])
+            take = np.repeat(starts - total[:-1], lengths) + np.arange(total[-1])
+            ids, bounds = self.ids[take], total[first]
         if end_id is None:
             return ids, bounds[1:]
         return np.insert(ids, bounds[1:], end_id), bounds[1:] + np.arange(1, len(bounds))
@@ -218,7 +233,8 @@ def write_token_ids(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 1)
 
 def read_token_ids(parts: DataFrame, uri: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files of ``write_token_ids``."""
-    return parts.select("part", "start").repartition(F.col("part")).mapInArrow(_read(uri), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = max(parts.count(), 1)  # a number is not coalesced: files of a few rows' size in the plan are large on disk
+    return parts.select("part", "start").repartition(files, "part").mapInArrow(_read(uri), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_id_corpus(docs: DataFrame, tokenizer: str, end_id: int = 1, uri: str | None = None) -> DataFrame:

@@ -106,6 +106,55 @@ def test_minhash_template_family(spark):
     assert got == {d: d - 300 * ((d % 1000) // 300) for d, _ in docs}
 
 
+def test_minhash_sparse_family(spark):
+    # 600 texts from one template with 4 words replaced, mostly below the threshold, 10 with 2: their links stand in one crowded bucket
+    r = random.Random(11)
+    base = [f"t{i}" for i in range(200)]
+
+    def text(k, n):
+        w = list(base)
+        for i in r.sample(range(200), n):
+            w[i] = f"x{k}y{i}"
+        return " ".join(w)
+
+    docs = [(k, text(k, 4 if k < 600 else 2)) for k in range(610)]
+    want = linked({d: shingles(t) for d, t in docs})
+    assert {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 65_536])
+def test_words_that_sums_cannot_tell(n):
+    tie = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    other = tie.translate({97: "b", 98: "a"})
+    data = np.frombuffer(f"{tie} {other} {tie}".encode(), np.uint8)
+    first, second, *_ = _text.word_hashes(data, np.array([0, len(data)]), both=True)
+    assert first[0] != first[1] and second[0] != second[1] and (first[0], second[0]) == (first[2], second[2])
+
+
+def test_names_with_a_common_half():
+    a, b = np.array([5, 5, 9, 5, 1], np.uint64), np.array([7, 8, 9, 7, 1], np.uint64)
+    one, two, where, which = _text.distinct_names(a, b)
+    assert one.tolist() == [1, 5, 5, 9] and two.tolist() == [1, 7, 8, 9] and (one[which] == a).all() and (two[which] == b).all() and (a[where] == one).all()
+
+
+def test_pieces_with_a_common_half(monkeypatch):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    whole, pieces = Tokenizer.from_file(path), tokenids.WordEncoder(path)
+    right = _text.span_hashes
+
+    def weak(data, starts, ends, both=True):
+        first, second = right(data, starts, ends, both)
+        return first % np.uint64(7), second
+
+    monkeypatch.setattr(tokenids, "span_hashes", weak)
+    for text in ("one", "two three", "one two three four five six seven eight nine ten", "one"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert pieces.encode(data, np.array([0, len(data)]))[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_densified_signatures_estimate_jaccard():
     r = np.random.default_rng(1)
     a = r.integers(1, 2**63, 900).astype(np.uint64)
@@ -266,6 +315,57 @@ def test_token_counts(spark, odd, none):
     assert tokencount.token_counts(none, path, P.PATTERN).count() == 0
 
 
+def brute_attribution(encoding, text, bounds, rule):
+    """Each token by its characters, one by one."""
+    at, owners = 0, [max(i for i, b in enumerate(bounds[:-1]) if b <= c and bounds[i + 1] > c) for c in range(len(text))]
+    raw, counts, crossing = text.encode(), [0.0] * (len(bounds) - 1), 0
+    for t in encoding.encode_ordinary(text):
+        end = at + len(encoding.decode_single_token_bytes(t))
+        before, through = raw[:at].decode(errors="ignore"), raw[:end]
+        while through and len(through) < len(raw) and raw[len(through)] & 0xC0 == 0x80:
+            through = raw[: len(through) + 1]
+        own = collections.Counter(owners[len(before) : len(through.decode())])
+        crossing += len(own) > 1
+        if rule == "split":
+            for s, n in own.items():
+                counts[s] += n / sum(own.values())
+        else:
+            counts[min(own) if rule == "start" else min(own, key=lambda s: (-own[s], s))] += 1
+        at = end
+    return counts, crossing
+
+
+@pytest.mark.parametrize("rule", ["start", "majority", "split"])
+def test_token_attribution(spark, rule):
+    import public_tokenizers as P
+
+    path, r = P.path("byte_bpe_50k.tiktoken"), random.Random(4)
+    encoding, _ = tokencount.worker_encoding(path, P.PATTERN)
+    parts = ["the ", "word", "s", "é", "中文", "😀", "\n", "  ", " ", "\n\n", "12", "…", "'s", "ing", "\u3000"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(150)]
+    lines = {i: t for i, t in enumerate(texts)}
+    for x in tokencount.token_counts(spark.createDataFrame(list(lines.items()), "doc_id long, text string"), path, P.PATTERN, rule).collect():
+        bounds = [0] + [i + 1 for i, c in enumerate(lines[x.doc_id]) if c == "\n" and i + 1 < len(lines[x.doc_id])] + ([len(lines[x.doc_id])] if lines[x.doc_id] else [])
+        want = brute_attribution(encoding, lines[x.doc_id], bounds, rule)
+        assert x.section_tokens == pytest.approx(want[0]) and x.n_crossing == want[1]
+    rows = [(i, *["".join(r.choice(parts) for _ in range(r.randrange(4))) for _ in range(3)]) for i in range(150)]
+    for x, row in zip(tokencount.token_counts(spark.createDataFrame(rows, "doc_id long, a string, b string, c string"), path, P.PATTERN, rule, ["a", "b", "c"]).orderBy("doc_id").collect(), rows):
+        want = brute_attribution(encoding, "".join(row[1:]), np.cumsum([0] + [len(t) for t in row[1:]]).tolist(), rule)
+        assert x.section_tokens == pytest.approx(want[0]) and x.n_crossing == want[1]
+
+
+def test_token_counts_of_long_white_space(spark):
+    import public_tokenizers as P
+
+    path, r = P.path("byte_bpe_50k.tiktoken"), random.Random(1)
+    encoding, lengths = tokencount.worker_encoding(path, P.PATTERN)
+    for _ in range(40):
+        text = "".join(r.choice([" ", "\n", "\t", " \n", "\u3000"]) * r.choice([1, 3, 4096, 9000]) + r.choice(["", "a", "word", "'s", "12", "!", " é"]) for _ in range(4))
+        assert tokencount.encoded(encoding, text) == encoding.encode_ordinary(text)
+    found = tokencount.token_counts(spark.createDataFrame([(1, "a" + " " * 2_000_000 + "b\n")], "doc_id long, text string"), path, P.PATTERN).first()
+    assert found.n_tokens == 2_000_002 and found.section_tokens == [2_000_002]
+
+
 def test_warc(spark, none):
     big = "<p>" + "x" * 1500
     rows = [(1, "http://a\r\nEvil: 1", big), (2, None, big), (3, "http://c", "small"), (4, "http://c", "small"), (5, "u", None), (6, "u", ""), (None, "u", big), (9, "é", "ü" * 900), (7, "u", "y" * 400_000), (7, "u", "y" * 400_000)]
@@ -326,6 +426,15 @@ def test_quality_cutoffs(spark, odd, none):
     assert kept == set(range(3000))
     few = quality.quality_rules(good.union(junk), labels.where("doc_id < 50"))
     assert few.where("kept").count() == 3100  # too few labels: nothing is rejected
+    # one stratum needs ln(0.05) / ln(0.975) = 118.3 labels; the strictest level exceeds all words here
+    for n, level in ((118, None), (119, 14)):
+        assert [tuple(r) for r in quality.quality_rules(good, labels.where(f"doc_id < {n}")).select("n_good", "level").distinct().collect()] == [(n, level)]
+    # P(Bin(1000, 0.025) <= 16) = 0.036, <= 17: 0.060; texts with symbols in half of their words exceed level 4
+    for bad, level in ((16, 14), (17, 3)):
+        marked = F.when(F.col("doc_id") < bad, F.lit(" ".join(f"w{i}#" if i % 2 else f"w{i}" for i in range(60))))
+        found = quality.quality_rules(good.where("doc_id < 1000").withColumn("text", F.coalesce(marked, "text")), labels)
+        assert sum(math.comb(1000, j) * 0.025**j * 0.975 ** (1000 - j) for j in range(bad + 1)) <= 0.05 or level == 3
+        assert found.select("level").distinct().collect() == [(level,)] and found.where("kept").count() == (1000 - bad if level == 14 else 1000)
     assert quality.keep_good(odd, labels).columns == odd.columns and quality.keep_good(none, labels).count() == 0
 
 
