@@ -2,8 +2,13 @@
 
 Tokens are counted per cell (source, language, topic).  Raking multiplies the cells' factors
 until the weighted tokens meet the target share of every source, language and topic.  A
-document is kept with its cell's factor, scaled so that the largest one is certain, as its
-probability, decided by a hash of its doc_id.
+document is kept with its cell's factor over the largest one as its probability, decided by a
+hash of its doc_id: the tokens kept have the target shares in expectation, however far these
+are from the corpus's own.
+
+Stated targets that raking can't meet raise an error.  Default targets are the own shares to a
+power, no value's more than ``BOOST`` times its own share; where empty cells keep them from
+being met together, a warning names the largest miss.
 
 Edge cases: null source, language or topic is the value ''; a null or empty text has no
 tokens and gets its cell's probability; a value without a target keeps its own share of the
@@ -12,6 +17,8 @@ rows that share a doc_id are kept or dropped alike; extra columns are kept by ``
 empty tables give empty results.
 """
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ._store import drop, stored, tune
@@ -19,74 +26,88 @@ from ._store import drop, stored, tune
 DIMENSIONS = ("source", "lang", "topic")
 _T = "coalesce(cast(text as string), '')"
 _WS = "' \\t\\n\\u000B\\u000C\\r'"
-#: SQL of a document's words, and of its topic by its form
+#: SQL of a document's words
 TOKENS = f"if(btrim({_T}, {_WS}) = '', 0L, bigint(size(split(btrim({_T}, {_WS}), '[\\\\x20\\\\x09-\\\\x0D]+'))))"
+#: SQL of a document's topic where it has no column of that kind: its form, and the length of prose (``tokens`` are its words)
 FORM = f"""case when 20 * (length({_T}) - length(translate({_T}, '|#*$%&<>', ''))) > length({_T}) then 'symbols'
   when 10 * (length({_T}) - length(translate({_T}, '0123456789', ''))) > length({_T}) then 'numbers'
   when 3 * (length({_T}) - length(translate({_T}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > length({_T}) then 'capitals'
-  else 'prose' end"""
-#: exponents that flatten a dimension's own shares into its default targets
-FLATTEN = {"source": 0.5, "lang": 0.7, "topic": 1.0}
-TOLERANCE, ROUNDS, SPREAD = 1e-9, 60, 50.0
-#: cells up to which raking runs in one task; more are dealt out by source, language and topic in turn
-ONE_TASK = 200_000
+  when tokens < 100 then 'note' when tokens < 1000 then 'article' else 'book' end"""
+#: exponents that make a dimension's own shares its default targets: below 1 they flatten, above 1 (topics: less of the rare forms) they sharpen; and their limit
+FLATTEN, BOOST = {"source": 0.5, "lang": 0.7, "topic": 1.1}, 8.0
+#: raking ends at this relative miss of every share, and fails when five rounds don't take a tenth off it
+TOLERANCE, ROUNDS = 1e-9, 200
 
 
 def cell_keys(topic: str = FORM) -> dict:
     return {
         "m_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
         "m_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
-        "m_topic": F.coalesce(F.expr(topic), F.lit("")),
+        "m_topic": F.coalesce(F.expr(topic).cast("string"), F.lit("")),
     }
 
 
-def flattened_targets(cells: DataFrame, exponents=None) -> DataFrame:
-    """(dimension, value, share): each dimension's own shares to the power of its exponent."""
+def flattened_targets(cells: DataFrame, exponents=None, boost: float = BOOST) -> DataFrame:
+    """(dimension, value, share): each dimension's own shares to the power of its exponent, scaled to one, at most ``boost`` times the own ones."""
     out = None
+    total = cells.agg(F.sum("tokens").cast("double").alias("all"))
     for d, power in (exponents or FLATTEN).items():
-        one = cells.groupBy(F.col(f"m_{d}").alias("value")).agg(F.sum("tokens").alias("t")).where("t > 0")
-        one = one.select(F.lit(d).alias("dimension"), "value", F.pow(F.col("t").cast("double"), F.lit(power)).alias("share"))
+        one = cells.groupBy(F.col(f"m_{d}").alias("value")).agg(F.sum("tokens").alias("t")).where("t > 0").crossJoin(total).selectExpr("value", "t / all as own")
+        whole = one.agg(F.sum(F.pow("own", F.lit(power))).alias("z"))
+        one = one.crossJoin(whole).selectExpr(f"'{d}' as dimension", "value", f"least(pow(own, {power}D) / z, {boost}D * own) as share")
         out = one if out is None else out.union(one)
     return out
 
 
-def rake(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
-    """``cells(m_source, m_lang, m_topic, tokens)`` with their raked ``factor``.
-
-    A round is a window sum per dimension over the cells, which are few; it is one query,
-    whose result is written, and whose largest relative change decides about the next.
-    """
+def _goals(cells: DataFrame, targets: DataFrame) -> DataFrame:
+    """``cells`` with the tokens that each of its values shall have, goal_<dimension>."""
     for d in DIMENSIONS:
         want = targets.where(F.col("dimension") == d).groupBy(F.col("value").alias(f"m_{d}")).agg(F.max("share").alias("want"))
-        own = stored(cells.groupBy(f"m_{d}").agg(F.sum("tokens").alias("own")).join(want, f"m_{d}", "left"), "margin")
+        own = cells.groupBy(f"m_{d}").agg(F.sum("tokens").alias("own")).join(want, f"m_{d}", "left")
+        own = stored(own.withColumn("want", F.expr("if(own > 0, want, null)")), "margin")
         # values with targets share the tokens that they have together
         both = own.agg(F.sum("want").alias("ws"), F.sum(F.expr("if(want is null, null, own)")).alias("os"))
-        goal = stored(own.crossJoin(both).select(f"m_{d}", F.expr(f"coalesce(want / nullif(ws, 0) * os, double(own)) as goal_{d}")), "goal")
+        goal = stored(own.crossJoin(both).select(f"m_{d}", F.expr("coalesce(want / nullif(ws, 0) * os, double(own))").alias(f"goal_{d}")), "goal")
         cells = cells.join(goal, f"m_{d}")
-    now, done = stored(cells.withColumn("factor", F.lit(1.0)), "rake"), 0
-    few = now.count() <= ONE_TASK
-    while done < rounds:
-        # in one partition windows need no exchange
-        step = (now.coalesce(1) if few else now).selectExpr("*", "factor as before")
+    return cells
+
+
+def rake(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS, strict: bool = True) -> DataFrame:
+    """``cells(m_source, m_lang, m_topic, tokens)`` with their raked ``factor``.
+
+    A round is, for each dimension, a sum by its values and a join with it (sums are combined
+    before they are shuffled, so that a value with a third of the cells is no one task's work);
+    it is one query, whose result is written, and whose largest miss of a share decides about
+    the next.  Shares that don't approach their targets, or haven't met them after ``rounds``:
+    an error, or if not ``strict`` a warning.
+    """
+    now, misses = stored(_goals(cells, targets).withColumn("factor", F.lit(1.0)), "rake"), []
+    while len(misses) < rounds and not (len(misses) > 10 and misses[-1] > 0.9 * misses[-6]):
+        step = now.withColumn("miss", F.lit(0.0))
         for d in DIMENSIONS:
-            rest = [c for c in step.columns if c != "factor"]
-            step = step.selectExpr(*rest, "factor", f"sum(tokens * factor) over (partition by m_{d}) as have").selectExpr(*rest, f"if(have > 0, factor * goal_{d} / have, factor) as factor")
-        done += 1
+            have = step.groupBy(f"m_{d}").agg(F.sum(F.expr("tokens * factor")).alias("have"))
+            step = step.join(have, f"m_{d}").withColumns({
+                "factor": F.expr(f"if(have > 0, factor * goal_{d} / have, factor)"), "miss": F.expr(f"greatest(miss, if(goal_{d} > 0, abs(have / goal_{d} - 1), 0D))"),
+            }).drop("have")
         following = stored(step, "rake")
-        moved = following.agg(F.max(F.expr("if(tokens > 0, abs(factor / before - 1), 0)"))).first()[0] or 0.0
         drop(now)
-        now = following.drop("before")
-        now._loomgraph_path = following._loomgraph_path
-        if moved < tolerance:
+        now = following
+        misses.append(now.agg(F.max("miss")).first()[0] or 0.0)
+        if misses[-1] < tolerance:
             break
+    else:
+        told = f"the targets can't be met together: after {len(misses)} rounds a share is missed by {misses[-1] if misses else 1:.2g} of itself"
+        if strict:
+            raise ValueError(told)
+        warnings.warn(told)
     return now.select(*(f"m_{d}" for d in DIMENSIONS), "tokens", "factor")
 
 
-def probabilities(cells: DataFrame, targets: DataFrame, spread: float = SPREAD) -> DataFrame:
-    """(m_source, m_lang, m_topic, probability): factors over the largest, which is held to ``spread`` times their token-weighted mean."""
-    raked = rake(cells, targets)
-    top = raked.agg(F.expr(f"least(max(if(tokens > 0, factor, 0)), {spread}D * sum(tokens * factor) / nullif(sum(tokens), 0))").alias("top"))
-    return raked.crossJoin(top).select(*(f"m_{d}" for d in DIMENSIONS), F.expr("if(top > 0, round(least(1D, factor / top), 6), 1D)").alias("probability"))
+def probabilities(cells: DataFrame, targets: DataFrame, strict: bool = True) -> DataFrame:
+    """(m_source, m_lang, m_topic, probability): each cell's factor over the largest of the cells with tokens."""
+    raked = rake(cells, targets, strict=strict)
+    top = raked.agg(F.max(F.expr("if(tokens > 0, factor, 0)")).alias("top"))
+    return raked.crossJoin(top).select(*(f"m_{d}" for d in DIMENSIONS), F.expr("if(top > 0, least(1D, factor / top), 1D)").alias("probability"))
 
 
 def uniform(seed: int) -> Column:
@@ -97,17 +118,22 @@ def uniform(seed: int) -> Column:
 
 def chances(keyed: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """The probability of each cell of ``keyed(m_source, m_lang, m_topic, tokens)``."""
-    cells = stored(keyed.groupBy(*(f"m_{d}" for d in DIMENSIONS)).agg(F.sum("tokens").alias("tokens")).coalesce(1), "cells")
+    cells = stored(keyed.groupBy(*(f"m_{d}" for d in DIMENSIONS)).agg(F.sum("tokens").alias("tokens")), "cells")
     # the cells are far fewer than the documents: Spark broadcasts them by their written size
-    return stored(probabilities(cells, targets if targets is not None else stored(flattened_targets(cells), "targets")), "chances")
+    if targets is None:
+        return stored(probabilities(cells, stored(flattened_targets(cells), "targets"), strict=False), "chances")
+    return stored(probabilities(cells, targets), "chances")
 
 
 def sample(docs: DataFrame, targets: DataFrame | None = None, topic: str = FORM, seed: int = 1) -> DataFrame:
-    """``docs`` with m_source, m_lang, m_topic, probability and ``kept``, in place of columns of these names."""
+    """``docs`` with m_source, m_lang, m_topic, probability and ``kept``, in place of columns of these names.
+
+    ``topic`` is SQL over the columns of ``docs``, such as the name of its topic column.
+    """
     tune(docs.sparkSession)
-    keyed = docs.drop("probability", "kept", "tokens").withColumns(cell_keys(topic))
-    found = chances(keyed.withColumn("tokens", F.expr(TOKENS)), targets)
-    return keyed.join(found, [f"m_{d}" for d in DIMENSIONS], "left").withColumn("kept", uniform(seed) < F.col("probability"))
+    keyed = docs.drop("probability", "kept", "tokens").withColumn("tokens", F.expr(TOKENS)).withColumns(cell_keys(topic))
+    found = chances(keyed, targets)
+    return keyed.drop("tokens").join(found, [f"m_{d}" for d in DIMENSIONS], "left").withColumn("kept", uniform(seed) < F.col("probability"))
 
 
 def sampled(docs: DataFrame, targets: DataFrame | None = None, topic: str = FORM, seed: int = 1) -> DataFrame:
@@ -119,10 +145,13 @@ def sampled(docs: DataFrame, targets: DataFrame | None = None, topic: str = FORM
 
 def op4_mixing(spark, sf_dir):
     tune(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    measured = stored(docs.select("doc_id", F.expr(TOKENS).alias("tokens"), *(c.alias(k) for k, c in cell_keys().items())), "mixing")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("tokens", F.expr(TOKENS))
+    measured = stored(docs.select("doc_id", "tokens", *(c.alias(k) for k, c in cell_keys().items())), "mixing")
     rows = measured.join(chances(measured), [f"m_{d}" for d in DIMENSIONS], "left")
-    return rows.select("doc_id", *(F.col(f"m_{d}").alias(d) for d in DIMENSIONS), F.col("tokens").alias("n_tokens"), "probability", (uniform(1) < F.col("probability")).alias("kept"))
+    return rows.select(
+        "doc_id", *(F.col(f"m_{d}").alias(d) for d in DIMENSIONS), F.col("tokens").alias("n_tokens"), F.round("probability", 6).alias("probability"),
+        (uniform(1) < F.col("probability")).alias("kept"),
+    )
 
 
 def _round_sql(rounds):
@@ -136,22 +165,27 @@ def _round_sql(rounds):
     return ",\n".join(out), last
 
 
-_ROUNDS, _LAST = _round_sql(24)
-_DUCK_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_ROUNDS, _LAST = _round_sql(30)
 _MANY = lambda chars: f"(length(t) - length(regexp_replace(t, '[{chars}]', '', 'g')))"
 OP4_SQL = rf"""
-WITH d0 AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
-d AS (SELECT doc_id, source, lang, len(list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS n_tokens,
+WITH d0 AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t,
+  len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM documents),
+d AS (SELECT doc_id, source, lang, n_tokens,
   CASE WHEN 20 * {_MANY('|#*$%&<>')} > length(t) THEN 'symbols' WHEN 10 * {_MANY('0-9')} > length(t) THEN 'numbers'
-       WHEN 3 * {_MANY('A-Z')} > length(t) THEN 'capitals' ELSE 'prose' END AS topic FROM d0),
+       WHEN 3 * {_MANY('A-Z')} > length(t) THEN 'capitals' WHEN n_tokens < 100 THEN 'note' WHEN n_tokens < 1000 THEN 'article' ELSE 'book' END AS topic FROM d0),
 c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL),
-g AS (SELECT *, sum(tokens) OVER (PARTITION BY source) AS os, sum(tokens) OVER (PARTITION BY lang) AS ol, sum(tokens) OVER (PARTITION BY topic) AS goal_topic FROM c),
-ps AS (SELECT sum(pow(o, 0.5)) AS z, sum(o) AS n FROM (SELECT DISTINCT source, os AS o FROM g)),
-pl AS (SELECT sum(pow(o, 0.7)) AS z FROM (SELECT DISTINCT lang, ol AS o FROM g)),
-r0 AS (SELECT source, lang, topic, tokens, pow(os, 0.5) / ps.z * ps.n AS goal_source, pow(ol, 0.7) / pl.z * ps.n AS goal_lang, goal_topic, 1.0::DOUBLE AS f FROM g, ps, pl),
+n AS (SELECT sum(tokens) AS n FROM c),
+ps AS (SELECT source, o, o / n AS own, pow(o / n, 0.5) / sum(pow(o / n, 0.5)) OVER () AS flat FROM (SELECT source, sum(tokens) AS o FROM c GROUP BY 1), n WHERE o > 0),
+pl AS (SELECT lang, o, o / n AS own, pow(o / n, 0.7) / sum(pow(o / n, 0.7)) OVER () AS flat FROM (SELECT lang, sum(tokens) AS o FROM c GROUP BY 1), n WHERE o > 0),
+pt AS (SELECT topic, o, o / n AS own, pow(o / n, 1.1) / sum(pow(o / n, 1.1)) OVER () AS flat FROM (SELECT topic, sum(tokens) AS o FROM c GROUP BY 1), n WHERE o > 0),
+gs AS (SELECT source, least(flat, 8 * own) / sum(least(flat, 8 * own)) OVER () * sum(o) OVER () AS goal_source FROM ps),
+gl AS (SELECT lang, least(flat, 8 * own) / sum(least(flat, 8 * own)) OVER () * sum(o) OVER () AS goal_lang FROM pl),
+gt AS (SELECT topic, least(flat, 8 * own) / sum(least(flat, 8 * own)) OVER () * sum(o) OVER () AS goal_topic FROM pt),
+r0 AS (SELECT source, lang, topic, tokens, coalesce(goal_source, 0) AS goal_source, coalesce(goal_lang, 0) AS goal_lang, coalesce(goal_topic, 0) AS goal_topic, 1.0::DOUBLE AS f
+  FROM c LEFT JOIN gs USING (source) LEFT JOIN gl USING (lang) LEFT JOIN gt USING (topic)),
 {_ROUNDS},
-top AS (SELECT least(max(CASE WHEN tokens > 0 THEN f ELSE 0 END), 50.0 * sum(tokens * f) / sum(tokens)) AS top FROM {_LAST}),
-p AS (SELECT source, lang, topic, round(least(1.0, f / top), 6) AS probability FROM {_LAST}, top)
-SELECT doc_id, source, lang, topic, n_tokens, probability,
+top AS (SELECT max(CASE WHEN tokens > 0 THEN f ELSE 0 END) AS top FROM {_LAST}),
+p AS (SELECT source, lang, topic, CASE WHEN top > 0 THEN least(1.0, f / top) ELSE 1.0 END AS probability FROM {_LAST}, top)
+SELECT doc_id, source, lang, topic, n_tokens, round(probability, 6) AS probability,
   ('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0 < probability AS kept FROM d JOIN p USING (source, lang, topic)
 """
