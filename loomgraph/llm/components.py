@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star steps on edge tables."""
+"""Connected components: stars inside partitions, then large-star and small-star steps between them."""
 
 import numpy as np
 import pyarrow as pa
@@ -6,12 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._store import drop, stored
 
-#: edges up to which one task does it all; more are alternated over the cluster
-ONE_TASK = 200_000
 
-
-def _labels(batches):
-    """All edges of a small table: least labels by propagation and pointer jumping."""
+def _stars(batches):
+    """The edges of a partition as stars: each node's least one reachable inside the partition."""
     u, v = [], []
     for batch in batches:
         u.append(np.asarray(batch.column(0)))
@@ -29,44 +26,44 @@ def _labels(batches):
         label = label[label]
         if (label == before).all():
             break
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
+    bound = label != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[bound]), pa.array(nodes[label[bound]])], names=["u", "v"])
 
 
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component): component is the smallest node reachable over ``edges(a, b)``.
 
     Nodes without edges are absent.  Null endpoints, self loops and repeated edges are
-    ignored; an empty edge table gives no rows.  Up to ``ONE_TASK`` edges are one task's work.
-    Beyond, each step is one grouped minimum and one
-    join, O(log n) steps in practice; nothing is collected, and each step's edges are
-    written to the shared folder, so that a lost executor costs at most one step.
+    ignored; an empty edge table gives no rows.  A step turns the edges of each partition,
+    which Spark sizes, into stars, and ends when no node is bound to two others and no star's
+    centre to a third; else large and small stars move edges between partitions.  O(log n)
+    steps in practice, one if all edges fit a partition; nothing is collected, and each
+    step's edges are written to the shared folder, so that a lost executor costs one step.
     """
-    current = stored(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name
-    )
-    if current.count() <= ONE_TASK:
-        return current.coalesce(1).mapInArrow(_labels, "node long, component long")
+    current = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     before = None
     while True:
+        stars = stored(current.hint("rebalance").mapInArrow(_stars, "u long, v long"), name)
+        if before is not None:
+            drop(before)
+        # a node that is bound to two, or to a bound one
+        loose = stars.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high").select("u")
+        chained = stars.join(stars.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
+        if loose.union(chained).isEmpty():
+            return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+                stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            )
         # large star: every neighbour larger than u moves to the smallest node around u
-        both = current.select("u", "v").union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = stars.select("u", "v").union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u and its smaller neighbours move to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
+        current = (
             large.join(low, "u")
             .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
             .select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
             .where("u <> v")
             .distinct()
         )
-        following = stored(small, name)
-        after = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop(current)
-        current = following
-        if after == before:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        before = after
+        before = stars
