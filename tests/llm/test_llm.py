@@ -163,14 +163,18 @@ def test_densified_signatures_estimate_jaccard():
     assert abs((s[0] == s[1]).mean() - 700 / 1100) < 0.08 and (s != np.uint64(0xFFFFFFFFFFFFFFFF)).all()
 
 
-@pytest.mark.parametrize("most", [200_000, 0])
-def test_components(spark, monkeypatch, most):
-    from loomgraph.llm import components
-
-    monkeypatch.setattr(components, "ONE_TASK", most)
-    e = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i != 30] + [(5, 5), (None, 3)], "a long, b long")
-    assert {r.node: r.component for r in connected_components(e).collect()} == {i: 0 if i <= 30 else 31 for i in range(61)}
-    assert connected_components(e.where("false")).count() == 0
+@pytest.mark.parametrize("size", ["64MB", "100b"])
+def test_components(spark, size):
+    """In one partition, and in many with steps between them."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "50b")
+    try:
+        e = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i != 30] + [(5, 5), (None, 3)] + [(1000, k) for k in range(900, 990)], "a long, b long")
+        assert {r.node: r.component for r in connected_components(e).collect()} == {i: 0 if i <= 30 else 31 for i in range(61)} | {i: 900 for i in [*range(900, 990), 1000]}
+        assert connected_components(e.where("false")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
 
 
 def brute_repeats(texts, n=200):
@@ -281,20 +285,39 @@ def test_alignment_is_smith_waterman():
 
 def test_mixing(spark, odd, none):
     rows = mixing.sample(docs_of(spark)).withColumn("t", F.expr(mixing.TOKENS)).collect()
-    goal, have = collections.Counter(), collections.Counter()
-    for r in rows:
-        have[r.m_lang] += r.t * r.probability
-        goal[r.m_lang] += r.t
-    z = sum(v**0.7 for v in goal.values())
-    for lang, v in goal.items():
-        assert have[lang] / sum(have.values()) == pytest.approx(v**0.7 / z, abs=1e-6)
-    assert 0.5 < sum(r.kept for r in rows) / sum(r.probability for r in rows) < 1.5
+    for d, power in mixing.FLATTEN.items():
+        own, have = collections.Counter(), collections.Counter()
+        for r in rows:
+            have[r[f"m_{d}"]] += r.t * r.probability
+            own[r[f"m_{d}"]] += r.t
+        n = sum(own.values())
+        z = sum((v / n) ** power for v in own.values())
+        goal = {k: min((v / n) ** power / z, mixing.BOOST * v / n) for k, v in own.items()}
+        for k, g in goal.items():
+            assert have[k] / sum(have.values()) == pytest.approx(g / sum(goal.values()), rel=1e-6)
+    assert len(own) > 2 and 0.5 < sum(r.kept for r in rows) / sum(r.probability for r in rows) < 1.5
     kept = mixing.sampled(odd)
     assert kept.columns == odd.columns and mixing.sampled(none).count() == 0
     targets = spark.createDataFrame([("source", "a", 3.0), ("source", "", 1.0), ("lang", "xx", 1.0)], "dimension string, value string, share double")
-    t = mixing.sample(odd.withColumn("lang", F.lit("en")), targets).withColumn("t", F.expr(mixing.TOKENS)).groupBy("m_source").agg(F.sum(F.col("t") * F.col("probability")).alias("x")).collect()
+    t = mixing.sample(odd.withColumn("lang", F.lit("en")), targets, "'all'").withColumn("t", F.expr(mixing.TOKENS)).groupBy("m_source").agg(F.sum(F.col("t") * F.col("probability")).alias("x")).collect()
     x = {r.m_source: r.x for r in t}
-    assert x["a"] / x[""] == pytest.approx(3.0, rel=1e-5)  # probabilities have six digits
+    assert x["a"] / x[""] == pytest.approx(3.0, rel=1e-8)
+
+
+def test_mixing_far_and_impossible_targets(spark):
+    rows = [(0, "w " * 10, "x", "en", "t")] + [(i, "w " * 1000, "y", "en", "t") for i in range(1, 101)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    target = lambda *t: spark.createDataFrame(list(t), "dimension string, value string, share double")
+    found = mixing.sample(df, target(("source", "x", 1.0), ("source", "y", 1.0)), "topic").collect()
+    have = collections.Counter()
+    for r in found:
+        have[r.source] += len(r.text.split()) * r.probability
+    assert have["x"] == pytest.approx(have["y"]) == 10
+    # every text of source x is German and the other way round: their shares can't differ
+    tied = df.withColumn("lang", F.expr("if(source = 'x', 'de', 'en')"))
+    with pytest.raises(ValueError, match="can't be met"):
+        mixing.rake(tied.selectExpr("source as m_source", "lang as m_lang", "'' as m_topic", "10L as tokens").groupBy("m_source", "m_lang", "m_topic").agg(F.sum("tokens").alias("tokens")),
+                    target(("source", "x", 1.0), ("source", "y", 1.0), ("lang", "de", 3.0), ("lang", "en", 1.0)), rounds=4)
 
 
 def test_token_counts(spark, odd, none):
