@@ -227,6 +227,38 @@ def test_class_model(spark, odd, none):
     assert classlm.score_texts(none).count() == 0
 
 
+def test_class_model_is_a_distribution(spark, odd):
+    """Transitions and emissions add up to one, and scores are those of a word by word reading."""
+    df = odd.select("doc_id", "text").union(docs_of(spark).select("doc_id", "text"))
+    texts = [(r.doc_id, WORD.findall((r.text or "").translate(LOWER))) for r in df.collect()]
+    held = lambda d: zlib.crc32(str(d if d is not None else "").encode()) % 5 == 1
+    m = classlm.fit(spark.createDataFrame([(" ".join(w),) for d, w in texts if not held(d)], "text string"))
+    assert np.allclose((10 ** m["transition"]).sum(1), 1)
+    name = lambda w: [int(x[0]) for x in classlm.token_names(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[:2]]
+    tail = {(r.key % 2**64, r.check): (r.n, r["class"]) for r in m["known"].collect()}
+    classes, emission, history = {}, {}, {}
+    for k, c, cls, e, h in zip(m["words"].tolist(), m["checks"].tolist(), m["chosen"].tolist(), m["emission"].tolist(), m["history"].tolist()):
+        classes[k, c], emission[k, c], history[k, c] = cls, e, h
+    for key, (n, cls) in tail.items():
+        assert classes.setdefault(key, cls) == cls
+        want = math.log10(n - classlm.DISCOUNT) - m["log_size"][cls]
+        assert emission.setdefault(key, want) == pytest.approx(want)
+    for c in range(2, classlm.CLASSES):
+        assert sum(10**e for k, e in emission.items() if classes[k] == c) == pytest.approx(1 if c in classes.values() else 0)
+    assert len(tail) > 1000 and len(set(h for h in history.values())) > 30
+    want = []
+    for d, ws in texts:
+        h = total = 0
+        for w in ws:
+            k = tuple(name(w))
+            c = classes.get(k, classlm.RARE_CLASS)
+            total += m["transition"][h, c] + emission.get(k, -m["log_size"][classlm.RARE_CLASS])
+            h = history.get(k, classlm.RARE_CLASS)
+        want.append((-1 if d is None else d, len(ws) + 1, total + m["transition"][h, 0]))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.score) for r in classlm.score_texts(df).collect()]
+    assert np.allclose(sorted(got), sorted(want))
+
+
 def test_exchange_recovers_classes():
     """Two kinds of words that always alternate end in different classes, whatever the start."""
     r = np.random.default_rng(0)
