@@ -2,23 +2,29 @@
 
 The suffixes (window starts) of the corpus are divided into buckets that are ranked apart,
 in bounded memory.  A cover sample, a position of each window that depends on the window's
-bytes alone, stands in for a difference cover: whatever two positions begin equal windows,
-there is a distance at which both meet a sampled position.  (An arithmetic cover modulo v
-has that property for all strings, but samples about 1/sqrt(v) of all positions; this one,
-the least hashed 48-byte gram of the window, samples 1.3 %.)  A window's bucket is the gram
-at its sample.  Samples whose gram is unique in the corpus end there: no window of theirs
-repeats.
-
-A text that is there twice goes whole; for the others it stands once.
-
-In a bucket the samples' suffixes, and their preceding bytes read backwards, are sorted
-once, with the common prefixes of neighbours.  A window o bytes before its sample is then
-the pair (rank of the o bytes before the sample, rank of the sample's suffix cut at 200 - o
-bytes), so that ties, however long, compare two numbers.  Equal pairs are equal windows.
-
-Of buckets of more than ``HOT`` samples, equal pieces are counted before they are dealt out
-(all windows of a piece that is there twice repeat) and the distinct ones are divided again,
-by 16 distances and by the bytes that all windows at those distances share.
+bytes alone (the start of its least hashed 48-byte gram, the leftmost of equals), stands in
+for a position of an arithmetic difference cover, which samples ten times as many.  It has
+the property by which a difference cover settles long ties.  If the windows at i and j are
+equal, their samples stand at one distance o, so that i + o and j + o are both sampled, and
+the windows are equal if and only if
+
+    the o bytes before the two samples are equal, and
+    the suffixes of the two samples agree in their first 200 - o bytes.
+
+A window's bucket is the gram at its sample, thus equal windows meet in one bucket.  In a
+bucket the samples' suffixes, and their preceding bytes read backwards, are sorted once, with
+the common prefixes of neighbours.  These are the precomputed ranks: cut at 200 - o and at o
+bytes, they name a window by a pair of numbers, however long the tie.  Samples whose gram is
+unique in the corpus end before: no window of theirs repeats.
+
+A text that is there twice goes whole; for the others it stands once (texts are equal here by
+128 bits of SHA-256, pieces by 128 of BLAKE2).
+
+Memory is bounded by ``HOT`` samples a bucket.  Of larger buckets, equal pieces are counted
+before they are dealt out (all windows of a piece that is there twice repeat) and the distinct
+ones are divided again, by 16 distances and by the 185 bytes that all windows at those
+distances share.  Parts that are larger still are divided to the end, a distance each, where
+the windows of a part are equal: these are counted, which needs no rank and no memory.
 
 Edge cases: a null or empty text has no byte; texts shorter than the window only keep; null,
 equal or repeated doc_ids are rows of their own, and rows equal in doc_id and text are
@@ -36,7 +42,7 @@ from ._store import drop, stored, tune
 from ._text import INVERSE, mix64, powers, prefix_hash, text_slices
 
 #: window, gram, window starts scanned at once, samples of a hot bucket, distances of its parts, samples ranked at once
-WINDOW, GRAM, BLOCK, HOT, SLOT, BATCH = 200, 48, 1 << 22, 4096, 16, 16384
+WINDOW, GRAM, BLOCK, HOT, SLOT, BATCH = 200, 48, 1 << 22, 1024, 16, 16384
 
 
 def cover_samples(data, offs, window=WINDOW, gram=GRAM):
@@ -147,6 +153,22 @@ def _divide(window):
     return run
 
 
+def _windows(window):
+    """(name, weight, text_key, lo) of each window of pieces."""
+    kinds, names = [pa.binary(), pa.int64(), pa.binary(), pa.int32()], ["name", "weight", "text_key", "lo"]
+
+    def run(batches):
+        for batch in batches:
+            rows = [
+                (hashlib.blake2b(piece[i : i + window], digest_size=16).digest(), weight, key, lo + i)
+                for weight, key, lo, count, piece in zip(*(c.to_pylist() for c in batch.columns))
+                for i in range(count)
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=names)
+
+    return run
+
+
 def _piece_batch(rows):
     kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()]
     names = ["bucket", "hot", "digest", "text_key", "los", "windows", "before", "piece"]
@@ -278,23 +300,30 @@ def repeated_pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         F.sum(F.size("los")).alias("weight"), F.expr("if(sum(size(los)) = 1, min(text_key), null)").alias("text_key"), F.min(F.col("los")[0]).alias("lo"),
         F.first("windows").alias("windows"), F.first("before").alias("before"), F.first("piece").alias("piece"),
     )
-    divided = once.select(*columns).mapInArrow(_divide(window), "bucket long, weight long, text_key binary, lo int, windows int, before int, piece binary")
+    divided = stored(once.select(*columns).mapInArrow(_divide(window), "bucket long, weight long, text_key binary, lo int, windows int, before int, piece binary"), "suffix-divided")
+    large = stored(divided.groupBy("bucket").agg(F.count("*").alias("n")).where(f"n > {HOT}").select("bucket"), "suffix-large")
+    singles = stored(
+        divided.join(large, "bucket").select("weight", "text_key", "lo", "windows", "piece").mapInArrow(_windows(window), "name binary, weight long, text_key binary, lo int"), "suffix-windows"
+    )
+    same = stored(singles.groupBy("name").agg(F.sum("weight").alias("n")).where("n > 1").select("name"), "suffix-same")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranked = (
-        cold.union(divided).repartition(parts, "bucket").sortWithinPartitions("bucket")
+        cold.union(divided.join(large, "bucket", "left_anti").select(*columns)).repartition(parts, "bucket").sortWithinPartitions("bucket")
         .mapInArrow(_rank(window), "text_key binary, lo int, first array<int>, last array<int>")
     )
     again = stored(hot.groupBy("bucket", "digest").agg(F.sum(F.size("los")).alias("weight")).where("weight > 1").select("bucket", "digest"), "suffix-again")
     whole = hot.select("bucket", "digest", "text_key", "los", "windows").join(again, ["bucket", "digest"]).select("text_key", "los", F.expr("array(0)").alias("first"), F.expr("array(windows)").alias("last"))
-    found = stored(ranked.select("text_key", F.array("lo").alias("los"), "first", "last").union(whole), "suffix-found")
-    drop(pieces, again)
+    ends = F.expr("array(0)").alias("first"), F.expr("array(1)").alias("last")
+    alike = singles.where("text_key is not null").join(same, "name").select("text_key", F.array("lo").alias("los"), *ends)
+    found = stored(ranked.select("text_key", F.array("lo").alias("los"), "first", "last").union(whole).union(alike), "suffix-found")
+    drop(pieces, again, divided, large, singles, same)
     return found
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs(doc_id, text)``."""
     tune(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)))
     each = repeated_pieces(rows, window, gram).groupBy("text_key").agg(F.collect_list(F.struct("los", "first", "last")).alias("found"))
     copied = rows.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key", F.lit(True).alias("copied"))
     told = stored(each.join(copied, "text_key", "full_outer"), "suffix-told")

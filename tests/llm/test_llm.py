@@ -190,7 +190,20 @@ def brute_repeats(texts, n=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
+def test_suffix_hot_middle(spark, monkeypatch):
+    """Distinct pieces around one middle: parts above the bound are divided to single windows."""
+    monkeypatch.setattr(suffix, "HOT", 8)
+    r = random.Random(9)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    middle, sides = noise(190), [noise(8) for _ in range(5)]
+    texts = [noise(150) + r.choice(sides) + middle + r.choice(sides) + noise(150) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix.remove_repeats(df).orderBy("doc_id").collect()]
+    want = brute_repeats([t.encode() for t in texts])
+    assert got == want and sum(w[1] > 0 for w in want) > 0
+
+
+@pytest.mark.parametrize("hot", [1024, 2])
 def test_suffix(spark, odd, none, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT", hot)
     df = odd.where("doc_id is null or doc_id <> 9")
