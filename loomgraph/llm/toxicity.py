@@ -8,7 +8,8 @@ regression on word presence weighted by the words' log-odds (both learned inside
 Training takes at most ``sample`` labelled documents, those with the least hash of doc_id;
 everything is scored.  Edge cases: null or empty texts get the models' priors; labels that
 are null are left out of their category; a category with one class only gives that class's
-rate to all; equal doc_ids and repeated rows are scored alike; extra columns are ignored;
+rate to all; repeated rows are scored alike; a doc_id with several texts has each scored,
+and in training stands for one of them, whichever order they come in; extra columns are ignored;
 without labelled documents every probability is 0.
 """
 
@@ -144,7 +145,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories=None, sample: int =
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.max(F.expr(f"double({e})")).alias(c) for c, e in categories.items()])
     some = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # a bounded table: it may be broadcast
     schema = "doc_id long, " + ", ".join(f"{c} double" for c in categories) + ", words array<int>"
-    train = rows.join(F.broadcast(some), "doc_id").select("text", "doc_id", *categories).mapInArrow(_bucket_lists, schema).dropDuplicates(["doc_id"]).toArrow()
+    # a doc_id with several texts learns from the one whose words are least
+    found = rows.join(F.broadcast(some), "doc_id").select("text", "doc_id", *categories).mapInArrow(_bucket_lists, schema)
+    train = found.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in categories], F.min("words").alias("words")).toArrow()
     words = train.column("words").combine_chunks()
     lengths = np.array([len(x) for x in words], np.int64)
     flat = np.asarray(words.values if not isinstance(words, pa.ChunkedArray) else words.combine_chunks().values).astype(np.int64)
