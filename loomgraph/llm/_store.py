@@ -41,14 +41,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _place(df: DataFrame):
+    """(file system, path) of a table made by ``stored``."""
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._loomgraph_path)
+    return where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()), where
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a table made by ``stored``."""
+    system, where = _place(df)
+    return system.getContentSummary(where).getLength()
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``stored`` that nothing reads any more."""
     for df in tables:
-        path = getattr(df, "_loomgraph_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        if hasattr(df, "_loomgraph_path"):
+            system, where = _place(df)
+            system.delete(where, True)
 
 
 def filesystem(uri: str):

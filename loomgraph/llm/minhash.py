@@ -4,13 +4,14 @@ Texts with equal shingle sets are one class before anything is compared.  Each c
 has one signature; bands of it are bucket keys.  A bucket of m classes proposes m-1
 edges, from one centre to the others, never all pairs.  Candidate edges are confirmed
 on full shingle sets.  Later rounds look only at buckets whose members are still in
-different components and draw other centres there, until a round confirms nothing.
-The members of buckets that span components even then are joined exactly: every pair of
-them that can reach the threshold shares one of the first shingles of both.
+different components and draw other centres there, while this links many.  The members of
+buckets that span components even then are joined exactly: every pair of them that can reach
+the threshold shares one of the first shingles of both.
 
 Edge cases: null or empty texts have the empty set, link with nothing and are their own
 component; a null doc_id row stays, unlinked; repeated rows and exact copies are one class;
-extra columns are ignored; an empty table gives an empty result.
+rows of one doc_id with different texts are linked each by its own text; extra columns are
+ignored; an empty table gives an empty result.
 """
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._store import drop, stored, tune
 from ._text import mix64, shingle_sets, text_slices
-from .components import connected_components
+from .components import component_stars
 
 
 def densified_signatures(sets, bins):
@@ -58,7 +59,7 @@ def _features(bins, bands, n):
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            ids, marks = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "mark"))
             for first, count, data, offs in text_slices(batch, "text"):
                 sets = shingle_sets(data, offs, n)
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -77,12 +78,13 @@ def _features(bins, bands, n):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(first, count).cast(pa.int64()),
+                        marks.slice(first, count),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(low),
                         pa.array(high),
                         pa.ListArray.from_arrays(np.cumsum(offsets, dtype=np.int32), pa.array(keys.ravel().view(np.int64))),
                     ],
-                    names=["doc_id", "n_shingles", "d1", "d2", "bands"],
+                    names=["doc_id", "mark", "n_shingles", "d1", "d2", "bands"],
                 )
 
     return run
@@ -111,6 +113,8 @@ def _confirm(n, percent):
 
 #: counters and texts of the sample that tells common shingles from rare ones; only speed depends on them
 TALLY, SAMPLE = 1 << 20, 4096
+#: rounds of random centres go on while one finds more than this share of all links so far; only speed depends on it
+ROUND = 0.05
 
 
 def _slots(hashes):
@@ -161,8 +165,7 @@ def _exact_candidates(members: DataFrame, texts: DataFrame, shingle: int, percen
     has at least ``need`` shingles from it on in both.
     """
     spark = members.sparkSession
-    open_ = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"))
-    open_ = open_.where("low <> high and m > 2").select("key")  # a bucket of two is its one pair, compared in round 1
+    open_ = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     nodes = stored(members.join(open_, "key").select("node", "comp").distinct(), "minhash-open")
     if nodes.isEmpty():
         drop(nodes)
@@ -204,27 +207,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bins:
     """
     spark = docs.sparkSession
     tune(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     features = stored(
-        docs.mapInArrow(_features(bins, bands, shingle), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "minhash-features"
+        docs.mapInArrow(_features(bins, bands, shingle), "doc_id long, mark long, n_shingles long, d1 long, d2 long, bands array<long>"), "minhash-features"
     )
     known = features.where("n_shingles > 0 and doc_id is not null")
     # grouped tables are written before they are joined: between plain reads Spark can split a hot key's rows
-    classes = stored(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "minhash-classes")
-    reps = known.join(classes, ["d1", "d2"]).where("doc_id = rep").dropDuplicates(["rep"])
-    rows = reps.select("rep", F.explode("bands").alias("key"))
-    crowded = stored(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "minhash-crowded")
-    buckets = stored(rows.join(crowded, "key").select("key", F.col("rep").alias("node")), "minhash-buckets")
+    classes = known.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.first("bands").alias("bands"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
+    rows = classes.select("node", F.explode("bands").alias("key"))
+    crowded = stored(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "minhash-crowded")
+    buckets = stored(rows.join(crowded, "key").select("key", "node", "m"), "minhash-buckets")
     # texts of the classes that share a bucket with another: only these are compared
-    nodes = buckets.select("node").distinct()
-    texts = stored(docs.join(nodes, docs.doc_id == nodes.node).dropDuplicates(["node"]).select("node", "text"), "minhash-texts")
+    nodes = classes.join(buckets.select("node").distinct(), "node").select("node", "least.doc_id", "least.mark")
+    texts = stored(docs.join(nodes, ["doc_id", "mark"]).dropDuplicates(["node"]).select("node", "text"), "minhash-texts")
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("left_text"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("right_text"))
-    labels, tried, links, number, exact = None, None, None, 0, False
+    stars, found, number, exact = None, 0, 0, False
     while True:
-        members = buckets.withColumn("comp", F.col("node")) if labels is None else (
-            buckets.join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        )
+        # members of buckets, with their components; a bucket of two is its one pair, compared in round 1
+        members = buckets.withColumn("comp", F.col("node")) if number == 0 else buckets.where("m > 2").withColumn("comp", F.col("node"))
+        if stars is not None:
+            members = members.drop("comp").join(stars.toDF("node", "star"), "node", "left").withColumn("comp", F.coalesce("star", "node")).drop("star")
         if exact:
             pairs = written = _exact_candidates(members, texts, shingle, percent)
             if pairs is None:
@@ -244,32 +248,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bins:
                 .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
                 .distinct()
             )
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         checked = stored(
             pairs.join(right, "b").join(left, "a").select("a", "b", "left_text", "right_text")
             .mapInArrow(_confirm(shingle, percent), "a long, b long, linked boolean"),
             "minhash-checked",
         )
-        drop(written)
-        found = checked.where("linked").select("a", "b")
-        new = found.count()
-        number += 1
+        links = checked.where("linked").select("a", "b")
+        new = links.count()
         if new:
-            links = found if links is None else links.union(found)
-            if labels is not None:
-                drop(labels)
-            labels = stored(connected_components(links, "minhash-cc"), "minhash-labels")
+            following = component_stars(links if stars is None else links.union(stars.toDF("a", "b")), "minhash-cc")
+            if stars is not None:
+                drop(stars)
+            stars = following
+        drop(written, checked)
+        number, found = number + 1, found + new
         if exact:
             break
-        exact = number > 2 and not new or number == 1 and links is None
-        tried = checked.select("a", "b") if tried is None else tried.union(checked.select("a", "b"))
+        # a random centre is worth its round while it links many; the exact join ends the others
+        exact = number > 1 and new <= ROUND * found or not found
     drop(texts, buckets, crowded)
-    member = known.join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "rep")
-    if labels is None:
-        linked = member.withColumn("component_id", F.col("rep"))
+    member = known.join(classes.select("d1", "d2", "node", F.col("least.doc_id").alias("least")), ["d1", "d2"]).select("doc_id", "n_shingles", "node", "least")
+    if stars is None:
+        linked = member.withColumn("component_id", F.col("least"))
     else:
-        linked = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
+        # the smallest doc_id of each component of several classes
+        bound = stars.toDF("node", "star")
+        bound = bound.union(bound.select(F.col("star").alias("node"), "star").distinct())
+        named = classes.select("node", F.col("least.doc_id").alias("least")).join(bound, "node")
+        small = stored(named.groupBy("star").agg(F.min("least").alias("component")), "minhash-components")
+        linked = member.join(stored(bound.join(small, "star").select("node", "component"), "minhash-labels"), "node", "left").withColumn("component_id", F.coalesce("component", "least"))
     alone = features.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = linked.select("doc_id", "n_shingles", "component_id").union(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

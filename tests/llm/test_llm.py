@@ -89,6 +89,10 @@ def test_minhash_edges(spark, odd, none):
     assert minhash.near_duplicates(odd).count() == odd.count()
     kept = minhash.keep_one(odd)
     assert kept.columns == odd.columns
+    # two texts of one doc_id: each is linked by itself
+    x, y = (" ".join(f"{c}{i}" for i in range(100)) for c in "xy")
+    two = spark.createDataFrame([(5, x), (5, y), (3, x + " more"), (9, y + " more"), (4, "alone")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(two).collect()) == [(3, 3), (4, 4), (5, 3), (5, 5), (9, 5)]
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({d for d, *_ in odd_rows() if d} - {2, 3, 12})
     many = [(i, " ".join(f"v{(i // 40) * 1000 + k}" for k in range(200) if (k * 7 + i) % 97)) for i in range(400)]
     df = spark.createDataFrame(many, "doc_id long, text string")
@@ -163,18 +167,14 @@ def test_densified_signatures_estimate_jaccard():
     assert abs((s[0] == s[1]).mean() - 700 / 1100) < 0.08 and (s != np.uint64(0xFFFFFFFFFFFFFFFF)).all()
 
 
-@pytest.mark.parametrize("size", ["64MB", "100b"])
+@pytest.mark.parametrize("size", [1 << 20, 700])
 def test_components(spark, size):
     """In one partition, and in many with steps between them."""
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "50b")
-    try:
-        e = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i != 30] + [(5, 5), (None, 3)] + [(1000, k) for k in range(900, 990)], "a long, b long")
-        assert {r.node: r.component for r in connected_components(e).collect()} == {i: 0 if i <= 30 else 31 for i in range(61)} | {i: 900 for i in [*range(900, 990), 1000]}
-        assert connected_components(e.where("false")).count() == 0
-    finally:
-        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    pairs = [(i, i + 1) for i in range(0, 60) if i != 30] + [(5, 5), (None, 3)] + [(1000, k) for k in range(900, 990)]
+    random.Random(2).shuffle(pairs)
+    e = spark.createDataFrame(pairs, "a long, b long").repartition(16)
+    assert {r.node: r.component for r in connected_components(e, size=size).collect()} == {i: 0 if i <= 30 else 31 for i in range(61)} | {i: 900 for i in [*range(900, 990), 1000]}
+    assert connected_components(e.where("false"), size=size).count() == 0
 
 
 def brute_repeats(texts, n=200):
