@@ -26,6 +26,7 @@ def tune(spark: SparkSession) -> None:
     """Arrow batches of bounded size; shuffle files go when their query has ended."""
     for key, value in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", "4m"),
         ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"),
     ):
         spark.conf.set(key, value)

@@ -250,7 +250,7 @@ def _rank(window):
 def _remove(window):
     def run(batches):
         for batch in batches:
-            ids, found, copies = batch.column(0), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ids, found, copies = batch.column(0), batch.column(2), batch.column(3).to_pylist()
             for first, count, data, offs in text_slices(batch, "text"):
                 rows = []
                 for i in range(count):
@@ -258,13 +258,13 @@ def _remove(window):
                     removed = spans = 0
                     if copies[first + i] and len(text) >= window:
                         removed, spans, text = len(text), 1, text[:0]
-                    elif found[first + i]:
-                        edge = np.zeros(len(text) + 1, np.int64)
-                        for piece in found[first + i]:
-                            for lo in piece["los"]:
-                                for a, b in zip(piece["first"], piece["last"]):
-                                    edge[lo + a] += 1
-                                    edge[lo + b - 1 + window] -= 1
+                    elif found[first + i].is_valid:
+                        edge = np.zeros(len(text) + 1, np.int32)
+                        for piece in found[first + i].values.to_pylist():  # one text's at a time
+                            los = np.asarray(piece["los"])
+                            for a, b in zip(piece["first"], piece["last"]):
+                                np.add.at(edge, los + a, 1)
+                                np.add.at(edge, los + b - 1 + window, -1)
                         gone = np.cumsum(edge[:-1]) > 0
                         removed, spans = int(gone.sum()), len(runs(gone)[0])
                         text = text[~gone]
@@ -314,7 +314,7 @@ def repeated_pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     again = stored(hot.groupBy("bucket", "digest").agg(F.sum(F.size("los")).alias("weight")).where("weight > 1").select("bucket", "digest"), "suffix-again")
     whole = hot.select("bucket", "digest", "text_key", "los", "windows").join(again, ["bucket", "digest"]).select("text_key", "los", F.expr("array(0)").alias("first"), F.expr("array(windows)").alias("last"))
     ends = F.expr("array(0)").alias("first"), F.expr("array(1)").alias("last")
-    alike = singles.where("text_key is not null").join(same, "name").select("text_key", F.array("lo").alias("los"), *ends)
+    alike = singles.where("text_key is not null").join(same, "name").groupBy("text_key").agg(F.collect_list("lo").alias("los")).select("text_key", "los", *ends)
     found = stored(ranked.select("text_key", F.array("lo").alias("los"), "first", "last").union(whole).union(alike), "suffix-found")
     drop(pieces, again, divided, large, singles, same)
     return found
