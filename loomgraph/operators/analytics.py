@@ -66,3 +66,15 @@ def top_buckets(rows: DataFrame, key: str, n: int) -> DataFrame:
     best = counts.orderBy(F.desc("n"), key).limit(n).select(F.col(key).alias("_top"))
     named = counts.join(F.broadcast(best), F.col(key) == F.col("_top"), "left")
     return named.groupBy(F.coalesce(F.col("_top").cast("string"), F.lit("other")).alias("bucket")).agg(F.sum("n").alias("n"))
+
+
+def good_traces(events: DataFrame, consult: str, save: str) -> DataFrame:
+    """(key) of traces without errors, that save, consult before each save, save no key twice, and once find something."""
+    before = Window.partitionBy("key").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = events.withColumn("key", trajectory_key()).withColumn("_before", F.coalesce(F.max((F.col("tool") == consult).cast("int")).over(before), F.lit(0)))
+    repeat = F.col("repeat_save") if "repeat_save" in events.columns else F.lit(False)
+    each = rows.groupBy("key").agg(
+        F.bool_or(F.col("outcome") == "error").alias("err"), F.bool_or(F.col("tool") == save).alias("saves"), F.bool_or((F.col("tool") == save) & (F.col("_before") == 0)).alias("blind"),
+        F.bool_or(repeat).alias("repeats"), F.bool_or((F.col("tool") == consult) & ~F.col("zero")).alias("found"),
+    )
+    return each.where("saves and found and not err and not blind and not repeats").select("key")

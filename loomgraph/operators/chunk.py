@@ -215,3 +215,11 @@ def row_groups(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col
     d = docs.select(id_col, lines.alias("l")).where(F.size("l") > 1).select(id_col, F.col("l")[0].alias("head"), F.slice("l", F.lit(2), F.size("l") - 1).alias("l"))
     groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / size).cast("int")), lambda g: F.array_join(F.slice(F.col("l"), g * size + 1, size), "\n"))
     return d.select(id_col, "head", F.posexplode(groups).alias("chunk_index", "body")).where("body <> head").select(id_col, "chunk_index", F.concat_ws("\n", "head", "body").alias("text"))
+
+
+def linked(chunks, document: str, order: str):
+    """``chunks`` with the ids before and after each in its document, prev_id and next_id."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(document).orderBy(order)
+    return chunks.withColumns({"prev_id": F.lag("id").over(w), "next_id": F.lead("id").over(w)})

@@ -56,3 +56,44 @@ edges AS (
   UNION ALL SELECT 's' || s_suppkey || '|BASED_IN|n' || s_nationkey, 's' || s_suppkey, 'n' || s_nationkey, 'BASED_IN', '', 1.0, NULL, NULL FROM supplier
   UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 'p' || o_orderpriority, 'PREFERS', '', 1.0, o_orderdate, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) FROM orders)
 """
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, score, collection, metadata): search results with JSON metadata, some of it broken."""
+    d = table(spark, sf_dir, "documents")
+    text = """if(doc_id % 17 = 0, '{broken', concat('{"dataset_id":"', if(doc_id % 5 = 0, '', source), '","project_id":"', if(doc_id % 3 = 0, '', concat('p', doc_id % 3)), '","room":"', lang,
+      '","tags":["T', doc_id % 4, '","x', doc_id % 3, '"],"key":"K', doc_id % 10, '","type":"', element_at(array('', 'Function', 'Person'), int(doc_id % 3) + 1), '"', if(doc_id % 7 = 0, ',"text":""', ''), ',"name":"doc ', doc_id, '"}'))"""
+    return d.select(F.col("doc_id").alias("id"), ((F.col("n_chars") % 1000) / 1000).alias("score"), F.col("source").alias("collection"), F.expr(text).alias("metadata"))
+
+
+CHUNKS = """chunks AS (SELECT doc_id AS id, (n_chars % 1000)::DOUBLE / 1000 AS score, source AS collection, CASE WHEN doc_id % 17 = 0 THEN '{broken' ELSE '{"dataset_id":"' || CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END
+  || '","project_id":"' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'p' || (doc_id % 3) END || '","room":"' || lang || '","tags":["T' || (doc_id % 4) || '","x' || (doc_id % 3) || '"],"key":"K' || (doc_id % 10)
+  || '","type":"' || (['', 'Function', 'Person'])[doc_id % 3 + 1] || '"' || CASE WHEN doc_id % 7 = 0 THEN ',"text":""' ELSE '' END || ',"name":"doc ' || doc_id || '"}' END AS metadata FROM documents)"""
+
+
+def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, key, value, owner_id, collection_name, room, hall, superseded_by, is_pinned, pin_priority, updated_at) made of orders."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as id", "concat(if(o_orderkey % 11 = 0, 'API_Key ', 'k'), o_custkey) as key", "concat(o_orderpriority, ' order ', o_orderkey) as value",
+        "if(o_custkey % 10 = 0, '', concat('u', o_custkey % 7)) as owner_id", "if(o_orderkey % 3 = 0, '', concat('coll', o_orderkey % 3)) as collection_name", "lower(substring(o_orderpriority, 3)) as room",
+        "element_at(array('fact', 'event', 'decision', 'preference', 'advice', 'discovery'), int(o_orderkey % 6) + 1) as hall", "if(o_orderstatus = 'F', concat('x', o_orderkey), '') as superseded_by",
+        "o_totalprice > 300000 as is_pinned", "int(o_orderkey % 5) as pin_priority", "o_orderdate as updated_at",
+    )
+
+
+MEMORIES = """memories AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'API_Key ' ELSE 'k' END || o_custkey AS key, o_orderpriority || ' order ' || o_orderkey AS value,
+  CASE WHEN o_custkey % 10 = 0 THEN '' ELSE 'u' || (o_custkey % 7) END AS owner_id, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'coll' || (o_orderkey % 3) END AS collection_name, lower(substr(o_orderpriority, 3)) AS room,
+  (['fact', 'event', 'decision', 'preference', 'advice', 'discovery'])[o_orderkey % 6 + 1] AS hall, CASE WHEN o_orderstatus = 'F' THEN 'x' || o_orderkey ELSE '' END AS superseded_by,
+  o_totalprice > 300000 AS is_pinned, (o_orderkey % 5)::INT AS pin_priority, o_orderdate AS updated_at FROM orders)"""
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(generation, path, chunk_id, vector_id, collection, project_id, branch, digest) made of parts; g0 is active, g1 pending deletion."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "concat('g', p_partkey % 3) as generation", "concat('src/', p_brand, '/f', p_partkey % 13, '.md') as path", "concat('c', p_partkey) as chunk_id", "concat('v', p_partkey) as vector_id",
+        "if(p_partkey % 9 = 0, '', concat('coll', p_size)) as collection", "concat('p', p_partkey % 2) as project_id", "if(p_partkey % 4 = 0, 'dev', 'main') as branch", "sha2(p_name, 256) as digest",
+    )
+
+
+MANIFEST = """manifest AS (SELECT 'g' || (p_partkey % 3) AS generation, 'src/' || p_brand || '/f' || (p_partkey % 13) || '.md' AS path, 'c' || p_partkey AS chunk_id, 'v' || p_partkey AS vector_id,
+  CASE WHEN p_partkey % 9 = 0 THEN '' ELSE 'coll' || p_size END AS collection, 'p' || (p_partkey % 2) AS project_id, CASE WHEN p_partkey % 4 = 0 THEN 'dev' ELSE 'main' END AS branch, sha256(p_name) AS digest FROM part)"""
