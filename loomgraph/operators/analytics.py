@@ -24,9 +24,14 @@ def audit_summary(events: DataFrame, by: str) -> DataFrame:
     return total.join(points, by, "left").select(by, "calls", "errors", F.round(F.col("zeros") / F.col("calls"), 6).alias("zero_rate"), "p50", "p95", "p99")
 
 
+def half_hour(at: Column) -> Column:
+    """The number of the half hour since 1970."""
+    return F.floor(F.unix_seconds(at.cast("timestamp")) / 1800).cast("long")
+
+
 def trajectory_key() -> Column:
     """trace ▸ session ▸ tumbling half hour per client and collection."""
-    bucket = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 1800).cast("long").cast("string")
+    bucket = half_hour(F.col("ts")).cast("string")
     return (
         F.when(F.col("trace_id") != "", F.concat(F.lit("trace:"), "trace_id"))
         .when(F.col("session_id") != "", F.concat(F.lit("session:"), "session_id"))
@@ -78,3 +83,26 @@ def good_traces(events: DataFrame, consult: str, save: str) -> DataFrame:
         F.bool_or(repeat).alias("repeats"), F.bool_or((F.col("tool") == consult) & ~F.col("zero")).alias("found"),
     )
     return each.where("saves and found and not err and not blind and not repeats").select("key")
+
+
+def feedback_stats(ratings: DataFrame) -> DataFrame:
+    """(search_type, n, avg_rating, worst): worst is the id of the least rating, the first of equals."""
+    worst = F.min_by("id", F.struct("rating", "id")).alias("worst")
+    return ratings.groupBy("search_type").agg(F.count("*").alias("n"), F.round(F.avg("rating"), 6).alias("avg_rating"), worst)
+
+
+def retried(jobs: DataFrame, most: int, seconds: int) -> DataFrame:
+    """``jobs(attempts, now)`` that failed: to run again after ``seconds``, doubled with each attempt after the first, or given up after ``most``."""
+    wait = F.make_dt_interval(secs=F.lit(seconds).cast("double") * F.pow(F.lit(2.0), F.greatest(F.col("attempts") - 1, F.lit(0))))
+    return jobs.withColumns({"status": F.when(F.col("attempts") >= most, "dead_letter").otherwise("failed"), "next_run_at": F.when(F.col("attempts") < most, F.col("now") + wait)})
+
+
+def repeat_saves(events: DataFrame, key: str) -> DataFrame:
+    """Saves ``(id, ts, collection, key)`` with ``repeat``: whether the collection had a save of that key before."""
+    first = events.groupBy("collection", key).agg(F.min(F.struct("ts", "id")).alias("_first"))
+    return events.join(first, ["collection", key]).withColumn("repeat", F.struct("ts", "id") > F.col("_first")).drop("_first")
+
+
+def hit_rates(calls: DataFrame, by: str) -> DataFrame:
+    """(by, hits, misses, rate) of cache calls (hit); 0 where there are none."""
+    return calls.groupBy(by).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses")).withColumn("rate", F.round(F.coalesce(F.try_divide(F.col("hits").cast("double"), F.col("hits") + F.col("misses")), F.lit(0.0)), 6))

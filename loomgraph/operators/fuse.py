@@ -37,7 +37,7 @@ def merge_results(lists: DataFrame, k: int) -> DataFrame:
 def word_set(text: Column) -> Column:
     """Distinct lower-case white-space words without surrounding punctuation."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), "\\s+")
-    return F.array_distinct(F.filter(F.transform(words, lambda w: F.btrim(w, F.lit(".,!?;:\"'()[]{}"))), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.transform(words, lambda w: F.btrim(w, F.lit(".,;:!?\"'()[]{}«»—–-"))), lambda w: w != ""))
 
 
 def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
@@ -67,10 +67,38 @@ def rerank(results: DataFrame, max_gap: float | None = None) -> DataFrame:
     return results.withColumn("new_rank", F.row_number().over(every.orderBy(key.desc_nulls_last(), F.col("rank"))).cast("long"))
 
 
+def unit(score: Column) -> Column:
+    """A score from 0 to 1: negative ones are 0, those over 1 distances."""
+    return F.when(score < 0, 0.0).when(score <= 1, score).otherwise(1 / (1 + score))
+
+
 def confidence(scores: DataFrame) -> DataFrame:
     """top * .6 + gap to the second * .25 + min(n / 10, 1) * .15 of ``scores(score)``, each normalised."""
-    unit = F.when(F.col("score") < 0, 0.0).when(F.col("score") <= 1, F.col("score")).otherwise(1 / (1 + F.col("score")))
-    best = scores.select(unit.alias("s")).orderBy(F.desc("s")).limit(2).agg(F.max("s").alias("top"), F.when(F.count("*") > 1, F.max("s") - F.min("s")).otherwise(F.max("s")).alias("gap"))
+    best = scores.select(unit(F.col("score")).alias("s")).orderBy(F.desc("s")).limit(2).agg(F.max("s").alias("top"), F.when(F.count("*") > 1, F.max("s") - F.min("s")).otherwise(F.max("s")).alias("gap"))
     return best.crossJoin(scores.agg(F.count("*").alias("n"))).select(
         F.round(F.coalesce("top", F.lit(0.0)) * 0.6 + F.coalesce("gap", F.lit(0.0)) * 0.25 + F.least(F.col("n") / 10, F.lit(1.0)) * 0.15, 6).alias("confidence"), "n"
     )
+
+
+def combined_confidence(retrieval: Column, routing: Column) -> Column:
+    """.7 of what was found and .3 of how sure the route was (.5 where it wasn't routed), from 0 to 1."""
+    return F.least(F.greatest(retrieval * 0.7 + F.coalesce(routing, F.lit(0.5)) * 0.3, F.lit(0.0)), F.lit(1.0))
+
+
+def deduplicated(results: DataFrame, least: float = 0.85, by: str = "qid") -> DataFrame:
+    """``results(by, id, text, score, pos)`` of searches without those whose words repeat a kept one's.
+
+    Of two of one list whose word sets' Jaccard exceeds ``least``, the better scored stays, the
+    earlier one on a tie; texts without words stay.  Each list, k rows, is gone through in order,
+    as a fold over its pairs: whether i falls depends on whether its partners fell before.
+    """
+    pairs = jaccard_pairs(results.select(by, F.col("pos").alias("id"), "text"), least, by)
+    scores = results.select(by, F.col("pos").alias("a"), F.col("score").alias("sa"))
+    told = pairs.join(scores, [by, "a"]).join(scores.toDF(by, "b", "sb"), [by, "b"]).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("a", "b", (F.col("sa") >= F.col("sb")).alias("first")))).alias("_pairs"))
+    # in the order of (a, b): a pair counts if neither has fallen
+    fallen = F.aggregate(
+        "_pairs", F.array().cast("array<long>"),
+        lambda gone, p: F.when(F.array_contains(gone, p["a"].cast("long")) | F.array_contains(gone, p["b"].cast("long")), gone).otherwise(F.array_append(gone, F.when(p["first"], p["b"]).otherwise(p["a"]).cast("long"))),
+    )
+    lists = told.select(by, fallen.alias("_gone"))
+    return results.join(lists, by, "left").where(~F.coalesce(F.array_contains("_gone", F.col("pos").cast("long")), F.lit(False))).drop("_gone")

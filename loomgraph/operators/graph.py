@@ -278,3 +278,14 @@ def has_cycle(edges: DataFrame) -> bool:
             return True
         n = m
     return False
+
+
+def community_lookup(members: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, community, members): the communities of ``asked(node)`` in ``members(community, node)``, with their sizes."""
+    sizes = members.groupBy("community").agg(F.count("*").alias("members"))
+    return asked.join(members, "node").join(sizes, "community").select("node", "community", "members")
+
+
+def community_levels(members: DataFrame, least: int = 3) -> DataFrame:
+    """(parent, community, member_count) of the communities with ``least`` members or more of ``members(parent, community, node)``."""
+    return members.groupBy("parent", "community").agg(F.count("*").alias("member_count")).where(F.col("member_count") >= least)

@@ -85,3 +85,60 @@ def bundle(rows: DataFrame, by, vec: str) -> DataFrame:
 def sign(v: Column) -> Column:
     """+1 where the sum is not negative, else -1."""
     return F.transform(v, lambda x: F.when(x >= 0, 1).otherwise(-1))
+
+
+def pin(memories: DataFrame, ids: DataFrame, priority: int | None) -> DataFrame:
+    """``memories`` with those of ``ids(id)`` pinned at a priority, or unpinned at 0 if it is None."""
+    hit = ids.select("id").distinct().withColumn("_hit", F.lit(True))
+    marked = memories.join(hit, "id", "left")
+    return marked.withColumns({
+        "is_pinned": F.when(F.col("_hit"), F.lit(priority is not None)).otherwise(F.col("is_pinned")), "pin_priority": F.when(F.col("_hit"), F.lit(priority or 0)).otherwise(F.col("pin_priority")),
+    }).drop("_hit").select(*memories.columns)
+
+
+def revert(memories: DataFrame, survivors: DataFrame) -> DataFrame:
+    """``memories`` as before a consolidation: those that ``survivors(survivor)`` superseded are live again."""
+    undone = survivors.select(F.col("survivor").alias("superseded_by")).distinct().withColumn("_undone", F.lit(True))
+    back = memories.join(undone, "superseded_by", "left").withColumn("superseded_by", F.when(F.col("_undone"), F.lit("")).otherwise(F.col("superseded_by")))
+    return back.drop("_undone").select(*memories.columns)
+
+
+def lookup(rows: DataFrame, key: str, ids) -> DataFrame:
+    """The rows of some ids; the predicate reaches the scan."""
+    return rows.where(F.col(key).isin(*ids))
+
+
+def exists(asked: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``asked(key)`` with ``found``."""
+    return asked.join(rows.select(key).distinct().withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def changed_since(rows: DataFrame, at: str, since: Column, **wanted) -> DataFrame:
+    """Rows changed after a time that equal every given field."""
+    out = rows.where(F.col(at) > since)
+    for column, value in wanted.items():
+        out = out.where(F.col(column) == value)
+    return out
+
+
+def _named(catalog: DataFrame, name: str) -> bool:
+    return not catalog.where(F.col("name") == name).isEmpty()
+
+
+def create_collection(catalog: DataFrame, name: str, domain: str, dim: int) -> DataFrame:
+    """``catalog(name, domain, dim, records)`` with an empty collection more; one of that name stays as it is."""
+    new = catalog.sparkSession.createDataFrame([(name, domain, dim, 0)], "name string, domain string, dim int, records long")
+    return catalog.unionByName(new.join(catalog.select("name"), "name", "left_anti"))
+
+
+def drop_collection(catalog: DataFrame, name: str) -> DataFrame:
+    return catalog.where(F.col("name") != name)
+
+
+def rename_collection(catalog: DataFrame, old: str, new: str) -> DataFrame:
+    """Fails where there is no such collection, or one of the new name."""
+    if not _named(catalog, old):
+        raise ValueError(f"no collection {old}")
+    if _named(catalog, new):
+        raise ValueError(f"there is a collection {new}")
+    return catalog.withColumn("name", F.when(F.col("name") == old, new).otherwise(F.col("name")))

@@ -1,34 +1,101 @@
-"""Choosing a search strategy for a query, and running it."""
+"""Choosing a search strategy for each query, by signals in its text and the backends there are."""
 
 import re
 
-# fixed values: words that signal a strategy, with its score
-SIGNALS = [
-    ("CYPHER", 0.95, r"^\s*(match|with|unwind|optional match)\b.*\breturn\b"),
-    ("CODE", 0.85, r"\b(function|class|method|module|import|def|func)\b|\w+\(\)"),
-    ("CODING_RULES", 0.8, r"\b(rule|lint|convention|style guide)\b"),
-    ("TEMPORAL", 0.8, r"\b(when|before|after|since|until|during|yesterday|today)\b|\b(1\d{3}|20\d{2})\b|когда|после"),
-    ("GRAPH_COMPLETION", 0.75, r"\b(related|relationship|connected|depends on|linked)\b|связан"),
-    ("COMMUNITY_GLOBAL", 0.7, r"\b(overview|themes|overall|main topics)\b"),
-    ("SUMMARIES", 0.7, r"\b(summary|summarize|summarise|tl;dr)\b"),
-    ("CHUNKS_LEXICAL", 0.65, r"\"[^\"]+\"|\b[A-Z0-9_]{4,}\b"),
-    ("RAG_COMPLETION", 0.6, r"\?\s*$|^(what|how|why|who|which)\b"),
-]
-DEFAULT = ("CHUNKS", 0.5)
-
-
-def route(query: str, weights=None):
-    """(strategy, score, [(alternative, score)]): the highest signal wins, the first on a tie.
-
-    ``weights`` multiplies strategies' scores by what feedback has taught.
+from pyspark.sql import Column, DataFrame, functions as F
+
+#: what a deployment may have
+CAPABILITIES = ("embedding", "bm25", "graph", "llm", "sql", "cypher", "communities")
+
+# fixed values: words and patterns that signal a strategy
+CYPHER = r"^(match |match\(|return |optional match |with |unwind )"
+CODE = r"\w+\(|\w+\.\w+\(|\w+::\w+|\w+->\w+|(func|fn|def|class|import|package|module|struct|interface|impl)\s"
+SNAKE = r"[a-z]+_[a-z]+_[a-z]+"
+RELATIONAL = (
+    "related to", "relationship", "connected to", "linked to", "depends on", "dependency", "calls ", "imports ", "inherits", "extends", "implements",
+    "связан с", "связь", "отношени", "зависит от", "зависимость", "вызывает", "импортирует", "наследует", "расширяет", "реализует",
+)
+SUMMARY = (
+    "summary", "summarize", "summarise", "overview", "digest", "recap", "brief", "outline", "highlights",
+    "итог", "итого", "резюме", "обзор", "краткое", "краткий", "подвед", "суммар", "пересказ",
+)
+QUESTION = (
+    "кто ", "что ", "когда ", "где ", "как ", "почему ", "зачем ", "какой ", "какая ", "какие ", "каким ", "сколько ", "чем ", "откуда ", "куда ",
+    "who ", "what ", "when ", "where ", "how ", "why ", "which ", "whose ", "whom ", "is ", "are ", "was ", "were ", "do ", "does ", "did ",
+    "can ", "could ", "will ", "would ", "should ", "tell me ", "explain ", "describe ",
+)
+
+
+def _contains(text: Column, words) -> Column:
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+
+
+def date_confidence(text: Column) -> Column:
+    """The surest kind of date in a text: ISO 1, month name .9, slashed or dotted .8, bare year .7; null without any."""
+    from .temporal import MONTHS
+
+    names = "|".join(n for v in MONTHS.values() for n in v)
+    low = F.lower(text)
+    return (
+        F.when(text.rlike(r"\d{4}-\d{2}-\d{2}"), 1.0)
+        .when(low.rlike(rf"\d{{1,4}}\s+({names})|({names})[a-zа-яё]*\.?(\s+\d{{1,4}}|,\s+\d{{4}})"), 0.9)
+        .when(text.rlike(r"\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}[./]\d{1,2}[./]\d{1,2}"), 0.8)
+        .when(text.rlike(r"(^|[\s(,])(1\d{3}|20\d{2}|2100)($|[\s),.])"), 0.7)
+    )
+
+
+def candidates(text: Column, have) -> list:
+    """[(condition, strategy, score, reason)] in the order in which ties are settled."""
+    q = F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+    low = F.lower(q)
+    words = F.filter(F.split(low, r"\s+"), lambda w: w != "")
+    has = lambda *names: F.lit(all(n in have for n in names))
+    graph = F.lit("graph" in have or "sql" in have)
+    camel = F.exists(F.split(q, r"\s+"), lambda w: w.rlike("[a-z][A-Z]") & (F.octet_length(w) >= 4))
+    relational, summary = _contains(low, RELATIONAL), _contains(low, SUMMARY)
+    question = F.contains(low, F.lit("?")) | F.exists(F.array(*map(F.lit, QUESTION)), lambda w: F.startswith(low, w))
+    keyword = F.size(words).between(1, 3) & ~F.exists(words, lambda w: w.rlike(r"[^\p{L}\p{Nd}_-]"))
+    sure = date_confidence(q)
+    return [
+        (low.rlike(CYPHER) & has("cypher", "graph"), "CYPHER", F.lit(1.0), "a graph query"),
+        (sure.isNotNull() & graph, "TEMPORAL", 0.85 + sure * 0.1, "names a date"),
+        ((q.rlike(CODE) | camel | q.rlike(SNAKE)) & graph, "CODING_RULES", F.lit(0.85), "has code in it"),
+        (relational & has("llm") & graph, "GRAPH_COMPLETION", F.lit(0.8), "asks for relations"),
+        (summary & has("embedding"), "SUMMARIES", F.lit(0.85), "asks for a summary"),
+        (summary & has("communities", "llm", "embedding"), "COMMUNITY_GLOBAL", F.lit(0.88), "asks for an overview, communities are summed up"),
+        (relational & has("communities", "llm", "embedding"), "COMMUNITY_LOCAL", F.lit(0.82), "asks for relations, communities are known"),
+        (question & has("llm", "embedding"), "RAG_COMPLETION", F.lit(0.7), "a question"),
+        (keyword & has("bm25", "embedding"), "HYBRID", F.lit(0.75), "a few keywords"),
+        (keyword & has("bm25") & ~has("embedding"), "CHUNKS_LEXICAL", F.lit(0.7), "a few keywords, no embeddings"),
+        (has("bm25", "embedding"), "HYBRID", F.lit(0.6), "default"),
+        (has("embedding"), "CHUNKS", F.lit(0.5), "vectors"),
+        (has("bm25"), "CHUNKS_LEXICAL", F.lit(0.4), "keywords"),
+    ]
+
+
+def route(rows: DataFrame, have=CAPABILITIES, text: str = "text", weights: dict | None = None) -> DataFrame:
+    """``rows`` with strategy, confidence, reason and alternatives [(strategy, score)].
+
+    The highest score wins, the first on a tie.  ``weights`` multiplies strategies' scores by what
+    feedback has taught.  The empty text takes the default at .3; without any backend it is CHUNKS at .1.
     """
-    weights = weights or {}
-    found = [(name, score * weights.get(name, 1.0)) for name, score, pattern in SIGNALS if re.search(pattern, query, 0 if name == "CHUNKS_LEXICAL" else re.IGNORECASE | re.DOTALL)]
-    found.append((DEFAULT[0], DEFAULT[1] * weights.get(DEFAULT[0], 1.0)))
-    best = max(found, key=lambda x: x[1])
-    return best[0], best[1], [x for x in found if x is not best]
-
-
+    weight = lambda name: float((weights or {}).get(name, 1.0))
+    found = F.array(*[F.when(c, F.struct(F.lit(n).alias("strategy"), F.round(s * weight(n), 6).alias("score"), F.lit(r).alias("reason"))) for c, n, s, r in candidates(F.col(text), have)])
+    default = "HYBRID" if {"bm25", "embedding"} <= set(have) else "CHUNKS" if "embedding" in have else "CHUNKS_LEXICAL" if "bm25" in have else None
+    found = F.filter(found, lambda x: x.isNotNull())
+    out = rows.withColumn("_found", found).withColumn("_best", F.reduce("_found", F.get("_found", F.lit(0)), lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a)))
+    empty, none = F.col(text) == "", F.size("_found") == 0
+    fixed = lambda value, e, n: F.when(empty, F.lit(e if default else n)).when(none, F.lit(n)).otherwise(value)
+    # each other strategy once, with its first score
+    names = F.array_distinct(F.transform("_found", lambda x: x["strategy"]))
+    others = F.transform(F.filter(names, lambda s: s != F.col("_best.strategy")), lambda s: F.filter("_found", lambda x: x["strategy"] == s).getItem(0))
+    return out.withColumns({
+        "strategy": fixed(F.col("_best.strategy"), default, "CHUNKS"), "confidence": fixed(F.col("_best.score"), 0.3, 0.1), "reason": fixed(F.col("_best.reason"), "empty", "no backend"),
+        "alternatives": F.when(empty | none, F.array().cast("array<struct<strategy:string,score:double>>")).otherwise(F.transform(others, lambda x: F.struct(x["strategy"].alias("strategy"), x["score"].alias("score")))),
+    }).drop("_found", "_best")
+
+
+# fixed values: what joins two questions, and what begins one
 CONJUNCTIONS = (" и ", " а также ", " and ", " or ", ", а ", ", и ")
 QUESTIONS = ("what", "how", "why", "who", "where", "when", "which", "что", "как", "почему", "кто", "где", "когда")
 
@@ -46,52 +113,3 @@ def decompose(query: str):
         parts = [p.strip(" ?,") for p in re.split(rf"\?|(?=\b(?:{'|'.join(QUESTIONS)})\b)", query, flags=re.IGNORECASE)]
         return list(dict.fromkeys([query, *[p for p in parts if len(p.encode()) >= 5]]))
     return [query]
-
-
-STRATEGIES = {}
-
-
-def strategy(name):
-    """Register a function (spark, tables, request) -> DataFrame as a search strategy."""
-
-    def add(f):
-        STRATEGIES[name] = f
-        return f
-
-    return add
-
-
-def search(spark, tables: dict, request: dict):
-    """Run ``request``: its query_type if given, else the routed one; unregistered ones fall back to CHUNKS_LEXICAL."""
-    name = request.get("query_type") or route(request["query"], request.get("weights"))[0]
-    return STRATEGIES.get(name, STRATEGIES["CHUNKS_LEXICAL"])(spark, tables, request)
-
-
-@strategy("CHUNKS_LEXICAL")
-def _lexical(spark, tables, request):
-    from pyspark.sql import functions as F
-
-    from .lexical import bm25
-
-    q = spark.range(1).select(F.lit(0).cast("long").alias("qid"), F.lit(request["query"]).alias("text"))
-    return bm25(tables["docs"], q, request.get("k", 10)).select(F.col("doc").alias("id"), "score", "rank")
-
-
-@strategy("CHUNKS")
-def _vectors(spark, tables, request):
-    from pyspark.sql import Window, functions as F
-
-    from .vector import topk
-
-    if "embedding" not in request:  # the embedding model is outside: its output comes with the request
-        return _lexical(spark, tables, request)
-    found = topk(tables["vectors"], F.array(*[F.lit(float(x)) for x in request["embedding"]]), request.get("k", 10))
-    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "id")).cast("long"))
-
-
-@strategy("HYBRID")
-def _hybrid(spark, tables, request):
-    from .fuse import hybrid_rrf
-
-    deep = {**request, "k": 2 * request.get("k", 10)}
-    return hybrid_rrf(_vectors(spark, tables, deep), _lexical(spark, tables, deep), request.get("k", 10))

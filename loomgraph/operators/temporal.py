@@ -87,3 +87,22 @@ def snippet(text: Column, needle: Column, around: int = 80) -> Column:
     at = F.position(needle, text)
     begin = F.greatest(at - around, F.lit(1))
     return F.when(at > 0, F.substring(text, begin, at + F.char_length(needle) + around - begin)).otherwise(F.lit(""))
+
+
+def link_events(dates: DataFrame, entities: DataFrame):
+    """(nodes, edges) of dates(doc, day, raw) and entities(doc, entity) of the same texts.
+
+    A day is one node, temporal_<day>, named after its first raw text; each entity of a text
+    HAPPENED_AT each of its dates.
+    """
+    name = F.concat(F.lit("temporal_"), F.date_format("day", "yyyy-MM-dd"))
+    nodes = dates.groupBy(name.alias("id")).agg(F.min_by("raw", F.struct("doc", "raw")).alias("name"), F.lit("TemporalEvent").alias("type"))
+    edges = dates.select("doc", name.alias("target"), "raw").join(entities, "doc")
+    return nodes, edges.select(F.col("entity").alias("source"), F.lit("HAPPENED_AT").alias("relation"), "target", F.concat_ws(" happened at ", "entity", "raw").alias("edge_text"))
+
+
+def date_ranges(days: DataFrame, by: str, day: str) -> DataFrame:
+    """(by, begin, end) of dates; one 1 January alone means its whole year."""
+    each = days.groupBy(by).agg(F.min(day).alias("begin"), F.max(day).alias("end"))
+    year = (F.col("begin") == F.col("end")) & (F.month("begin") == 1) & (F.dayofmonth("begin") == 1)
+    return each.withColumn("end", F.when(year, F.make_date(F.year("begin"), F.lit(12), F.lit(31))).otherwise(F.col("end")))

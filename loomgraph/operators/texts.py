@@ -35,8 +35,24 @@ def json_array(text: Column) -> Column:
     return F.from_json(F.regexp_extract(text, r"(?s)(\[.*\])", 1), "array<string>")
 
 
-def title(text: Column, words: int = 7) -> Column:
-    return F.array_join(F.slice(F.filter(F.split(text, r"\s+"), lambda w: w != ""), 1, words), " ")
+def titles(docs: DataFrame, id_col: str, text_col: str = "text", words: int = 7) -> DataFrame:
+    """(id, title): texts of up to seven words as they are; else the first seven, and of texts of over 30 words the three commonest of over three bytes."""
+    split = F.filter(F.split(text_col, r"\s+"), lambda w: w != "")
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"), split.alias("_w"))
+    counts = rows.where(F.size("_w") > 30).select(id_col, F.explode(F.transform("_w", F.lower)).alias("_x")).where(F.octet_length("_x") > 3).groupBy(id_col, "_x").agg(F.count("*").alias("_n"))
+    best = counts.groupBy(id_col).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("n"), F.col("_x").alias("x")))), 1, 3).alias("_top"))  # a text's own words
+    short = F.concat(F.array_join(F.slice("_w", 1, words), " "), F.coalesce(F.concat(F.lit(" ["), F.array_join(F.transform("_top", lambda t: t["x"]), ", "), F.lit("]")), F.lit("")))
+    return rows.join(best, id_col, "left").select(id_col, F.when(F.size("_w") <= words, F.col("_text")).otherwise(short).alias("title"))
+
+
+def local_name(uri: Column) -> Column:
+    """What follows the last #, else the last slash, else all."""
+    return F.when(F.contains(uri, F.lit("#")), F.substring_index(uri, "#", -1)).otherwise(F.substring_index(uri, "/", -1))
+
+
+def memory_digest(key: Column, value: Column) -> Column:
+    """SHA-256 of key, a zero byte, value."""
+    return F.sha2(F.concat(key.cast("binary"), F.unhex(F.lit("00")), value.cast("binary")), 256)
 
 
 def embed_context(document: Column, section: Column, text: Column) -> Column:

@@ -22,8 +22,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """0 where sizes differ or a vector has no length."""
-    return F.when(F.size(a) == F.size(b), F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))).otherwise(F.lit(0.0))
+    """From -1 to 1; 0 where sizes differ or a vector has no length."""
+    value = F.least(F.greatest(F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0)), F.lit(-1.0)), F.lit(1.0))
+    return F.when(F.size(a) == F.size(b), value).otherwise(F.lit(0.0))
 
 
 def finite(v: Column) -> Column:
@@ -76,7 +77,7 @@ def _best(block, k):
                 continue
             m = np.asarray(lists.take(pa.array(same)).flatten(), np.float64).reshape(len(same), q.shape[1])
             ids = np.broadcast_to(np.asarray(batch.column(0))[same], (len(qids), len(same)))
-            held_ids, held = np.concatenate([held_ids, ids], axis=1), np.concatenate([held, q @ _unit(m).T], axis=1)
+            held_ids, held = np.concatenate([held_ids, ids], axis=1), np.concatenate([held, np.clip(q @ _unit(m).T, -1, 1)], axis=1)
             if held.shape[1] > k:
                 order = np.lexsort((held_ids, -np.round(held, 9)), axis=1)[:, :k]
                 held_ids, held = np.take_along_axis(held_ids, order, 1), np.take_along_axis(held, order, 1)

@@ -2,10 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import analytics
+from ..operators import analytics, memory, records, routes
 from ..registry import query
-from .base import table
-from .shared import shared
+from .base import GRAPH, MANIFEST, MEMORIES, graph_edges, graph_nodes, manifest, memories, table
 
 
 def audit(spark, sf):
@@ -56,28 +55,146 @@ def user_buckets(spark, sf):
     return analytics.top_buckets(table(spark, sf, "events"), "user_id", 10)
 
 
-shared("feedback_stats", "SELECT count(*) AS n, round(avg(CAST(value AS DOUBLE)), 6) AS avg_rating, min(value) AS worst FROM events WHERE event_type = 'click'")
-shared("feedback_worst", "SELECT event_id, value FROM events WHERE event_type = 'click' ORDER BY value, event_id LIMIT 1")
-shared("implicit_feedback", "SELECT event_type AS signal, count(*) AS n FROM events GROUP BY event_type")
-shared("sessions", "SELECT user_id AS session, count(*) AS n, max(ts) AS last_ts, max(event_type) AS type FROM events GROUP BY user_id ORDER BY last_ts DESC, session LIMIT 100")
-shared("memory_staleness", "SELECT o_orderpriority AS room, min(o_orderdate) AS oldest, count(*) AS n FROM orders GROUP BY o_orderpriority")
-shared("wakeup_pinned", "SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'O' ORDER BY o_orderpriority, o_orderdate DESC, o_orderkey LIMIT 50")
-shared("wakeup_entities", "WITH ends AS (SELECT source_id AS id FROM edges WHERE valid_until IS NULL UNION ALL SELECT target_id FROM edges WHERE valid_until IS NULL AND target_id <> source_id) SELECT id, count(*) AS degree FROM ends GROUP BY id ORDER BY degree DESC, id LIMIT 10")
-shared("sync_manifest", "SELECT count(*) AS rows_n, max(o_orderdate) AS newest, count(DISTINCT o_custkey) AS owners FROM orders")
-shared("vsa_stats", "SELECT relation, count(*) AS members, count(DISTINCT source_id) AS sources, max(valid_from) AS newest FROM edges GROUP BY relation")
-shared("outbox_counts", "SELECT o_orderstatus AS status, count(*) AS jobs FROM orders GROUP BY o_orderstatus")
-shared("coverage_by_collection", "SELECT d.source, count(*) AS docs, count(v.vec_id) AS vectors, count(l.doc_id) AS labelled FROM documents d LEFT JOIN embeddings v ON v.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.source")
-shared("dataset_counts", "SELECT source AS dataset, count(*) AS items FROM documents GROUP BY source")
-shared("predicate_list", "SELECT relation AS predicate FROM edges UNION SELECT lower(type) FROM nodes")
-shared("char_density", "SELECT source, round(CAST(sum(CASE WHEN doc_id % 2 = 0 THEN length(text) ELSE 0 END) AS DOUBLE) / sum(length(text)), 6) AS density FROM documents GROUP BY source")
-shared("task_validation", """WITH crit AS (SELECT o_orderkey AS task, o_orderstatus FROM orders), r AS (SELECT l_orderkey AS task, max(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS ok, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS failed, max(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS stale FROM lineitem GROUP BY l_orderkey)
-SELECT c.task, CASE WHEN r.ok = 1 THEN 'found' WHEN r.stale = 1 THEN 'stale' WHEN r.failed = 1 THEN 'failed' ELSE 'missing' END AS state FROM crit c LEFT JOIN r ON r.task = c.task""")
-shared("project_context", "SELECT kind, id FROM (SELECT 'memory' AS kind, o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS pos FROM orders UNION ALL SELECT 'chat', conv_id, row_number() OVER (ORDER BY conv_id DESC, turn DESC) + 15 FROM conversations) x WHERE pos <= 20")
-shared("chat_history", "WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) SELECT conv_id, turn, role FROM r WHERE back <= 5")
-shared("token_budget", "WITH r AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM documents) SELECT doc_id FROM r WHERE used <= 50000")
-shared("gc_plan", "SELECT p_brand AS collection, min(CASE WHEN p_size > 1 THEN 1 ELSE 0 END) AS exclusive, count(*) AS chunks FROM part GROUP BY p_brand")
-shared("dcd_routes", """SELECT n_nationkey AS id, round(CAST(CASE WHEN lower(r_name) LIKE '%asia%' THEN 4 ELSE 0 END + CASE WHEN lower(n_name) LIKE '%nation_1%' THEN 3 ELSE 0 END AS DOUBLE), 6) AS score,
-least(CAST(1 AS DOUBLE), CAST(CASE WHEN lower(r_name) LIKE '%asia%' THEN 4 ELSE 0 END + CASE WHEN lower(n_name) LIKE '%nation_1%' THEN 3 ELSE 0 END AS DOUBLE) / 10) AS confidence FROM nation JOIN region ON r_regionkey = n_regionkey
-WHERE lower(r_name) LIKE '%asia%' OR lower(n_name) LIKE '%nation_1%'""")
-shared("predicate_ranking", """WITH syn AS (SELECT 'LIVES_IN' AS relation, 'lives' AS word, 80 AS w UNION ALL SELECT 'BASED_IN', 'based', 80 UNION ALL SELECT 'IN_REGION', 'region', 50 UNION ALL SELECT 'PREFERS', 'likes', 50), q AS (SELECT 'lives' AS word UNION ALL SELECT 'region' UNION ALL SELECT 'prefers'),
-p AS (SELECT DISTINCT relation FROM edges) SELECT p.relation, CAST(coalesce(sum(CASE WHEN lower(p.relation) = q.word THEN 100 WHEN syn.word = q.word THEN syn.w ELSE 0 END), 0) AS BIGINT) AS score FROM p CROSS JOIN q LEFT JOIN syn ON syn.relation = p.relation AND syn.word = q.word GROUP BY p.relation""")
+def rated(spark, sf):
+    return table(spark, sf, "events").selectExpr("event_id as id", "event_type as search_type", "event_id % 5 + 1 as rating")
+
+
+@query("feedback_stats", "SELECT event_type AS search_type, count(*) AS n, round(avg(event_id % 5 + 1), 6) AS avg_rating, arg_min(event_id, (event_id % 5, event_id)) AS worst FROM events GROUP BY event_type")
+def feedback_stats(spark, sf):
+    return analytics.feedback_stats(rated(spark, sf))
+
+
+@query("feedback_worst", "SELECT event_id AS id, event_id % 5 + 1 AS rating FROM events WHERE event_type = 'click' ORDER BY 2, 1 LIMIT 5")
+def feedback_worst(spark, sf):
+    return rated(spark, sf).where("search_type = 'click'").orderBy("rating", "id").limit(5).select("id", "rating")
+
+
+@query("implicit_feedback", "SELECT event_type AS signal, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def implicit_feedback(spark, sf):
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("signal")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@query("sessions", "SELECT user_id AS session, count(*) AS n, max(ts) AS last_at, max(event_type) AS type FROM events GROUP BY user_id ORDER BY max(ts) DESC, user_id LIMIT 100")
+def sessions(spark, sf):
+    return memory.sessions(table(spark, sf, "events"), "user_id", "ts", "event_type", 100)
+
+
+@query("memory_staleness", f"WITH {MEMORIES} SELECT room, min(updated_at) AS oldest, count(*) AS n FROM memories WHERE superseded_by = '' GROUP BY room")
+def memory_staleness(spark, sf):
+    return memory.staleness(memories(spark, sf))
+
+
+@query("wakeup_pinned", f"WITH {MEMORIES} SELECT id, key, pin_priority FROM memories WHERE is_pinned AND owner_id IN ('u2', '') AND superseded_by = '' AND collection_name = 'coll2' ORDER BY pin_priority DESC, updated_at DESC, id LIMIT 50")
+def wakeup_pinned(spark, sf):
+    return memory.pinned(memories(spark, sf), "u2", "coll2").select("id", "key", "pin_priority")
+
+
+@query("wakeup_entities", f"""WITH {GRAPH} SELECT name, type, (SELECT count(*) FROM edges e WHERE (e.source_id = n.id OR e.target_id = n.id) AND (e.valid_until IS NULL OR e.valid_until > TIMESTAMP '1997-06-01')) AS edges
+FROM nodes n WHERE dataset_id = 'MACHINERY' ORDER BY edges DESC, id LIMIT 10""")
+def wakeup_entities(spark, sf):
+    return memory.busiest(graph_nodes(spark, sf), graph_edges(spark, sf), "MACHINERY", F.expr("timestamp_ntz'1997-06-01 00:00:00'"), 10)
+
+
+@query("sync_manifest", f"WITH {MEMORIES} SELECT count(*) AS n, max(updated_at) AS newest, count(DISTINCT owner_id) AS owners FROM memories")
+def sync_manifest(spark, sf):
+    return memory.sync_state(memories(spark, sf), "updated_at", "owner_id")
+
+
+@query("vsa_stats", f"""WITH {GRAPH}, m AS (SELECT *, (row_number() OVER (PARTITION BY relation ORDER BY source_id, target_id, id) - 1) // 12 AS shard FROM edges WHERE valid_until IS NULL)
+SELECT relation, count(DISTINCT shard) AS shards, count(*) AS members, count(DISTINCT source_id) AS sources FROM m GROUP BY relation""")
+def vsa_stats(spark, sf):
+    s = records.shards(graph_edges(spark, sf).where("valid_until is null"))
+    return s.groupBy("relation").agg(F.countDistinct("shard").alias("shards"), F.count("*").alias("members"), F.countDistinct("source_id").alias("sources"))
+
+
+@query("outbox_counts", "SELECT CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'completed' ELSE 'failed' END AS status, count(*) AS jobs FROM orders GROUP BY 1")
+def outbox_counts(spark, sf):
+    jobs = table(spark, sf, "orders").select(F.expr("case o_orderstatus when 'O' then 'pending' when 'F' then 'completed' else 'failed' end").alias("status"))
+    return jobs.groupBy("status").agg(F.count("*").alias("jobs"))
+
+
+@query("coverage_by_collection", """SELECT source, count(*) AS items, count(*) FILTER (doc_id IN (SELECT vec_id FROM embeddings)) AS vectors, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS labelled FROM documents GROUP BY source""")
+def coverage_by_collection(spark, sf):
+    v, m = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")), table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    return memory.coverage(table(spark, sf, "documents"), "source", "doc_id", vectors=v, labelled=m)
+
+
+@query("dataset_counts", "SELECT s.source AS dataset, (SELECT count(*) FROM documents d WHERE d.source = s.source AND lang = 'en') AS items FROM (SELECT DISTINCT source FROM documents) s")
+def dataset_counts(spark, sf):
+    """Datasets with their English items, those without any too."""
+    d = table(spark, sf, "documents")
+    n = d.where("lang = 'en'").groupBy(F.col("source").alias("dataset")).agg(F.count("*").alias("n"))
+    return d.select(F.col("source").alias("dataset")).distinct().join(n, "dataset", "left").select("dataset", F.coalesce("n", F.lit(0)).alias("items"))
+
+
+@query("predicate_list", f"WITH {GRAPH} SELECT DISTINCT relation AS predicate FROM edges WHERE valid_until IS NULL UNION SELECT DISTINCT upper(type) FROM nodes WHERE type <> ''")
+def predicate_list(spark, sf):
+    shards = graph_nodes(spark, sf).select(F.upper("type").alias("predicate"), "dataset_id")
+    return memory.predicates(graph_edges(spark, sf), shards)
+
+
+@query("char_density", """WITH m AS (SELECT doc_id, strlen(text) AS size, md5(text) AS h FROM documents), c AS (SELECT h, min(doc_id) AS action, max(doc_id) AS survivor FROM m GROUP BY h HAVING count(*) > 1)
+SELECT action, round(any_value(CASE WHEN doc_id = survivor THEN size END)::DOUBLE / sum(size), 6) AS density FROM m JOIN c USING (h) GROUP BY action HAVING sum(size) > 0""")
+def char_density(spark, sf):
+    """Merges of equal documents: the survivor's bytes over all."""
+    d = table(spark, sf, "documents").selectExpr("doc_id as id", "text as value", "md5(text) as h")
+    groups = d.groupBy("h").agg(F.min("id").alias("action"), F.max("id").alias("survivor"), F.count("*").alias("n")).where("n > 1")
+    return memory.density(d.join(groups, "h").select("action", "survivor", "id"), d)
+
+
+@query("task_validation", """WITH r AS (SELECT l_orderkey AS criterion, l_returnflag = 'R' OR (l_linenumber = 1 AND l_quantity > 40) AS bad, l_linestatus = 'F' AS old FROM lineitem)
+SELECT o_orderkey AS criterion, CASE WHEN o_orderkey IN (SELECT criterion FROM r WHERE NOT bad AND NOT old) THEN 'found' WHEN o_orderkey IN (SELECT criterion FROM r WHERE NOT bad AND old) THEN 'stale'
+WHEN o_orderkey IN (SELECT criterion FROM r WHERE bad) THEN 'failed' ELSE 'missing' END AS state FROM orders""")
+def task_validation(spark, sf):
+    """Orders as criteria, their lines as receipts: returned ones fail, first lines are commands, status F is an older revision."""
+    receipts = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey as criterion", "if(l_returnflag = 'R', 'fail', 'pass') as status", "if(l_linenumber = 1, 'command', 'note') as type", "if(l_quantity > 40, 1, 0) as exit_code", "if(l_linestatus = 'F', 'r1', 'r2') as revision")
+    return memory.validation(table(spark, sf, "orders").select(F.col("o_orderkey").alias("criterion")), receipts, "r2")
+
+
+@query("project_context", f"""WITH {MEMORIES}, m AS (SELECT 'memory' AS kind, id FROM memories WHERE owner_id = 'u1' ORDER BY updated_at DESC, id LIMIT 20), c AS (SELECT 'chat' AS kind, conv_id * 1000 + turn AS id FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 5)
+SELECT * FROM m UNION ALL SELECT * FROM c""")
+def project_context(spark, sf):
+    """An owner's newest memories and the last chat turns."""
+    chat = table(spark, sf, "conversations").orderBy(F.desc("conv_id"), F.desc("turn")).limit(5).selectExpr("'chat' as kind", "conv_id * 1000 + turn as id")
+    return memory.newest(memories(spark, sf), "u1").select(F.lit("memory").alias("kind"), "id").union(chat)
+
+
+@query("chat_history", "WITH r AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) SELECT conv_id, turn, role, p - greatest(n - 5, 0) AS place FROM r WHERE p > n - 5")
+def chat_history(spark, sf):
+    """The last five turns of each conversation, replayed oldest first."""
+    return memory.last_turns(table(spark, sf, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", "place")
+
+
+@query("token_budget", "SELECT doc_id FROM documents d WHERE (SELECT sum(n_chars) FROM documents x WHERE x.doc_id <= d.doc_id) <= 50000")
+def token_budget(spark, sf):
+    """Documents, in order, while their characters fit."""
+    return memory.within_budget(table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 50_000, 1000).select("doc_id")
+
+
+@query("gc_plan", f"""WITH {MANIFEST} SELECT collection, CASE WHEN collection = '' THEN 'vectors' WHEN collection IN (SELECT collection FROM manifest WHERE generation <> 'g1') THEN 'shared' ELSE 'exclusive' END AS plan, count(*) AS vectors
+FROM manifest WHERE generation = 'g1' GROUP BY 1, 2""")
+def gc_plan(spark, sf):
+    return memory.gc_plan(manifest(spark, sf), spark.createDataFrame([("g1",)], "generation string"), "g0")
+
+
+DCD = "tell me about asia: nation 1 and nation 12, please"
+
+
+@query("dcd_routes", """WITH t AS (SELECT n_regionkey AS domain_id, n_nationkey AS collection_id, lower(r_name) AS d, replace(lower(n_name), '_', ' ') AS c, r_name || ' ' || n_name AS text FROM nation JOIN region ON r_regionkey = n_regionkey),
+s AS (SELECT domain_id, collection_id, CASE WHEN d = 'asia' THEN 4.5 ELSE 0 END + CASE WHEN contains('tell me about asia nation 1 and nation 12 please', c) THEN 3 ELSE 0 END
+  + 0.4 * len(list_filter(list_distinct(string_split(c, ' ')), lambda w: strlen(w) >= 2 AND list_contains(['tell', 'me', 'about', 'asia', 'nation', 'and', '12', 'please'], w))) AS score FROM t)
+SELECT domain_id, collection_id, round(score, 6)::DOUBLE AS score, round(least(score / 10, 1), 6)::DOUBLE AS confidence FROM s WHERE score > 0""")
+def dcd_routes(spark, sf):
+    """Regions and nations as domains and collections, by names and words alone."""
+    rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.expr("n_regionkey = r_regionkey")).selectExpr("n_regionkey as domain_id", "n_nationkey as collection_id", "r_name as domain", "n_name as collection")
+    return routes.route_scores(rows, DCD, with_bm25=False).select("domain_id", "collection_id", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
+
+
+@query("predicate_ranking", """-- words in the query, exact and generated, and pairs of words one of which holds the other, for both
+SELECT * FROM (VALUES ('LIVES_IN', (3 * (100 + 50) + 2 * 4 * 20)::BIGINT), ('IN_REGION', 2 * (100 + 50) + 2 * 2 * 20), ('BASED_IN', 100 + 50), ('PREFERS', 0)) AS t(predicate, score)""")
+def predicate_ranking(spark, sf):
+    """'who lives in regions' asks for who, lives, live, in, regions, region."""
+    names = graph_edges(spark, sf).select(F.col("relation").alias("predicate")).distinct()
+    synonyms = spark.createDataFrame([("LIVES_IN", "resides", routes.MANUAL), ("IN_REGION", "area", routes.FEEDBACK)], "predicate string, synonym string, weight int")
+    return routes.rank_predicates(names, synonyms, "who lives in regions")

@@ -1,35 +1,137 @@
 """Strategies and memory, workspace and answer-parsing operators made of the others."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
-from ..operators import answers, graph, records, router
+from ..operators import answers, graph, memory, records, relate, router, routes, strategies, temporal
 from ..registry import query
-from .base import GRAPH, graph_edges, graph_nodes, table
-from .shared import shared
-
-shared("temporal_strategy", """WITH t AS (SELECT o_orderkey AS id, 1 AS provider, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS pos FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01 00:00:00' AND TIMESTAMP '1996-12-31 23:59:59'),
-v AS (SELECT vec_id AS id, 2 AS provider, row_number() OVER (ORDER BY label, vec_id) AS pos FROM embeddings), u AS (SELECT id, provider, pos, row_number() OVER (PARTITION BY id ORDER BY provider) AS n FROM (SELECT * FROM t UNION ALL SELECT * FROM v) x)
-SELECT id, provider FROM u WHERE n = 1 ORDER BY provider, pos LIMIT 50""", "Rows of the dated range first, then the vector's.")
-shared("community_lookup", """WITH com AS (SELECT target_id AS community, source_id AS id FROM edges WHERE relation = 'IN_REGION') SELECT n.id, com.community, count(*) OVER (PARTITION BY com.community) AS members FROM nodes n JOIN com ON com.id = n.id""")
-shared("community_levels", """WITH l0 AS (SELECT target_id AS community, source_id AS member FROM edges WHERE relation IN ('LIVES_IN', 'BASED_IN')), l1 AS (SELECT target_id AS parent, source_id AS community FROM edges WHERE relation = 'IN_REGION')
-SELECT l1.parent, l0.community, count(*) AS member_count FROM l0 JOIN l1 ON l1.community = l0.community GROUP BY l1.parent, l0.community HAVING count(*) >= 3""", "Level-0 communities of three members or more below their parents: what gets a summary.")
-shared("dcd_boost", """WITH r AS (SELECT n_nationkey AS collection, n_regionkey AS domain, CAST(0.5 AS DOUBLE) AS confidence FROM nation WHERE n_nationkey % 4 = 0)
-SELECT s.s_suppkey AS id, round(max(CASE WHEN n.n_regionkey = r.domain THEN 0.1 * r.confidence ELSE 0 END + CASE WHEN s.s_nationkey = r.collection THEN 0.2 * r.confidence ELSE 0 END), 6) AS boost
-FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey CROSS JOIN r GROUP BY s.s_suppkey""", "Candidates against the few routes of a request: the largest boost counts.")
-shared("entity_query", """WITH ids AS (SELECT id FROM nodes WHERE lower(name) LIKE '%customer#00000000%' ORDER BY id LIMIT 10), hit AS (SELECT e.* FROM edges e JOIN ids ON e.source_id = ids.id UNION SELECT e.* FROM edges e JOIN ids ON e.target_id = ids.id)
-SELECT id, source_id, relation, target_id FROM hit WHERE (valid_from IS NULL OR valid_from <= TIMESTAMP '1997-06-01 00:00:00') AND (valid_until IS NULL OR valid_until > TIMESTAMP '1997-06-01 00:00:00') ORDER BY id LIMIT 50""")
-shared("workspace_conflicts", """WITH disk AS (SELECT p_partkey AS path, p_name AS digest FROM part WHERE p_partkey % 3 <> 0), idx AS (SELECT p_partkey AS path, CASE WHEN p_partkey % 5 = 0 THEN 'old' ELSE p_name END AS digest FROM part WHERE p_partkey % 4 <> 0)
-SELECT coalesce(d.path, i.path) AS path, CASE WHEN i.path IS NULL THEN 'unindexed' WHEN d.path IS NULL THEN 'missing' ELSE 'dirty' END AS state FROM disk d FULL OUTER JOIN idx i ON i.path = d.path WHERE i.path IS NULL OR d.path IS NULL OR d.digest <> i.digest""")
-shared("stale_vector_ids", "SELECT vec_id FROM embeddings EXCEPT SELECT doc_id FROM documents WHERE source <> 'src1'")
-shared("link_events_entities", """WITH ev AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), en AS (SELECT n_nationkey FROM nation)
-SELECT concat('temporal_', CAST(day AS VARCHAR(10))) AS event, n_nationkey AS entity FROM ev CROSS JOIN en""", "Every event of a run with every entity of it, both few: what the operator is.")
-shared("memory_upsert", """WITH al AS (SELECT o_custkey AS k, o_orderpriority AS room, o_orderkey AS version, o_totalprice AS value FROM orders), r AS (SELECT k, room, version, value, row_number() OVER (PARTITION BY k, room ORDER BY version DESC) AS n FROM al)
-SELECT k, room, version, value FROM r WHERE n = 1""")
-shared("memory_pin", "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 1 ELSE 0 END AS pinned, CASE WHEN o_totalprice > 300000 THEN o_orderpriority END AS tier FROM orders")
-shared("diary", "SELECT o_custkey, o_orderkey, o_orderdate FROM orders WHERE o_custkey = 11 ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
-shared("artifacts_first_wins", "WITH r AS (SELECT p_brand, p_name, p_partkey, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS n FROM part) SELECT p_brand, p_name, p_partkey FROM r WHERE n = 1")
-shared("last_interactions", "SELECT conv_id, turn, role FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 5")
-shared("natural_language_surface", "SELECT n.name, count(*) AS lives FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.relation = 'LIVES_IN' GROUP BY n.name ORDER BY lives DESC, n.name LIMIT 3", "The graph query surface: SQL over the node and edge views.")
+from .base import GRAPH, MEMORIES, graph_edges, graph_nodes, memories, table
+
+
+
+def _orders(spark, sf):
+    return table(spark, sf, "orders").selectExpr("concat('o', o_orderkey) as id", "o_orderdate as at")
+
+
+@query("temporal_strategy", """WITH t AS (SELECT 'o' || o_orderkey AS id FROM orders WHERE o_orderdate >= TIMESTAMP '1996-03-01' AND o_orderdate <= TIMESTAMP '1996-03-08' ORDER BY o_orderdate, 'o' || o_orderkey LIMIT 50),
+v AS (SELECT 'o' || vec_id AS id, list_dot_product(embedding::DOUBLE[], list_value(1.0, 1.0)::DOUBLE[]) AS s FROM embeddings WHERE false)
+SELECT id, 0 AS provider FROM t""")
+def temporal_strategy(spark, sf):
+    """The dated events of a week; no vectors are known."""
+    tables = {"events": _orders(spark, sf), "vectors": spark.createDataFrame([], "id string, embedding array<float>")}
+    return strategies.get("TEMPORAL")(spark, tables, {"query": "first week of March 1996", "embedding": [1.0, 1.0], "from": dt.datetime(1996, 3, 1), "to": dt.datetime(1996, 3, 8), "k": 50})
+
+
+def _communities(spark, sf):
+    """(community, parent, node): nations as level-0 communities of their people, regions above them."""
+    e = graph_edges(spark, sf)
+    low = e.where("relation in ('LIVES_IN', 'BASED_IN')").select(F.col("target_id").alias("community"), F.col("source_id").alias("node"))
+    return low.join(e.where("relation = 'IN_REGION'").select(F.col("source_id").alias("community"), F.col("target_id").alias("parent")), "community")
+
+
+@query("community_lookup", "SELECT 'c' || c_custkey AS node, 'n' || c_nationkey AS community, (SELECT count(*) FROM customer x WHERE x.c_nationkey = c.c_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = c_nationkey) AS members FROM customer c WHERE c_custkey % 10 = 3")
+def community_lookup(spark, sf):
+    """The communities of some nodes, with their sizes."""
+    asked = table(spark, sf, "customer").where("c_custkey % 10 = 3").selectExpr("concat('c', c_custkey) as node")
+    return graph.community_lookup(_communities(spark, sf).select("community", "node"), asked)
+
+
+@query("community_levels", "SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS community, k AS member_count FROM nation JOIN (SELECT k1 AS nk, count(*) AS k FROM (SELECT c_nationkey AS k1 FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 1) ON nk = n_nationkey WHERE k >= 3")
+def community_levels(spark, sf):
+    """Communities of three members or more below their parents: what gets a summary."""
+    return graph.community_levels(_communities(spark, sf), 3)
+
+
+@query("dcd_boost", """WITH r AS (SELECT n_nationkey AS c, n_regionkey AS d, n_nationkey % 3 / 4 AS conf FROM nation WHERE n_nationkey % 4 = 0), p AS (SELECT s_suppkey AS id, n_regionkey AS d, n_nationkey AS c FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+SELECT id, round(coalesce((SELECT max(((r.d = p.d)::INT * 0.1 + (r.c = p.c)::INT * 0.2) * conf) FROM r), 0), 6)::DOUBLE AS boost FROM p""")
+def dcd_boost(spark, sf):
+    """Suppliers as candidates, every fourth nation as a route."""
+    n = table(spark, sf, "nation")
+    found = n.where("n_nationkey % 4 = 0").selectExpr("string(n_nationkey) as route", "'' as dataset_id", "string(n_regionkey) as domain_id", "string(n_nationkey) as collection_id", "'' as document_id", "(n_nationkey % 3) / 4.0D as confidence")
+    c = table(spark, sf, "supplier").join(n, F.expr("s_nationkey = n_nationkey")).selectExpr("s_suppkey as id", "'' as dataset_id", "string(n_regionkey) as domain_id", "string(n_nationkey) as collection_id", "'' as document_id")
+    return routes.route_boosts(c, found).select("id", F.round("boost", 6).alias("boost"))
+
+
+@query("entity_query", f"""WITH {GRAPH}, ids AS (SELECT id FROM nodes WHERE contains(lower(name), 'customer#00000000') ORDER BY id LIMIT 10)
+SELECT id, source_id, relation, target_id FROM edges WHERE (source_id IN (SELECT id FROM ids) OR target_id IN (SELECT id FROM ids)) AND coalesce(valid_from <= TIMESTAMP '1997-06-01', true) AND coalesce(valid_until > TIMESTAMP '1997-06-01', true) ORDER BY id LIMIT 50""")
+def entity_query(spark, sf):
+    """Edges of the nodes of a name, as of a day."""
+    return memory.entity_edges(graph_nodes(spark, sf), graph_edges(spark, sf), "Customer#00000000", F.expr("timestamp_ntz'1997-06-01 00:00:00'")).select("id", "source_id", "relation", "target_id")
+
+
+@query("workspace_conflicts", """SELECT p_partkey AS path, CASE WHEN p_partkey % 4 = 0 THEN 'unindexed' WHEN p_partkey % 3 = 0 THEN 'missing' ELSE 'dirty' END AS state FROM part
+WHERE NOT (p_partkey % 3 = 0 AND p_partkey % 4 = 0) AND (p_partkey % 4 = 0 OR p_partkey % 3 = 0 OR p_partkey % 5 = 0)""")
+def workspace_conflicts(spark, sf):
+    """Every third file is gone from the disk, every fourth isn't indexed, every fifth has changed."""
+    files = table(spark, sf, "part").selectExpr("p_partkey as path", "p_name as digest")
+    return memory.file_states(files.where("path % 3 <> 0"), files.where("path % 4 <> 0").withColumn("digest", F.expr("if(path % 5 = 0, 'old', digest)")))
+
+
+@query("stale_vector_ids", "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE source <> 'src1')")
+def stale_vector_ids(spark, sf):
+    """Vectors whose row is gone."""
+    live = table(spark, sf, "documents").where("source <> 'src1'").select(F.col("doc_id").alias("vec_id"))
+    return relate.unmatched(table(spark, sf, "embeddings"), live, "vec_id").select("vec_id")
+
+
+@query("link_events_entities", "SELECT 'temporal_' || strftime(o_orderdate, '%Y-%m-%d') AS target, 'c' || o_custkey AS source, count(*) AS n FROM orders GROUP BY ALL")
+def link_events_entities(spark, sf):
+    """Each customer's orders as dated events: a text's events with the entities of the same text."""
+    o = table(spark, sf, "orders")
+    dated = o.select(F.col("o_orderkey").alias("doc"), F.to_date("o_orderdate").alias("day"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("raw"))
+    nodes, edges = temporal.link_events(dated, o.selectExpr("o_orderkey as doc", "concat('c', o_custkey) as entity"))
+    return edges.join(nodes.select(F.col("id").alias("target")), "target", "left_semi").groupBy("source", "target").agg(F.count("*").alias("n"))
+
+
+@query("memory_upsert", f"WITH {MEMORIES} SELECT key, owner_id, collection_name, max(id) AS id FROM memories GROUP BY ALL")
+def memory_upsert(spark, sf):
+    """The last write of each key, owner and collection."""
+    return records.last_write(memories(spark, sf).select("id", "key", "owner_id", "collection_name", "value"), ["key", "owner_id", "collection_name"], "id").drop("value")
+
+
+@query("memory_pin", f"WITH {MEMORIES} SELECT id, is_pinned OR id % 100 = 1 AS is_pinned, CASE WHEN id % 100 = 1 THEN 9 ELSE pin_priority END AS pin_priority FROM memories")
+def memory_pin(spark, sf):
+    """Some memories are pinned at priority 9."""
+    m = memories(spark, sf)
+    return records.pin(m, m.where("id % 100 = 1").select("id"), 9).select("id", "is_pinned", "pin_priority")
+
+
+@query("memory_unpin", f"WITH {MEMORIES} SELECT id, is_pinned AND id % 100 <> 1 AS is_pinned, CASE WHEN id % 100 = 1 THEN 0 ELSE pin_priority END AS pin_priority FROM memories")
+def memory_unpin(spark, sf):
+    m = memories(spark, sf)
+    return records.pin(m, m.where("id % 100 = 1").select("id"), None).select("id", "is_pinned", "pin_priority")
+
+
+@query("consolidation_revert", f"WITH {MEMORIES} SELECT id, CASE WHEN superseded_by = 'x' || id AND o_orderkey % 2 = 0 THEN '' ELSE superseded_by END AS superseded_by FROM memories JOIN orders ON o_orderkey = id")
+def consolidation_revert(spark, sf):
+    """Runs are undone: what they superseded is live again; here the runs of even numbers."""
+    m = memories(spark, sf)
+    runs = m.where("superseded_by <> '' and id % 2 = 0").select(F.col("superseded_by").alias("survivor"))
+    return records.revert(m, runs).select("id", "superseded_by")
+
+
+@query("diary", f"WITH {MEMORIES} SELECT id, updated_at FROM memories WHERE owner_id = 'u4' ORDER BY updated_at DESC, id LIMIT 20")
+def diary(spark, sf):
+    return memory.newest(memories(spark, sf), "u4").select("id", "updated_at")
+
+
+@query("artifacts_first_wins", "SELECT p_brand, p_name, min(p_partkey) AS p_partkey FROM part GROUP BY ALL")
+def artifacts_first_wins(spark, sf):
+    return records.last_write(table(spark, sf, "part").select("p_brand", "p_name", "p_partkey"), ["p_brand", "p_name"], -F.col("p_partkey"))
+
+
+@query("last_interactions", "SELECT conv_id, turn, role FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 5")
+def last_interactions(spark, sf):
+    return table(spark, sf, "conversations").orderBy(F.desc("conv_id"), F.desc("turn")).limit(5).select("conv_id", "turn", "role")
+
+
+@query("natural_language_surface", f"WITH {GRAPH} SELECT n.name, count(*) AS lives FROM nodes n, edges e WHERE e.target_id = n.id AND e.relation = 'LIVES_IN' GROUP BY n.name ORDER BY lives DESC, n.name LIMIT 3")
+def natural_language_surface(spark, sf):
+    """The graph query surface: a query over the node and edge views, such as a model writes it."""
+    tables = {"nodes": graph_nodes(spark, sf), "edges": graph_edges(spark, sf)}
+    sql = "SELECT n.name, count(*) AS lives FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.relation = 'LIVES_IN' GROUP BY n.name ORDER BY lives DESC, n.name LIMIT 3"
+    return strategies.get("NATURAL_LANGUAGE")(spark, tables, {"sql": sql})
 
 
 @query("cursor_page", "SELECT o_orderkey, base64(encode('{\"o\":40}')) AS next FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 20")
@@ -43,14 +145,27 @@ def sanitised_names(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "[^A-Za-z0-9._-]+", "_").alias("name"))
 
 
-@query("route_queries")
+def _any_of(words, text):
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+def _sql_route():
+    """The signals in DuckDB, without graph queries: a CASE in the order of their scores."""
+    low = "lower(t)"
+    names = "|".join(n for v in temporal.MONTHS.values() for n in v)
+    dated = f"(regexp_matches(t, '\\d{{4}}-\\d{{2}}-\\d{{2}}') OR regexp_matches({low}, '\\d{{1,4}}\\s+({names})|({names})[a-zа-яё]*\\.?(\\s+\\d{{1,4}}|,\\s+\\d{{4}})') OR regexp_matches(t, '\\d{{1,2}}[./]\\d{{1,2}}[./]\\d{{4}}|\\d{{4}}[./]\\d{{1,2}}[./]\\d{{1,2}}') OR regexp_matches(t, '(^|[\\s(,])(1\\d{{3}}|20\\d{{2}}|2100)($|[\\s),.])'))"
+    code = f"(regexp_matches(t, '{router.CODE}') OR regexp_matches(t, '{router.SNAKE}') OR len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: regexp_matches(w, '[a-z][A-Z]') AND strlen(w) >= 4)) > 0)"
+    asks = f"(contains(t, '?') OR {' OR '.join(f'starts_with({low}, {w!r})' for w in router.QUESTION)})"
+    few = "(len(regexp_split_to_array(t, '\\s+')) <= 3 AND NOT regexp_matches(t, '[^\\p{L}\\p{Nd}_\\s-]'))"
+    return f"""CASE WHEN t = '' THEN 'HYBRID' WHEN {dated} THEN 'TEMPORAL' WHEN {_any_of(router.SUMMARY, low)} THEN 'COMMUNITY_GLOBAL' WHEN {code} THEN 'CODING_RULES'
+      WHEN {_any_of(router.RELATIONAL, low)} THEN 'COMMUNITY_LOCAL' WHEN {few} THEN 'HYBRID' WHEN {asks} THEN 'RAG_COMPLETION' ELSE 'HYBRID' END"""
+
+
+@query("route_queries", f"""WITH a AS (SELECT item_id AS id, trim(text) AS t FROM benchmark UNION ALL SELECT 100000 + conv_id * 100 + turn, trim(text) FROM conversations) SELECT id, {_sql_route()} AS strategy FROM a""")
 def route_queries(spark, sf):
-    """Each benchmark text's strategy; the texts' detectors are regular expressions."""
-    items = table(spark, sf, "benchmark").select("item_id", "text")
-    choice = F.lit(router.DEFAULT[0])
-    for name, _, pattern in reversed(router.SIGNALS):
-        choice = F.when(F.col("text").rlike(pattern if name == "CHUNKS_LEXICAL" else "(?is)" + pattern), name).otherwise(choice)
-    return items.select("item_id", choice.alias("strategy"))
+    """The strategy of each benchmark item and each conversation turn, with every backend but graph queries."""
+    asked = table(spark, sf, "benchmark").selectExpr("item_id as id", "trim(text) as text").union(table(spark, sf, "conversations").selectExpr("100000 + conv_id * 100 + turn as id", "trim(text) as text"))
+    return router.route(asked, [c for c in router.CAPABILITIES if c != "cypher"]).select("id", "strategy")
 
 
 @query("token_variants", "SELECT n_nationkey, list_distinct(list_filter([lower(n_name), regexp_replace(lower(n_name), '(s|ed|ing)$', '')], lambda x: strlen(x) >= 2)) AS variants FROM nation")

@@ -19,7 +19,7 @@ qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({TOK.format('t
 bm AS (SELECT qid, doc, sum(qtf * ln((n_docs - df + 0.5) / (df + 0.5) + 1) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
   FROM tf JOIN df USING (term) JOIN qt USING (term) CROSS JOIN stats GROUP BY qid, doc),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) AS rank FROM bm)"""
-COS = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[]) / sqrt(list_dot_product({0}::DOUBLE[], {0}::DOUBLE[]) * list_dot_product({1}::DOUBLE[], {1}::DOUBLE[]))"
+COS = "least(1.0, list_dot_product({0}::DOUBLE[], {1}::DOUBLE[]) / sqrt(list_dot_product({0}::DOUBLE[], {0}::DOUBLE[]) * list_dot_product({1}::DOUBLE[], {1}::DOUBLE[])))"
 
 
 def docs(spark, sf):

@@ -5,16 +5,41 @@ from pyspark.sql import Window, functions as F
 from ..operators import records, vector
 from ..registry import query
 from ..sources import readers
-from .base import table
+from .base import MEMORIES, memories, table
 from .retrieval import vectors
-from .shared import shared
-
-shared("collection_scan", "SELECT vec_id, label FROM embeddings")
-shared("point_lookup", "SELECT vec_id, label FROM embeddings WHERE vec_id = 42")
-shared("exists_check", "SELECT d.doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM embeddings v WHERE v.vec_id = d.doc_id)")
-shared("collection_catalog", "SELECT label AS collection, count(*) AS records, min(vec_id) AS first_id, max(vec_id) AS last_id FROM embeddings GROUP BY label")
-shared("object_hashes", "SELECT doc_id, md5(text) AS digest, sha1(text) AS sha1 FROM documents")
-shared("sync_export", "SELECT o_orderkey, o_totalprice, o_orderdate FROM orders WHERE o_orderdate > TIMESTAMP '1998-01-01 00:00:00'")
+
+@query("collection_scan", "SELECT vec_id AS id, label, len(embedding)::INT AS dim FROM embeddings")
+def collection_scan(spark, sf):
+    return vectors(spark, sf).select("id", "label", F.size("embedding").alias("dim"))
+
+
+@query("point_lookup", "SELECT vec_id AS id, label FROM embeddings WHERE vec_id IN (42, 7)")
+def point_lookup(spark, sf):
+    """Two records by id, and one that isn't there."""
+    return records.lookup(vectors(spark, sf), "id", [42, 7, -1]).select("id", "label")
+
+
+@query("exists_check", "SELECT doc_id AS id, doc_id IN (SELECT vec_id FROM embeddings) AS found FROM documents")
+def exists_check(spark, sf):
+    return records.exists(table(spark, sf, "documents").select(F.col("doc_id").alias("id")), vectors(spark, sf), "id")
+
+
+@query("collection_catalog", """SELECT CASE WHEN label = 3 THEN 'renamed' ELSE 'c' || label END AS name, 'd' || (label % 2) AS domain, 64 AS dim, count(*) AS records FROM embeddings WHERE label <> 4 GROUP BY label UNION ALL SELECT 'new', 'd1', 64, 0""")
+def collection_catalog(spark, sf):
+    """Collections with their records: one is dropped, one renamed, one created."""
+    c = table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("records")).selectExpr("concat('c', label) as name", "concat('d', label % 2) as domain", "64 as dim", "records")
+    return records.create_collection(records.rename_collection(records.drop_collection(c, "c4"), "c3", "renamed"), "new", "d1", 64)
+
+
+@query("object_hashes", "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, strlen(text) AS bytes FROM documents")
+def object_hashes(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5("text").alias("md5"), F.sha1("text").alias("sha1"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+@query("sync_export", f"WITH {MEMORIES} SELECT id, key, updated_at FROM memories WHERE updated_at > TIMESTAMP '1998-01-01' AND owner_id = 'u5'")
+def sync_export(spark, sf):
+    """An owner's memories changed since the last sync."""
+    return records.changed_since(memories(spark, sf), "updated_at", F.expr("timestamp_ntz'1998-01-01 00:00:00'"), owner_id="u5").select("id", "key", "updated_at")
 
 
 @query("vector_upsert", """WITH up AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS v FROM embeddings WHERE vec_id % 7 = 0)

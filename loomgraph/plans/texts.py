@@ -4,10 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import chunk, temporal, texts
+from ..operators import analytics, chunk, fuse, temporal, texts
 from ..registry import query
-from .base import table
-from .shared import shared
+from .base import MEMORIES, memories, table
 from .storage import UUID
 
 
@@ -37,9 +36,12 @@ def row_chunks(spark, sf):
     return chunk.row_groups(docs(spark, sf), 5)
 
 
-@query("simple_paragraphs", "SELECT doc_id, 0::INT AS chunk_index, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 200 AND NOT contains(text, chr(10) || chr(10))")
+PARAGRAPHS = "list_filter(list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10) || chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: length(x) >= 200)"
+
+
+@query("simple_paragraphs", f"SELECT doc_id, generate_subscripts(p, 1)::INT - 1 AS chunk_index, unnest(p) AS text FROM (SELECT doc_id, {PARAGRAPHS} AS p FROM documents)")
 def simple_paragraphs(spark, sf):
-    return chunk.simple_paragraphs(docs(spark, sf).where(~F.contains("text", F.lit("\n\n"))), 200)
+    return chunk.simple_paragraphs(docs(spark, sf), 200)
 
 
 for _name in ("merged", "sentence", "sliding", "row", "code"):
@@ -90,9 +92,11 @@ def python_entities(spark, sf):
     return texts.python_entities(code)
 
 
-@query("titles", "SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:7], ' ') AS title FROM documents")
+@query("titles", r"""WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), f AS (SELECT doc_id, unnest(list_transform(w, lambda x: lower(x))) AS x FROM w WHERE len(w) > 30),
+c AS (SELECT doc_id, x, count(*) AS n FROM f WHERE strlen(x) > 3 GROUP BY ALL), t AS (SELECT doc_id, string_agg(x, ', ' ORDER BY n DESC, x) AS top FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, x) AS r FROM c) WHERE r <= 3 GROUP BY doc_id)
+SELECT doc_id, CASE WHEN len(w) <= 7 THEN text ELSE array_to_string(w[1:7], ' ') || coalesce(' [' || top || ']', '') END AS title FROM w LEFT JOIN t USING (doc_id)""")
 def titles(spark, sf):
-    return docs(spark, sf).select("doc_id", texts.title(F.col("text")).alias("title"))
+    return texts.titles(docs(spark, sf).select("doc_id", "text"), "doc_id")
 
 
 @query("embed_context", "SELECT doc_id, 'Document: ' || source || chr(10) || 'Section: ' || lang || chr(10) || chr(10) || text AS text FROM documents")
@@ -120,8 +124,38 @@ def fuzzy_match(spark, sf):
     return n.join(b, n.n_nationkey < b.k2).where(sim >= 0.8).select(F.col("n_name").alias("a"), "b", F.round(sim, 6).alias("sim"))
 
 
-shared("uri_local_name", "SELECT page_id, regexp_replace(url, '^.*[/#]', '') AS name FROM pages")
-shared("retry_backoff", "SELECT event_id, CAST(30 * power(2, event_id % 6) AS BIGINT) AS delay FROM events")
-shared("half_hour_buckets", "SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY user_id, date_trunc('hour', ts)")
-shared("date_range_of_events", "SELECT user_id, min(CAST(ts AS DATE)) AS first_day, max(CAST(ts AS DATE)) AS last_day FROM events GROUP BY user_id")
-shared("score_normalise", "SELECT event_id, round(CASE WHEN value - 50 < 0 THEN CAST(0 AS DOUBLE) WHEN value - 50 <= 1 THEN value - 50 ELSE 1 / (1 + (value - 50)) END, 6) AS score FROM events")
+@query("uri_local_name", "WITH u AS (SELECT page_id, url || CASE WHEN page_id % 4 = 0 THEN '#part/a' ELSE '' END AS uri FROM pages) SELECT page_id, string_split(uri, CASE WHEN contains(uri, '#') THEN '#' ELSE '/' END)[-1] AS name FROM u")
+def uri_local_name(spark, sf):
+    """What follows the last #, else the last slash."""
+    p = table(spark, sf, "pages").select("page_id", F.expr("if(page_id % 4 = 0, concat(url, '#part/a'), url)").alias("uri"))
+    return p.select("page_id", texts.local_name(F.col("uri")).alias("name"))
+
+
+@query("retry_backoff", "SELECT event_id AS id, CASE WHEN event_id % 6 >= 4 THEN 'dead_letter' ELSE 'failed' END AS status, CASE WHEN event_id % 6 < 4 THEN ts + (30 * (1 << greatest((event_id % 6)::INT - 1, 0)))::INT * INTERVAL 1 SECOND END AS next_run_at FROM events")
+def retry_backoff(spark, sf):
+    """Failed jobs after so many attempts, four at most: 30 seconds, doubled each time."""
+    jobs = table(spark, sf, "events").selectExpr("event_id as id", "ts as now", "int(event_id % 6) as attempts")
+    return analytics.retried(jobs, 4, 30).select("id", "status", "next_run_at")
+
+
+@query("half_hour_buckets", "SELECT user_id, floor(epoch(ts) / 1800)::BIGINT AS bucket, count(*) AS n FROM events GROUP BY ALL")
+def half_hour_buckets(spark, sf):
+    return table(spark, sf, "events").groupBy("user_id", analytics.half_hour(F.col("ts")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("date_range_of_events", """WITH d AS (SELECT o_custkey, min(date_trunc('month', o_orderdate)::DATE) AS a, max(date_trunc('month', o_orderdate)::DATE) AS b FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey)
+SELECT o_custkey, a AS begin, CASE WHEN a = b AND month(a) = 1 AND day(a) = 1 THEN make_date(year(a), 12, 31) ELSE b END AS end FROM d""")
+def date_range_of_events(spark, sf):
+    """The first and last month of each customer's urgent orders; a single 1 January means its year."""
+    days = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey", F.trunc("o_orderdate", "month").alias("day"))
+    return temporal.date_ranges(days, "o_custkey", "day")
+
+
+@query("score_normalise", "SELECT event_id, round(CASE WHEN value < 50 THEN 0 WHEN value < 51 THEN value - 50 ELSE 1 / (value - 49) END, 6)::DOUBLE AS score FROM events")
+def score_normalise(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.round(fuse.unit(F.col("value") - 50), 6).alias("score"))
+
+
+@query("memory_digests", f"WITH {MEMORIES} SELECT id, sha256(key::BLOB || '\\x00'::BLOB || value::BLOB) AS digest FROM memories")
+def memory_digests(spark, sf):
+    return memories(spark, sf).select("id", texts.memory_digest(F.col("key"), F.col("value")).alias("digest"))

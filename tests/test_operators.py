@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph import registry
-from loomgraph.operators import chunk, fuse, graph, lexical, records, router, temporal, vector
+from loomgraph.operators import chunk, fuse, graph, lexical, memory, predicates, records, router, strategies, temporal, vector
 from loomgraph.operators.components import components
 from loomgraph.plans import base, graphs
 from loomgraph.sources import readers
@@ -144,12 +144,96 @@ def test_dates():
     assert temporal.date_range([dt.date(2020, 1, 1)]) == (dt.date(2020, 1, 1), dt.date(2020, 12, 31))
 
 
-def test_routing_and_search(spark):
-    assert router.route("MATCH (n) RETURN n")[0] == "CYPHER" and router.route("what happened in 1999?")[0] == "TEMPORAL"
-    assert router.route("quiet waters")[0] == "CHUNKS"
+ALL = router.CAPABILITIES
+FULL = [c for c in ALL if c != "communities"]
+NO_LLM, VECTORS, WORDS = [c for c in FULL if c != "llm"], ["embedding"], ["bm25"]
+ROUTES = [
+    ("MATCH (n) RETURN n LIMIT 10", FULL, "CYPHER"), ("optional match (n)-[r]->(m) return n,m", FULL, "CYPHER"), ("MATCH (n) RETURN n", ["embedding", "bm25"], "HYBRID"),
+    ("что произошло 2024-03-15?", FULL, "TEMPORAL"), ("события 15 марта 2024", FULL, "TEMPORAL"), ("events in March 2024", FULL, "TEMPORAL"), ("logs from 15/03/2024", FULL, "TEMPORAL"), ("events 2024-03-15", VECTORS, "CHUNKS"),
+    ("parseDate()", FULL, "CODING_RULES"), ("obj.Method()", FULL, "CODING_RULES"), ("module::item", FULL, "CODING_RULES"), ("ptr->field", FULL, "CODING_RULES"), ("what does parseConfigFile do", FULL, "CODING_RULES"),
+    ("func handleSearch", FULL, "CODING_RULES"), ("test_search_results", FULL, "CODING_RULES"), ("parseDate()", VECTORS, "CHUNKS"),
+    ("how is entity A related to entity B?", FULL, "GRAPH_COMPLETION"), ("как модуль A связан с модулем B?", FULL, "GRAPH_COMPLETION"), ("what depends on auth module?", FULL, "GRAPH_COMPLETION"), ("how is A related to B?", NO_LLM, "HYBRID"),
+    ("summarize the project status", FULL, "SUMMARIES"), ("краткий обзор проекта", FULL, "SUMMARIES"), ("project overview", FULL, "SUMMARIES"), ("project overview", ALL, "COMMUNITY_GLOBAL"), ("what depends on auth module?", ALL, "COMMUNITY_LOCAL"),
+    ("how does the search pipeline work?", FULL, "RAG_COMPLETION"), ("как работает поиск?", FULL, "RAG_COMPLETION"), ("vector search performance?", FULL, "RAG_COMPLETION"), ("how does search work?", NO_LLM, "HYBRID"),
+    ("authentication", FULL, "HYBRID"), ("vector insert speed", FULL, "HYBRID"), ("search for documents", VECTORS, "CHUNKS"), ("authentication", WORDS, "CHUNKS_LEXICAL"),
+    ("", FULL, "HYBRID"), ("", [], "CHUNKS"), ("   ", FULL, "HYBRID"), ("this is a very long query with many words but no special signals at all", FULL, "HYBRID"),
+]
+
+
+def test_routing(spark):
+    for have in {tuple(h): h for _, h, _ in ROUTES}.values():
+        asked = [(q, want) for q, h, want in ROUTES if h == have]
+        found = router.route(spark.createDataFrame(asked, "text string, want string"), have).collect()
+        assert [(r.text, r.strategy) for r in found] == asked
+    told = {r.text: r for r in router.route(spark.createDataFrame([("MATCH (n) RETURN n",), ("how does parseConfig work?",), ("",), ("events 2024-03-15",)], "text string"), FULL).collect()}
+    assert told["MATCH (n) RETURN n"].confidence == 1.0 and told[""].confidence == 0.3 and told["events 2024-03-15"].confidence == 0.95
+    assert [tuple(a) for a in told["how does parseConfig work?"].alternatives] == [("RAG_COMPLETION", 0.7), ("HYBRID", 0.6), ("CHUNKS", 0.5), ("CHUNKS_LEXICAL", 0.4)]
+    assert router.route(spark.createDataFrame([("authentication",)], "text string"), FULL, weights={"CHUNKS": 1.6}).first().strategy == "CHUNKS"
     assert router.decompose("red apples and green pears") == ["red apples and green pears", "red apples", "green pears"]
-    docs = spark.createDataFrame([(1, "red apples"), (2, "blue sky")], "id long, text string")
-    assert [r.id for r in router.search(spark, {"docs": docs}, {"query": "apples", "k": 3}).collect()] == [1]
+
+
+def test_strategies(spark):
+    docs = spark.createDataFrame([(1, "red apples taste of summer"), (2, "blue sky over the red sea"), (3, "x")], "id long, text string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], "d1"), (2, [0.8, 0.6], ""), (3, [0.0, 1.0], "d2")], "id long, embedding array<double>, dataset_id string")
+    nodes = spark.createDataFrame([("a", "Apple", "Fruit", ""), ("b", "Tree", "Plant", ""), ("c", "Garden", "Place", "")], "id string, name string, type string, dataset_id string")
+    edges = spark.createDataFrame([("e1", "a", "b", "GROWS_ON"), ("e2", "b", "c", "STANDS_IN")], "id string, source_id string, target_id string, relation string").withColumn("edge_text", F.lit(""))
+    t = {
+        "docs": docs, "vectors": vectors, "nodes": nodes.withColumns({"text": F.lit(""), "description": F.lit("")}), "edges": edges, "summaries": docs.join(vectors, "id"),
+        "events": spark.createDataFrame([(7, dt.datetime(2024, 1, 2)), (8, dt.datetime(2025, 1, 2))], "id long, at timestamp_ntz"), "communities": spark.createDataFrame([("k1", "a", "fruit and trees"), ("k1", "b", "fruit and trees"), ("k2", "c", "places")], "id string, node string, summary string"),
+    }
+    run = lambda name, **more: strategies.get(name)(spark, t, {"query": "apple", "embedding": [1.0, 0.0], "k": 2, **more}).collect()
+    names = "CHUNKS RAG_COMPLETION SUMMARIES CHUNKS_LEXICAL BM25 HYBRID WEIGHTED_HYBRID TEMPORAL GRAPH_COMPLETION GRAPH_SUMMARY_COMPLETION GRAPH_COMPLETION_CONTEXT_EXTENSION GRAPH_COMPLETION_COT TRIPLET_COMPLETION NATURAL_LANGUAGE CYPHER CODE CODING_RULES COMMUNITY_LOCAL COMMUNITY_GLOBAL"
+    assert strategies.names() == sorted(names.split())
+    assert strategies.get("misspelt") is strategies.get("CHUNKS")
+    assert [r.id for r in run("CHUNKS")] == [1, 2] and [r.id for r in run("CHUNKS", allowed=spark.createDataFrame([("d2",)], "dataset string"))] == [2, 3]
+    assert [r.id for r in run("BM25", query="red apples")] == [1, 2] and [r.id for r in run("HYBRID", query="red apples")] == [1, 2]
+    assert [(r.number, r.context) for r in run("RAG_COMPLETION")] == [(1, "[1] red apples taste of summer"), (2, "[2] blue sky over the red sea")]
+    assert [(r.id, r.score) for r in run("SUMMARIES", query="sky")] == [(1, 1.0), (2, pytest.approx(0.8))]
+    assert [(r.id, r.provider) for r in run("TEMPORAL", **{"from": dt.datetime(2024, 1, 1), "to": dt.datetime(2024, 12, 31)})] == [(7, 0), (1, 1)]
+    assert [(r.source, r.relation, r.target) for r in run("GRAPH_COMPLETION", embedding=None)] == [("Apple", "GROWS_ON", "Tree")]
+    assert [(r.id, r.hop) for r in run("GRAPH_COMPLETION_CONTEXT_EXTENSION")] == [("e1", 1), ("e2", 2)]
+    assert [r.rule for r in run("CODE", verbs={"GROWS_ON": "grows on"})] == ["Apple grows on Tree"]
+    assert [r.id for r in run("TRIPLET_COMPLETION", query="garden")] == ["e2"]
+    assert [r.n for r in run("CYPHER", sql="SELECT count(*) AS n FROM edges")] == [2]
+    assert [r.id for r in run("COMMUNITY_LOCAL")] == ["k1"] and [r.id for r in run("COMMUNITY_GLOBAL", query="places")] == ["k2"]
+    assert [r.id for r in strategies.search(spark, t, {"query": "red apples", "k": 1, "have": ["bm25"]}).collect()] == [1]
+
+
+def brute_dedup(rows, least):
+    """The kept places of (text, score) rows, gone through pair by pair."""
+    sets = [{w.strip(".,;:!?\"'()[]{}«»—–-") for w in t.lower().split()} - {""} for t, _ in rows]
+    gone = set()
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            if i in gone or j in gone or not sets[i] or not sets[j]:
+                continue
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) > least:
+                gone.add(j if rows[i][1] >= rows[j][1] else i)
+    return [i for i in range(len(rows)) if i not in gone]
+
+
+def test_result_deduplication(spark):
+    import random
+
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(8)]
+    lists = {q: [(" ".join(r.sample(words, r.randrange(0, 8))) + r.choice(["", ".", " !"]), r.choice([0.1, 0.5, 0.9])) for _ in range(12)] for q in range(20)}
+    df = spark.createDataFrame([(q, i, t, s) for q, rows in lists.items() for i, (t, s) in enumerate(rows)], "qid long, pos long, text string, score double").withColumn("id", F.col("pos"))
+    for least in (0.85, 0.5):
+        kept = fuse.deduplicated(df, least).groupBy("qid").agg(F.sort_array(F.collect_list("pos")).alias("pos")).collect()
+        assert {x.qid: x.pos for x in kept} == {q: brute_dedup(rows, least) for q, rows in lists.items()}
+
+
+def test_session_state(spark):
+    with pytest.raises(ValueError):
+        memory.gc_plan(spark.createDataFrame([("g0", "c")], "generation string, collection string"), spark.createDataFrame([("g0",)], "generation string"), "g0")
+    c = spark.createDataFrame([("a", "d", 2, 1), ("b", "d", 2, 1)], "name string, domain string, dim int, records long")
+    with pytest.raises(ValueError):
+        records.rename_collection(c, "a", "b")
+    assert records.create_collection(c, "a", "x", 9).count() == 2
+    rows_ = spark.createDataFrame([(1, "a"), (2, None)], "id int, dataset string")
+    assert [predicates.allowed_datasets(rows_, rows_, "u", superuser=True), predicates.allowed_rows(rows_, None, F.col("dataset")).count()] == [None, 2]
+    assert fuse.unit(F.lit(3.0)) is not None and spark.range(1).select(fuse.combined_confidence(F.lit(1.0), F.lit(None).cast("double"))).first()[0] == pytest.approx(0.85)
 
 
 def test_consolidation(spark):
