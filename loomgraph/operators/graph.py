@@ -289,3 +289,29 @@ def community_lookup(members: DataFrame, asked: DataFrame) -> DataFrame:
 def community_levels(members: DataFrame, least: int = 3) -> DataFrame:
     """(parent, community, member_count) of the communities with ``least`` members or more of ``members(parent, community, node)``."""
     return members.groupBy("parent", "community").agg(F.count("*").alias("member_count")).where(F.col("member_count") >= least)
+
+
+def n_hop_names(nodes: DataFrame, edges: DataFrame, name: str, hops: int, limit: int = 100) -> DataFrame:
+    """(source, relation, target): directed edges within ``hops`` of a name, joined by name, the first by source; a step a frontier of names."""
+    named = nodes.select("id", "name")
+    a, b = named.toDF("source_id", "source"), named.toDF("target_id", "target")
+    walk = written(edges.select("source_id", "relation", "target_id").join(a, "source_id").join(b, "target_id").select("source", "relation", "target").distinct(), "walk")
+    at, seen = walk.sparkSession.range(1).select(F.lit(name).alias("source")), None
+    for _ in range(min(max(hops, 1), 8)):
+        step = walk.join(at, "source", "left_semi")
+        seen = step if seen is None else seen.union(step).distinct()
+        at = step.select(F.col("target").alias("source")).distinct()
+    return seen.orderBy("source", "relation", "target").limit(limit)
+
+
+def cyclic_plans(steps: DataFrame) -> DataFrame:
+    """(plan, cyclic) of ``steps(plan, a, b)``: a plan has a cycle if steps stay when those without a predecessor go, again and again."""
+    left = written(steps.select("plan", "a", "b").distinct(), "steps")
+    size = left.count()
+    while size:
+        left = written(left.join(left.select("plan", F.col("b").alias("a")).distinct(), ["plan", "a"], "left_semi"), "steps")
+        now = left.count()
+        if now == size:
+            break
+        size = now
+    return steps.select("plan").distinct().join(left.select("plan").distinct().withColumn("cyclic", F.lit(True)), "plan", "left").select("plan", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import answers, graph, memory, records, relate, router, routes, strategies, temporal
+from ..operators import answers, graph, graphrank, memory, records, relate, router, routes, strategies, temporal
 from ..registry import query
 from .base import GRAPH, MEMORIES, graph_edges, graph_nodes, memories, table
 
@@ -173,13 +173,12 @@ def token_variants(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", answers.variants(F.col("n_name")).alias("variants"))
 
 
-@query("vsa_rerank", f"WITH {GRAPH} SELECT id, round((hash_ % 100) / 100.0 + least(0.25, 0.12 * overlap) + 0.03, 6)::DOUBLE AS score FROM (SELECT id, length(id) AS hash_, (contains(lower(relation), 'live')::INT + contains(lower(target_id), 'n1')::INT) AS overlap FROM edges WHERE relation = 'LIVES_IN') x ORDER BY score DESC, id LIMIT 20")
+@query("vsa_rerank", f"""WITH {GRAPH} SELECT id, round((length(id) % 100) / 100.0 + least(0.25, 0.12 * (contains(lower(target_id), 'n1') AND length(target_id) = 2)::INT + 0.12 * (relation = 'LIVES_IN')::INT * 2) + 0.03, 6)::DOUBLE AS score
+FROM edges ORDER BY round(score, 9) DESC, id LIMIT 20""")
 def vsa_rerank(spark, sf):
-    """A candidate's score plus a share of the query words in it, a quarter at most, and of its confidence."""
-    e = graph_edges(spark, sf).where("relation = 'LIVES_IN'")
-    overlap = F.contains(F.lower("relation"), F.lit("live")).cast("int") + F.contains(F.lower("target_id"), F.lit("n1")).cast("int")
-    score = (F.char_length("id") % 100) / 100.0 + F.least(F.lit(0.25), 0.12 * overlap) + 0.03 * F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0))
-    return e.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
+    """Facts for 'who lives in n1': lives and in count as words of a relation."""
+    e = graph_edges(spark, sf).select("id", ((F.char_length("id") % 100) / 100.0).alias("similarity"), "confidence", F.concat_ws(" ", "relation", "target_id").alias("text"))
+    return graphrank.vsa_rerank(e, "who lives, n1").limit(20).select("id", F.round("score", 6).alias("score"))
 
 
 @query("answer_entities", "SELECT n_nationkey, 'nation' || n_nationkey AS source, 'IN' AS relation, 'region' || n_regionkey AS target FROM nation")
