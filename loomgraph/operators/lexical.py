@@ -18,23 +18,97 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
     return terms.groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, doc, score, rank): the best k documents of each of ``queries(qid, text)``.
+def _wanted(queries: DataFrame) -> DataFrame:
+    """(qid, term, qtf): a term that a query repeats counts as often."""
+    return queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
-    A term that a query repeats counts as often.  k1 < 0 and b outside 0..1 mean the defaults.
-    Only the queries' terms leave the scan: the text is split once, and the counts are
-    aggregated before anything is shuffled.
+
+def scores(tf: DataFrame, wanted: DataFrame, size: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, doc, score) of ``tf(term, doc, tf, dl)``, the whole postings of ``wanted(qid, term, qtf)``; ``size(n_docs, avgdl)`` is one row.
+
+    k1 < 0 and b outside 0..1 mean the defaults.
     """
     k1, b = (k1 if k1 >= 0 else K1), (b if 0 <= b <= 1 else B)
-    wanted = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    weight = F.expr(f"ln((n_docs - df + 0.5) / (df + 0.5) + 1) * (tf * ({k1} + 1)) / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))")
+    return tf.join(df, "term").crossJoin(size).join(wanted, "term").groupBy("qid", "doc").agg(F.sum(weight * F.col("qtf")).alias("score"))
+
+
+def best(scored: DataFrame, k: int | None) -> DataFrame:
+    """The k best documents of each query with their rank; None: all, without a rank."""
+    return scored if k is None else top_per(scored, "qid", [F.round("score", 9).desc(), F.col("doc")], k)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None, id_col: str = "id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, doc, score, rank): the best k documents of each of ``queries(qid, text)``, from the texts.
+
+    Only the queries' terms leave the scan: the counts are aggregated before anything is
+    shuffled.  For more than one search of the same documents, see ``Index``.
+    """
+    wanted = _wanted(queries)
     rows = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("ts")).withColumn("dl", F.size("ts").cast("long"))
     size = rows.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     hits = rows.select("doc", "dl", F.explode("ts").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     tf = hits.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.expr(f"ln((n_docs - df + 0.5) / (df + 0.5) + 1) * (tf * ({k1} + 1)) / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))")
-    scored = tf.join(df, "term").crossJoin(size).join(wanted, "term").groupBy("qid", "doc").agg(F.sum(weight * F.col("qtf")).alias("score"))
-    return top_per(scored, "qid", [F.round("score", 9).desc(), F.col("doc")], k)
+    return best(scores(tf, wanted, size, k1, b), k)
+
+
+class Index:
+    """Postings and lengths of documents, written once and searched many times.
+
+    A snapshot is a folder with postings(term, doc, tf, dl), sorted by term inside files dealt by
+    term, so that a search's terms skip most row groups, and lengths(doc, dl).  ``upsert`` and
+    ``remove`` write the next snapshot from this one; a snapshot without its mark isn't read.
+    """
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.version = self._versions()[-1]
+
+    def _versions(self):
+        jvm = self.spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.path + "/*/lengths/_SUCCESS")
+        found = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(where) or []
+        return sorted(int(f.getPath().getParent().getParent().getName()) for f in found)
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, id_col: str = "id", text_col: str = "text"):
+        index = cls.__new__(cls)
+        index.spark, index.path, index.version = docs.sparkSession, path.rstrip("/"), 0
+        index._write(postings(docs, id_col, text_col), docs.select(F.col(id_col).alias("doc"), F.size(tokens(F.col(text_col))).cast("long").alias("dl")), 0)
+        return index
+
+    def _write(self, postings: DataFrame, lengths: DataFrame, version: int):
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = postings.select("term", "doc", "tf", "dl").repartition(parts, "term").sortWithinPartitions("term")
+        dealt.write.mode("overwrite").parquet(f"{self.path}/{version}/postings")
+        lengths.write.mode("overwrite").parquet(f"{self.path}/{version}/lengths")  # the mark: written last
+        self.version = version
+
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{self.version}/postings")
+
+    def lengths(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{self.version}/lengths")
+
+    def upsert(self, docs: DataFrame, id_col: str = "id", text_col: str = "text"):
+        """Documents added, or replaced by id."""
+        ids = docs.select(F.col(id_col).alias("doc")).distinct()
+        mine = docs.select(F.col(id_col).alias("doc"), F.size(tokens(F.col(text_col))).cast("long").alias("dl"))
+        old = lambda d: d.join(ids, "doc", "left_anti")
+        self._write(old(self.postings()).unionByName(postings(docs, id_col, text_col)), old(self.lengths()).unionByName(mine), self.version + 1)
+        return self
+
+    def remove(self, ids: DataFrame):
+        """Documents ``ids(id)`` taken out."""
+        gone = ids.select(F.col("id").alias("doc")).distinct()
+        self._write(self.postings().join(gone, "doc", "left_anti"), self.lengths().join(gone, "doc", "left_anti"), self.version + 1)
+        return self
+
+    def search(self, queries: DataFrame, k: int | None, k1: float = K1, b: float = B) -> DataFrame:
+        wanted = _wanted(queries)
+        tf = self.postings().join(wanted.select("term").distinct(), "term", "left_semi")
+        return best(scores(tf, wanted, self.lengths().agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")), k1, b), k)
 
 
 def top_per(df: DataFrame, key, order, k: int) -> DataFrame:

@@ -50,7 +50,7 @@ def route_scores(rows: DataFrame, query: str, with_bm25: bool = True) -> DataFra
     if with_bm25:
         texts = rows.select(F.struct(*rows.columns).alias("id"), F.concat_ws(" ", *parts).alias("text"))
         asked = rows.sparkSession.range(1).select(F.lit(0).alias("qid"), F.lit(query).alias("text"))
-        found = lexical.bm25(texts, asked, 1 << 30).select(F.col("doc").alias("_row"), F.col("score").alias("_bm25"))
+        found = lexical.bm25(texts, asked, None).select(F.col("doc").alias("_row"), F.col("score").alias("_bm25"))
         scored = scored.withColumn("_row", F.struct(*rows.columns)).join(found, "_row", "left").withColumn("score", F.col("score") + F.coalesce("_bm25", F.lit(0.0))).drop("_row", "_bm25")
     scored = scored.where("score > 0").withColumn("confidence", F.least(F.col("score") / 10, F.lit(1.0)))
     return scored.orderBy(F.round("score", 9).desc(), *([f"{k}_id" for k in LEVELS if f"{k}_id" in rows.columns] or [F.lit(1)]))

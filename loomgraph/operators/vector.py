@@ -125,31 +125,52 @@ def _keys(planes):
     return run
 
 
-def exact_pairs(vectors: DataFrame, least: float, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
-    """(a, b, score), a < b, cosine >= least: every row against all rows, in broadcast blocks of bounded size."""
-    queries = vectors.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("embedding"))
-    spark, out = vectors.sparkSession, None
-    rows = queries.toArrow()
-    step = 4096
-    for at in range(0, max(rows.num_rows, 1), step):
-        part = rows.slice(at, step)
-        block = spark.sparkContext.broadcast((part.column(0).to_pylist(), [x.as_py() for x in part.column(1)]))
-        found = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding")).mapInArrow(_pairs(block, least), "a long, b long, score double")
-        out = found if out is None else out.union(found)
-    return out
+def exact_pairs(vectors: DataFrame, least: float, id_col: str = "id", vec_col: str = "embedding", block: int = 2048) -> DataFrame:
+    """(a, b, score), a < b, cosine >= least: every row against all rows, as products of blocks of rows.
 
+    Rows are dealt into blocks of ``block`` by a hash of their id; each pair of blocks is one
+    key's work, two blocks in memory.  Nothing passes the driver; the work, and what is shuffled,
+    grow with the square of the table by definition: ``similar_pairs`` is the form for large ones.
+    """
+    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
+    blocks = max(1, -(-rows.count() // block))
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    every = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    keyed = every.select((F.least("own", "other") * blocks + F.greatest("own", "other")).alias("key"), "own", "id", "v")
+    parts = max(1, min(blocks * (blocks + 1) // 2, 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    placed = keyed.repartition(parts, "key").sortWithinPartitions("key")
+    return placed.mapInArrow(_products(least, blocks), "a long, b long, score double")
+
+
+def _products(least, blocks):
+    def finish(key, own, ids, vectors):
+        low, high = divmod(key, blocks)
+        own, ids = np.array(own), np.array(ids, np.int64)
+        sizes = np.array([len(v) for v in vectors])
+        for size in np.unique(sizes):  # vectors of one size compare
+            same = np.flatnonzero(sizes == size)
+            m, side, names = _unit(np.array([vectors[i] for i in same], np.float64).reshape(len(same), size)), own[same], ids[same]
+            x, y = np.flatnonzero(side == low), np.flatnonzero(side == high)
+            score = np.clip(m[x] @ m[y].T, -1, 1)
+            i, j = np.nonzero(score >= least)
+            a, b, s = names[x[i]], names[y[j]], score[i, j]
+            keep = a < b if low == high else a != b
+            a, b, s = a[keep], b[keep], s[keep]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s)], names=["a", "b", "score"])
 
-def _pairs(block, least):
     def run(batches):
-        qids, vectors = block.value
-        if not qids:
-            return
-        q, names = _unit(np.asarray(vectors, np.float64)), np.asarray(qids)
+        now, own, ids, vectors = None, [], [], []
         for batch in batches:
-            m = _unit(np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1))
-            ids = np.asarray(batch.column(0))
-            s = q @ m.T
-            i, j = np.nonzero((s >= least) & (names[:, None] < ids[None, :]))
-            yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(ids[j]), pa.array(s[i, j])], names=["a", "b", "score"])
+            for key, o, i, v in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != now:
+                    if ids:
+                        yield from finish(now, own, ids, vectors)
+                    now, own, ids, vectors = key, [], [], []
+                own.append(o)
+                ids.append(i)
+                vectors.append(v)
+        if ids:
+            yield from finish(now, own, ids, vectors)
 
     return run

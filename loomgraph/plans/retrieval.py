@@ -4,6 +4,7 @@ from pyspark.sql import Window, functions as F
 
 from ..operators import fuse, lexical, vector
 from ..registry import query
+from ..sources.store import fresh
 from .base import table
 
 QUERY = "the of thing that entaion"
@@ -26,6 +27,17 @@ def docs(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang")
 
 
+_INDEXES = {}
+
+
+def index(spark, sf):
+    """The documents' index, built by the first search of a session and kept in the shared folder."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _INDEXES:
+        _INDEXES[key] = lexical.Index.build(docs(spark, sf), fresh(spark, "lexical"))
+    return _INDEXES[key]
+
+
 def one(spark, text, qid=0):
     return spark.range(1).select(F.lit(qid).cast("long").alias("qid"), F.lit(text).alias("text"))
 
@@ -40,13 +52,30 @@ def query_vector(spark, sf, vec_id=0):
 
 @query("bm25_topk", f"WITH q AS (SELECT 0::BIGINT AS qid, '{QUERY}' AS text), {BM25} SELECT doc, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10")
 def bm25_topk(spark, sf):
+    return index(spark, sf).search(one(spark, QUERY), 10).select("doc", F.round("score", 6).alias("score"), "rank")
+
+
+@query("bm25_from_texts", f"WITH q AS (SELECT 0::BIGINT AS qid, '{QUERY}' AS text), {BM25} SELECT doc, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10")
+def bm25_from_texts(spark, sf):
+    """One search without an index."""
     return lexical.bm25(docs(spark, sf), one(spark, QUERY), 10).select("doc", F.round("score", 6).alias("score"), "rank")
 
 
+CHANGED = "FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN upper(text) || ' thing' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 2))"
+
+
+@query("bm25_index_changes", f"WITH q AS (SELECT 0::BIGINT AS qid, '{QUERY}' AS text), {BM25.replace('FROM documents)', CHANGED)} SELECT doc, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10")
+def bm25_index_changes(spark, sf):
+    """A third of the documents replaced, a fifth removed, then searched."""
+    d = docs(spark, sf)
+    made = lexical.Index.build(d, fresh(spark, "lexical-changes")).upsert(d.where("id % 3 = 1").withColumn("text", F.concat(F.upper("text"), F.lit(" thing")))).remove(d.where("id % 5 = 2"))
+    return lexical.Index(spark, made.path).search(one(spark, QUERY), 10).select("doc", F.round("score", 6).alias("score"), "rank")
+
+
 @query("bm25_batch", f"WITH q AS (SELECT item_id AS qid, text FROM benchmark), {BM25} SELECT qid, doc, round(score, 6) AS score, rank FROM ranked WHERE rank <= 5")
 def bm25_batch(spark, sf):
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return lexical.bm25(docs(spark, sf), queries, 5).withColumn("score", F.round("score", 6))
+    return index(spark, sf).search(queries, 5).withColumn("score", F.round("score", 6))
 
 
 @query("bm25_postings", f"SELECT doc_id AS doc, term, dl, count(*) AS tf FROM (SELECT doc_id, len(ts)::BIGINT AS dl, unnest(ts) AS term FROM (SELECT doc_id, {TOK.format('text')} AS ts FROM documents)) GROUP BY ALL")
@@ -118,7 +147,7 @@ ORDER = "round(score, 12) DESC, coalesce(ls, 0) DESC, coalesce(lr, 1 << 30), coa
 def _lists(spark, sf, depth=20):
     v = vector.topk(vectors(spark, sf), query_vector(spark, sf), depth)
     v = v.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "id")).cast("long"))
-    x = lexical.bm25(docs(spark, sf), one(spark, QUERY), depth).select(F.col("doc").alias("id"), "score", "rank")
+    x = index(spark, sf).search(one(spark, QUERY), depth).select(F.col("doc").alias("id"), "score", "rank")
     return v, x
 
 
@@ -152,7 +181,7 @@ def _variants(spark, sf):
     queries = None
     for i, t in VARIANTS:
         queries = one(spark, t, i) if queries is None else queries.union(one(spark, t, i))
-    return lexical.bm25(docs(spark, sf), queries, 10).select(F.col("qid").alias("list"), F.col("doc").alias("id"), "score", "rank")
+    return index(spark, sf).search(queries, 10).select(F.col("qid").alias("list"), F.col("doc").alias("id"), "score", "rank")
 
 
 @query("multi_query_rrf", f"WITH q AS ({_Q3}), {BM25} SELECT doc AS id, round(sum(1.0 / (60 + rank)), 9) AS fused, round(max(score), 6) AS score FROM ranked WHERE rank <= 10 GROUP BY doc ORDER BY round(sum(1.0 / (60 + rank)), 12) DESC, id LIMIT 10")
@@ -176,13 +205,13 @@ def chunks_strategy(spark, sf):
 SELECT lang, doc, round(score, 6) AS score, place FROM c WHERE place <= 5""")
 def lexical_strategy(spark, sf):
     """Per-collection best documents; collections stand one after another."""
-    scored = lexical.bm25(docs(spark, sf), one(spark, QUERY), 1 << 30).select("doc", "score")
+    scored = index(spark, sf).search(one(spark, QUERY), None).select("doc", "score")
     rows = scored.join(docs(spark, sf).select(F.col("id").alias("doc"), "lang"), "doc")
     best = lexical.top_per(rows, "lang", [F.round("score", 9).desc(), F.col("doc")], 5)
     return best.select("lang", "doc", F.round("score", 6).alias("score"), F.col("rank").alias("place"))
 
 
-WS = "list_distinct(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: trim(w, '.,!?;:\"''()[]{}')), lambda w: w <> ''))"
+WS = "list_distinct(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: trim(w, '.,;:!?\"''()[]{}«»—–-')), lambda w: w <> ''))"
 
 
 @query("jaccard_pairs", f"""WITH q AS (SELECT item_id AS qid, text FROM benchmark), {BM25}, s AS (SELECT qid, doc AS id, {WS} AS w FROM ranked JOIN documents ON doc_id = doc WHERE rank <= 20),
@@ -191,7 +220,7 @@ SELECT qid, a, b, round(sim, 6) AS sim FROM p WHERE sim > 0.85""")
 def jaccard_pairs(spark, sf):
     """Near-equal results of each query, among its twenty best documents."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    best = lexical.bm25(docs(spark, sf), items, 20).select("qid", F.col("doc").alias("id"))
+    best = index(spark, sf).search(items, 20).select("qid", F.col("doc").alias("id"))
     found = best.join(docs(spark, sf).select("id", "text"), "id")
     return fuse.jaccard_pairs(found, 0.85, "qid").withColumn("sim", F.round("sim", 6))
 
@@ -241,7 +270,7 @@ def retrieval_quality(spark, sf):
     """recall@1, recall@5 and MRR of BM25 on the benchmark items that stand in some document."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
     d = docs(spark, sf)
-    found = lexical.bm25(d, items, 5).select("qid", F.col("doc").alias("id"), "rank")
+    found = index(spark, sf).search(items, 5).select("qid", F.col("doc").alias("id"), "rank")
     # three inner words of an item in a row name the documents that are compared with its text
     words = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 2), lambda i: F.concat_ws(" ", F.slice(c, i, 3)))
     named = items.withColumn("ts", lexical.tokens(F.col("text"))).where("size(ts) >= 5").select("qid", F.col("text").alias("item"), F.concat_ws(" ", F.slice("ts", 2, 3)).alias("key"))
@@ -262,7 +291,7 @@ def summaries_union(spark, sf):
 @query("rag_contexts", f"WITH q AS (SELECT 0::BIGINT AS qid, '{QUERY}' AS text), {BM25}, c AS (SELECT doc, text, row_number() OVER (ORDER BY rank) AS number FROM ranked JOIN documents d ON d.doc_id = ranked.doc WHERE rank <= 30 AND strlen(text) > 20) SELECT number, doc, '[' || number || '] ' || substr(text, 1, 80) AS context FROM c WHERE number <= 10")
 def rag_contexts(spark, sf):
     """Numbered contexts of over 20 bytes for an answer: the retrieval half of completion."""
-    best = lexical.bm25(docs(spark, sf), one(spark, QUERY), 30).join(docs(spark, sf).select(F.col("id").alias("doc"), "text"), "doc").where(F.octet_length("text") > 20)
+    best = index(spark, sf).search(one(spark, QUERY), 30).join(docs(spark, sf).select(F.col("id").alias("doc"), "text"), "doc").where(F.octet_length("text") > 20)
     numbered = best.withColumn("number", F.row_number().over(Window.orderBy("rank")).cast("long")).where("number <= 10")
     return numbered.select("number", "doc", F.concat(F.lit("["), F.col("number"), F.lit("] "), F.substring("text", 1, 80)).alias("context"))
 
@@ -271,7 +300,7 @@ def rag_contexts(spark, sf):
 def memory_recall(spark, sf):
     """Ranked hits inside the scope, else a LIKE search of the scope."""
     scope = docs(spark, sf).where("source = 'src4'")
-    hits = lexical.bm25(docs(spark, sf), one(spark, "zzzz unheard"), 10).select(F.col("doc").alias("id")).join(scope.select("id"), "id", "left_semi")
+    hits = index(spark, sf).search(one(spark, "zzzz unheard"), 10).select(F.col("doc").alias("id")).join(scope.select("id"), "id", "left_semi")
     some = hits.agg((F.count("*") > 0).alias("some"))
     fallback = scope.where(F.col("text").ilike("%tion%")).select("id").crossJoin(some).where("not some").select("id").orderBy("id").limit(20)
     return hits.union(fallback)

@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame
 
 
 def shared_folder(spark) -> str:
-    """``spark.checkpoint.dir``, or a local folder where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or "file://" + os.path.join(tempfile.gettempdir(), "loomgraph-steps")).rstrip("/")
+    """``spark.checkpoint.dir``; a local folder only in local mode, where there is one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + os.path.join(tempfile.gettempdir(), "loomgraph-steps")
+    return found.rstrip("/")
+
+
+def fresh(spark, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written and read again: its lineage ends here, and a lost executor costs one step."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
