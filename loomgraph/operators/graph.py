@@ -220,10 +220,15 @@ def louvain(graph: DataFrame, resolution: float = 1.0, levels: int = 10) -> Data
     return graph.select("a", "b", F.col("weight").cast("double")).coalesce(1).mapInArrow(run, "id string, level long, community long")
 
 
-def label_moves(graph: DataFrame, rounds: int = 5) -> DataFrame:
-    """(id, community) by synchronous moves to the heaviest neighbouring label, for graphs of any size."""
+def label_moves(graph: DataFrame, rounds: int = 5, start: DataFrame | None = None) -> DataFrame:
+    """(id, community) by synchronous moves to the heaviest neighbouring label, for graphs of any size.
+
+    ``start(id, community)`` is where known nodes begin, others alone.
+    """
     walk = graph.select("a", "b", "weight").union(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     labels = walk.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id"))
+    if start is not None:
+        labels = labels.join(start.select("id", F.col("community").alias("_c")), "id", "left").select("id", F.coalesce("_c", "community").alias("community"))
     for r in range(rounds):
         votes = walk.join(labels.select(F.col("id").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
         best = votes.groupBy(F.col("a").alias("id")).agg(F.max_by("community", F.struct("w", "community")).alias("new"))
@@ -315,3 +320,33 @@ def cyclic_plans(steps: DataFrame) -> DataFrame:
             break
         size = now
     return steps.select("plan").distinct().join(left.select("plan").distinct().withColumn("cyclic", F.lit(True)), "plan", "left").select("plan", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+
+def incremental_communities(graph: DataFrame, known: DataFrame, rounds: int = 2, most: float = 0.2) -> DataFrame | None:
+    """(id, community) after a graph has grown from ``known(id, community)``: None below three nodes.
+
+    Up to a share ``most`` of new nodes, the known communities are where the moves begin; with
+    more new ones, or none known, everything begins alone.
+    """
+    nodes = graph.select(F.col("a").alias("id")).union(graph.select("b")).distinct()
+    total, old = nodes.join(known.select("id", "community"), "id", "left").agg(F.count("*"), F.count("community")).first()
+    if total < 3:
+        return None
+    grown = old == 0 or (total - old) / old > most
+    return label_moves(graph, 5 if grown else rounds, None if grown else known)
+
+
+def upsert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges with ``new`` in place of those of equal id (source_relation_target where it has none); the earliest valid_from stays."""
+    named = new.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), F.concat_ws("_", "source_id", "relation", "target_id")))
+    both = edges.withColumn("_seq", F.lit(1)).unionByName(named.withColumn("_seq", F.lit(2)))
+    rest = [c for c in edges.columns if c not in ("id", "valid_from")]
+    each = both.groupBy("id").agg(F.max_by(F.struct(*rest), "_seq").alias("_r"), F.min("valid_from").alias("valid_from"))
+    return each.select("id", *[F.col(f"_r.{c}").alias(c) for c in rest], "valid_from").select(*edges.columns)
+
+
+def triplet_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes and edges after deduplication, triplets made, edges skipped for a missing end or relation."""
+    n, e = deduplicate_nodes(nodes), deduplicate_edges(edges)
+    made = triplets(n, e).agg(F.count("*").alias("triplets"))
+    return n.agg(F.count("*").alias("nodes")).crossJoin(e.agg(F.count("*").alias("edges"))).crossJoin(made).withColumn("skipped", F.col("edges") - F.col("triplets"))  # one row each

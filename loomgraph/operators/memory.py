@@ -125,3 +125,44 @@ def entity_edges(nodes: DataFrame, edges: DataFrame, name: str, at: Column | Non
     ids = nodes.where(F.contains(F.lower("name"), F.lit(name.lower()))).orderBy("id").limit(10).select(F.col("id").alias("_id"))
     hit = edges.join(F.broadcast(ids), edges.source_id == F.col("_id"), "left_semi").union(edges.join(F.broadcast(ids), edges.target_id == F.col("_id"), "left_semi")).distinct()  # ten ids
     return (hit if at is None else entity_at(hit, at)).orderBy("id").limit(limit)
+
+
+def page(memories: DataFrame, limit: int, offset: int) -> DataFrame:
+    """A page of memories, the newest first; a limit outside 1..100 means 50."""
+    return memories.orderBy(F.desc("updated_at"), "id").offset(offset).limit(limit if 0 < limit <= 100 else 50)
+
+
+def reviews(memories: DataFrame, before: Column, halls) -> DataFrame:
+    """(room, stale, other_halls, n) of live memories: those not updated since a time, those of a hall that isn't among ``halls``."""
+    live = memories.where("superseded_by = ''")
+    return live.groupBy("room").agg(F.count_if(F.col("updated_at") < before).alias("stale"), F.count_if(~F.col("hall").isin(*halls)).alias("other_halls"), F.count("*").alias("n"))
+
+
+def promotable(steps: DataFrame, blockers: DataFrame) -> DataFrame:
+    """(task) all of whose ``steps(task, passed)`` passed, without ``blockers(task)``."""
+    done = steps.groupBy("task").agg(F.bool_and("passed").alias("_all")).where("_all")
+    return done.join(blockers.select("task").distinct(), "task", "left_anti").select("task")
+
+
+def migration(records: DataFrame, embedded: DataFrame) -> DataFrame:
+    """(collection, todo, done, ready) of records(collection, id) and those that the new encoder has seen; ready to cut over when nothing is left."""
+    seen = embedded.select("collection", "id").distinct().withColumn("_done", F.lit(1))
+    each = records.join(seen, ["collection", "id"], "left").groupBy("collection").agg(F.count_if(F.col("_done").isNull()).alias("todo"), F.count("_done").alias("done"))
+    return each.withColumn("ready", F.col("todo") == 0)
+
+
+def workspace_search(chunks: DataFrame, active: str, needle: str, limit: int = 20, **wanted) -> DataFrame:
+    """Chunks of the active generation that equal the given fields and whose path holds the needle, case aside."""
+    from .predicates import manifest_chunks
+
+    found = manifest_chunks(chunks, active, **wanted).where(F.contains(F.lower("path"), F.lit(needle.lower())))
+    return found.orderBy("path", "chunk_id").limit(limit)
+
+
+def glob(path: Column, pattern: str) -> Column:
+    """Whether a path matches a glob: * and ? within a folder, ** across folders."""
+    import re
+
+    parts = re.split(r"(\*\*|\*|\?)", pattern)
+    rule = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return path.rlike("^" + "".join(rule.get(x) or re.sub(r"([^\w/ -])", r"\\\1", x) for x in parts) + "$")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import analytics, memory, records, routes
+from ..operators.predicates import memory_scope
 from ..registry import query
 from .base import GRAPH, MANIFEST, MEMORIES, graph_edges, graph_nodes, manifest, memories, table
 
@@ -198,3 +199,64 @@ def predicate_ranking(spark, sf):
     names = graph_edges(spark, sf).select(F.col("relation").alias("predicate")).distinct()
     synonyms = spark.createDataFrame([("LIVES_IN", "resides", routes.MANUAL), ("IN_REGION", "area", routes.FEEDBACK)], "predicate string, synonym string, weight int")
     return routes.rank_predicates(names, synonyms, "who lives in regions")
+
+
+@query("repeat_saves", "SELECT event_id AS id, count(*) OVER (PARTITION BY user_id % 2, value::BIGINT ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS repeat FROM events WHERE event_type = 'purchase'")
+def repeat_saves(spark, sf):
+    """Purchases as saves, their rounded value as the key."""
+    e = table(spark, sf, "events").where("event_type = 'purchase'").selectExpr("event_id as id", "ts", "user_id % 2 as collection", "bigint(round(value)) as key")
+    return analytics.repeat_saves(e, "key").select("id", "repeat")
+
+
+@query("cache_hit_rates", "SELECT event_type AS model, count(*) FILTER (value > 30) AS hits, count(*) FILTER (value <= 30) AS misses, round(avg((value > 30)::INT), 6) AS rate FROM events GROUP BY 1")
+def cache_hit_rates(spark, sf):
+    return analytics.hit_rates(table(spark, sf, "events").selectExpr("event_type as model", "value > 30 as hit"), "model")
+
+
+@query("session_context", f"""WITH {MEMORIES}, p AS (SELECT 'pinned' AS kind, id FROM memories WHERE is_pinned AND owner_id IN ('u1', '') AND superseded_by = '' ORDER BY pin_priority DESC, updated_at DESC, id LIMIT 10),
+m AS (SELECT 'recent' AS kind, id FROM memories WHERE owner_id = 'u1' ORDER BY updated_at DESC, id LIMIT 10), t AS (SELECT 'turn' AS kind, conv_id * 1000 + turn AS id FROM conversations WHERE conv_id = 3 ORDER BY turn DESC LIMIT 5) SELECT * FROM p UNION ALL SELECT * FROM m UNION ALL SELECT * FROM t""")
+def session_context(spark, sf):
+    """What a session begins with: pinned memories, the newest ones, and the conversation's last turns."""
+    turns = memory.last_turns(table(spark, sf, "conversations").where("conv_id = 3"), "conv_id", "turn").selectExpr("'turn' as kind", "conv_id * 1000 + turn as id")
+    m = memories(spark, sf)
+    kind = lambda d, k: d.select(F.lit(k).alias("kind"), "id")
+    return kind(memory.pinned(m, "u1", limit=10), "pinned").union(kind(memory.newest(m, "u1", 10), "recent")).union(turns)
+
+
+@query("list_memories", f"WITH {MEMORIES} SELECT id, key, room, hall FROM memories WHERE owner_id IN ('u2', '') AND hall = 'fact' AND superseded_by = '' ORDER BY updated_at DESC, id LIMIT 20 OFFSET 20")
+def list_memories(spark, sf):
+    """A page of a scope's live memories of one kind."""
+    return memory.page(memory_scope(memories(spark, sf), "u2", hall="fact"), 20, 20).select("id", "key", "room", "hall")
+
+
+@query("memory_reviews", f"WITH {MEMORIES} SELECT room, count(*) FILTER (updated_at < TIMESTAMP '1995-01-01') AS stale, count(*) FILTER (hall NOT IN ('fact', 'event')) AS other_halls, count(*) AS n FROM memories WHERE superseded_by = '' GROUP BY room")
+def memory_reviews(spark, sf):
+    """What of each room should be looked at: old memories, and halls out of the vocabulary given."""
+    return memory.reviews(memories(spark, sf), F.expr("timestamp_ntz'1995-01-01 00:00:00'"), ("fact", "event"))
+
+
+@query("task_promotion", "SELECT DISTINCT l_orderkey AS task FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_linestatus = 'O') AND count(*) FILTER (l_returnflag = 'R') = 0")
+def task_promotion(spark, sf):
+    """Tasks all of whose steps passed and that nothing blocks: open lines, none returned."""
+    lines = table(spark, sf, "lineitem")
+    return memory.promotable(lines.selectExpr("l_orderkey as task", "l_linestatus = 'O' as passed"), lines.where("l_returnflag = 'R'").selectExpr("l_orderkey as task")).select("task")
+
+
+@query("reembed_plan", "SELECT 'c' || label AS collection, count(*) FILTER (vec_id % 3 <> 0) AS todo, count(*) FILTER (vec_id % 3 = 0) AS done, count(*) FILTER (vec_id % 3 <> 0) = 0 AS ready FROM embeddings GROUP BY label")
+def reembed_plan(spark, sf):
+    """Collections on their way to a new encoder: every third record is there."""
+    v = table(spark, sf, "embeddings").selectExpr("concat('c', label) as collection", "vec_id as id")
+    return memory.migration(v, v.where("id % 3 = 0"))
+
+
+@query("workspace_search", f"""WITH {MANIFEST} SELECT chunk_id, path FROM manifest WHERE generation = 'g0' AND branch = 'main' AND contains(path, 'f1') ORDER BY path, chunk_id LIMIT 20""")
+def workspace_search(spark, sf):
+    """Active chunks of a branch whose path holds a word."""
+    return memory.workspace_search(manifest(spark, sf), "g0", "f1", branch="main").select("chunk_id", "path")
+
+
+@query("artifact_filter", f"WITH {MANIFEST} SELECT path, count(*) AS chunks FROM manifest WHERE generation = 'g0' AND regexp_matches(path, '^src/Brand#1[^/]*/f[^/]*\\.md$') GROUP BY path")
+def artifact_filter(spark, sf):
+    """Paths by a glob."""
+    m = manifest(spark, sf).where("generation = 'g0'")
+    return m.where(memory.glob(F.col("path"), "src/Brand#1*/f*.md")).groupBy("path").agg(F.count("*").alias("chunks"))

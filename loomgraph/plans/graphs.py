@@ -100,8 +100,24 @@ def graph_upsert(spark, sf):
     """Later rows replace earlier ones by id, the first valid_from stays."""
     e = graph_edges(spark, sf)
     new = e.where("relation = 'PREFERS' and source_id like 'c1%'").withColumn("confidence", F.lit(0.5)).withColumn("valid_from", F.expr("timestamp_ntz'2000-01-01 00:00:00'"))
-    both = e.withColumn("seq", F.lit(1)).union(new.withColumn("seq", F.lit(2)))
-    return both.groupBy("id").agg(F.max_by("confidence", "seq").alias("confidence"), F.min("valid_from").alias("valid_from"))
+    return graph.upsert_edges(e, new).select("id", "confidence", "valid_from")
+
+
+@query("process_triplets", G(""", d AS (SELECT DISTINCT source_id, CASE WHEN relation = 'BASED_IN' THEN '' ELSE relation END AS r, target_id FROM edges) SELECT (SELECT count(*) FROM nodes WHERE type <> 'Region') AS nodes, count(*) AS edges,
+count(*) FILTER (r <> '' AND source_id NOT LIKE 'r%' AND target_id NOT LIKE 'r%') AS triplets, count(*) FILTER (r = '' OR source_id LIKE 'r%' OR target_id LIKE 'r%') AS skipped FROM d"""))
+def process_triplets(spark, sf):
+    """Regions are unknown and one relation is empty: such edges are skipped."""
+    n = graph_nodes(spark, sf).where("type <> 'Region'").withColumns({"pos": F.lit(1), "text": F.lit(""), "description": F.lit("")})
+    e = graph_edges(spark, sf).withColumns({"pos": F.col("id"), "edge_text": F.lit("")}).withColumn("relation", F.expr("if(relation = 'BASED_IN', '', relation)"))
+    return graph.triplet_counts(n, e)
+
+
+@query("incremental_communities")
+def incremental_communities(spark, sf):
+    """Nations are the known communities; a tenth of the customers are new."""
+    g = graph.community_graph(graph_edges(spark, sf))
+    known = graph_edges(spark, sf).where("relation in ('LIVES_IN', 'BASED_IN') and source_id not like 'c%7'").select(F.col("source_id").alias("id"), F.col("target_id").alias("community"))
+    return graph.incremental_communities(g, known)
 
 
 NHOP = """, walk AS (SELECT source_id AS a, relation, target_id AS b FROM edges UNION SELECT target_id, relation, source_id FROM edges),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 FORMATS = {
     "pdf": ("pdf",), "docx": ("docx",), "pptx": ("pptx",), "xlsx": ("xlsx",), "html": ("html", "htm"), "epub": ("epub",), "odt": ("odt",), "md": ("md", "markdown"),
     "json": ("json",), "xml": ("xml",), "yaml": ("yaml", "yml"), "csv": ("csv",), "log": ("log",), "txt": ("txt",),
-    "image": ("png", "jpg", "jpeg", "gif", "webp"), "audio": ("mp3", "wav", "ogg", "m4a", "flac"),
+    "ipynb": ("ipynb",), "image": ("png", "jpg", "jpeg", "gif", "webp"), "audio": ("mp3", "wav", "ogg", "m4a", "flac"),
 }
 #: first bytes, in hexadecimal
 MAGIC = {"pdf": "25504446", "image": "89504E47", "zip": "504B0304"}
@@ -157,3 +157,22 @@ def ingest(items: DataFrame) -> DataFrame:
     rows = items.withColumn("sha256", F.sha2("content", 256))
     first = Window.partitionBy("sha256").orderBy("pos")
     return rows.select("pos", "sha256", uuid5(F.concat("sha256", "owner")).alias("id"), (F.row_number().over(first) > 1).alias("already_exists"))
+
+
+def notes(docs: DataFrame, kind: str = "", since: str = "") -> DataFrame:
+    """``front_matter`` of ``docs(name, text)``, those of a type and of a date from ``since`` on, if given."""
+    out = front_matter(docs)
+    out = out.where(F.col("meta")["type"] == kind) if kind else out
+    return out.where(F.coalesce(F.col("meta")["date"], F.lit("")) >= since) if since else out
+
+
+def search_commits(commits: DataFrame, needle: str, limit: int = 20) -> DataFrame:
+    """Commits whose subject, author or files contain the needle, case aside, the latest first."""
+    hit = F.contains(F.lower(F.concat_ws("\n", "subject", "author", "files")), F.lit(needle.lower()))
+    return commits.where(hit).orderBy(F.desc("day"), "sha").limit(limit)
+
+
+def busiest_files(commits: DataFrame, n: int = 10) -> DataFrame:
+    """(file, commits, authors): the files that most commits touch."""
+    each = commits.select("sha", "author", F.explode(F.array_distinct("files")).alias("file"))
+    return each.groupBy("file").agg(F.count("*").alias("commits"), F.countDistinct("author").alias("authors")).orderBy(F.desc("commits"), "file").limit(n)

@@ -4,6 +4,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators.analytics import routing_weights, trajectory_key
 
@@ -43,24 +44,20 @@ def running_routing_weights(ratings: DataFrame) -> DataFrame:
 def supersessions(edges: DataFrame) -> DataFrame:
     """(superseded id, by, valid_until) as exclusive edges arrive: the state is the last edge of each source and relation.
 
-    An edge older than the one held is itself superseded at once by it.
+    An edge older than the one held is itself superseded at once by its successor.  The state is
+    one edge a source and relation, as many as the graph has; a group's arrivals are sorted at once.
     """
     out = "dataset_id string, source_id string, relation string, id string, superseded_by string, valid_until timestamp"
 
     def step(key, batches: Iterator[pd.DataFrame], state):
-        held = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["valid_from", "id"])
-        found = []
-        for r in rows.itertuples():
-            now = (r.id, r.valid_from)
-            if held is not None:
-                old, new = (held, now) if (held[1], held[0]) <= (now[1], now[0]) else (now, held)
-                found.append((*key, old[0], new[0], new[1]))
-                held = new
-            else:
-                held = now
-        state.update(held)
-        yield pd.DataFrame(found, columns=["dataset_id", "source_id", "relation", "id", "superseded_by", "valid_until"])
+        parts = [p[["id", "valid_from"]] for p in batches]
+        if state.exists:
+            parts.append(pd.DataFrame([state.get], columns=["id", "valid_from"]))
+        rows = pd.concat(parts).sort_values(["valid_from", "id"]).reset_index(drop=True)
+        state.update((rows["id"].iloc[-1], rows["valid_from"].iloc[-1]))
+        after = rows.shift(-1).iloc[:-1]
+        found = pd.DataFrame({"id": rows["id"].iloc[:-1], "superseded_by": after["id"], "valid_until": after["valid_from"]})
+        yield found.assign(dataset_id=key[0], source_id=key[1], relation=key[2])[["dataset_id", "source_id", "relation", "id", "superseded_by", "valid_until"]]
 
     return edges.groupBy("dataset_id", "source_id", "relation").applyInPandasWithState(step, out, "id string, valid_from timestamp", "append", "NoTimeout")
 
@@ -89,3 +86,82 @@ def mirrored(stream: DataFrame, first: str, second: str, checkpoint: str):
         rows.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+def retained(events: DataFrame, days: int = 90, at=None) -> DataFrame:
+    """Events of the last ``days``: what stays when older partitions of a log are dropped."""
+    now = F.current_timestamp() if at is None else at
+    return events.where(F.col("ts") >= now - F.make_dt_interval(days=F.lit(days)))
+
+
+def prune(spark: SparkSession, path: str, days: int, today) -> list:
+    """Delete the folders day=<date> of a log that are older than ``days``; their names."""
+    import datetime as dt
+
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path + "/day=*")
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    limit, gone = today - dt.timedelta(days=days), []
+    for f in system.globStatus(where) or []:
+        name = f.getPath().getName()
+        if dt.date.fromisoformat(name.removeprefix("day=")) < limit:
+            system.delete(f.getPath(), True)
+            gone.append(name)
+    return sorted(gone)
+
+
+def daily_log(stream: DataFrame, path: str, checkpoint: str):
+    """A query that adds events to a log of folders by day, which ``prune`` can drop; a batch that is run again replaces its own files."""
+
+    def write(batch: DataFrame, number: int):
+        rows = batch.withColumns({"day": F.to_date("ts"), "batch": F.lit(number)})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+class Progress(StreamingQueryListener):
+    """Counts of each stage that ``stage`` observes, the latest batch's and so far."""
+
+    def __init__(self):
+        self.last, self.total = {}, {}
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        for name, row in event.progress.observedMetrics.items():
+            self.last[name] = row["rows"]
+            self.total[name] = self.total.get(name, 0) + row["rows"]
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+
+def stage(rows: DataFrame, name: str) -> DataFrame:
+    """``rows``, counted under a stage's name on their way."""
+    return rows.observe(name, F.count(F.lit(1)).alias("rows"))
+
+
+def sweep(spark: SparkSession, work, every: str = "1 hour", checkpoint: str | None = None):
+    """A query that calls ``work(spark)`` once every interval: the janitor."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    out = ticks.writeStream.trigger(processingTime=every).foreachBatch(lambda batch, number: work(batch.sparkSession))
+    return (out.option("checkpointLocation", checkpoint) if checkpoint else out).start()
+
+
+def claim(jobs: DataFrame, now, limit: int) -> DataFrame:
+    """The ``limit`` first jobs(id, status, attempts, due, created) that may run: pending or failed, and due; running from now on."""
+    ready = jobs.where(F.col("status").isin("pending", "failed") & (F.col("due").isNull() | (F.col("due") <= now)))
+    return ready.orderBy("created", "id").limit(limit).withColumns({"status": F.lit("running"), "attempts": F.col("attempts") + 1})
+
+
+def enqueue(jobs: DataFrame, new: DataFrame) -> DataFrame:
+    """``jobs`` with those of ``new`` whose (memory_id, operation, digest) isn't there yet; of equal ones the first id."""
+    key = ["memory_id", "operation", "digest"]
+    once = new.groupBy(*key).agg(F.min("id").alias("id"))
+    fresh = once.join(jobs.select(*key), key, "left_anti")
+    return jobs.unionByName(fresh.withColumns({"status": F.lit("pending"), "attempts": F.lit(0)}), allowMissingColumns=True)

@@ -284,10 +284,13 @@ def test_streams(spark, tmp_path):
     edges.mkdir()
     (edges / "1.json").write_text("\n".join(json.dumps({"dataset_id": "", "source_id": "a", "relation": "r", "id": str(i), "valid_from": f"2024-01-0{i}T00:00:00Z"}) for i in (1, 2, 3)))
     e = spark.readStream.schema("dataset_id string, source_id string, relation string, id string, valid_from timestamp").json(str(edges))
-    q = streams.supersessions(e).writeStream.format("memory").queryName("t_super").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = streams.supersessions(e).writeStream.format("memory").queryName("t_super").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
+    assert q.awaitTermination(90)
     assert sorted((r.id, r.superseded_by) for r in spark.table("t_super").collect()) == [("1", "2"), ("2", "3")]
+    (edges / "2.json").write_text("\n".join(json.dumps({"dataset_id": "", "source_id": "a", "relation": "r", "id": str(i), "valid_from": f"2024-01-0{i}T00:00:00Z"}) for i in (4, 2)))
+    q = streams.supersessions(e).writeStream.format("memory").queryName("t_super2").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2b")).start()
+    assert q.awaitTermination(90)
+    assert {("3", "4")} <= {(r.id, r.superseded_by) for r in spark.table("t_super2").collect()}
     jobs = spark.createDataFrame([(1, "new", 0, dt.datetime(2024, 1, 1)), (2, "retry", 4, dt.datetime(2024, 1, 1)), (3, "new", 0, dt.datetime(2024, 1, 1))], "id int, status string, attempts int, due timestamp")
     done = streams.outbox_step(jobs, spark.createDataFrame([(1, False), (2, False), (3, True)], "id int, ok boolean"))
     assert {r.id: r.status for r in done.collect()} == {1: "retry", 2: "dead", 3: "done"}
@@ -295,3 +298,125 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "m1")).count() == spark.read.parquet(str(tmp_path / "m2")).count() == 4
+
+
+def test_stream_upkeep(spark, tmp_path):
+    schema = "id long, ts timestamp, outcome string"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text("\n".join(json.dumps({"id": i, "ts": f"2024-01-{i:02d}T00:00:00Z", "outcome": "ok" if i % 2 else "error"}) for i in range(1, 11)))
+    heard = streams.Progress()
+    spark.streams.addListener(heard)
+    stream = streams.stage(streams.stage(spark.readStream.schema(schema).json(str(tmp_path / "in")), "read").where("outcome = 'ok'"), "kept")
+    q = streams.daily_log(stream, str(tmp_path / "log"), str(tmp_path / "c"))
+    q.processAllAvailable()
+    q.stop()
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 5
+    assert streams.prune(spark, str(tmp_path / "log"), 4, dt.date(2024, 1, 9)) == ["day=2024-01-01", "day=2024-01-03"]
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [5, 7, 9]
+    for _ in range(100):
+        if heard.total.get("kept"):
+            break
+        import time
+
+        time.sleep(0.1)
+    spark.streams.removeListener(heard)
+    assert heard.total == {"read": 10, "kept": 5}
+    at = F.lit(dt.datetime(2024, 1, 10))
+    assert streams.retained(spark.read.schema(schema).json(str(tmp_path / "in")), 3, at).count() == 4
+    swept = []
+    q = streams.sweep(spark, lambda s: swept.append(s.range(3).count()), "1 second")
+    for _ in range(200):
+        if swept:
+            break
+        import time
+
+        time.sleep(0.1)
+    q.stop()
+    assert swept and set(swept) == {3}
+
+
+def test_outbox(spark):
+    jobs = spark.createDataFrame([(1, "m1", "index", "d", "completed", 1, None, 1), (2, "m2", "index", "d", "pending", 0, None, 3), (3, "m3", "index", "d", "failed", 1, dt.datetime(2024, 1, 1), 2), (4, "m4", "index", "d", "failed", 1, dt.datetime(2025, 1, 1), 0)],
+                                 "id long, memory_id string, operation string, digest string, status string, attempts int, due timestamp_ntz, created long")
+    now = F.expr("timestamp_ntz'2024-06-01 00:00:00'")
+    assert [(r.id, r.status, r.attempts) for r in streams.claim(jobs, now, 5).collect()] == [(3, "running", 2), (2, "running", 1)]
+    new = spark.createDataFrame([(9, "m1", "index", "d"), (10, "m1", "index", "e"), (11, "m1", "index", "e")], "id long, memory_id string, operation string, digest string")
+    assert sorted(r.id for r in streams.enqueue(jobs, new).collect()) == [1, 2, 3, 4, 10]
+
+
+def _zip(files):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in files.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_documents(spark, tmp_path):
+    from loomgraph.sources import documents
+
+    w = "xmlns:w='http://w' xmlns:a='http://a' xmlns:t='http://t'"
+    cases = {
+        "docx": (_zip({"word/document.xml": f"<w:d {w}><w:p><w:r><w:t>Hello </w:t></w:r><w:r><w:t>world</w:t></w:r></w:p><w:p/><w:p><w:t>Bye</w:t></w:p></w:d>"}), "Hello world\nBye"),
+        "pptx": (_zip({"ppt/slides/slide10.xml": f"<a:s {w}><a:p><a:t>ten</a:t></a:p></a:s>", "ppt/slides/slide2.xml": f"<a:s {w}><a:p><a:t>two</a:t></a:p><a:p><a:t>more</a:t></a:p></a:s>"}), "two\nmore\n\nten"),
+        "xlsx": (_zip({"xl/sharedStrings.xml": "<s><si><t>name</t></si><si><t>va</t><t>lue</t></si></s>", "xl/worksheets/sheet1.xml": "<w><row><c t='s'><v>0</v></c><c t='s'><v>1</v></c></row><row/><row><c><v>4</v></c><c t='inlineStr'><is><t>x</t></is></c></row></w>"}), "name\tvalue\n4\tx"),
+        "odt": (_zip({"content.xml": f"<t:c {w}><t:h>Head</t:h><t:p>One <t:span>two</t:span></t:p></t:c>"}), "Head\nOne two"),
+        "epub": (_zip({"OPS/b.opf": "<p><manifest><item id='x' href='2.xhtml'/><item id='y' href='1.xhtml'/></manifest><spine><itemref idref='x'/><itemref idref='y'/></spine></p>", "OPS/1.xhtml": "<body><p>second</p></body>", "OPS/2.xhtml": "<body><p>first</p></body>"}), "first\n\nsecond"),
+        "ipynb": (json.dumps({"cells": [{"cell_type": "markdown", "source": ["# A\n", "b"]}, {"cell_type": "code", "source": ""}, {"cell_type": "code", "source": "x = 1"}]}).encode(), "# A\nb\n\nx = 1"),
+        "md": ("# Ü".encode(), "# Ü"), "pdf": (b"%PDF-1", ""), "html": (b"<body><p>p</p></body>", "p"),
+    }
+    for kind, (content, text) in cases.items():
+        assert documents.document_text(content, kind) == text, kind
+        (tmp_path / f"f.{kind}").write_bytes(content)
+    assert documents.document_text(b"PK no archive", "docx") == "" and documents.document_text(_zip({"x": "y"}), "docx") == "" and documents.notebook_cells("[]") == []
+    found = {r.format: r.text for r in documents.texts(readers.files(spark, str(tmp_path))).collect()}
+    assert found == {k: t for k, (_, t) in cases.items()}
+    route = spark.createDataFrame([("pdf", True, 1, 500), ("pdf", True, 0, 10), ("pdf", True, 0, 500), ("pdf", False, 3, 0), ("docx", True, 3, 0)], "k string, s boolean, t int, c int")
+    assert [r[0] for r in route.select(documents.extraction_route(F.col("k"), F.col("s"), F.col("t"), F.col("c"))).collect()] == ["structured", "structured", "text", "text", "text"]
+
+
+def test_commits_and_notes(spark):
+    rows_ = [("a" * 40, "Ann", "2024-01-02", "Fix the parser", ["p.py", "q.py"]), ("b" * 40, "Bob", "2024-01-03", "Docs", ["p.py"])]
+    commits = spark.createDataFrame(rows_, "sha string, author string, day string, subject string, files array<string>")
+    assert [r.author for r in readers.search_commits(commits, "P.PY").collect()] == ["Bob", "Ann"] and readers.search_commits(commits, "parser").count() == 1
+    assert tuple(readers.busiest_files(commits, 1).first()) == ("p.py", 2, 2)
+    d = spark.createDataFrame([("a.md", "---\ntype: note\ndate: 2024-02-01\n---\nA"), ("b.md", "---\ntype: note\ndate: 2023-02-01\n---\nB"), ("c.md", "C")], "name string, text string")
+    assert [r.body for r in readers.notes(d, "note", "2024").collect()] == ["A"] and readers.notes(d).count() == 3
+
+
+def test_index(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i % 5} common text number{i}") for i in range(40)], "id long, text string")
+    q = spark.createDataFrame([(1, "word3 common"), (2, "number7 number7"), (3, "unheard")], "qid long, text string")
+    made = lexical.Index.build(docs, str(tmp_path / "ix"))
+    assert rows(made.search(q, 5).selectExpr("qid", "doc", "round(score, 9)", "rank")) == rows(lexical.bm25(docs, q, 5).selectExpr("qid", "doc", "round(score, 9)", "rank"))
+    made.upsert(spark.createDataFrame([(7, "common text"), (99, "number7 again")], "id long, text string")).remove(spark.createDataFrame([(3,)], "id long"))
+    now = docs.where("id not in (3, 7)").union(spark.createDataFrame([(7, "common text"), (99, "number7 again")], "id long, text string"))
+    again = lexical.Index(spark, str(tmp_path / "ix"))
+    assert again.version == 2 and rows(again.search(q, 5).selectExpr("qid", "doc", "round(score, 9)", "rank")) == rows(lexical.bm25(now, q, 5).selectExpr("qid", "doc", "round(score, 9)", "rank"))
+
+
+def test_pairs_in_blocks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    v = r.normal(size=(90, 3))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(200, [1.0, 2.0]), (201, [2.0, 4.0]), (202, None)], "id long, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if u[i] @ u[j] >= 0.9} | {(200, 201)}
+    for block in (8, 1000):
+        assert sorted((x.a, x.b) for x in vector.exact_pairs(df, 0.9, block=block).collect()) == sorted(want)
+
+
+def test_incremental_communities(spark):
+    from loomgraph.operators import graph as g
+
+    edges = spark.createDataFrame([(f"{c}{i}", f"{c}{j}", 1.0) for c in "xy" for i in range(5) for j in range(i)] + [("x0", "new", 1.0), ("x1", "new", 1.0)], "a string, b string, weight double")
+    known = spark.createDataFrame([(f"{c}{i}", c) for c in "xy" for i in range(5)], "id string, community string")
+    found = {r.id: r.community for r in g.incremental_communities(edges, known, rounds=4).collect()}
+    assert found["new"] == "x" and all(found[f"{c}{i}"] == c for c in "xy" for i in range(5))
+    assert g.incremental_communities(edges.limit(1), known) is None
+    cyc = spark.createDataFrame([("p", 1, 2), ("p", 2, 3), ("q", 1, 2), ("q", 2, 1), ("q", 5, 6)], "plan string, a int, b int")
+    assert rows(g.cyclic_plans(cyc)) == [("p", False), ("q", True)]
