@@ -57,8 +57,8 @@ class Index:
     """Postings and lengths of documents, written once and searched many times.
 
     A snapshot is a folder with postings(term, doc, tf, dl), sorted by term inside files dealt by
-    term, so that a search's terms skip most row groups, and lengths(doc, dl).  ``upsert`` and
-    ``remove`` write the next snapshot from this one; a snapshot without its mark isn't read.
+    term, and lengths(doc, dl), made from them: texts are split once.  ``upsert`` and ``remove``
+    write the next snapshot from this one; a snapshot without its mark isn't read.
     """
 
     def __init__(self, spark, path: str):
@@ -75,34 +75,41 @@ class Index:
     def build(cls, docs: DataFrame, path: str, id_col: str = "id", text_col: str = "text"):
         index = cls.__new__(cls)
         index.spark, index.path, index.version = docs.sparkSession, path.rstrip("/"), 0
-        index._write(postings(docs, id_col, text_col), docs.select(F.col(id_col).alias("doc"), F.size(tokens(F.col(text_col))).cast("long").alias("dl")), 0)
+        index._write(cls._rows(docs, id_col, text_col), 0)
         return index
 
-    def _write(self, postings: DataFrame, lengths: DataFrame, version: int):
+    @staticmethod
+    def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(term, doc, tf, dl); a document without terms has a row without one."""
+        rows = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("ts"))
+        terms = rows.select("doc", F.greatest(F.size("ts"), F.lit(0)).cast("long").alias("dl"), F.explode_outer("ts").alias("term"))
+        return terms.groupBy("doc", "term", "dl").agg(F.count("*").alias("tf")).select("term", "doc", "tf", "dl")
+
+    def _write(self, rows: DataFrame, version: int):
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = postings.select("term", "doc", "tf", "dl").repartition(parts, "term").sortWithinPartitions("term")
-        dealt.write.mode("overwrite").parquet(f"{self.path}/{version}/postings")
-        lengths.write.mode("overwrite").parquet(f"{self.path}/{version}/lengths")  # the mark: written last
+        where = f"{self.path}/{version}"
+        rows.repartition(parts, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{where}/postings")
+        self.spark.read.parquet(f"{where}/postings").select("doc", "dl").distinct().write.mode("overwrite").parquet(f"{where}/lengths")  # the mark: written last
         self.version = version
 
-    def postings(self) -> DataFrame:
+    def _all(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{self.version}/postings")
 
+    def postings(self) -> DataFrame:
+        return self._all().where("term is not null")
+
     def lengths(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{self.version}/lengths")
 
     def upsert(self, docs: DataFrame, id_col: str = "id", text_col: str = "text"):
         """Documents added, or replaced by id."""
         ids = docs.select(F.col(id_col).alias("doc")).distinct()
-        mine = docs.select(F.col(id_col).alias("doc"), F.size(tokens(F.col(text_col))).cast("long").alias("dl"))
-        old = lambda d: d.join(ids, "doc", "left_anti")
-        self._write(old(self.postings()).unionByName(postings(docs, id_col, text_col)), old(self.lengths()).unionByName(mine), self.version + 1)
+        self._write(self._all().join(ids, "doc", "left_anti").unionByName(self._rows(docs, id_col, text_col)), self.version + 1)
         return self
 
     def remove(self, ids: DataFrame):
         """Documents ``ids(id)`` taken out."""
-        gone = ids.select(F.col("id").alias("doc")).distinct()
-        self._write(self.postings().join(gone, "doc", "left_anti"), self.lengths().join(gone, "doc", "left_anti"), self.version + 1)
+        self._write(self._all().join(ids.select(F.col("id").alias("doc")).distinct(), "doc", "left_anti"), self.version + 1)
         return self
 
     def search(self, queries: DataFrame, k: int | None, k1: float = K1, b: float = B) -> DataFrame:

@@ -201,10 +201,10 @@ def predicate_ranking(spark, sf):
     return routes.rank_predicates(names, synonyms, "who lives in regions")
 
 
-@query("repeat_saves", "SELECT event_id AS id, count(*) OVER (PARTITION BY user_id % 2, value::BIGINT ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS repeat FROM events WHERE event_type = 'purchase'")
+@query("repeat_saves", "SELECT event_id AS id, count(*) OVER (PARTITION BY user_id % 2, floor(value) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS repeat FROM events WHERE event_type = 'purchase'")
 def repeat_saves(spark, sf):
-    """Purchases as saves, their rounded value as the key."""
-    e = table(spark, sf, "events").where("event_type = 'purchase'").selectExpr("event_id as id", "ts", "user_id % 2 as collection", "bigint(round(value)) as key")
+    """Purchases as saves, their whole value as the key."""
+    e = table(spark, sf, "events").where("event_type = 'purchase'").selectExpr("event_id as id", "ts", "user_id % 2 as collection", "floor(value) as key")
     return analytics.repeat_saves(e, "key").select("id", "repeat")
 
 

@@ -200,7 +200,7 @@ def remap_edges(spark, sf):
 
 
 @query("graph_proximity_rerank", G(f""", seed AS (SELECT 'n0' AS id), act AS (SELECT source_id AS a, target_id AS b FROM edges WHERE valid_until IS NULL OR valid_until > {NOW}), w AS (SELECT a, b FROM act UNION SELECT b, a FROM act),
-h1 AS (SELECT DISTINCT b AS id FROM w JOIN seed ON a = id ORDER BY id LIMIT 50), h2 AS (SELECT DISTINCT b AS id FROM w JOIN h1 ON a = id),
+h1 AS (SELECT DISTINCT b AS id FROM w JOIN seed ON a = id), f AS (SELECT id FROM h1 ORDER BY id LIMIT 50), h2 AS (SELECT DISTINCT b AS id FROM w JOIN f ON a = id),
 p AS (SELECT id, max(p) AS p FROM (SELECT id, 1.0 AS p FROM seed UNION ALL SELECT id, 0.5 FROM h1 UNION ALL SELECT id, 0.25 FROM h2) GROUP BY id),
 r AS (SELECT 'c' || c_custkey AS id, (c_custkey % 100)::DOUBLE / 4000 AS v FROM customer)
 SELECT id, round(0.6 * v + 0.2 * coalesce(p, 0), 6) AS combined FROM r LEFT JOIN p USING (id) ORDER BY round(0.6 * v + 0.2 * coalesce(p, 0), 9) DESC, id LIMIT 20"""))
