@@ -115,6 +115,8 @@ def _confirm(n, percent):
 TALLY, SAMPLE = 1 << 20, 4096
 #: rounds of random centres go on while one finds more than this share of all links so far; only speed depends on it
 ROUND = 0.05
+#: members of a bucket that stand together in a join
+DEAL = 128
 
 
 def _slots(hashes):
@@ -237,13 +239,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bins:
             order = F.col("node") if number == 0 else F.xxhash64(F.col("key"), F.col("node"), F.lit(number))
             centres = written = stored(
                 members.groupBy("key")
-                .agg(F.min_by(F.struct("node", "comp"), order).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+                .agg(F.min_by(F.struct("node", "comp"), order).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("m").alias("m"))
                 .where("low <> high")
-                .select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp")),
+                .select("key", F.explode(F.sequence(F.lit(0), F.expr(f"int((m - 1) div {DEAL})"))).alias("salt"), F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp")),
                 "minhash-centres",
             )
+            # a bucket's members are dealt by DEAL each, and its centre is sent to every deal
             pairs = (
-                members.join(centres, "key")
+                members.withColumn("salt", F.expr(f"int(pmod(xxhash64(node), (m - 1) div {DEAL} + 1))")).join(centres, ["key", "salt"])
                 .where("comp <> centre_comp")
                 .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
                 .distinct()
