@@ -13,16 +13,22 @@ def cursor(offset: int) -> str:
 
 
 def page(rows: DataFrame, order, after: str | None, limit: int) -> DataFrame:
-    """``limit`` rows (a thousand at most) after a cursor, with the ``next`` cursor."""
+    """``limit`` rows (a thousand at most) after a cursor, with the ``next`` cursor; null on the last page, which a row more than the limit tells."""
     offset = json.loads(base64.b64decode(after))["o"] if after else 0
     limit = min(max(limit, 1), LIMIT)
-    return rows.orderBy(order).offset(offset).limit(limit).withColumn("next", F.lit(cursor(offset + limit)))
+    few = rows.orderBy(order).offset(offset).limit(limit + 1)
+    more = few.agg((F.count("*") > limit).alias("_more"))  # one row
+    return few.orderBy(order).limit(limit).crossJoin(more).withColumn("next", F.when(F.col("_more"), F.lit(cursor(offset + limit)))).drop("_more")
 
 
-def variants(word: Column) -> Column:
-    """The lower-case word and its stem without s, ed or ing, of two bytes or more."""
+def variants(word: Column, expansions: dict | None = None) -> Column:
+    """The lower-case word, its stem without s, ed or ing, and what ``expansions`` adds to either, of two bytes or more."""
     low = F.lower(word)
-    return F.array_distinct(F.filter(F.array(low, F.regexp_replace(low, "(s|ed|ing)$", "")), lambda x: F.octet_length(x) >= 2))
+    forms = F.array(low, F.regexp_replace(low, "(s|ed|ing)$", ""))
+    if expansions:
+        more = F.create_map(*[x for k, v in expansions.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+        forms = F.concat(forms, F.flatten(F.transform(forms, lambda f: F.coalesce(F.try_element_at(more, f), F.array().cast("array<string>")))))
+    return F.array_distinct(F.filter(forms, lambda x: F.octet_length(x) >= 2))
 
 
 def entity_edges(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -49,3 +55,21 @@ def markdown(fields: dict, level: int = 2) -> str:
         elif value not in (None, ""):
             out += [f"**{name}:** {value}", ""]
     return "\n".join(out).rstrip() + "\n"
+
+
+def markdown_texts(rows: DataFrame, key: str, field: str) -> DataFrame:
+    """(key, text): JSON objects as Markdown; what is no object is ''."""
+    import pyarrow as pa
+
+    def one(text):
+        try:
+            found = json.loads(text or "")
+        except ValueError:
+            return ""
+        return markdown(found) if isinstance(found, dict) else ""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one(t) for t in batch.column(1).to_pylist()], pa.string())], names=[key, "text"])
+
+    return rows.select(key, field).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, text string")

@@ -223,3 +223,39 @@ def linked(chunks, document: str, order: str):
 
     w = Window.partitionBy(document).orderBy(order)
     return chunks.withColumns({"prev_id": F.lag("id").over(w), "next_id": F.lead("id").over(w)})
+
+
+def _table(docs, id_col, text_col, each, schema, kinds):
+    """Rows ``each(text)`` of every text, a batch at a time, after its id."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            out = [(d, *row) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for row in each(d, t)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), *kinds))], names=names)
+
+    return docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def parent_children(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, parent_index, parent_id, chunk_index, chunk_id, text): sentence chunks below merged paragraphs, numbered through the document."""
+
+    def each(d, t):
+        for i, _, kids in parent_child(t):
+            parent = str(uuid.uuid5(uuid.NAMESPACE_OID, f"{d}-{i}"))
+            for n, c in kids:
+                yield i, parent, n, str(uuid.uuid5(uuid.NAMESPACE_OID, f"{parent}-child-{n}")), c
+
+    schema = "doc string, parent_index long, parent_id string, chunk_index long, chunk_id string, text string"
+    return _table(docs, id_col, text_col, each, schema, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()))
+
+
+def document_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, at, title) of every section, ``at`` in characters."""
+    return _table(docs, id_col, text_col, lambda d, t: sections(t), "doc string, at long, title string", (pa.int64(), pa.string()))
+
+
+def headings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, at, path) of every Markdown heading, its titles from the top."""
+    return _table(docs, id_col, text_col, lambda d, t: heading_paths(t), "doc string, at long, path array<string>", (pa.int64(), pa.list_(pa.string())))

@@ -1,6 +1,6 @@
 """Text functions: classification, tables, titles, embedded JSON, code entities, keys."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # fixed values: patterns that mark code
 CODE_PATTERNS = (r"\bfunc \w+\(", r"\bdef \w+\(", r"\bclass \w+", r"\bimport \w+", r"\breturn\b", r"[{};]\s*$")
@@ -63,10 +63,38 @@ def cache_key(model: Column, prompt: Column, system: Column, temperature: Column
     return F.sha2(F.format_string("%s|%s|%s|%.4f", model, prompt, system, temperature), 256)
 
 
-def python_entities(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, name, detail): imports, classes with their bases, functions and methods."""
+#: language -> [(kind, pattern of a line, its group that is the name, its group that is what it extends or belongs to)]
+LANGUAGES = {
+    "python": [
+        ("import", r"^\s*(?:from\s+\S+\s+)?import\s+([\w.]+)", 1, None), ("class", r"^\s*class\s+(\w+)(?:\(([^)]*)\))?", 1, 2),
+        ("method", r"^\s+(?:async\s+)?def\s+(\w+)", 1, None), ("function", r"^(?:async\s+)?def\s+(\w+)", 1, None),
+    ],
+    "go": [
+        ("import", r'^(?:import\s+|\s+)(?:\w+\s+)?"([^"]+)"\s*$', 1, None), ("class", r"^type\s+(\w+)\s+struct\b", 1, None), ("interface", r"^type\s+(\w+)\s+interface\b", 1, None),
+        ("method", r"^func\s+\(\s*\w*\s*\*?(\w+)\s*\)\s*(\w+)\s*\(", 2, 1), ("function", r"^func\s+(\w+)\s*\(", 1, None),
+    ],
+}
+
+
+def code_entities(docs: DataFrame, language: str = "python") -> DataFrame:
+    """(doc_id, pos, kind, name, detail) line by line: detail is a class's bases, or the type a Go method belongs to."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    found = lambda p, g: F.regexp_extract("line", p, g)
-    kind = F.when(found(r"^\s*(?:from\s+\S+\s+)?import\s+(\w+)", 1) != "", "import").when(found(r"^\s*class\s+(\w+)", 1) != "", "class").when(found(r"^(\s+)def\s+(\w+)", 2) != "", "method").when(found(r"^def\s+(\w+)", 1) != "", "function")
-    name = F.coalesce(*[F.nullif(found(p, 1), F.lit("")) for p in (r"^\s*(?:from\s+\S+\s+)?import\s+(\w+)", r"^\s*class\s+(\w+)", r"^\s*def\s+(\w+)")])
-    return lines.withColumn("kind", kind).where("kind is not null").select("doc_id", "kind", name.alias("name"), found(r"^\s*class\s+\w+\(([^)]*)\)", 1).alias("detail"))
+    found = F.coalesce(*[
+        F.when(F.col("line").rlike(p), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("line", p, name).alias("name"), (F.regexp_extract("line", p, of) if of else F.lit("")).alias("detail")))
+        for kind, p, name, of in LANGUAGES[language]
+    ])
+    return lines.withColumn("e", found).where("e is not null").select("doc_id", "pos", "e.*")
+
+
+def code_edges(docs: DataFrame, language: str = "python") -> DataFrame:
+    """(doc_id, source, relation, target), each once: the text IMPORTS, a class EXTENDS its bases, a function or method CALLS another of its text."""
+    found = code_entities(docs, language)
+    file = F.concat(F.lit("file:"), F.col("doc_id").cast("string"))
+    imports = found.where("kind = 'import'").select("doc_id", file.alias("source"), F.lit("IMPORTS").alias("relation"), F.col("name").alias("target"))
+    bases = found.where("kind = 'class' and detail <> ''").select("doc_id", F.col("name").alias("source"), F.lit("EXTENDS").alias("relation"), F.explode(F.split("detail", r"\s*,\s*")).alias("target"))
+    bodies = found.where("kind in ('function', 'method')").select("doc_id", "pos", "name")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).join(bodies, ["doc_id", "pos"], "left")
+    inside = lines.withColumn("source", F.last("name", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("pos"))).where("name is null and source is not null")
+    called = inside.select("doc_id", "source", F.explode(F.regexp_extract_all("line", F.lit(r"(\w+)\("), F.lit(1))).alias("target")).distinct()
+    calls = called.join(bodies.select("doc_id", F.col("name").alias("target")).distinct(), ["doc_id", "target"]).select("doc_id", "source", F.lit("CALLS").alias("relation"), "target")
+    return imports.union(bases).union(calls).where("target <> ''").distinct()

@@ -140,6 +140,12 @@ def cursor_page(spark, sf):
     return answers.page(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", answers.cursor(20), 20)
 
 
+@query("last_page", "SELECT n_nationkey, NULL::VARCHAR AS next FROM nation WHERE n_nationkey >= 20")
+def last_page(spark, sf):
+    """The last five of 25 rows: no cursor follows."""
+    return answers.page(table(spark, sf, "nation").select("n_nationkey"), "n_nationkey", answers.cursor(20), 5)
+
+
 @query("sanitised_names", "SELECT page_id, regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g') AS name FROM pages")
 def sanitised_names(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "[^A-Za-z0-9._-]+", "_").alias("name"))
@@ -168,9 +174,10 @@ def route_queries(spark, sf):
     return router.route(asked, [c for c in router.CAPABILITIES if c != "cypher"]).select("id", "strategy")
 
 
-@query("token_variants", "SELECT n_nationkey, list_distinct(list_filter([lower(n_name), regexp_replace(lower(n_name), '(s|ed|ing)$', '')], lambda x: strlen(x) >= 2)) AS variants FROM nation")
+@query("token_variants", "SELECT n_nationkey, list_sort(list_distinct(list_filter([lower(n_name), regexp_replace(lower(n_name), '(s|ed|ing)$', '')] || CASE WHEN n_nationkey = 3 THEN ['third', 'x3'] ELSE [] END, lambda x: strlen(x) >= 2))) AS variants FROM nation")
 def token_variants(spark, sf):
-    return table(spark, sf, "nation").select("n_nationkey", answers.variants(F.col("n_name")).alias("variants"))
+    """One word has expansions."""
+    return table(spark, sf, "nation").select("n_nationkey", F.sort_array(answers.variants(F.col("n_name"), {"nation_3": ["third", "x3"]})).alias("variants"))
 
 
 @query("vsa_rerank", f"""WITH {GRAPH} SELECT id, round((length(id) % 100) / 100.0 + least(0.25, 0.12 * (contains(lower(target_id), 'n1') AND length(target_id) = 2)::INT + 0.12 * (relation = 'LIVES_IN')::INT * 2) + 0.03, 6)::DOUBLE AS score

@@ -4,8 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import analytics, chunk, fuse, temporal, texts
+from ..operators import analytics, answers, chunk, fuse, records, temporal, texts
 from ..registry import query
+from ..sources import readers
 from .base import MEMORIES, memories, table
 from .storage import UUID
 
@@ -70,8 +71,10 @@ def iso_dates(spark, sf):
 
 @query("extract_dates")
 def extract_dates(spark, sf):
-    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("ordered on "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(" and due "), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("text"))
-    return temporal.extract_dates(t, dt.date(2024, 1, 1))
+    """The dates of all documents and of all conversation turns."""
+    turns = table(spark, sf, "conversations").selectExpr("concat('c', conv_id, '-', turn) as doc_id", "text")
+    orders = table(spark, sf, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("doc_id"), F.concat(F.lit("ordered on "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(" and due "), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("text"))
+    return temporal.extract_dates(docs(spark, sf).selectExpr("concat('d', doc_id) as doc_id", "text").union(turns).union(orders), dt.date(2024, 1, 1))
 
 
 @query("snippets", "SELECT doc_id, CASE WHEN strpos(text, 'tion ') > 0 THEN substr(text, greatest(strpos(text, 'tion ') - 20, 1)::INT, (strpos(text, 'tion ') + 25 - greatest(strpos(text, 'tion ') - 20, 1))::INT) ELSE '' END AS snippet FROM documents")
@@ -86,10 +89,66 @@ def json_from_answer(spark, sf):
     return answer.select("item_id", texts.json_array(F.col("t")).alias("variants"))
 
 
-@query("python_entities")
+CODE = "import os\nfrom a import b{0}\nclass C{0}(Base, Mixin):\n    def run(self):\n        return helper{0}(1) + other()\ndef helper{0}(x):\n    return x\n"
+
+
+def code(spark, sf):
+    """A small Python text for each part."""
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.replace(F.lit(CODE), F.lit("{0}"), F.col("p_partkey").cast("string")).alias("text"))
+
+
+@query("python_entities", "SELECT p_partkey AS doc_id, unnest(['import', 'import', 'class', 'method', 'function']) AS kind, unnest(['os', 'b' || p_partkey, 'C' || p_partkey, 'run', 'helper' || p_partkey]) AS name, unnest(['', '', 'Base, Mixin', '', '']) AS detail FROM part")
 def python_entities(spark, sf):
-    code = spark.range(1).select(F.col("id").alias("doc_id"), F.lit("import os\nclass A(B):\n    def f(self):\n        pass\ndef g():\n    return f()\n").alias("text"))
-    return texts.python_entities(code)
+    return texts.code_entities(code(spark, sf)).drop("pos")
+
+
+@query("python_edges", "SELECT p_partkey AS doc_id, unnest(['file:' || p_partkey, 'file:' || p_partkey, 'C' || p_partkey, 'C' || p_partkey, 'run']) AS source, unnest(['IMPORTS', 'IMPORTS', 'EXTENDS', 'EXTENDS', 'CALLS']) AS relation, unnest(['os', 'b' || p_partkey, 'Base', 'Mixin', 'helper' || p_partkey]) AS target FROM part")
+def python_edges(spark, sf):
+    return texts.code_edges(code(spark, sf))
+
+
+@query("chunk_parent_child")
+def chunk_parent_child(spark, sf):
+    return chunk.parent_children(docs(spark, sf))
+
+
+NOTE = "# Note {0}\ntext\n## Part\nmore\n### Detail\n# End\n"
+
+
+@query("heading_paths", "SELECT p_partkey::VARCHAR AS doc, unnest([0, 13 + strlen(p_partkey::VARCHAR), 26 + strlen(p_partkey::VARCHAR), 37 + strlen(p_partkey::VARCHAR)])::BIGINT AS at, unnest([['Note ' || p_partkey], ['Note ' || p_partkey, 'Part'], ['Note ' || p_partkey, 'Part', 'Detail'], ['End']]) AS path FROM part")
+def heading_paths(spark, sf):
+    """A small Markdown text for each part."""
+    notes = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.replace(F.lit(NOTE), F.lit("{0}"), F.col("p_partkey").cast("string")).alias("text"))
+    return chunk.headings(notes)
+
+
+@query("document_sections")
+def document_sections(spark, sf):
+    """Sections of all documents, each with a chapter set before it."""
+    return chunk.document_sections(docs(spark, sf).withColumn("text", F.concat(F.lit("# Chapter\n\n"), "text")))
+
+
+@query("front_matter", "SELECT 'note' || doc_id || '.md' AS name, lang AS type, text AS body FROM documents WHERE lang = 'de' AND '2024-0' || (doc_id % 9 + 1) >= '2024-05'")
+def front_matter(spark, sf):
+    """Documents as notes: German ones since May."""
+    text = F.concat(F.lit("---\ntype: "), "lang", F.lit('\ndate: "2024-0'), F.col("doc_id") % 9 + 1, F.lit('"\n---\n'), "text")
+    found = readers.notes(docs(spark, sf).select(F.concat(F.lit("note"), "doc_id", F.lit(".md")).alias("name"), text.alias("text")), "de", "2024-05")
+    return found.select("name", F.col("meta")["type"].alias("type"), "body")
+
+
+@query("coverage_guard", "SELECT o_orderkey, true AS same, o_orderkey % 2 = 0 AS shorter FROM orders")
+def coverage_guard(spark, sf):
+    """A summary that says the same, and one that leaves out a number of every other text."""
+    t = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("Customer paid "), F.col("o_custkey") + 1000, F.lit(" to Shop")).alias("t"))
+    short = F.expr("if(o_orderkey % 2 = 0, t, 'Customer paid to Shop')")
+    return t.select("o_orderkey", records.coverage_guard(F.col("t"), F.concat("t", F.lit(" today"))).alias("same"), records.coverage_guard(F.col("t"), short).alias("shorter"))
+
+
+@query("markdown_projection", "SELECT n_nationkey, '**name:** ' || n_name || chr(10) || chr(10) || '## tags' || chr(10) || chr(10) || '- a' || chr(10) || '- b' || n_regionkey || chr(10) AS text FROM nation")
+def markdown_projection(spark, sf):
+    """Structured extractions as Markdown."""
+    rows = table(spark, sf, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("name"), F.array(F.lit("a"), F.concat(F.lit("b"), "n_regionkey")).alias("tags"))).alias("json"))
+    return answers.markdown_texts(rows, "n_nationkey", "json")
 
 
 @query("titles", r"""WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), f AS (SELECT doc_id, unnest(list_transform(w, lambda x: lower(x))) AS x FROM w WHERE len(w) > 30),
