@@ -151,6 +151,7 @@ def vsa_query(spark, sf):
     c = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("s"), F.concat(F.lit("n"), "c_nationkey").alias("o"), F.floor(F.col("c_custkey") / 12).alias("shard"))
     facts = c.withColumn("v", records.bind(records.symbol(F.col("s"), 256), records.symbol(F.col("o"), 256)))
     sums = records.bundle(facts, "shard", "v")
-    names = c.select("o").distinct().select(F.col("o").alias("guess"), records.symbol(F.col("o"), 256).alias("g"))
-    asked = c.join(sums, "shard").withColumn("u", records.bind(F.col("bundle"), records.symbol(F.col("s"), 256))).crossJoin(F.broadcast(names))
-    return asked.groupBy("s", "o").agg(F.max_by("guess", vector.dot(F.col("u"), F.col("g"))).alias("answer"))
+    # the vocabulary is one row: each name's symbol
+    names = c.select("o").distinct().agg(F.sort_array(F.collect_list(F.struct(F.col("o").alias("guess"), records.symbol(F.col("o"), 256).alias("g")))).alias("names"))
+    asked = c.join(sums, "shard").withColumn("u", records.bind(F.col("bundle"), records.symbol(F.col("s"), 256))).crossJoin(names)
+    return asked.select("s", "o", F.array_max(F.transform("names", lambda n: F.struct(vector.dot(F.col("u"), n["g"]).alias("d"), n["guess"].alias("guess"))))["guess"].alias("answer"))

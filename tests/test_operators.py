@@ -420,3 +420,12 @@ def test_incremental_communities(spark):
     assert g.incremental_communities(edges.limit(1), known) is None
     cyc = spark.createDataFrame([("p", 1, 2), ("p", 2, 3), ("q", 1, 2), ("q", 2, 1), ("q", 5, 6)], "plan string, a int, b int")
     assert rows(g.cyclic_plans(cyc)) == [("p", False), ("q", True)]
+
+
+def test_scalar_functions(spark):
+    from loomgraph import functions as L
+
+    d = spark.createDataFrame([("A b, C d!", [3.0, 4.0], [4.0, 3.0], "http://x/y#z")], "text string, a array<double>, b array<double>, uri string")
+    r = d.select(L.tokens("text"), L.cosine("a", "b"), L.local_name("uri"), L.word_set("text"), L.half_hour(F.lit("1970-01-01 01:00:00").cast("timestamp")), L.unit_score(F.lit(3.0))).first()
+    assert r[0] == [] and r[1] == pytest.approx(0.96) and r[2] == "z" and sorted(r[3]) == ["a", "b", "c", "d"] and r[4] == 2 and r[5] == 0.25
+    assert set(L.__all__) <= set(dir(L))
