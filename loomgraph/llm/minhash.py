@@ -160,6 +160,16 @@ def _prefixes(n, percent, tally):
     return run
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """``members(key, node, m)`` of buckets of m with ``salt``, so that about DEAL of a bucket share one."""
+    return members.withColumn("salt", F.expr(f"int(pmod(xxhash64(node), (m - 1) div {DEAL} + 1))"))
+
+
+def _salts():
+    """A row for each salt of a bucket of ``m``."""
+    return F.explode(F.sequence(F.lit(0), F.expr(f"int((m - 1) div {DEAL})"))).alias("salt")
+
+
 def _exact_candidates(members: DataFrame, texts: DataFrame, shingle: int, percent: int):
     """(a, b) of ``members(key, node, comp)`` that may link, from buckets that span components; None if there are none.
 
@@ -167,8 +177,8 @@ def _exact_candidates(members: DataFrame, texts: DataFrame, shingle: int, percen
     has at least ``need`` shingles from it on in both.
     """
     spark = members.sparkSession
-    open_ = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    nodes = stored(members.join(open_, "key").select("node", "comp").distinct(), "minhash-open")
+    open_ = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("m").alias("m")).where("low <> high").select("key", _salts())
+    nodes = stored(_dealt(members).join(open_, ["key", "salt"]).select("node", "comp").distinct(), "minhash-open")
     if nodes.isEmpty():
         drop(nodes)
         return None
@@ -201,8 +211,13 @@ def _exact_candidates(members: DataFrame, texts: DataFrame, shingle: int, percen
     return pairs
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bins: int = 128, bands: int = 32) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): near-duplicate components of ``docs(doc_id, text)``.
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): near-duplicate components of ``docs(doc_id, text)``; options as of ``marked``."""
+    return marked(docs, **options).drop("mark")
+
+
+def marked(docs: DataFrame, shingle: int = 5, percent: int = 75, bins: int = 128, bands: int = 32) -> DataFrame:
+    """``near_duplicates`` with ``mark``, a hash of the text that tells rows of one doc_id apart.
 
     Documents link when 100 * shared shingles >= percent * all shingles of both.
     With 32 bands of 4 rows a pair at 0.75 shares no bucket with probability 5e-6.
@@ -241,12 +256,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bins:
                 members.groupBy("key")
                 .agg(F.min_by(F.struct("node", "comp"), order).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("m").alias("m"))
                 .where("low <> high")
-                .select("key", F.explode(F.sequence(F.lit(0), F.expr(f"int((m - 1) div {DEAL})"))).alias("salt"), F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp")),
+                .select("key", _salts(), F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp")),
                 "minhash-centres",
             )
             # a bucket's members are dealt by DEAL each, and its centre is sent to every deal
             pairs = (
-                members.withColumn("salt", F.expr(f"int(pmod(xxhash64(node), (m - 1) div {DEAL} + 1))")).join(centres, ["key", "salt"])
+                _dealt(members).join(centres, ["key", "salt"])
                 .where("comp <> centre_comp")
                 .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
                 .distinct()
@@ -270,7 +285,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bins:
         # a random centre is worth its round while it links many; the exact join ends the others
         exact = number > 1 and new <= ROUND * found or not found
     drop(texts, buckets, crowded)
-    member = known.join(classes.select("d1", "d2", "node", F.col("least.doc_id").alias("least")), ["d1", "d2"]).select("doc_id", "n_shingles", "node", "least")
+    member = known.join(classes.select("d1", "d2", "node", F.col("least.doc_id").alias("least")), ["d1", "d2"]).select("doc_id", "mark", "n_shingles", "node", "least")
     if stars is None:
         linked = member.withColumn("component_id", F.col("least"))
     else:
@@ -280,8 +295,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, bins:
         named = classes.select("node", F.col("least.doc_id").alias("least")).join(bound, "node")
         small = stored(named.groupBy("star").agg(F.min("least").alias("component")), "minhash-components")
         linked = member.join(stored(bound.join(small, "star").select("node", "component"), "minhash-labels"), "node", "left").withColumn("component_id", F.coalesce("component", "least"))
-    alone = features.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = linked.select("doc_id", "n_shingles", "component_id").union(alone)
+    alone = features.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = linked.select("doc_id", "mark", "n_shingles", "component_id").union(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -290,10 +305,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Repeated rows of one doc_id and text are one document; rows without a doc_id stay.
     """
-    found = near_duplicates(docs, **options)
-    keep = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_keep")).distinct()
+    keep = marked(docs, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("_keep"), F.col("mark").alias("_mark")).distinct()
     named = docs.where("doc_id is not null")
-    kept = named.join(keep, named.doc_id == keep._keep, "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = named.join(keep, (named.doc_id.cast("long") == keep._keep) & (F.xxhash64(named.text.cast("string")) == keep._mark), "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id is null"))
 
 

@@ -93,6 +93,7 @@ def test_minhash_edges(spark, odd, none):
     x, y = (" ".join(f"{c}{i}" for i in range(100)) for c in "xy")
     two = spark.createDataFrame([(5, x), (5, y), (3, x + " more"), (9, y + " more"), (4, "alone")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(two).collect()) == [(3, 3), (4, 4), (5, 3), (5, 5), (9, 5)]
+    assert sorted((r.doc_id, r.text[:1]) for r in minhash.keep_one(two).collect()) == [(3, "x"), (4, "a"), (5, "y")]
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({d for d, *_ in odd_rows() if d} - {2, 3, 12})
     many = [(i, " ".join(f"v{(i // 40) * 1000 + k}" for k in range(200) if (k * 7 + i) % 97)) for i in range(400)]
     df = spark.createDataFrame(many, "doc_id long, text string")
