@@ -47,15 +47,25 @@ def trajectories(events: DataFrame) -> DataFrame:
 
 
 def behaviour(events: DataFrame, consult: str, save: str) -> DataFrame:
-    """traces, error_rate, saves and those saves that a consultation precedes in the trace."""
+    """One row over the traces: how they save, consult, fail and find nothing.
+
+    Saves are informed when a consultation precedes them in the trace; rates are per save, per
+    event, per consultation and per trace, 0 where there are none.
+    """
     before = Window.partitionBy("key").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
     rows = events.withColumn("key", trajectory_key())
     rows = rows.withColumn("consulted", F.coalesce(F.max((F.col("tool") == consult).cast("int")).over(before), F.lit(0)))
+    saves, asks = F.col("tool") == save, F.col("tool") == consult
     traces = rows.groupBy("key").agg(
-        F.max((F.col("outcome") == "error").cast("int")).alias("err"), F.count_if(F.col("tool") == save).alias("saves"),
-        F.count_if((F.col("tool") == save) & (F.col("consulted") == 1)).alias("informed"),
+        F.max((F.col("outcome") == "error").cast("int")).alias("err"), F.count("*").alias("n"), F.count_if(saves).alias("saves"), F.count_if(saves & (F.col("consulted") == 1)).alias("informed"),
+        F.count_if(F.col("zero")).alias("zeros"), F.count_if(asks).alias("asks"), F.count_if(asks & F.col("zero")).alias("empty"),
+    )
+    rate = lambda a, b: F.round(F.coalesce(F.try_divide(F.sum(a).cast("double"), F.sum(b)), F.lit(0.0)), 6)
+    return traces.agg(
+        F.count("*").alias("traces"), F.sum("n").alias("events"), F.round(F.avg("err"), 6).alias("error_rate"), F.sum("saves").alias("saves"), F.sum("informed").alias("informed"),
+        rate("informed", "saves").alias("recall_before_save_rate"), rate("zeros", "n").alias("zero_result_rate"), rate("empty", "asks").alias("empty_recall_rate"),
+        F.round(F.sum(F.col("saves") + F.col("asks")) / F.count("*"), 6).alias("memory_ops_per_trace"), F.count_if(F.col("saves") > F.col("informed")).alias("blind_traces"),
     )
-    return traces.agg(F.count("*").alias("traces"), F.round(F.avg("err"), 6).alias("error_rate"), F.sum("saves").alias("saves"), F.sum("informed").alias("informed"))
 
 
 def routing_weights(ratings: DataFrame, rate: float = 0.1) -> DataFrame:

@@ -166,3 +166,12 @@ def glob(path: Column, pattern: str) -> Column:
     parts = re.split(r"(\*\*|\*|\?)", pattern)
     rule = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
     return path.rlike("^" + "".join(rule.get(x) or re.sub(r"([^\w/ -])", r"\\\1", x) for x in parts) + "$")
+
+
+def search_turns(turns: DataFrame, needle: str, role: str = "", limit: int = 20) -> DataFrame:
+    """The latest turns(conv_id, turn, role, text) that contain the needle, case aside, of a role if given."""
+    from .predicates import like_any
+
+    found = turns.where(like_any(needle, "text"))
+    found = found.where(F.col("role") == role) if role else found
+    return found.orderBy(F.desc("conv_id"), F.desc("turn")).limit(limit)

@@ -38,6 +38,22 @@ def topk(vectors: DataFrame, query: Column, k: int, id_col: str = "id", vec_col:
     return rows.orderBy(F.round("score", 9).desc(), "id").limit(k)
 
 
+def fnv32a(text: Column) -> Column:
+    """The 32-bit FNV-1a hash of a string's bytes."""
+    raw = text.cast("binary")
+    at = F.sequence(F.lit(1), F.octet_length(raw))
+    byte = lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("long")
+    step = lambda h, i: (h.bitwiseXOR(byte(i)) * 16777619) % (1 << 32)
+    return F.when(F.octet_length(raw) == 0, F.lit(2166136261)).otherwise(F.aggregate(at, F.lit(2166136261).cast("long"), step))
+
+
+def sharded_topk(vectors: DataFrame, query: Column, k: int, shards: int, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+    """(id, score, shard): each shard's k best, shards by the hash of the id, then the k best of all."""
+    rows = vectors.where(F.size(vec_col) == F.size(query)).select(F.col(id_col).alias("id"), cosine(F.col(vec_col), query).alias("score"), (fnv32a(F.col(id_col).cast("string")) % shards).alias("shard"))
+    few = top_per(rows, "shard", [F.round("score", 9).desc(), F.col("id")], k)
+    return few.orderBy(F.round("score", 9).desc(), "id").limit(k).select("id", "score", "shard")
+
+
 def batch_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """(qid, id, score, rank) for each of ``queries(qid, embedding)``: a matrix product per batch.
 

@@ -38,8 +38,10 @@ def trajectories(spark, sf):
 
 
 @query("behaviour_summary", f"""WITH {AUDIT}, k AS (SELECT *, {KEY} AS key FROM a), f AS (SELECT *, coalesce(max((tool = 'view')::INT) OVER (PARTITION BY key ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS consulted FROM k),
-t AS (SELECT key, max((outcome = 'error')::INT) AS err, count(*) FILTER (tool = 'purchase') AS saves, count(*) FILTER (tool = 'purchase' AND consulted = 1) AS informed FROM f GROUP BY key)
-SELECT count(*) AS traces, round(avg(err), 6) AS error_rate, sum(saves)::BIGINT AS saves, sum(informed)::BIGINT AS informed FROM t""")
+t AS (SELECT key, max((outcome = 'error')::INT) AS err, count(*) AS n, count(*) FILTER (tool = 'purchase') AS saves, count(*) FILTER (tool = 'purchase' AND consulted = 1) AS informed, count(*) FILTER (zero) AS zeros,
+  count(*) FILTER (tool = 'view') AS asks, count(*) FILTER (tool = 'view' AND zero) AS empty FROM f GROUP BY key)
+SELECT count(*) AS traces, sum(n)::BIGINT AS events, round(avg(err), 6) AS error_rate, sum(saves)::BIGINT AS saves, sum(informed)::BIGINT AS informed, round(sum(informed) / sum(saves), 6) AS recall_before_save_rate, round(sum(zeros) / sum(n), 6) AS zero_result_rate,
+  round(sum(empty) / sum(asks), 6) AS empty_recall_rate, round((sum(saves) + sum(asks)) / count(*), 6) AS memory_ops_per_trace, count(*) FILTER (saves > informed) AS blind_traces FROM t""")
 def behaviour_summary(spark, sf):
     return analytics.behaviour(audit(spark, sf), "view", "purchase")
 
@@ -260,3 +262,9 @@ def artifact_filter(spark, sf):
     """Paths by a glob."""
     m = manifest(spark, sf).where("generation = 'g0'")
     return m.where(memory.glob(F.col("path"), "src/Brand#1*/f*.md")).groupBy("path").agg(F.count("*").alias("chunks"))
+
+
+@query("search_chats", "SELECT conv_id, turn, role FROM conversations WHERE contains(lower(text), 'tion') AND role = 'user' ORDER BY conv_id DESC, turn DESC LIMIT 20")
+def search_chats(spark, sf):
+    """The latest turns of one role that hold a needle."""
+    return memory.search_turns(table(spark, sf, "conversations"), "TION", "user", 20).select("conv_id", "turn", "role")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import fuse, lexical, vector
+from ..operators import fuse, lexical, records, vector
 from ..registry import query
 from ..sources.store import fresh
 from .base import table
@@ -106,11 +106,18 @@ def cosine_topk_batch(spark, sf):
     return vector.batch_topk(v, queries, 10).withColumn("score", F.round("score", 6))
 
 
-@query("cosine_topk_sharded", BATCH.format("q.vec_id = 3") + " SELECT id, round(score, 6) AS score FROM r WHERE rank <= 7")
+@query("cosine_topk_sharded", BATCH.format("q.vec_id = 3") + """ SELECT id, round(score, 6) AS score, list_reduce([2166136261::BIGINT] || list_transform(string_split(id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) % 4294967296) % 4 AS shard FROM r WHERE rank <= 7""")
 def cosine_topk_sharded(spark, sf):
-    """Scatter-gather: the best of each shard, then of all, by Spark's ordered limit."""
-    v = vectors(spark, sf).repartition(4, "id")
-    return vector.topk(v, query_vector(spark, sf, 3), 7).withColumn("score", F.round("score", 6))
+    """The best of each of four shards, then of all."""
+    return vector.sharded_topk(vectors(spark, sf), query_vector(spark, sf, 3), 7, 4).withColumn("score", F.round("score", 6))
+
+
+@query("pending_topk", BATCH.format("q.vec_id = 3").replace("FROM embeddings e, embeddings q", "FROM (SELECT vec_id, CASE WHEN vec_id % 50 = 9 THEN (SELECT embedding FROM embeddings WHERE vec_id = 3) ELSE embedding END AS embedding FROM embeddings) e, embeddings q") + " SELECT id, round(score, 6) AS score FROM r WHERE rank <= 15")
+def pending_topk(spark, sf):
+    """Rows written but not indexed yet count: every fiftieth vector is replaced by the query's."""
+    v = vectors(spark, sf).select("id", "embedding")
+    new = v.where("id % 50 = 9").select("id").crossJoin(v.where("id = 3").select("embedding"))  # one row
+    return vector.topk(records.upsert(v, new, "id"), query_vector(spark, sf, 3), 15).withColumn("score", F.round("score", 6))
 
 
 @query("filtered_topk", f"SELECT e.vec_id AS id, round({COS.format('e.embedding', 'q.embedding')}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 1 AND e.label = 3 ORDER BY round({COS.format('e.embedding', 'q.embedding')}, 9) DESC, id LIMIT 5")

@@ -92,14 +92,34 @@ def detect_format(spark, sf):
     return d.select("doc_id", readers.file_format(F.col("name"), F.col("text").cast("binary")).alias("format"))
 
 
-@query("git_log", "SELECT lpad(o_orderkey::VARCHAR, 40, '0') AS sha, 'c' || o_custkey AS author, count(l_linenumber) AS files FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
-def git_log(spark, sf):
+def commits(spark, sf):
     """A log made of orders (headers) and their lines (file names), read back as commits."""
     o = table(spark, sf, "orders")
     head = o.select(F.col("o_custkey").alias("repo"), F.struct("o_orderkey", F.lit(0).alias("n")).alias("pos"), F.concat_ws("|", F.lpad(F.col("o_orderkey").cast("string"), 40, "0"), F.concat(F.lit("c"), "o_custkey"), F.col("o_orderdate").cast("string"), F.lit("work")).alias("line"))
     body = table(spark, sf, "lineitem").join(o.select("o_custkey", F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").select(F.col("o_custkey").alias("repo"), F.struct(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("n")).alias("pos"), F.concat(F.lit("file"), "l_partkey").alias("line"))
-    found = readers.git_commits(head.union(body)).select("sha", "author", F.size("files").cast("long").alias("files"))
-    return found.where("files > 0")
+    return readers.git_commits(head.union(body))
+
+
+@query("git_log", "SELECT lpad(o_orderkey::VARCHAR, 40, '0') AS sha, 'c' || o_custkey AS author, count(l_linenumber) AS files FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
+def git_log(spark, sf):
+    return commits(spark, sf).select("sha", "author", F.size("files").cast("long").alias("files"))
+
+
+@query("git_search", "SELECT DISTINCT lpad(o_orderkey::VARCHAR, 40, '0') AS sha, 'c' || o_custkey AS author FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE contains('file' || l_partkey, 'file77') OR contains('c' || o_custkey, 'file77') ORDER BY (SELECT max(x.o_orderdate)::VARCHAR FROM orders x WHERE lpad(x.o_orderkey::VARCHAR, 40, '0') = sha) DESC, sha LIMIT 20")
+def git_search(spark, sf):
+    """The latest commits that touch a file of a name."""
+    return readers.search_commits(commits(spark, sf), "FILE77").select("sha", "author")
+
+
+@query("git_hot_files", "SELECT 'file' || l_partkey AS file, count(DISTINCT l_orderkey) AS commits, count(DISTINCT o_custkey) AS authors FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1 ORDER BY commits DESC, file LIMIT 10")
+def git_hot_files(spark, sf):
+    return readers.busiest_files(commits(spark, sf), 10)
+
+
+@query("directory_listing")
+def directory_listing(spark, sf):
+    """A table's file, as a listing with a name pattern and no recursion sees it."""
+    return readers.files(spark, sf, "nation.parquet", recursive=False).select("name", "length", "sha256", "format")
 
 
 @query("html_text")
