@@ -175,3 +175,13 @@ def vsa_query(spark, sf):
     names = c.select("o").distinct().agg(F.sort_array(F.collect_list(F.struct(F.col("o").alias("guess"), records.symbol(F.col("o"), 256).alias("g")))).alias("names"))
     asked = c.join(sums, "shard").withColumn("u", records.bind(F.col("bundle"), records.symbol(F.col("s"), 256))).crossJoin(names)
     return asked.select("s", "o", F.array_max(F.transform("names", lambda n: F.struct(vector.dot(F.col("u"), n["g"]).alias("d"), n["guess"].alias("guess"))))["guess"].alias("answer"))
+
+
+RDF = '<r:RDF xmlns:r="http://r#" xmlns:o="http://o#" xmlns:s="http://s#"><o:Class r:about="http://x#N{0}"><s:label>Nation {0}</s:label><s:subClassOf r:resource="http://x#R"/></o:Class><o:ObjectProperty r:about="http://x/in{0}"/><o:Ontology r:about="http://x"/></r:RDF>'
+
+
+@query("ontology_terms", "SELECT n_nationkey::VARCHAR AS doc, unnest(['Class', 'ObjectProperty']) AS kind, unnest(['N' || n_nationkey, 'in' || n_nationkey]) AS name, unnest(['Nation ' || n_nationkey, NULL]) AS label, unnest(['http://x#R', NULL]) AS parent FROM nation")
+def ontology_terms(spark, sf):
+    """A small ontology for each nation."""
+    t = table(spark, sf, "nation").select(F.col("n_nationkey").alias("doc_id"), F.replace(F.lit(RDF), F.lit("{0}"), F.col("n_nationkey").cast("string")).alias("text"))
+    return readers.ontologies(t).drop("uri")

@@ -132,17 +132,41 @@ def front_matter(docs: DataFrame) -> DataFrame:
     return docs.where(keep).select("name", F.map_from_entries(pairs).alias("meta"), F.regexp_replace("text", r"(?s)\A---\n.*?\n---\n?", "").alias("body"))
 
 
-def ontology(spark: SparkSession, xml: str) -> DataFrame:
-    """(kind, uri, name) of the classes and properties of an RDF/XML text."""
+# fixed values: elements of an ontology that are terms
+TERMS = ("Class", "ObjectProperty", "DatatypeProperty", "NamedIndividual")
+
+
+def _terms(xml):
     import xml.etree.ElementTree as tree
 
-    rows = []
-    for node in tree.fromstring(xml).iter():
+    try:
+        root = tree.fromstring(xml)
+    except tree.ParseError:
+        return
+    for node in root.iter():
         kind = re.sub(r"^\{.*\}", "", node.tag)
-        uri = next((v for k, v in node.attrib.items() if k.endswith("}about")), None)
-        if uri and kind in ("Class", "ObjectProperty", "DatatypeProperty", "NamedIndividual"):
-            rows.append((kind, uri, uri.rsplit("#", 1)[-1] if "#" in uri else uri.rsplit("/", 1)[-1]))
-    return spark.createDataFrame(rows, "kind string, uri string, name string")
+        uri = next((v for k, v in node.attrib.items() if k.endswith(("}about", "}ID"))), None)
+        if uri and kind in TERMS:
+            parent = next((v for child in node if child.tag.endswith("}subClassOf") for k, v in child.attrib.items() if k.endswith("}resource")), None)
+            label = next((child.text for child in node if child.tag.endswith("}label")), None)
+            yield kind, uri, uri.rsplit("#", 1)[-1] if "#" in uri else uri.rsplit("/", 1)[-1], label, parent
+
+
+def ontologies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, kind, uri, name, label, parent) of the terms of RDF/XML texts; broken ones have none."""
+
+    def run(batches):
+        for batch in batches:
+            out = [(d, *row) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for row in _terms(t)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["doc", "kind", "uri", "name", "label", "parent"])
+
+    return docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc string, kind string, uri string, name string, label string, parent string")
+
+
+def ontology(spark: SparkSession, xml: str) -> DataFrame:
+    """(kind, uri, name) of the classes and properties of one RDF/XML text."""
+    return ontologies(spark.range(1).select(F.col("id").alias("doc_id"), F.lit(xml).alias("text"))).select("kind", "uri", "name")
 
 
 def audit_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
