@@ -587,11 +587,6 @@ def test_pipeline_on_odd_tables(spark, odd, none, tmp_path, table):
     docs.withColumn("doc_id", F.col("doc_id")).write.parquet(str(tmp_path / "documents.parquet"))
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").where("true" if table == "odd" else "false").write.parquet(str(tmp_path / f"{name}.parquet"))
-    kept = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, kept, str(tmp_path))
-        assert kept.columns == docs.columns
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert sorted(str(r.doc_id) for r in found) == sorted(str(r.doc_id) for r in kept.collect())
     good = {r.doc_id for r in docs.collect() if not brute_quality(r.text)[-1]}
     assert {r.doc_id for r in found} <= good and (table == "none" or len(found) > 0)
