@@ -62,6 +62,17 @@ def drop(*tables: DataFrame) -> None:
             system.delete(where, True)
 
 
+#: bytes of files that one task reads back
+READ_BYTES = 16 << 20
+
+
+def reading_tasks(files: DataFrame) -> int:
+    """Tasks for reading ``files(n_bytes)``: a few rows stand for large files, which Spark can't see and would join in one task."""
+    from pyspark.sql import functions as F
+
+    return max(1, -(-int(files.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]) // READ_BYTES))
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a shared folder, usable on executors."""
     from pyarrow import fs

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._store import fresh_path, read_file, stored, tune, write_file
+from ._store import fresh_path, read_file, reading_tasks, stored, tune, write_file
 from ._text import distinct_names, lower_ascii, span_hashes, text_slices, word_spans
 from .eliasfano import EliasFano, encode
 
@@ -233,8 +233,7 @@ def write_token_ids(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 1)
 
 def read_token_ids(parts: DataFrame, uri: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files of ``write_token_ids``."""
-    files = max(parts.count(), 1)  # a number is not coalesced: files of a few rows' size in the plan are large on disk
-    return parts.select("part", "start").repartition(files, "part").mapInArrow(_read(uri), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return parts.select("part", "start").repartition(reading_tasks(parts), "part").mapInArrow(_read(uri), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_id_corpus(docs: DataFrame, tokenizer: str, end_id: int = 1, uri: str | None = None) -> DataFrame:

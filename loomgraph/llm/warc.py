@@ -20,7 +20,7 @@ import struct
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._store import fresh_path, read_file, stored, tune, write_file
+from ._store import fresh_path, read_file, reading_tasks, stored, tune, write_file
 
 MAGIC = 0x184D2A5D
 #: bytes of records from which an archive's dictionary is built, bytes of records of an archive (held in memory), bytes of a dictionary
@@ -194,8 +194,7 @@ def write_warc(pages: DataFrame, uri: str, least: int = 1000, date: str = DATE)
 def read_warc(archives: DataFrame, uri: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri) of every record."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string"
-    # an archive a task: the number keeps adaptive execution from joining rows that stand for whole files
-    return archives.select("archive").repartition(max(archives.count(), 1), "archive").mapInArrow(_read(uri), schema)
+    return archives.select("archive").repartition(reading_tasks(archives), "archive").mapInArrow(_read(uri), schema)
 
 
 def op7_warc(spark, sf_dir):
