@@ -1,6 +1,6 @@
 """The corpus operators' registered queries and their SQL."""
 
-from . import classlm, decontaminate, minhash, mixing, quality, suffix, tokencount, tokenids, toxicity, warc
+from . import classlm, decontaminate, license, merkle, minhash, mixing, negatives, quality, suffix, tokencount, tokenids, toxicity, warc
 
 
 def pipeline(spark, sf_dir):
@@ -22,6 +22,9 @@ def queries():
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_quality": quality.op9_quality,
         "op10_token_ids": tokenids.op10_token_ids,
+        "op11_hard_negatives": negatives.op11_hard_negatives,
+        "op12_merkle": merkle.op12_merkle,
+        "op13_license": license.op13_license,
     }
 
 
@@ -30,4 +33,6 @@ def oracle_sql():
         "op4_mixing": mixing.OP4_SQL,
         "op7_warc": warc.OP7_SQL,
         "op9_quality": quality.OP9_SQL,
+        "op11_hard_negatives": negatives.OP11_SQL,
+        "op12_merkle": merkle.OP12_SQL,
     }
