@@ -5,7 +5,7 @@ has one signature; bands of it are bucket keys.  A bucket of m classes proposes
 edges, from one centre to the others, never all pairs.  Candidate edges are confirmed
 on full shingle sets.  Later rounds look only at buckets whose members are still in
 different components and draw other centres there, while this links many.  The members of
-buckets that span components even then are joined exactly: every pair of them that can reach
+buckets that span components even then, and all short texts, are joined exactly: every pair of them that can reach
 the threshold shares one of the first shingles of both.
 
 Edge cases: null or empty texts have the empty set, link with nothing and are their own
@@ -170,15 +170,28 @@ def _salts():
     return F.explode(F.sequence(F.lit(0), F.expr(f"int((m - 1) div {DEAL})"))).alias("salt")
 
 
-def _exact_candidates(members: DataFrame, texts: DataFrame, shingle: int, percent: int):
-    """(a, b) of ``members(key, node, comp)`` that may link, from buckets that span components; None if there are none.
+def _named(nodes: DataFrame, stars) -> DataFrame:
+    """``nodes(node, ...)`` with ``comp``, their components by ``stars`` (none yet: their own)."""
+    if stars is None:
+        return nodes.withColumn("comp", F.col("node"))
+    return nodes.join(stars.toDF("node", "star"), "node", "left").withColumn("comp", F.coalesce("star", "node")).drop("star")
+
+
+def _open_members(members: DataFrame) -> DataFrame:
+    """(node, comp) of ``members(key, node, comp, m)`` in buckets that span components."""
+    open_ = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("m").alias("m")).where("low <> high").select("key", _salts())
+    return _dealt(members).join(open_, ["key", "salt"]).select("node", "comp")
+
+
+def _exact_candidates(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int):
+    """(a, b) of ``nodes(node, comp)`` that may link two components; None if there are none.
 
     In any one order of all shingles, the first that two sets with ``need`` common ones share
-    has at least ``need`` shingles from it on in both.
+    has at least ``need`` shingles from it on in both.  A shingle is a key only where several
+    components have it, and its members of the component that has it most meet the others only,
+    not each other: a large group of near copies costs its size.
     """
-    spark = members.sparkSession
-    open_ = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("m").alias("m")).where("low <> high").select("key", _salts())
-    nodes = stored(_dealt(members).join(open_, ["key", "salt"]).select("node", "comp").distinct(), "minhash-open")
+    nodes = stored(nodes.distinct(), "minhash-open")
     if nodes.isEmpty():
         drop(nodes)
         return None
@@ -193,15 +206,14 @@ def _exact_candidates(members: DataFrame, texts: DataFrame, shingle: int, percen
         .mapInArrow(_prefixes(shingle, percent, tally), "shingle long, node long, comp long, size long, at long"),
         "minhash-firsts",
     )
-    x = firsts.select("shingle", *(F.col(c).alias(c + "_x") for c in ("node", "comp", "size", "at")))
-    y = firsts.select("shingle", *(F.col(c).alias(c + "_y") for c in ("node", "comp", "size", "at")))
-    # the smaller set's first shingles suffice up to the bound for equal sizes
-    x = x.where(f"(size_x - at_x) * {100 + percent} >= {2 * percent} * size_x")
+    each = firsts.groupBy("shingle", "comp").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    shared = firsts.join(stored(each.where("comps > 1").select("shingle", "main"), "minhash-shared"), "shingle").withColumn("rest", F.expr("comp <> main"))
+    x, y = (shared.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "comp", "size", "at", "rest"))) for side in "xy")
     need = f"{percent} * (size_x + size_y)"
     pairs = (
-        x.join(y, "shingle")
-        .where("comp_x <> comp_y and (size_x < size_y or size_x = size_y and node_x < node_y)")
-        .where(f"100 * size_x >= {percent} * size_y")
+        x.where("rest_x").join(y, "shingle")
+        .where("comp_x <> comp_y and (not rest_y or node_x < node_y)")
+        .where(f"100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y)")
         .where(f"(size_x - at_x) * {100 + percent} >= {need} and (size_y - at_y) * {100 + percent} >= {need}")
         .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
         .distinct()
@@ -220,7 +232,9 @@ def marked(docs: DataFrame, shingle: int = 5, percent: int = 75, bins: int = 128
     """``near_duplicates`` with ``mark``, a hash of the text that tells rows of one doc_id apart.
 
     Documents link when 100 * shared shingles >= percent * all shingles of both.
-    With 32 bands of 4 rows a pair at 0.75 shares no bucket with probability 5e-6.
+    With 32 bands of 4 rows a pair at 0.75 shares no bucket with probability 5e-6 if the bins
+    are independent.  With few shingles to many bins they aren't, so that all pairs in which a text has at
+    most half as many shingles as there are bins are found by the exact join, whatever their bands.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -230,27 +244,28 @@ def marked(docs: DataFrame, shingle: int = 5, percent: int = 75, bins: int = 128
     )
     known = features.where("n_shingles > 0 and doc_id is not null")
     # grouped tables are written before they are joined: between plain reads Spark can split a hot key's rows
-    classes = known.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.first("bands").alias("bands"))
+    classes = known.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
     rows = classes.select("node", F.explode("bands").alias("key"))
     crowded = stored(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "minhash-crowded")
     buckets = stored(rows.join(crowded, "key").select("key", "node", "m"), "minhash-buckets")
-    # texts of the classes that share a bucket with another: only these are compared
-    nodes = classes.join(buckets.select("node").distinct(), "node").select("node", "least.doc_id", "least.mark")
+    # every partner of a set of half as many shingles as bins has at most 100 / percent times as many
+    short = stored(classes.where(F.col("size") * 2 * percent <= 100 * bins).select("node"), "minhash-short")
+    # texts of the classes that share a bucket with another, and short ones: only these are compared
+    nodes = classes.join(buckets.select("node").union(short).distinct(), "node").select("node", "least.doc_id", "least.mark")
     texts = stored(docs.join(nodes, ["doc_id", "mark"]).dropDuplicates(["node"]).select("node", "text"), "minhash-texts")
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("left_text"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("right_text"))
     stars, found, number, exact = None, 0, 0, False
     while True:
         # members of buckets, with their components; a bucket of two is its one pair, compared in round 1
-        members = buckets.withColumn("comp", F.col("node")) if number == 0 else buckets.where("m > 2").withColumn("comp", F.col("node"))
-        if stars is not None:
-            members = members.drop("comp").join(stars.toDF("node", "star"), "node", "left").withColumn("comp", F.coalesce("star", "node")).drop("star")
+        members = buckets if number == 0 else buckets.where("m > 2")
         if exact:
-            pairs = written = _exact_candidates(members, texts, shingle, percent)
+            pairs = written = _exact_candidates(_named(_open_members(_named(members, stars)).select("node").union(short), stars), texts, shingle, percent)
             if pairs is None:
                 break
         else:
+            members = _named(members, stars)
             order = F.col("node") if number == 0 else F.xxhash64(F.col("key"), F.col("node"), F.lit(number))
             centres = written = stored(
                 members.groupBy("key")
@@ -284,7 +299,7 @@ def marked(docs: DataFrame, shingle: int = 5, percent: int = 75, bins: int = 128
             break
         # a random centre is worth its round while it links many; the exact join ends the others
         exact = number > 1 and new <= ROUND * found or not found
-    drop(texts, buckets, crowded)
+    drop(texts, buckets, crowded, short)
     member = known.join(classes.select("d1", "d2", "node", F.col("least.doc_id").alias("least")), ["d1", "d2"]).select("doc_id", "mark", "n_shingles", "node", "least")
     if stars is None:
         linked = member.withColumn("component_id", F.col("least"))
