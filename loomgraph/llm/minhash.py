@@ -111,8 +111,8 @@ def _confirm(n, percent):
     return run
 
 
-#: counters and texts of the sample that tells common shingles from rare ones; only speed depends on them
-TALLY, SAMPLE = 1 << 20, 4096
+#: counters that tell common shingles from rare ones; only speed depends on them
+TALLY = 1 << 20
 #: rounds of random centres go on while one finds more than this share of all links so far; only speed depends on it
 ROUND = 0.05
 #: members of a bucket that stand together in a join
@@ -195,15 +195,12 @@ def _exact_candidates(nodes: DataFrame, texts: DataFrame, shingle: int, percent:
     if nodes.isEmpty():
         drop(nodes)
         return None
-    some = nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("node")
-    tally = np.zeros(TALLY, np.int64)
-    seen = texts.join(some, "node").select("text").mapInArrow(_tally(shingle), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    seen = seen.where("n > 1").toArrow()
-    tally[np.asarray(seen.column(0))] = np.asarray(seen.column(1))
-    tally = np.minimum(tally, SAMPLE).astype(np.int16)
+    known = stored(texts.join(nodes, "node").select("node", "comp", "text"), "minhash-known")
+    tally = np.zeros(TALLY, np.int32)
+    seen = known.select("text").mapInArrow(_tally(shingle), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # at most TALLY rows
+    tally[np.asarray(seen.column(0))] = np.minimum(np.asarray(seen.column(1)), np.iinfo(np.int32).max)
     firsts = stored(
-        texts.join(nodes, "node").select("node", "comp", "text")
-        .mapInArrow(_prefixes(shingle, percent, tally), "shingle long, node long, comp long, size long, at long"),
+        known.mapInArrow(_prefixes(shingle, percent, tally), "shingle long, node long, comp long, size long, at long"),
         "minhash-firsts",
     )
     each = firsts.groupBy("shingle", "comp").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
@@ -219,7 +216,7 @@ def _exact_candidates(nodes: DataFrame, texts: DataFrame, shingle: int, percent:
         .distinct()
     )
     pairs = stored(pairs, "minhash-pairs")
-    drop(firsts, nodes)
+    drop(firsts, nodes, known)
     return pairs
 
 
