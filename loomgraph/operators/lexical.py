@@ -43,7 +43,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None, id_col: str = "id",
     """(qid, doc, score, rank): the best k documents of each of ``queries(qid, text)``, from the texts.
 
     Only the queries' terms leave the scan: the counts are aggregated before anything is
-    shuffled.  For more than one search of the same documents, see ``Index``.
+    shuffled.  For more than one search of the same documents, see ``lexicalindex.Index``.
     """
     wanted = _wanted(queries)
     rows = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("ts")).withColumn("dl", F.size("ts").cast("long"))
@@ -53,71 +53,6 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None, id_col: str = "id",
     return best(scores(tf, wanted, size, k1, b), k)
 
 
-class Index:
-    """Postings and lengths of documents, written once and searched many times.
-
-    A snapshot is a folder with postings(term, doc, tf, dl), sorted by term inside files dealt by
-    term, and lengths(doc, dl), made from them: texts are split once.  ``upsert`` and ``remove``
-    write the next snapshot from this one; a snapshot without its mark isn't read.
-    """
-
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.version = self._versions()[-1]
-
-    def _versions(self):
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path + "/*/lengths/_SUCCESS")
-        found = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(where) or []
-        return sorted(int(f.getPath().getParent().getParent().getName()) for f in found)
-
-    @classmethod
-    def build(cls, docs: DataFrame, path: str, id_col: str = "id", text_col: str = "text"):
-        index = cls.__new__(cls)
-        index.spark, index.path, index.version = docs.sparkSession, path.rstrip("/"), 0
-        index._write(cls._rows(docs, id_col, text_col), 0)
-        return index
-
-    @staticmethod
-    def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(term, doc, tf, dl); a document without terms has a row without one."""
-        rows = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("ts"))
-        terms = rows.select("doc", F.greatest(F.size("ts"), F.lit(0)).cast("long").alias("dl"), F.explode_outer("ts").alias("term"))
-        return terms.groupBy("doc", "term", "dl").agg(F.count("*").alias("tf")).select("term", "doc", "tf", "dl")
-
-    def _write(self, rows: DataFrame, version: int):
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        where = f"{self.path}/{version}"
-        rows.repartition(parts, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{where}/postings")
-        self.spark.read.parquet(f"{where}/postings").select("doc", "dl").distinct().write.mode("overwrite").parquet(f"{where}/lengths")  # the mark: written last
-        self.version = version
-
-    def _all(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.version}/postings")
-
-    def postings(self) -> DataFrame:
-        return self._all().where("term is not null")
-
-    def lengths(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.version}/lengths")
-
-    def upsert(self, docs: DataFrame, id_col: str = "id", text_col: str = "text"):
-        """Documents added, or replaced by id."""
-        ids = docs.select(F.col(id_col).alias("doc")).distinct()
-        self._write(self._all().join(ids, "doc", "left_anti").unionByName(self._rows(docs, id_col, text_col)), self.version + 1)
-        return self
-
-    def remove(self, ids: DataFrame):
-        """Documents ``ids(id)`` taken out."""
-        self._write(self._all().join(ids.select(F.col("id").alias("doc")).distinct(), "doc", "left_anti"), self.version + 1)
-        return self
-
-    def search(self, queries: DataFrame, k: int | None, k1: float = K1, b: float = B) -> DataFrame:
-        wanted = _wanted(queries)
-        tf = self.postings().join(wanted.select("term").distinct(), "term", "left_semi")
-        return best(scores(tf, wanted, self.lengths().agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")), k1, b), k)
-
-
 def top_per(df: DataFrame, key, order, k: int) -> DataFrame:
     """The first k rows of each key in ``order``, with their ``rank``."""
     from pyspark.sql import Window

@@ -2,9 +2,9 @@
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import fuse, lexical, records, vector
+from ..operators import fuse, lexical, lexicalindex, records, vector, vectorindex
 from ..registry import query
-from ..sources.store import fresh
+from ..sources.store import files_state, fresh
 from .base import table
 
 QUERY = "the of thing that entaion"
@@ -30,14 +30,31 @@ def docs(spark, sf):
 _INDEXES = {}
 
 
-def index(spark, sf):
-    """The documents' index, built by the first search of a session and kept in the shared folder."""
-    key = spark.sparkContext.applicationId, sf
+def _kept(spark, sf, name, make):
+    """What ``make`` builds of a table, once a session and state of its files."""
+    key = spark.sparkContext.applicationId, make.__name__, sf, files_state(spark, f"{sf}/{name}.parquet")
     if key not in _INDEXES:
-        _INDEXES[key] = lexical.Index.build(docs(spark, sf), fresh(spark, "lexical"))
+        _INDEXES[key] = make(spark, sf)
     return _INDEXES[key]
 
 
+def index(spark, sf):
+    """The documents' index, built by the first search and kept in the shared folder."""
+    return _kept(spark, sf, "documents", _lexical)
+
+
+def _lexical(spark, sf):
+    return lexicalindex.Index.build(docs(spark, sf), fresh(spark, "lexical"))
+
+
+def vector_index(spark, sf):
+    return _kept(spark, sf, "embeddings", _vector)
+
+
+def _vector(spark, sf):
+    return vectorindex.fitted(vectors(spark, sf))
+
+
 def one(spark, text, qid=0):
     return spark.range(1).select(F.lit(qid).cast("long").alias("qid"), F.lit(text).alias("text"))
 
@@ -68,8 +85,23 @@ CHANGED = "FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN upper(text) || ' t
 def bm25_index_changes(spark, sf):
     """A third of the documents replaced, a fifth removed, then searched."""
     d = docs(spark, sf)
-    made = lexical.Index.build(d, fresh(spark, "lexical-changes")).upsert(d.where("id % 3 = 1").withColumn("text", F.concat(F.upper("text"), F.lit(" thing")))).remove(d.where("id % 5 = 2"))
-    return lexical.Index(spark, made.path).search(one(spark, QUERY), 10).select("doc", F.round("score", 6).alias("score"), "rank")
+    made = lexicalindex.Index.build(d, fresh(spark, "lexical-changes")).upsert(d.where("id % 3 = 1").withColumn("text", F.concat(F.upper("text"), F.lit(" thing")))).remove(d.where("id % 5 = 2"))
+    return lexicalindex.Index(spark, made.path).search(one(spark, QUERY), 10).select("doc", F.round("score", 6).alias("score"), "rank")
+
+
+@query("bm25_index_merged", f"WITH q AS (SELECT item_id AS qid, text FROM benchmark), {BM25.replace('FROM documents)', CHANGED.replace('upper(text)', 'text'))} SELECT qid, doc, round(score, 6) AS score, rank FROM ranked WHERE rank <= 3")
+def bm25_index_merged(spark, sf):
+    """Such changes merged into one segment and partly written again, searched by all benchmark items."""
+    d = docs(spark, sf)
+    change = d.where("id % 3 = 1").withColumn("text", F.concat("text", F.lit(" thing")))
+    ix = lexicalindex.built(d.where("id % 4 < 2")).upsert(d.where("id % 4 > 1")).upsert(change).remove(d.where("id % 5 = 2")).merge().upsert(change.where("id % 6 = 4 and id % 5 <> 2"))
+    return ix.search(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"), 3).withColumn("score", F.round("score", 6))
+
+
+@query("bm25_blocks_read")
+def bm25_blocks_read(spark, sf):
+    """What the searches of all benchmark items read of their terms' postings."""
+    return index(spark, sf).blocks(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"), 5)
 
 
 @query("bm25_batch", f"WITH q AS (SELECT item_id AS qid, text FROM benchmark), {BM25} SELECT qid, doc, round(score, 6) AS score, rank FROM ranked WHERE rank <= 5")
@@ -106,6 +138,30 @@ def cosine_topk_batch(spark, sf):
     return vector.batch_topk(v, queries, 10).withColumn("score", F.round("score", 6))
 
 
+@query("vector_index_search")
+def vector_index_search(spark, sf):
+    """Searches that read the nearest cells only, with their recall against all rows and the cells read."""
+    v, ix = vectors(spark, sf), vector_index(spark, sf)
+    asked = v.where("id % 100 = 0").select(F.col("id").alias("qid"), "embedding")
+    true = vector.batch_topk(v, asked, 10).select("qid", "id", F.lit(True).alias("true"))
+    found = ix.search(asked, 10).join(true, ["qid", "id"], "left").withColumn("hit", F.coalesce("true", F.lit(False))).drop("true")
+    share = F.avg(F.col("hit").cast("double")).over(Window.partitionBy("qid"))  # ten rows each
+    return found.select("qid", "id", F.round("score", 6).alias("score"), "rank", "hit", share.alias("recall"), F.lit(ix.probes).alias("cells_read"), F.lit(ix.cells).alias("cells"))
+
+
+CHANGED_VECTORS = "FROM (SELECT vec_id, CASE WHEN vec_id % 3 = 1 THEN list_reverse(embedding) ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 5 <> 2) e, embeddings q"
+
+
+@query("vector_index_changes", BATCH.format("q.vec_id % 100 = 0").replace("FROM embeddings e, embeddings q", CHANGED_VECTORS) + " SELECT qid, id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
+def vector_index_changes(spark, sf):
+    """A third of the vectors replaced and a fifth removed in segments, merged, one of them written again; then all cells searched."""
+    v = vectors(spark, sf)
+    ix = vectorindex.fitted(v, cells=16, rounds=2).upsert(v.where("id % 3 = 1").withColumn("embedding", F.reverse("embedding"))).remove(v.where("id % 5 = 2").select("id"))
+    ix = ix.merge().upsert(v.where("id % 9 = 4 and id % 5 <> 2").withColumn("embedding", F.reverse("embedding")))
+    asked = v.where("id % 100 = 0").select(F.col("id").alias("qid"), "embedding")
+    return vectorindex.VectorIndex(spark, ix.path).search(asked, 5, probes=16, depth=100).withColumn("score", F.round("score", 6))
+
+
 @query("cosine_topk_sharded", BATCH.format("q.vec_id = 3") + """ SELECT id, round(score, 6) AS score, list_reduce([2166136261::BIGINT] || list_transform(string_split(id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) % 4294967296) % 4 AS shard FROM r WHERE rank <= 7""")
 def cosine_topk_sharded(spark, sf):
     """The best of each of four shards, then of all."""

@@ -387,17 +387,6 @@ def test_commits_and_notes(spark):
     assert [r.body for r in readers.notes(d, "note", "2024").collect()] == ["A"] and readers.notes(d).count() == 3
 
 
-def test_index(spark, tmp_path):
-    docs = spark.createDataFrame([(i, f"word{i % 5} common text number{i}") for i in range(40)], "id long, text string")
-    q = spark.createDataFrame([(1, "word3 common"), (2, "number7 number7"), (3, "unheard")], "qid long, text string")
-    made = lexical.Index.build(docs, str(tmp_path / "ix"))
-    assert rows(made.search(q, 5).selectExpr("qid", "doc", "round(score, 9)", "rank")) == rows(lexical.bm25(docs, q, 5).selectExpr("qid", "doc", "round(score, 9)", "rank"))
-    made.upsert(spark.createDataFrame([(7, "common text"), (99, "number7 again")], "id long, text string")).remove(spark.createDataFrame([(3,)], "id long"))
-    now = docs.where("id not in (3, 7)").union(spark.createDataFrame([(7, "common text"), (99, "number7 again")], "id long, text string"))
-    again = lexical.Index(spark, str(tmp_path / "ix"))
-    assert again.version == 2 and rows(again.search(q, 5).selectExpr("qid", "doc", "round(score, 9)", "rank")) == rows(lexical.bm25(now, q, 5).selectExpr("qid", "doc", "round(score, 9)", "rank"))
-
-
 def test_pairs_in_blocks(spark):
     import numpy as np
 
