@@ -153,73 +153,6 @@ def modularity(graph: DataFrame, partition: DataFrame, resolution: float = 1.0)
     return each.agg(F.sum(F.coalesce("inner", F.lit(0.0)) / F.col("m") - resolution * F.pow(F.col("tot") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
-def _louvain(rows, resolution, most):
-    """Levels of communities of one connected part, in plain Python: [(id, level, community)]."""
-    names = sorted({x for a, b, _ in rows for x in (a, b)})
-    at = {x: i for i, x in enumerate(names)}
-    near = [dict() for _ in names]
-    for a, b, w in rows:
-        i, j = at[a], at[b]
-        near[i][j] = near[i].get(j, 0.0) + w
-        near[j][i] = near[j].get(i, 0.0) + w
-    loops, where, out = [0.0] * len(near), list(range(len(names))), []
-    m = sum(sum(x.values()) for x in near) / 2
-    for level in range(most):
-        k = [sum(near[i].values()) + 2 * loops[i] for i in range(len(near))]
-        com, total, moved, any_move = list(range(len(near))), list(k), True, False
-        while moved:
-            moved = False
-            for i in range(len(near)):
-                to = {}
-                for j, w in near[i].items():
-                    to[com[j]] = to.get(com[j], 0.0) + w
-                own = com[i]
-                total[own] -= k[i]
-                gain = lambda c: to.get(c, 0.0) / m - resolution * total[c] * k[i] / (2 * m * m)  # noqa: B023, E731
-                best, most_gain = own, gain(own)
-                for c in sorted(to):
-                    g = gain(c)
-                    if g > most_gain + 1e-12:
-                        best, most_gain = c, g
-                total[best] += k[i]
-                if best != own:
-                    com[i], moved, any_move = best, True, True
-        dense = {c: n for n, c in enumerate(dict.fromkeys(com))}
-        com = [dense[c] for c in com]
-        where = [com[c] for c in where]
-        out += [(names[i], level, c) for i, c in enumerate(where)]
-        if not any_move:
-            break
-        new, new_loops = [dict() for _ in dense], [0.0] * len(dense)
-        for i, x in enumerate(near):
-            new_loops[com[i]] += loops[i]
-            for j, w in x.items():
-                if com[i] == com[j]:
-                    new_loops[com[i]] += w / 2
-                else:
-                    new[com[i]][com[j]] = new[com[i]].get(com[j], 0.0) + w
-        near, loops = new, new_loops
-    return out
-
-
-def louvain(graph: DataFrame, resolution: float = 1.0, levels: int = 10) -> DataFrame:
-    """(id, level, community) by local moves and compression, exact order of node ids.
-
-    The graph must fit one task: the reference semantics are sequential.  For larger graphs
-    use ``label_moves``.
-    """
-
-    def run(batches):
-        import pyarrow as pa
-
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
-        out = _louvain(rows, resolution, levels) if rows else []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["id", "level", "community"])
-
-    return graph.select("a", "b", F.col("weight").cast("double")).coalesce(1).mapInArrow(run, "id string, level long, community long")
-
-
 def label_moves(graph: DataFrame, rounds: int = 5, start: DataFrame | None = None) -> DataFrame:
     """(id, community) by synchronous moves to the heaviest neighbouring label, for graphs of any size.
 
@@ -322,20 +255,6 @@ def cyclic_plans(steps: DataFrame) -> DataFrame:
     return steps.select("plan").distinct().join(left.select("plan").distinct().withColumn("cyclic", F.lit(True)), "plan", "left").select("plan", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
-def incremental_communities(graph: DataFrame, known: DataFrame, rounds: int = 2, most: float = 0.2) -> DataFrame | None:
-    """(id, community) after a graph has grown from ``known(id, community)``: None below three nodes.
-
-    Up to a share ``most`` of new nodes, the known communities are where the moves begin; with
-    more new ones, or none known, everything begins alone.
-    """
-    nodes = graph.select(F.col("a").alias("id")).union(graph.select("b")).distinct()
-    total, old = nodes.join(known.select("id", "community"), "id", "left").agg(F.count("*"), F.count("community")).first()
-    if total < 3:
-        return None
-    grown = old == 0 or (total - old) / old > most
-    return label_moves(graph, 5 if grown else rounds, None if grown else known)
-
-
 def upsert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     """Edges with ``new`` in place of those of equal id (source_relation_target where it has none); the earliest valid_from stays."""
     named = new.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), F.concat_ws("_", "source_id", "relation", "target_id")))

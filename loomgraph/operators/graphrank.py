@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from . import graph
+from . import graph, substring
 from .relate import distances
 
 
@@ -70,7 +70,8 @@ def query_entities(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """(id, name) of nodes whose name contains a word of the query of over two characters."""
     words = nodes.sparkSession.range(1).select(F.explode(F.array_distinct(F.transform(F.split(F.lit(query), r"\s+"), lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}\p{Nd}]+|[^\p{L}\p{Nd}]+$", "")))).alias("_w"))
     words = words.where("char_length(_w) > 2")
-    return nodes.join(F.broadcast(words), F.contains(F.lower("name"), F.col("_w"))).select("id", "name").distinct().orderBy("id").limit(limit)  # a query's words
+    hits = substring.containing(nodes.select("id", F.col("name").alias("text")), words.select(F.lit(0).alias("qid"), F.col("_w").alias("pattern")))
+    return nodes.join(hits.select("id"), "id", "left_semi").select("id", "name").distinct().orderBy("id").limit(limit)
 
 
 def expansion(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 5) -> DataFrame:

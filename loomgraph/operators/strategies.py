@@ -10,7 +10,7 @@ import functools
 
 from pyspark.sql import Window, functions as F
 
-from . import graph, lexical, relate, vector
+from . import graph, lexical, policy, relate, substring, vector
 from .fuse import hybrid_rrf
 from .predicates import allowed_rows
 from .router import route
@@ -106,10 +106,11 @@ def _names(spark, tables, request):
     if "embedding" in request and "entities" in tables:
         return chunks(spark, {"vectors": tables["entities"]}, request).join(tables["nodes"].select("id", "name"), "id").select("name").distinct()
     words = spark.range(1).select(F.explode(lexical.tokens(F.lit(request["query"]))).alias("w")).where("char_length(w) > 2")
-    return tables["nodes"].join(F.broadcast(words), F.contains(F.lower("name"), F.col("w"))).select("id", "name").distinct().orderBy("id").limit(10).select("name")  # a query's words
+    hits = substring.containing(tables["nodes"].select("id", F.col("name").alias("text")), words.select(F.lit(0).alias("qid"), F.col("w").alias("pattern")))
+    return tables["nodes"].join(hits.select("id"), "id", "left_semi").select("id", "name").distinct().orderBy("id").limit(10).select("name")
 
 
-@strategy("GRAPH_COMPLETION", "GRAPH_SUMMARY_COMPLETION", "GRAPH_COMPLETION_COT")
+@strategy("GRAPH_COMPLETION", "GRAPH_SUMMARY_COMPLETION")
 def graph_completion(spark, tables, request):
     """(id, source, relation, target): edges from the entities that the query names."""
     names = _names(spark, tables, request).withColumnRenamed("name", "source")
@@ -117,6 +118,27 @@ def graph_completion(spark, tables, request):
     return named.select("id", "source", "relation", "target").orderBy("id").limit(request.get("limit", 50))
 
 
+@strategy("GRAPH_COMPLETION_COT")
+def by_sub_question(spark, tables, request):
+    """(step, question, context): the edges that each of up to five ``questions`` finds, one step a question; without any, the query's own."""
+    asked = list(request.get("questions") or [request["query"]])[:5]
+    vectors = list(request.get("embeddings") or [])
+    out = None
+    for step, question in enumerate(asked, 1):
+        one = {**request, "query": question}
+        one.pop("embedding", None)
+        if step <= len(vectors):
+            one["embedding"] = vectors[step - 1]
+        named = _names(spark, tables, one)
+        edges = graph_completion(spark, tables, one).select("id", F.concat("source", F.lit(" —["), "relation", F.lit("]→ "), "target").alias("edge"))
+        lines = edges.agg(F.concat_ws("; ", F.transform(F.array_sort(F.collect_list(F.struct("id", "edge"))), lambda x: x["edge"])).alias("found"))  # the limit's edges
+        known = named.agg(F.concat_ws(", ", F.array_sort(F.collect_set("name"))).alias("entities"))
+        text = F.when(F.col("found") != "", F.col("found")).when(F.col("entities") != "", F.concat(F.lit("Entities found: "), "entities")).otherwise(F.lit("(no relevant context found)"))
+        row = lines.crossJoin(known).select(F.lit(step).alias("step"), F.lit(question).alias("question"), text.alias("context"))  # one row each
+        out = row if out is None else out.union(row)
+    return out
+
+
 @strategy("GRAPH_COMPLETION_CONTEXT_EXTENSION")
 def context_extension(spark, tables, request):
     """The first hop, then edges from up to ten of its new targets, within the limit."""
@@ -130,17 +152,17 @@ def context_extension(spark, tables, request):
 
 @strategy("TRIPLET_COMPLETION")
 def triplets(spark, tables, request):
-    """Triplet texts that hold the query's words, best first."""
+    """The triplets nearest to the query's vector where they have vectors, else those whose texts hold its words."""
+    if "embedding" in request and "triplets" in tables:
+        return chunks(spark, {"vectors": tables["triplets"]}, request)
     texts = graph.triplets(tables["nodes"], tables["edges"]).select("id", "text")
     return lexical_chunks(spark, {"docs": texts}, request)
 
 
 @strategy("NATURAL_LANGUAGE", "CYPHER")
 def graph_query(spark, tables, request):
-    """A query over the views ``nodes`` and ``edges``; a model's part of NATURAL_LANGUAGE is to write it."""
-    for name in ("nodes", "edges"):
-        tables[name].createOrReplaceTempView(name)
-    return spark.sql(request["sql"])
+    """One reading query over ``nodes`` and ``edges``, a model's text among them; everything else is refused."""
+    return policy.read(spark, request["sql"], nodes=tables["nodes"], edges=tables["edges"])
 
 
 @strategy("CODE", "CODING_RULES")
@@ -161,7 +183,9 @@ def community_local(spark, tables, request):
 
 @strategy("COMMUNITY_GLOBAL")
 def community_global(spark, tables, request):
-    """The five summaries that match best."""
+    """The five summaries that match best, by their vectors where they have any."""
+    if "embedding" in request and "embedding" in tables["communities"].columns:
+        return chunks(spark, {"vectors": tables["communities"].select("id", "embedding").dropDuplicates(["id"])}, {**request, "k": 5})
     texts = tables["communities"].select("id", F.col("summary").alias("text")).distinct()
     return lexical_chunks(spark, {"docs": texts}, {**request, "k": 5})
 

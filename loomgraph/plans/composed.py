@@ -134,6 +134,16 @@ def natural_language_surface(spark, sf):
     return strategies.get("NATURAL_LANGUAGE")(spark, tables, {"sql": sql})
 
 
+@query("sub_question_steps", f"""WITH {GRAPH}, q AS (SELECT * FROM (VALUES (1, 'asia nation', ['asia', 'nation']), (2, 'customer#000000007', ['customer', '000000007']), (3, 'nothing known', ['nothing', 'known'])) t(step, question, words)),
+m AS (SELECT step, id, name, row_number() OVER (PARTITION BY step ORDER BY id) AS r FROM q JOIN nodes ON len(list_filter(words, lambda w: contains(lower(name), w))) > 0),
+e AS (SELECT step, e.id, s.name || ' —[' || relation || ']→ ' || t.name AS edge, row_number() OVER (PARTITION BY step ORDER BY e.id) AS r FROM (SELECT DISTINCT step, name FROM m WHERE r <= 10) x JOIN nodes s ON s.name = x.name JOIN edges e ON e.source_id = s.id JOIN nodes t ON t.id = e.target_id)
+SELECT q.step, question, coalesce((SELECT string_agg(edge, '; ' ORDER BY id) FROM e WHERE e.step = q.step AND r <= 50), (SELECT 'Entities found: ' || string_agg(DISTINCT name, ', ' ORDER BY name) FROM m WHERE m.step = q.step AND r <= 10), '(no relevant context found)') AS context FROM q""")
+def sub_question_steps(spark, sf):
+    """A question's parts, each with the edges that it finds in the whole graph."""
+    tables = {"nodes": graph_nodes(spark, sf), "edges": graph_edges(spark, sf)}
+    return strategies.get("GRAPH_COMPLETION_COT")(spark, tables, {"query": "", "questions": ["asia nation", "customer#000000007", "nothing known"]})
+
+
 @query("cursor_page", "SELECT o_orderkey, base64(encode('{\"o\":40}')) AS next FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 20")
 def cursor_page(spark, sf):
     """A page of twenty after a cursor, and the next cursor."""

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import components as cc
+from ..operators import communities, components as cc
 from ..operators import graph, graphrank, strategies, vector
 from ..registry import query
 from .base import GRAPH, graph_edges, graph_nodes, table
@@ -117,7 +117,7 @@ def incremental_communities(spark, sf):
     """Nations are the known communities; a tenth of the customers are new."""
     g = graph.community_graph(graph_edges(spark, sf))
     known = graph_edges(spark, sf).where("relation in ('LIVES_IN', 'BASED_IN') and source_id not like 'c%7'").select(F.col("source_id").alias("id"), F.col("target_id").alias("community"))
-    return graph.incremental_communities(g, known)
+    return communities.incremental(g, known).withColumn("modularity", F.round("modularity", 9))
 
 
 NHOP = """, walk AS (SELECT source_id AS a, relation, target_id AS b FROM edges UNION SELECT target_id, relation, source_id FROM edges),
@@ -173,7 +173,31 @@ def modularity(spark, sf):
 
 @query("louvain")
 def louvain(spark, sf):
-    return graph.louvain(graph.community_graph(graph.active(graph_edges(spark, sf), now())))
+    return communities.louvain(graph.community_graph(graph.active(graph_edges(spark, sf), now()))).withColumn("modularity", F.round("modularity", 9))
+
+
+@query("community_quality")
+def community_quality(spark, sf):
+    """(method, level, communities, modularity) of both ways to find communities over all active edges."""
+    g = graph.community_graph(graph.active(graph_edges(spark, sf), now()))
+    found = communities.louvain(g)
+    each = found.groupBy("level").agg(F.countDistinct("community").alias("communities"), F.max("modularity").alias("modularity")).withColumn("method", F.lit("louvain"))
+    moves = graph.label_moves(g)
+    size = moves.agg(F.countDistinct("community").alias("communities")).crossJoin(graph.modularity(g, moves))  # one row each
+    rows = each.select("method", "level", "communities", "modularity").union(size.select(F.lit("label_moves"), F.lit(0).cast("long"), "communities", "modularity"))
+    return rows.withColumn("modularity", F.round("modularity", 9))
+
+
+@query("community_store", """WITH p AS (SELECT 'c' || c_custkey AS id, c_nationkey AS n FROM customer UNION ALL SELECT 's' || s_suppkey, s_nationkey FROM supplier), l AS (SELECT id, n_nationkey, n_regionkey FROM p JOIN nation ON n_nationkey = n)
+SELECT 0::BIGINT AS level, 'n' || n_nationkey AS community, 'r' || min(n_regionkey) AS parent, count(*) AS member_count FROM l GROUP BY n_nationkey UNION ALL SELECT 1, 'r' || n_regionkey, NULL, count(*) FROM l GROUP BY n_regionkey""")
+def community_store(spark, sf):
+    """Nations and regions as two levels of communities of their people, in place of the customers' segments."""
+    n, c = table(spark, sf, "nation"), table(spark, sf, "customer")
+    old = c.selectExpr("concat('c', c_custkey) as id", "0L as level", "c_mktsegment as community")
+    people = c.selectExpr("concat('c', c_custkey) as id", "c_nationkey as n").union(table(spark, sf, "supplier").selectExpr("concat('s', s_suppkey)", "s_nationkey"))
+    each = people.join(n, F.expr("n_nationkey = n"))
+    levels = each.selectExpr("id", "0L as level", "concat('n', n_nationkey) as community").union(each.selectExpr("id", "1L", "concat('r', n_regionkey)"))
+    return communities.stored(old).replace(levels).communities()
 
 
 @query("label_moves")

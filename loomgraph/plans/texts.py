@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import analytics, answers, chunk, fuse, records, temporal, texts
+from ..operators import analytics, answers, chunk, fuse, fuzzy, records, substring, temporal, texts
 from ..registry import query
 from ..sources import readers
 from .base import MEMORIES, memories, table
@@ -183,6 +183,29 @@ def fuzzy_match(spark, sf):
     return n.join(b, n.n_nationkey < b.k2).where(sim >= 0.8).select(F.col("n_name").alias("a"), "b", F.round(sim, 6).alias("sim"))
 
 
+PIECES = "SELECT item_id AS qid, trim(substr(text, 1 + (item_id % 5)::INT * 4, 14)) AS pattern FROM benchmark"
+
+
+@query("substring_search", f"WITH p AS ({PIECES}) SELECT qid, doc_id AS id FROM p JOIN documents ON pattern <> '' AND contains(lower(text), lower(pattern))")
+def substring_search(spark, sf):
+    """The documents that hold a piece of each benchmark item, by an index of three-letter pieces."""
+    index = substring.built(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return index.containing(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.expr("trim(substring(text, 1 + int(item_id % 5) * 4, 14))").alias("pattern")))
+
+
+MISSPELT = "CASE WHEN p_partkey % 3 = 0 THEN substr(p_name, 1, 3) || substr(p_name, 5) WHEN p_partkey % 3 = 1 THEN substr(p_name, 1, 1) || 'x' || substr(p_name, 3) ELSE p_name || p_partkey % 7 END"
+
+
+@query("fuzzy_join", f"""WITH v AS (SELECT p_name AS name, min(p_partkey) AS b FROM part GROUP BY p_name), n AS (SELECT p_partkey AS a, {MISSPELT} AS name FROM part),
+s AS (SELECT a, b, 1 - levenshtein(lower(n.name), lower(v.name))::DOUBLE / greatest(length(n.name), length(v.name)) AS similarity FROM n, v)
+SELECT a, b, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.8 - 1e-9 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(similarity, 9) DESC, b) = 1""")
+def fuzzy_join(spark, sf):
+    """Misspelt parts' names, and the nearest name of the vocabulary."""
+    part = table(spark, sf, "part")
+    names = part.select(F.col("p_partkey").alias("a"), F.expr("case when p_partkey % 3 = 0 then concat(substr(p_name, 1, 3), substr(p_name, 5)) when p_partkey % 3 = 1 then concat(substr(p_name, 1, 1), 'x', substr(p_name, 3)) else concat(p_name, p_partkey % 7) end").alias("name"))
+    return fuzzy.closest(names, part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("b"))).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("uri_local_name", "WITH u AS (SELECT page_id, url || CASE WHEN page_id % 4 = 0 THEN '#part/a' ELSE '' END AS uri FROM pages) SELECT page_id, string_split(uri, CASE WHEN contains(uri, '#') THEN '#' ELSE '/' END)[-1] AS name FROM u")
 def uri_local_name(spark, sf):
     """What follows the last #, else the last slash."""

@@ -93,16 +93,6 @@ def test_communities_cover_all_active_edges(spark):
 KARATE = "1-2 1-3 1-4 1-5 1-6 1-7 1-8 1-9 1-11 1-12 1-13 1-14 1-18 1-20 1-22 1-32 2-3 2-4 2-8 2-14 2-18 2-20 2-22 2-31 3-4 3-8 3-9 3-10 3-14 3-28 3-29 3-33 4-8 4-13 4-14 5-7 5-11 6-7 6-11 6-17 7-17 9-31 9-33 9-34 10-34 14-34 15-33 15-34 16-33 16-34 19-33 19-34 20-34 21-33 21-34 23-33 23-34 24-26 24-28 24-30 24-33 24-34 25-26 25-28 25-32 26-32 27-30 27-34 28-34 29-32 29-34 30-33 30-34 31-33 31-34 32-33 32-34 33-34"
 
 
-def test_louvain_on_the_club(spark):
-    g = spark.createDataFrame([(f"{int(a):02d}", f"{int(b):02d}", 1.0) for a, b in (e.split("-") for e in KARATE.split())], "a string, b string, weight double")
-    out = graph.louvain(g)
-    top = out.where(F.col("level") == out.agg(F.max("level")).first()[0])
-    assert graph.modularity(g, top).first()[0] >= 0.38
-    of = {r.id: r.community for r in top.collect()}
-    assert 2 <= len(set(of.values())) <= 8 and of["01"] != of["34"]
-    assert graph.modularity(g, graph.label_moves(g)).first()[0] > graph.modularity(g, out.select("id", F.col("id").alias("community")).distinct()).first()[0]
-
-
 def test_components_cycles_greedy(spark):
     e = spark.createDataFrame([(5, 6), (6, 7), (1, 2), (9, 8), (8, 2)], "a long, b long")
     assert rows(components(e)) == [(1, 1), (2, 1), (5, 5), (6, 5), (7, 5), (8, 1), (9, 1)]
@@ -195,10 +185,91 @@ def test_strategies(spark):
     assert [r.rule for r in run("CODE", verbs={"GROWS_ON": "grows on"})] == ["Apple grows on Tree"]
     assert [r.id for r in run("TRIPLET_COMPLETION", query="garden")] == ["e2"]
     assert [r.n for r in run("CYPHER", sql="SELECT count(*) AS n FROM edges")] == [2]
+    assert [r.name for r in run("NATURAL_LANGUAGE", sql="WITH far AS (SELECT target_id FROM edges WHERE relation = 'STANDS_IN') SELECT name FROM nodes WHERE id IN (SELECT target_id FROM far) ORDER BY name")] == ["Garden"]
+    steps = run("GRAPH_COMPLETION_COT", questions=["apple", "garden", "nothing known"])
+    assert [(r.step, r.question, r.context) for r in steps] == [(1, "apple", "Apple —[GROWS_ON]→ Tree"), (2, "garden", "Entities found: Garden"), (3, "nothing known", "(no relevant context found)")]
+    near = {**t, "triplets": spark.createDataFrame([("e1", [0.0, 1.0]), ("e2", [1.0, 0.0])], "id string, embedding array<double>"), "communities": t["communities"].withColumn("embedding", F.expr("if(id = 'k2', array(1D, 0D), array(0D, 1D))"))}
+    asked = {"query": "x", "embedding": [1.0, 0.0], "k": 1}
+    assert [r.id for r in strategies.get("TRIPLET_COMPLETION")(spark, near, asked).collect()] == ["e2"] and [r.id for r in strategies.get("COMMUNITY_GLOBAL")(spark, near, asked).collect()] == ["k2", "k1"]
     assert [r.id for r in run("COMMUNITY_LOCAL")] == ["k1"] and [r.id for r in run("COMMUNITY_GLOBAL", query="places")] == ["k2"]
     assert [r.id for r in strategies.search(spark, t, {"query": "red apples", "k": 1, "have": ["bm25"]}).collect()] == [1]
 
 
+REFUSED = [
+    "DROP TABLE nodes", "SELECT * FROM nodes; DROP TABLE nodes", "INSERT INTO nodes SELECT * FROM edges", "SELECT * FROM elsewhere", "SELECT * FROM nodes WHERE id IN (SELECT id FROM elsewhere)", "SELECT * FROM parquet.`/tmp`",
+    "SELECT (SELECT max(x) FROM other.place) FROM nodes", "SELECT reflect('java.lang.System', 'exit', 1) FROM nodes", "CREATE TABLE x AS SELECT * FROM nodes", "SELECT * FROM range(10)", "WITH a AS (SELECT * FROM secret) SELECT * FROM a",
+    "FROM nodes INSERT OVERWRITE DIRECTORY '/tmp/x' SELECT *", "", "MATCH (n) RETURN n", "SET spark.x = 1", "SELECT * FROM {nodes}", "EXPLAIN SELECT * FROM nodes", "SHOW TABLES", "SELECT EXISTS (SELECT 1 FROM hidden) FROM nodes",
+]
+
+
+@pytest.mark.parametrize("text", REFUSED)
+def test_policy_refuses(spark, text):
+    from loomgraph.operators import policy
+
+    n = spark.createDataFrame([("a",)], "id string")
+    with pytest.raises(policy.Refused):
+        policy.read(spark, text, nodes=n, edges=n)
+
+
+def test_policy_reads(spark):
+    from loomgraph.operators import policy
+
+    n, e = spark.createDataFrame([("a", 1), ("b", 2)], "id string, w int"), spark.createDataFrame([("a", "b")], "source_id string, target_id string")
+    before = {t.name for t in spark.catalog.listTables()}
+    one = policy.read(spark, "select n.id, sum(w) over () as s from Nodes n join edges on edges.target_id = n.id order by 1", nodes=n, edges=e)
+    two = policy.read(spark, "WITH x AS (SELECT id FROM nodes UNION ALL SELECT source_id FROM edges) SELECT id, count(*) AS n FROM x GROUP BY id HAVING count(*) > 1", nodes=n, edges=e)
+    assert rows(one) == [("b", 2)] and rows(two) == [("a", 2)] and {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_substrings(spark, tmp_path):
+    from loomgraph.operators import substring
+
+    texts = [(i, t) for i, t in enumerate(["The Quick brown fox", "quick", "qu", "", None, "aaaa", "aaa bbb aaa", "ÉCOLE école", "brown-fox the quick", "x" * 5000 + "needle", "ab"])] + [(1, "quick"), (None, "quick")]
+    patterns = ["quick", "QUICK BROWN", "aa", "aaa", "aaaa", "école", "needle", "a", "xyz", "ick", "", None]
+    t, p = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(list(enumerate(patterns)), "qid long, pattern string")
+    want = sorted({(q, i) for q, s in enumerate(patterns) if s for i, x in texts if i is not None and x and s.lower() in x.lower()})
+    index = substring.SubstringIndex.build(t.where("id is not null"), str(tmp_path / "s"))
+    assert rows(index.containing(p)) == want and rows(substring.containing(t.where("id is not null"), p)) == want
+    plan = index.containing(p.where("char_length(pattern) > 2"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "NestedLoop" not in index.containing(p.where("char_length(pattern) > 2"))._jdf.queryExecution().executedPlan().toString() and "Join Inner, (piece" in plan
+
+
+def test_similar_names(spark):
+    import random
+
+    from loomgraph.operators import fuzzy
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    r = random.Random(8)
+    words = ["".join(r.choice("abcd") for _ in range(r.randrange(1, 14))) for _ in range(60)] + ["Überfluß", "überfluss", "", None, "A", "a"]
+
+    def changed(w):
+        w = list(w or "")
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(w) + 1)
+            w[at : at + r.randrange(2)] = r.choice(["", "e", "a"])
+        return "".join(w)
+
+    left, right = list(enumerate(changed(r.choice(words)) for _ in range(150))), list(enumerate(words))
+    low = lambda s: (s or "").lower()
+    for cutoff in (0.8, 0.6, 1.0):
+        want = sorted((a, b, round(1 - edits(low(x), low(y)) / max(len(low(x)), len(low(y))), 9)) for a, x in left for b, y in right if low(x) and low(y) and 1 - edits(low(x), low(y)) / max(len(low(x)), len(low(y))) >= cutoff - 1e-9)
+        got = fuzzy.similar_names(spark.createDataFrame(left, "a long, name string"), spark.createDataFrame(right, "b long, name string"), cutoff)
+        assert rows(got.selectExpr("a", "b", "round(similarity, 9)")) == want
+    near = {x.a: x.b for x in fuzzy.closest(spark.createDataFrame(left, "a long, name string"), spark.createDataFrame(right, "b long, name string")).collect()}
+    best = {}
+    for a, b, s in ((a, b, s) for a, b, s in sorted(((a, b, 1 - edits(low(x), low(y)) / max(len(low(x)), len(low(y)))) for a, x in left for b, y in right if low(x) and low(y)), key=lambda t: (t[0], -round(t[2], 9), t[1])) if s >= 0.8 - 1e-9):
+        best.setdefault(a, b)
+    assert near == best
+
+
 def brute_dedup(rows, least):
     """The kept places of (text, score) rows, gone through pair by pair."""
     sets = [{w.strip(".,;:!?\"'()[]{}«»—–-") for w in t.lower().split()} - {""} for t, _ in rows]
@@ -399,14 +470,9 @@ def test_pairs_in_blocks(spark):
         assert sorted((x.a, x.b) for x in vector.exact_pairs(df, 0.9, block=block).collect()) == sorted(want)
 
 
-def test_incremental_communities(spark):
+def test_cyclic_plans(spark):
     from loomgraph.operators import graph as g
 
-    edges = spark.createDataFrame([(f"{c}{i}", f"{c}{j}", 1.0) for c in "xy" for i in range(5) for j in range(i)] + [("x0", "new", 1.0), ("x1", "new", 1.0)], "a string, b string, weight double")
-    known = spark.createDataFrame([(f"{c}{i}", c) for c in "xy" for i in range(5)], "id string, community string")
-    found = {r.id: r.community for r in g.incremental_communities(edges, known, rounds=4).collect()}
-    assert found["new"] == "x" and all(found[f"{c}{i}"] == c for c in "xy" for i in range(5))
-    assert g.incremental_communities(edges.limit(1), known) is None
     cyc = spark.createDataFrame([("p", 1, 2), ("p", 2, 3), ("q", 1, 2), ("q", 2, 1), ("q", 5, 6)], "plan string, a int, b int")
     assert rows(g.cyclic_plans(cyc)) == [("p", False), ("q", True)]
 
