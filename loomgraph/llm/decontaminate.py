@@ -3,7 +3,7 @@
 Documents are read once.  Word n-grams that may stand in a benchmark item, by a bitmap of
 fixed size, mark regions of a document; a region reaches as far as the longest item on both
 sides of its marks.  A join on the n-gram names the items.  Seeds are n-grams in at most
-``RARE`` documents and the rarer half of each item's; each (region, item) with a seed, or
+one of ``ONE_IN`` documents (and ``RARE`` more) and the rarer half of each item's; each (region, item) with a seed, or
 with two common n-grams (an edited passage may stand in very many documents), is aligned: match +2, other word -1, gap -1.  An item leaks into a document whose best local
 alignment reaches ``least`` of the item's alignment with itself.
 
@@ -24,8 +24,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ._store import drop, stored, tune
 from ._text import gram_hashes, span_hashes, text_slices
 
-#: log2 of the bitmap's bits, at least and at most; a seed's documents at most
-BITS, MOST_BITS, RARE = 22, 27, 100
+#: log2 of the bitmap's bits, at least and at most
+BITS, MOST_BITS = 22, 27
+#: an n-gram is rare in one document of so many, and ``RARE`` more: the share stays as the corpus grows
+ONE_IN, RARE = 500, 100
 
 
 def plain_words(data, offs):
@@ -192,7 +194,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
         "all": F.count("*").over(Window.partitionBy("item_key")),
     })
     alone = math.floor(n / least) - n + 1  # n-grams of the longest item that one of them alone may give away
-    chosen = ranked.select("gram", "item_key", F.expr(f"df <= {RARE} or 2 * rank <= all or all <= {alone}").alias("seed"))
+    rare = RARE + rows.count() // ONE_IN
+    chosen = ranked.select("gram", "item_key", F.expr(f"df <= {rare} or 2 * rank <= all or all <= {alone}").alias("seed"))
     pairs = (
         hits.select("region", "gram").join(chosen, "gram").groupBy("region", "item_key").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
         .where("seed or n > 1").select("region", "item_key")
