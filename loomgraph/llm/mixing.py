@@ -8,7 +8,8 @@ are from the corpus's own.
 
 Stated targets that raking can't meet raise an error.  Default targets are the own shares to a
 power, no value's more than ``BOOST`` times its own share; where empty cells keep them from
-being met together, a warning names the largest miss.
+being met together, they are moved towards the own shares, which every corpus meets, by the first of
+the ``STEPS`` that raking does meet, and a warning names it.  The weights returned have always converged.
 
 Edge cases: null source, language or topic is the value ''; a null or empty text has no
 tokens and gets its cell's probability; a value without a target keeps its own share of the
@@ -37,6 +38,8 @@ FORM = f"""case when 20 * (length({_T}) - length(translate({_T}, '|#*$%&<>', '')
 FLATTEN, BOOST = {"source": 0.5, "lang": 0.7, "topic": 1.1}, 8.0
 #: raking ends at this relative miss of every share, and fails when five rounds don't take a tenth off it
 TOLERANCE, ROUNDS = 1e-9, 200
+#: how far default targets that can't be met move towards the own shares
+STEPS = (0.0, 0.125, 0.25, 0.5, 0.75, 1.0)
 
 
 def cell_keys(topic: str = FORM) -> dict:
@@ -59,6 +62,18 @@ def flattened_targets(cells: DataFrame, exponents=None, boost: float = BOOST) ->
     return out
 
 
+def moved_targets(cells: DataFrame, targets: DataFrame, step: float) -> DataFrame:
+    """``targets`` moved by a share ``step`` of the way to the own shares of their values."""
+    total = cells.agg(F.sum("tokens").cast("double").alias("all"))
+    own = None
+    for d in DIMENSIONS:
+        one = cells.groupBy(F.col(f"m_{d}").alias("value")).agg(F.sum("tokens").alias("t")).crossJoin(total).selectExpr(f"'{d}' as dimension", "value", "t / all as own")  # one total
+        own = one if own is None else own.union(one)
+    sums = targets.groupBy("dimension").agg(F.sum("share").alias("z"))
+    each = targets.join(sums, "dimension").join(own, ["dimension", "value"])
+    return each.selectExpr("dimension", "value", f"{1 - step}D * share / z + {step}D * own as share")
+
+
 def _goals(cells: DataFrame, targets: DataFrame) -> DataFrame:
     """``cells`` with the tokens that each of its values shall have, goal_<dimension>."""
     for d in DIMENSIONS:
@@ -72,14 +87,18 @@ def _goals(cells: DataFrame, targets: DataFrame) -> DataFrame:
     return cells
 
 
-def rake(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS, strict: bool = True) -> DataFrame:
+class Unreachable(ValueError):
+    """Targets that no weights of the cells meet together."""
+
+
+def rake(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """``cells(m_source, m_lang, m_topic, tokens)`` with their raked ``factor``.
 
     A round is, for each dimension, a sum by its values and a join with it (sums are combined
     before they are shuffled, so that a value with a third of the cells is no one task's work);
     it is one query, whose result is written, and whose largest miss of a share decides about
-    the next.  Shares that don't approach their targets, or haven't met them after ``rounds``:
-    an error, or if not ``strict`` a warning.
+    the next.  Shares that don't approach their targets, or haven't met them after ``rounds``, are
+    an error: ``Unreachable``.
     """
     now, misses = stored(_goals(cells, targets).withColumn("factor", F.lit(1.0)), "rake"), []
     while len(misses) < rounds and not (len(misses) > 10 and misses[-1] > 0.9 * misses[-6]):
@@ -96,16 +115,14 @@ def rake(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, rou
         if misses[-1] < tolerance:
             break
     else:
-        told = f"the targets can't be met together: after {len(misses)} rounds a share is missed by {misses[-1] if misses else 1:.2g} of itself"
-        if strict:
-            raise ValueError(told)
-        warnings.warn(told)
+        drop(now)
+        raise Unreachable(f"the targets can't be met together: after {len(misses)} rounds a share is missed by {misses[-1] if misses else 1:.2g} of itself")
     return now.select(*(f"m_{d}" for d in DIMENSIONS), "tokens", "factor")
 
 
-def probabilities(cells: DataFrame, targets: DataFrame, strict: bool = True) -> DataFrame:
+def probabilities(cells: DataFrame, targets: DataFrame) -> DataFrame:
     """(m_source, m_lang, m_topic, probability): each cell's factor over the largest of the cells with tokens."""
-    raked = rake(cells, targets, strict=strict)
+    raked = rake(cells, targets)
     top = raked.agg(F.max(F.expr("if(tokens > 0, factor, 0)")).alias("top"))
     return raked.crossJoin(top).select(*(f"m_{d}" for d in DIMENSIONS), F.expr("if(top > 0, least(1D, factor / top), 1D)").alias("probability"))
 
@@ -120,9 +137,19 @@ def chances(keyed: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """The probability of each cell of ``keyed(m_source, m_lang, m_topic, tokens)``."""
     cells = stored(keyed.groupBy(*(f"m_{d}" for d in DIMENSIONS)).agg(F.sum("tokens").alias("tokens")), "cells")
     # the cells are far fewer than the documents: Spark broadcasts them by their written size
-    if targets is None:
-        return stored(probabilities(cells, stored(flattened_targets(cells), "targets"), strict=False), "chances")
-    return stored(probabilities(cells, targets), "chances")
+    if targets is not None:
+        return stored(probabilities(cells, targets), "chances")
+    wanted = stored(flattened_targets(cells), "targets")
+    for step in STEPS:
+        try:
+            found = stored(probabilities(cells, moved_targets(cells, wanted, step) if step else wanted), "chances")
+        except Unreachable as problem:
+            told = problem
+            continue
+        if step:
+            warnings.warn(f"default targets moved by {step} towards the own shares: {told}")
+        return found
+    raise told
 
 
 def sample(docs: DataFrame, targets: DataFrame | None = None, topic: str = FORM, seed: int = 1) -> DataFrame:
