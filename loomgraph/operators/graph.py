@@ -81,7 +81,7 @@ def n_hop(edges: DataFrame, start: str, hops: int, limit: int = 100) -> DataFram
 
     One join per hop with the nodes that are new, written between hops; hops are held to 1..8.
     """
-    walk = both_ways(edges)
+    walk = written(both_ways(edges), "walk")
     spark = edges.sparkSession
     front = spark.range(1).select(F.lit(start).alias("a"))
     seen, out, hops = front, None, min(max(hops, 1), 8)
@@ -99,7 +99,7 @@ def n_hop(edges: DataFrame, start: str, hops: int, limit: int = 100) -> DataFram
 def shortest_path_edges(edges: DataFrame, start: str, end: str, hops: int = 4) -> DataFrame:
     """(source, relation, target) of all shortest paths, as walked: distances from both ends, level by level."""
     hops = 4 if hops <= 0 else min(hops, 8)
-    walk = both_ways(edges).distinct()
+    walk = written(both_ways(edges).distinct(), "walk")
     far, near = _levels(walk, start, hops, "from_start"), _levels(walk, end, hops, "to_end")
     best = far.join(near, "id").agg(F.min(F.col("from_start") + F.col("to_end")).alias("d")).where(f"d <= {hops}")
     on = walk.join(far.withColumnRenamed("id", "a"), "a").join(near.withColumnRenamed("id", "b"), "b").crossJoin(best)
@@ -109,9 +109,8 @@ def shortest_path_edges(edges: DataFrame, start: str, end: str, hops: int = 4) -
 def _levels(walk, start, hops, name):
     front = walk.sparkSession.range(1).select(F.lit(start).alias("id"), F.lit(0).alias(name))
     seen = front
-    steps = walk.select("a", "b").distinct()
     for level in range(1, hops + 1):
-        front = steps.join(front.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        front = walk.join(front.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
         front = written(front.withColumn(name, F.lit(level)), "front")
         seen = seen.union(front)
     return seen
@@ -127,6 +126,36 @@ def supersede(edges: DataFrame, exclusive) -> DataFrame:
     return edges.withColumn("superseded_by", F.when(only, F.lead("id").over(w))).withColumn("valid_until", F.when(only, F.coalesce(F.lead("valid_from").over(w), F.col("valid_until"))).otherwise(F.col("valid_until")))
 
 
+# fixed values: relations of which a source has one target at a time
+EXCLUSIVE = ("assigned_to", "role_is", "status_is", "located_in", "lives_in", "works_at", "owns", "reports_to", "current_state", "is_a")
+
+
+def upsert_in_time(edges: DataFrame, new: DataFrame, now: Column, exclusive=EXCLUSIVE) -> DataFrame:
+    """``edges`` after ``new(..., pos)`` have been written one after another at ``now``, with ``superseded_by``.
+
+    An edge replaces the one of its id.  One of an exclusive relation ends every edge of its source, relation
+    and dataset that has no end yet: what was there by the first new one that is another edge, a new one
+    by the next.
+    """
+    kept = edges.withColumn("superseded_by", F.col("superseded_by") if "superseded_by" in edges.columns else F.lit(None).cast("string"))
+    ends = kept.select("id", F.col("valid_until").alias("_until"), F.col("superseded_by").alias("_by"), F.lit(True).alias("_old"))
+    last = new.groupBy("id").agg(F.max("pos").alias("pos"))
+    rows = new.drop("valid_until", "superseded_by").join(last, ["id", "pos"], "left_semi").join(ends, "id", "left")
+    rows = rows.withColumn("valid_until", F.col("_until")).withColumn("superseded_by", F.col("_by")).drop("_until", "_by")
+    both = kept.join(last.select("id"), "id", "left_anti").withColumns({"pos": F.lit(None).cast("long"), "_old": F.lit(True)}).unionByName(rows.withColumn("pos", F.col("pos").cast("long")))
+    key = ["dataset_id", "source_id", "relation"]
+    only = F.lower("relation").isin([r.lower() for r in exclusive])
+    # the new edges of a key in order: each one's successor, and the first two of all
+    fresh = both.where(only & F.col("pos").isNotNull())
+    after = fresh.select("id", F.lead("id").over(Window.partitionBy(*key).orderBy("pos", "id")).alias("_next"))
+    first = fresh.groupBy(*key).agg(F.min_by("id", F.struct("pos", "id")).alias("_first"))
+    found = both.join(after, "id", "left").join(first, key, "left")
+    by = F.when(~only, F.lit(None)).when(F.coalesce("_old", F.lit(False)), F.when(F.col("_first") != F.col("id"), F.col("_first")).otherwise(F.col("_next"))).otherwise(F.col("_next"))
+    hit = F.col("valid_until").isNull() & by.isNotNull()
+    out = found.withColumn("superseded_by", F.when(hit, by).otherwise(F.col("superseded_by"))).withColumn("valid_until", F.when(hit, now).otherwise(F.col("valid_until")))
+    return out.select(*kept.columns)
+
+
 def prune(nodes: DataFrame, edges: DataFrame, now: Column, days: int = 90, drop_orphans: bool = True):
     """(nodes, edges) without edges over for ``days``, and without nodes then unconnected."""
     kept = edges.where(F.col("valid_until").isNull() | (F.col("valid_until") >= now - F.make_dt_interval(F.lit(days))))

@@ -190,4 +190,38 @@ def community_global(spark, tables, request):
     return lexical_chunks(spark, {"docs": texts}, {**request, "k": 5})
 
 
+# fixed values: the kinds of search of each mode, and what stands in for others
+MODES = {
+    "rag": ("CHUNKS", "HYBRID", "CHUNKS_LEXICAL", "RAG_COMPLETION", "SUMMARIES", "WEIGHTED_HYBRID"),
+    "graph": ("GRAPH_COMPLETION", "GRAPH_COMPLETION_COT", "GRAPH_COMPLETION_CONTEXT_EXTENSION", "GRAPH_SUMMARY_COMPLETION", "COMMUNITY_LOCAL", "COMMUNITY_GLOBAL", "CYPHER", "TRIPLET_COMPLETION", "TEMPORAL"),
+}
+# fixed values: how many times k is fetched before a metadata filter, and the likeness from which results are merged
+OVERFETCH, ALIKE = 3, 0.85
+
+
+def gated(mode: str, kind: str) -> str:
+    """The kind of search that runs in a mode: the asked one if the mode has it or the router decides, else the mode's own."""
+    if mode not in MODES or kind.upper() in ("", "AUTO") or kind.upper() in MODES[mode]:
+        return kind
+    return MODES[mode][0]
+
+
+def collected(found, k, allowed=None, room="", tags=(), merge=False):
+    """(collection, id, score): the first k of ``found(collection, id, score, metadata, text)``, collection by collection in order of name.
+
+    Each collection gives its best k, ``OVERFETCH`` times as many before a filter by room or tags; alike
+    texts of one collection are merged if asked for, then come the datasets ``allowed`` and the filter.
+    """
+    from . import fuse, predicates
+
+    fetched = lexical.top_per(found, "collection", [F.round("score", 9).desc(), F.col("id")], k * OVERFETCH if room or tags else k).withColumnRenamed("rank", "pos")
+    if merge:
+        fetched = fuse.deduplicated(fetched, ALIKE, "collection")
+    if allowed is not None:
+        fetched = allowed_rows(fetched, allowed, predicates.dataset_of(F.col("metadata")))
+    if room or tags:
+        fetched = fetched.where(predicates.chunk_matches(F.col("metadata"), room, tags))
+    return fetched.orderBy("collection", "pos").limit(k).select("collection", "id", "score")
+
+
 names = functools.partial(sorted, STRATEGIES)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import analytics, memory, records, routes
 from ..operators.predicates import memory_scope
 from ..registry import query
+from ..streaming import machines
 from .base import GRAPH, MANIFEST, MEMORIES, graph_edges, graph_nodes, manifest, memories, table
 
 
@@ -110,6 +111,21 @@ def vsa_stats(spark, sf):
     return s.groupBy("relation").agg(F.countDistinct("shard").alias("shards"), F.count("*").alias("members"), F.countDistinct("source_id").alias("sources"))
 
 
+@query("job_outcomes", """WITH e AS (SELECT user_id::VARCHAR AS memory_id, 'index' AS operation, strftime(ts, '%Y-%m-%d') AS digest, event_type, ts FROM events),
+b AS (SELECT memory_id, operation, digest, ts, bool_or(event_type = 'purchase') AS ok FROM e WHERE event_type IN ('purchase', 'error') GROUP BY ALL),
+a AS (SELECT *, row_number() OVER (PARTITION BY memory_id, digest ORDER BY ts) AS place FROM b),
+j AS (SELECT memory_id, digest, min(place) FILTER (ok) AS first_ok, count(*) AS n, max(ts) AS last FROM a GROUP BY ALL),
+k AS (SELECT DISTINCT memory_id, operation, digest FROM e WHERE event_type IN ('view', 'signup'))
+SELECT memory_id, operation, digest, CASE WHEN coalesce(n, 0) >= 2 AND coalesce(first_ok, 3) > 2 THEN 'dead_letter' WHEN first_ok IS NOT NULL THEN 'completed' WHEN n > 0 THEN 'failed' ELSE 'pending' END AS status,
+  CASE WHEN coalesce(n, 0) >= 2 AND coalesce(first_ok, 3) > 2 THEN 2 ELSE coalesce(first_ok, n, 0) END::INT AS attempts,
+  CASE WHEN n < 2 AND first_ok IS NULL THEN last + INTERVAL 30 SECOND END AS next_run_at FROM k LEFT JOIN j USING (memory_id, digest)""")
+def job_outcomes(spark, sf):
+    """Each user's jobs of a day: views and sign-ups ask for one, purchases and errors end its attempts, two at most."""
+    kind = F.expr("case event_type when 'purchase' then 'ok' when 'error' then 'error' when 'click' then 'claim' else 'enqueue' end")
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("memory_id"), F.lit("index").alias("operation"), F.date_format("ts", "yyyy-MM-dd").alias("digest"), kind.alias("kind"), F.col("ts").alias("at"))
+    return machines.job_outcomes(e, most=2)
+
+
 @query("outbox_counts", "SELECT CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'completed' ELSE 'failed' END AS status, count(*) AS jobs FROM orders GROUP BY 1")
 def outbox_counts(spark, sf):
     jobs = table(spark, sf, "orders").select(F.expr("case o_orderstatus when 'O' then 'pending' when 'F' then 'completed' else 'failed' end").alias("status"))

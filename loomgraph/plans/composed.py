@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import answers, graph, graphrank, memory, records, relate, router, routes, strategies, temporal
 from ..registry import query
-from .base import GRAPH, MEMORIES, graph_edges, graph_nodes, memories, table
+from .base import CHUNKS, GRAPH, MEMORIES, chunks, graph_edges, graph_nodes, memories, table
+from .filters import META
 
 
 
@@ -144,6 +145,13 @@ def sub_question_steps(spark, sf):
     return strategies.get("GRAPH_COMPLETION_COT")(spark, tables, {"query": "", "questions": ["asia nation", "customer#000000007", "nothing known"]})
 
 
+@query("search_collections", f"""WITH {CHUNKS}, r AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY score DESC, id) AS pos FROM chunks)
+SELECT collection, id, score FROM r WHERE pos <= 45 AND json_valid(metadata) AND {META.format('room')} = 'en' AND ({META.format('tags[0]')} = 'T2' OR {META.format('tags[1]')} = 'x1') ORDER BY collection, pos LIMIT 15""")
+def search_collections(spark, sf):
+    """The driver's loop over all collections: thrice as many fetched before a filter by room and tags."""
+    return strategies.collected(chunks(spark, sf).withColumn("text", F.lit("")), 15, room="en", tags=["T2", "x1"])
+
+
 @query("cursor_page", "SELECT o_orderkey, base64(encode('{\"o\":40}')) AS next FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 20")
 def cursor_page(spark, sf):
     """A page of twenty after a cursor, and the next cursor."""

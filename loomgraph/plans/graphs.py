@@ -150,6 +150,21 @@ def supersession(spark, sf):
     return graph.supersede(raw, ["prefers"]).select("id", "superseded_by", "valid_until")
 
 
+@query("upsert_in_time", G(""", m AS (SELECT 'c' || c_custkey AS source_id, c_mktsegment AS dataset_id, c_custkey, c_nationkey FROM customer WHERE c_custkey % 5 = 0),
+w AS (SELECT 'm1' || c_custkey AS id, 1 AS pos, source_id, 'n' || (c_nationkey + 1) % 25 AS target_id, dataset_id, CASE WHEN c_custkey % 10 = 0 THEN 'm2' || c_custkey END AS follower FROM m
+  UNION ALL SELECT 'm2' || c_custkey, 2, source_id, 'n' || (c_nationkey + 2) % 25, dataset_id, NULL FROM m WHERE c_custkey % 10 = 0)
+SELECT e.id, e.target_id, coalesce(e.valid_until, CASE WHEN w.id IS NOT NULL THEN TIMESTAMP '1997-06-01' END) AS valid_until, CASE WHEN e.valid_until IS NULL THEN w.id END AS superseded_by FROM edges e LEFT JOIN w ON w.pos = 1 AND e.relation = 'LIVES_IN' AND w.source_id = e.source_id AND w.dataset_id = e.dataset_id
+UNION ALL SELECT id, target_id, CASE WHEN follower IS NOT NULL THEN TIMESTAMP '1997-06-01' END, follower FROM w"""))
+def upsert_in_time(spark, sf):
+    """Every fifth customer moves to another nation, every tenth twice."""
+    moved = table(spark, sf, "customer").where("c_custkey % 5 = 0")
+    new = None
+    for pos, rows in ((1, moved), (2, moved.where("c_custkey % 10 = 0"))):
+        one = rows.selectExpr(f"concat('m{pos}', c_custkey) as id", "concat('c', c_custkey) as source_id", f"concat('n', (c_nationkey + {pos}) % 25) as target_id", "'LIVES_IN' as relation", "c_mktsegment as dataset_id", "1.0D as confidence", "timestamp_ntz'1997-06-01 00:00:00' as valid_from", f"{pos} as pos")
+        new = one if new is None else new.union(one)
+    return graph.upsert_in_time(graph_edges(spark, sf), new, F.expr("timestamp_ntz'1997-06-01 00:00:00'")).select("id", "target_id", "valid_until", "superseded_by")
+
+
 @query("prune_graph", G(", kept AS (SELECT * FROM edges WHERE valid_until IS NULL OR valid_until >= TIMESTAMP '1997-06-01' - INTERVAL 90 DAY), ends AS (SELECT source_id AS id FROM kept UNION SELECT target_id FROM kept) SELECT 'edges' AS part, count(*) AS n FROM kept UNION ALL SELECT 'nodes', count(*) FROM nodes WHERE id IN (SELECT id FROM ends)"))
 def prune_graph(spark, sf):
     n, e = graph.prune(graph_nodes(spark, sf), graph_edges(spark, sf), now())

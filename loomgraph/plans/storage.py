@@ -85,6 +85,16 @@ def ingest_dedup(spark, sf):
     return readers.ingest(table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.col("source").alias("owner"), F.col("text").alias("content")))
 
 
+@query("ingest_links", f"""WITH s AS (SELECT lang, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(sha256(text) || source)) AS h FROM documents)
+SELECT DISTINCT lang AS dataset_id, {UUID} AS data_id FROM s""")
+def ingest_links(spark, sf):
+    """The links of all files to datasets, a third of them there before: a file of two datasets is linked to both."""
+    items = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.col("source").alias("owner"), F.col("text").alias("content"), "lang")
+    found = readers.ingest(items.drop("lang")).join(items.select("pos", F.col("lang").alias("dataset_id")), "pos")
+    before = found.where("pos % 3 = 0").select("dataset_id", F.col("id").alias("data_id"))
+    return readers.dataset_links(before, found)
+
+
 @query("detect_format", """WITH n AS (SELECT doc_id, 'f' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.PDF' WHEN 1 THEN '.md' WHEN 2 THEN '.yml' WHEN 3 THEN '.jpeg' ELSE '' END AS name FROM documents)
 SELECT doc_id, CASE lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'pdf' THEN 'pdf' WHEN 'md' THEN 'md' WHEN 'yml' THEN 'yaml' WHEN 'jpeg' THEN 'image' ELSE 'txt' END AS format FROM n""")
 def detect_format(spark, sf):

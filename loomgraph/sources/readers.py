@@ -183,6 +183,11 @@ def ingest(items: DataFrame) -> DataFrame:
     return rows.select("pos", "sha256", uuid5(F.concat("sha256", "owner")).alias("id"), (F.row_number().over(first) > 1).alias("already_exists"))
 
 
+def dataset_links(links: DataFrame, ingested: DataFrame) -> DataFrame:
+    """``links(dataset_id, data_id)`` with those of ``ingested(id, dataset_id)``, files that were there already among them; each once."""
+    return links.select("dataset_id", "data_id").union(ingested.where("dataset_id <> ''").select("dataset_id", F.col("id").alias("data_id"))).distinct()
+
+
 def notes(docs: DataFrame, kind: str = "", since: str = "") -> DataFrame:
     """``front_matter`` of ``docs(name, text)``, those of a type and of a date from ``since`` on, if given."""
     out = front_matter(docs)

@@ -195,6 +195,17 @@ def test_strategies(spark):
     assert [r.id for r in strategies.search(spark, t, {"query": "red apples", "k": 1, "have": ["bm25"]}).collect()] == [1]
 
 
+def test_search_driver(spark):
+    from loomgraph.operators import strategies as s
+
+    assert [s.gated(*x) for x in (("rag", "CYPHER"), ("graph", "chunks"), ("rag", "auto"), ("rag", "hybrid"), ("", "CYPHER"), ("graph", "TEMPORAL"))] == ["CHUNKS", "GRAPH_COMPLETION", "auto", "hybrid", "CYPHER", "TEMPORAL"]
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    meta = lambda room: json.dumps({"room": room, "dataset_id": "d1" if room == "a" else "d2"})
+    found = spark.createDataFrame([("b", 1, 0.9, meta("a"), words), ("b", 2, 0.8, meta("a"), words + "."), ("b", 3, 0.7, meta("b"), "other"), ("a", 4, 0.1, meta("a"), "x y"), ("a", 5, 0.2, "{broken", "z")], "collection string, id long, score double, metadata string, text string")
+    ids = lambda **more: [r.id for r in s.collected(found, 3, **more).collect()]
+    assert ids() == [5, 4, 1] and ids(merge=True) == [5, 4, 1] and ids(room="a") == [4, 1, 2] and ids(room="a", merge=True) == [4, 1] and ids(tags=["t"]) == []
+
+
 REFUSED = [
     "DROP TABLE nodes", "SELECT * FROM nodes; DROP TABLE nodes", "INSERT INTO nodes SELECT * FROM edges", "SELECT * FROM elsewhere", "SELECT * FROM nodes WHERE id IN (SELECT id FROM elsewhere)", "SELECT * FROM parquet.`/tmp`",
     "SELECT (SELECT max(x) FROM other.place) FROM nodes", "SELECT reflect('java.lang.System', 'exit', 1) FROM nodes", "CREATE TABLE x AS SELECT * FROM nodes", "SELECT * FROM range(10)", "WITH a AS (SELECT * FROM secret) SELECT * FROM a",
