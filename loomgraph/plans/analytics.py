@@ -111,6 +111,19 @@ def vsa_stats(spark, sf):
     return s.groupBy("relation").agg(F.countDistinct("shard").alias("shards"), F.count("*").alias("members"), F.countDistinct("source_id").alias("sources"))
 
 
+@query("sketched_quantiles", """WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, n, r AS rank, max(value) FILTER (i = greatest(1, ceil(n * r)::BIGINT)) AS exact, true AS within FROM e, (VALUES (0.05::DOUBLE), (0.5), (0.95)) q(r) GROUP BY event_type, n, r""")
+def sketched_quantiles(spark, sf):
+    """Quantiles of each kind's values from one sketch a day, beside the exact ones: within 1 % of the rank."""
+    e = table(spark, sf, "events").where("value is not null")
+    daily = analytics.quantile_sketches(e.withColumn("day", F.to_date("ts")), ["event_type", "day"], "value")
+    found = analytics.sketch_quantiles(daily, ["event_type"], [0.05, 0.5, 0.95])
+    place = e.select("event_type", F.col("value").alias("v")).join(found, "event_type").groupBy("event_type", "n", "rank").agg(F.avg((F.col("v") <= F.col("value")).cast("double")).alias("at"))
+    exact = e.groupBy("event_type").agg(F.expr("array(percentile_disc(0.05D) within group (order by value), percentile_disc(0.5D) within group (order by value), percentile_disc(0.95D) within group (order by value))").alias("x"))
+    each = exact.select("event_type", F.posexplode("x").alias("i", "exact")).withColumn("rank", F.expr("element_at(array(0.05D, 0.5D, 0.95D), i + 1)"))
+    return place.join(each, ["event_type", "rank"]).select("event_type", "n", "rank", "exact", (F.abs(F.col("at") - F.col("rank")) < 0.01).alias("within"))
+
+
 @query("job_outcomes", """WITH e AS (SELECT user_id::VARCHAR AS memory_id, 'index' AS operation, strftime(ts, '%Y-%m-%d') AS digest, event_type, ts FROM events),
 b AS (SELECT memory_id, operation, digest, ts, bool_or(event_type = 'purchase') AS ok FROM e WHERE event_type IN ('purchase', 'error') GROUP BY ALL),
 a AS (SELECT *, row_number() OVER (PARTITION BY memory_id, digest ORDER BY ts) AS place FROM b),

@@ -3,7 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from ..operators import communities, components as cc
-from ..operators import graph, graphrank, strategies, vector
+from ..operators import graph, graphrank, strategies, traverse, vector
 from ..registry import query
 from .base import GRAPH, graph_edges, graph_nodes, table
 from .retrieval import COS, vectors
@@ -144,6 +144,34 @@ def shortest_paths(spark, sf):
     return graph.shortest_path_edges(graph_edges(spark, sf), "n0", "n5")
 
 
+SEEDS = "SELECT 'n' || n_nationkey AS seed FROM nation UNION ALL SELECT 'c' || c_custkey FROM customer WHERE c_custkey % 50 = 7"
+
+
+def _seeds(spark, sf):
+    return table(spark, sf, "nation").selectExpr("concat('n', n_nationkey) as seed").union(table(spark, sf, "customer").where("c_custkey % 50 = 7").selectExpr("concat('c', c_custkey)"))
+
+
+@query("distances_from_many", G(f""", walk AS MATERIALIZED (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges), s AS ({SEEDS}),
+d0 AS MATERIALIZED (SELECT seed, seed AS id FROM s), d1 AS MATERIALIZED (SELECT DISTINCT seed, b AS id FROM d0 JOIN walk ON a = id), d2 AS (SELECT DISTINCT seed, b AS id FROM d1 JOIN walk ON a = id)
+SELECT seed, id, min(d)::BIGINT AS distance FROM (SELECT *, 0 AS d FROM d0 UNION ALL SELECT *, 1 FROM d1 UNION ALL SELECT *, 2 FROM d2) GROUP BY ALL"""))
+def distances_from_many(spark, sf):
+    """All nodes within two steps of every nation and of some customers, 64 starts at a time."""
+    return traverse.Walk(graph_edges(spark, sf)).distances(_seeds(spark, sf), 2)
+
+
+@query("paths_between_many", G(""", walk AS MATERIALIZED (SELECT source_id AS a, relation, target_id AS b FROM edges UNION SELECT target_id, relation, source_id FROM edges), st AS MATERIALIZED (SELECT DISTINCT a, b FROM walk),
+pr AS (SELECT 'n' || n_nationkey AS s, 'n' || (n_nationkey * 7 + 3) % 25 AS e FROM nation WHERE n_nationkey < 6), ends AS (SELECT s AS x FROM pr UNION SELECT e FROM pr),
+l0 AS MATERIALIZED (SELECT x, x AS id FROM ends), l1 AS MATERIALIZED (SELECT DISTINCT x, b AS id FROM l0 JOIN st ON a = id), l2 AS MATERIALIZED (SELECT DISTINCT x, b AS id FROM l1 JOIN st ON a = id),
+l3 AS MATERIALIZED (SELECT DISTINCT x, b AS id FROM l2 JOIN st ON a = id), l4 AS MATERIALIZED (SELECT DISTINCT x, b AS id FROM l3 JOIN st ON a = id),
+dist AS MATERIALIZED (SELECT x, id, min(d) AS d FROM (SELECT *, 0 AS d FROM l0 UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3 UNION ALL SELECT *, 4 FROM l4) GROUP BY ALL),
+len AS (SELECT s, e, d AS n FROM pr JOIN dist ON x = s AND id = e WHERE d > 0)
+SELECT DISTINCT s AS start, e AS "end", a AS source, relation, b AS target FROM len JOIN dist f ON f.x = s JOIN walk ON a = f.id JOIN dist t ON t.x = e AND t.id = b WHERE f.d + 1 + t.d = n"""))
+def paths_between_many(spark, sf):
+    """All shortest paths of several pairs of nations in one search."""
+    pairs = table(spark, sf, "nation").where("n_nationkey < 6").selectExpr("concat('n', n_nationkey) as start", "concat('n', (n_nationkey * 7 + 3) % 25) as end")
+    return traverse.Walk(graph_edges(spark, sf)).paths(pairs)
+
+
 @query("supersession", G("SELECT id, lead(id) OVER w AS superseded_by, lead(valid_from) OVER w AS valid_until FROM edges WHERE relation = 'PREFERS' WINDOW w AS (PARTITION BY dataset_id, source_id ORDER BY valid_from, id)"))
 def supersession(spark, sf):
     raw = graph_edges(spark, sf).where("relation = 'PREFERS'").withColumn("valid_until", F.lit(None).cast("timestamp_ntz"))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from ..operators.analytics import routing_weights, trajectory_key
+from ..operators.analytics import quantile_sketches, routing_weights, trajectory_key
 
 
 def audit_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 16) -> DataFrame:
@@ -165,3 +165,12 @@ def enqueue(jobs: DataFrame, new: DataFrame) -> DataFrame:
     once = new.groupBy(*key).agg(F.min("id").alias("id"))
     fresh = once.join(jobs.select(*key), key, "left_anti")
     return jobs.unionByName(fresh.withColumns({"status": F.lit("pending"), "attempts": F.lit(0)}), allowMissingColumns=True)
+
+
+def sketched(stream: DataFrame, by: list, value: str, path: str, checkpoint: str):
+    """A query that adds each micro-batch's quantile sketches to a folder, whose rows merge for any range; a batch that is run again replaces its own."""
+
+    def write(batch: DataFrame, number: int):
+        quantile_sketches(batch, by, value).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

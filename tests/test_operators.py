@@ -195,6 +195,57 @@ def test_strategies(spark):
     assert [r.id for r in strategies.search(spark, t, {"query": "red apples", "k": 1, "have": ["bm25"]}).collect()] == [1]
 
 
+def test_many_starts(spark):
+    import random
+
+    from loomgraph.operators import traverse
+
+    r = random.Random(6)
+    edges = [(f"v{r.randrange(120)}", f"v{r.randrange(120)}") for _ in range(150)] + [("hub", f"v{i}") for i in range(0, 120, 2)] + [("lone", "lone")]
+    e = spark.createDataFrame([(str(i), a, b, "r") for i, (a, b) in enumerate(edges)], "id string, source_id string, target_id string, relation string")
+    seeds = [f"v{i}" for i in range(100)] + ["lone", "unknown", "v3", None]
+    walk = traverse.Walk(e, buckets=3)
+    got = {(x.seed, x.id): x.distance for x in walk.distances(spark.createDataFrame([(s,) for s in seeds], "seed string"), 3).collect()}
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for s in {s for s in seeds if s}:
+        front, want[s, s] = {s}, 0
+        for d in (1, 2, 3):
+            front = {b for a in front for b in near.get(a, ())} - {i for x, i in want if x == s}
+            want.update({(s, i): d for i in front})
+    assert got == want
+    # the edges are not shuffled: their side of the join has no exchange
+    front = walk.levels(spark.createDataFrame([("hub",)], "seed string"), 0)[1][0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = walk.step(front)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scan = next(line for line in plan.splitlines() if "FileScan parquet spark_catalog" in line or "Bucketed: true" in line)
+    assert "Bucketed: true" in scan and plan.count("hashpartitioning(a#") == 1
+    walk.drop()
+
+
+def test_quantile_sketches(spark, tmp_path):
+    from loomgraph.operators import analytics
+
+    rows_ = [(f"2024-01-0{i % 3 + 1}", "ab"[i % 2], float((i * 7919) % 10007)) for i in range(20_000)]
+    e = spark.createDataFrame(rows_, "day string, kind string, value double")
+    (tmp_path / "in").mkdir()
+    for day in ("2024-01-01", "2024-01-02", "2024-01-03"):
+        e.where(F.col("day") == day).coalesce(1).write.parquet(str(tmp_path / "in" / day))
+    for _ in range(2):  # nothing new the second time
+        q = streams.sketched(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*")), ["day", "kind"], "value", str(tmp_path / "out"), str(tmp_path / "ck"))
+        assert q.awaitTermination(120)
+    for sketches in (analytics.quantile_sketches(e, ["day", "kind"], "value"), spark.read.parquet(str(tmp_path / "out"))):
+        got = analytics.sketch_quantiles(sketches.where("day < '2024-01-03'"), ["kind"], [0.05, 0.5, 0.95]).collect()
+        assert len(got) == 6
+        for r in got:
+            values = [v for d, k, v in rows_ if k == r.kind and d < "2024-01-03"]
+            assert r.n == len(values) and abs(sum(v <= r.value for v in values) / len(values) - r.rank) < 0.01
+
+
 def test_search_driver(spark):
     from loomgraph.operators import strategies as s
 
