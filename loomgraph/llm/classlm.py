@@ -8,7 +8,8 @@ class that raises the class-bigram likelihood most, half the words at a time, so
 neighbours don't swap past each other; half a sweep that doesn't raise the likelihood is
 undone, and sweeps end when the likelihood hardly rises any more.  A tail word then goes to
 the class that raises it most to first order, given the classes around its occurrences.  As
-history, tail words are one class.  Each tail word's count is discounted by ``DISCOUNT``; what
+history, every word with ``FREQUENT`` of the tokens stands for its class, exchanged or put there;
+the rest are one class.  Each tail word's count is discounted by ``DISCOUNT``; what
 that frees is the class of words unseen in training, taken to be as many as the seen ones.
 Transitions are smoothed towards the class frequencies.
 
@@ -33,7 +34,7 @@ END, END_CHECK = np.uint64(0x2E5D0C4B1A697887), np.uint64(0x5DEECE66)
 FREQUENT, HEAD, LEAST, CLASSES, KAPPA, DISCOUNT = 1e-6, 1e-5, 5, 64, 5.0, 0.5
 #: half sweeps end when two in a row add less than this share of the whole rise
 RISE = 0.01
-#: classes of the end mark, and, as history, of tail words, or, as the next word's, of unseen ones
+#: classes of the end mark, and, as history, of words below FREQUENT, or, as the next word's, of unseen ones
 END_CLASS, RARE_CLASS = 0, 1
 
 
@@ -389,7 +390,7 @@ def fit(training: DataFrame) -> dict:
         hit = words[at] == keys
         chosen[at[hit]] = np.asarray(more.column(1))[hit]
     return {
-        "words": words, "checks": checks, "counts": number.astype(float), "history": np.where(big, chosen, RARE_CLASS), "chosen": chosen, "transition": transition,
+        "words": words, "checks": checks, "counts": number.astype(float), "history": chosen, "chosen": chosen, "transition": transition,
         "emission": np.log10(number - np.where(big, 0, DISCOUNT)) - log_size[chosen], "ends": ends, "base_shift": np.log10(total + 0.5 * (types + 1)),
         "log_size": log_size, "total": total, "types": types, "known": known,
     }
