@@ -103,19 +103,28 @@ def _best(block, k):
     return run
 
 
-def similar_pairs(vectors: DataFrame, least: float, id_col: str = "id", vec_col: str = "embedding", tables: int | None = None, bits: int = 6, recall: float = 0.95) -> DataFrame:
+#: rows of one bucket of ``similar_pairs``, on average, where rows are unrelated
+BUCKET = 32
+
+
+def similar_pairs(vectors: DataFrame, least: float, id_col: str = "id", vec_col: str = "embedding", tables: int | None = None, bits: int | None = None, recall: float = 0.95) -> DataFrame:
     """(a, b, score), a < b, score >= least, found by random hyperplanes and confirmed by cosine.
 
     Used where the table is too large for all pairs; ``exact_pairs`` is the exact form.
     A pair at ``least`` shares a table's key with probability (1 - angle / pi) ** bits;
-    there are as many tables as find it with probability ``recall``, 12 at least.
+    there are as many tables as find it with probability ``recall``, 12 at least.  The bits grow with
+    the logarithm of the table, so that a bucket of unrelated rows keeps about ``BUCKET`` of them: the
+    work a row grows with the number of tables, below all pairs.
     """
+    named = vectors.where(F.col(vec_col).isNotNull())
+    if bits is None:
+        bits = int(np.clip(np.ceil(np.log2(max(named.count(), 1) / BUCKET)), 6, 24))
     if tables is None:
         meet = (1 - np.arccos(np.clip(least, -1, 1)) / np.pi) ** bits
         tables = 12 if meet >= 1 else max(12, int(np.ceil(np.log(1 - recall) / np.log1p(-max(meet, 1e-3)))))
     dim = vectors.select(F.max(F.size(vec_col))).first()[0] or 1
     planes = np.random.default_rng(42).standard_normal((tables, bits, dim))
-    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    rows = named.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
     kind = rows.schema["id"].dataType.simpleString()
     keyed = rows.select("id", F.transform("v", lambda x: x.cast("double")).alias("v")).mapInArrow(_keys(planes), f"id {kind}, key long")
     left, right = keyed.select(F.col("id").alias("a"), "key"), keyed.select(F.col("id").alias("b"), "key")

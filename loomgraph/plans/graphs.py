@@ -260,6 +260,15 @@ def semantic_dedup(spark, sf):
     return graph.greedy_dedup(vector.exact_pairs(vectors(spark, sf), 0.35))
 
 
+@query("lsh_dedup", f"""WITH v AS (SELECT vec_id AS id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, list_transform(embedding, lambda x: 3 * x) FROM embeddings WHERE vec_id % 10 = 3)
+SELECT b.id AS removed, min(a.id) AS kept FROM v a JOIN v b ON a.id < b.id AND {COS.format('a.embedding', 'b.embedding')} >= 0.9 GROUP BY b.id""")
+def lsh_dedup(spark, sf):
+    """Scaled copies of every tenth vector, found by random hyperplanes, go; the earlier one stays."""
+    v = vectors(spark, sf).select("id", "embedding")
+    both = v.union(v.where("id % 10 = 3").select(F.col("id") + 1000000, F.transform("embedding", lambda x: x * 3)))
+    return graph.greedy_dedup(vector.similar_pairs(both, 0.9))
+
+
 @query("remap_edges", G(""", m AS (SELECT 'n1' AS removed, 'n0' AS kept) SELECT e.id, coalesce(x.kept, source_id) AS source_id, coalesce(y.kept, target_id) AS target_id FROM edges e LEFT JOIN m x ON x.removed = source_id LEFT JOIN m y ON y.removed = target_id"""))
 def remap_edges(spark, sf):
     merged = spark.range(1).select(F.lit("n1").alias("removed"), F.lit("n0").alias("kept"))
