@@ -132,3 +132,9 @@ def sketch_quantiles(sketches: DataFrame, by: list, ranks, k: int = SKETCH) -> D
     merged = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
     pairs = [F.struct(F.lit(float(r)).alias("rank"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(r))).alias("value")) for r in ranks]
     return merged.select(*by, "n", F.explode(F.array(*pairs)).alias("x")).select(*by, "n", "x.rank", "x.value")
+
+
+def ordered_distinct(rows: DataFrame, by: str, value: str, order: list) -> DataFrame:
+    """(by, values): each key's distinct values in the order in which they first come; null and empty ones are left out."""
+    first = rows.where(F.col(value).isNotNull() & (F.col(value) != "")).groupBy(by, value).agg(F.min(F.struct(*order)).alias("_at"))
+    return first.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col(value).alias("v")))), lambda x: x["v"]).alias("values"))

@@ -175,3 +175,35 @@ def search_turns(turns: DataFrame, needle: str, role: str = "", limit: int = 20)
     found = turns.where(like_any(needle, "text"))
     found = found.where(F.col("role") == role) if role else found
     return found.orderBy(F.desc("conv_id"), F.desc("turn")).limit(limit)
+
+
+# fixed values: what a category of findings asks to change, how by default, and the risk by severity
+TARGETS = {"missed_recall": "project_agents", "blind_save": "project_agents", "duplicate_save": "memory_policy", "wrong_room_hall": "memory_policy", "noisy_memory": "memory_policy", "scaffold_recommendation": "project_agents"}
+CHANGES = {
+    "missed_recall": "Clarify consult-before-write rules in the project memory scaffold.", "blind_save": "Clarify consult-before-write rules in the project memory scaffold.", "duplicate_save": "Clarify duplicate-check and update-vs-new-memory policy.",
+    "wrong_room_hall": "Clarify project room taxonomy and allowed hall vocabulary.", "noisy_memory": "Clarify do-not-save rules and wake_up pin discipline.", "": "Review and refine the project memory scaffold.",
+}
+RISKS = {"high": "High behavior impact; requires careful human review before applying.", "low": "Low risk; wording-only scaffold change.", "": "Medium risk; may change agent memory behavior."}
+
+
+def proposals(findings: DataFrame) -> DataFrame:
+    """(digest, target, collection, summary, current_problem, proposed_change, risk, status, source_run_id, finding_ids, created_at, updated_at).
+
+    Of ``findings(id, run_id, collection, category, severity, summary, evidence, recommendation, at)``: those whose category
+    asks for a change, one proposal a digest, the first finding's run and risk, and all their ids in order.  Texts are cut at 500,
+    1000 and 1200 characters.
+    """
+    named = lambda table, c, rest=None: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in table.items() if k for x in (k, v)]), c), F.lit(rest))
+    cut = lambda c, n: F.substring(F.btrim(c, F.lit(" \t\n\r\x0b\x0c")), 1, n)
+    given = lambda c, other: F.when(F.btrim(F.coalesce(c, F.lit("")), F.lit(" \t\n\r\x0b\x0c")) != "", c).otherwise(other)
+    rows = findings.withColumn("target", named(TARGETS, F.col("category"))).where("target is not null")
+    rows = rows.select(
+        "target", F.coalesce("collection", F.lit("")).alias("collection"), cut(given(F.col("summary"), F.concat(F.lit("Improve memory scaffold for "), "category")), 500).alias("summary"),
+        cut(F.coalesce("evidence", F.lit("")), 1000).alias("current_problem"), cut(given(F.col("recommendation"), named(CHANGES, F.col("category"), CHANGES[""])), 1200).alias("proposed_change"),
+        named(RISKS, F.lower("severity"), RISKS[""]).alias("risk"), F.col("run_id").alias("source_run_id"), F.trim("id").alias("id"), "at",
+    )
+    key = ["target", "collection", "summary", "current_problem", "proposed_change"]
+    rows = rows.withColumn("digest", F.sha2(F.concat_ws("\x00", *key), 256))
+    once = rows.groupBy("digest", "id").agg(F.min(F.struct("at", "source_run_id", "risk")).alias("first"), F.max("at").alias("last"), *(F.first(c).alias(c) for c in key))
+    each = once.groupBy("digest", *key).agg(F.array_sort(F.collect_list(F.struct(F.col("first.at").alias("at"), "id", F.col("first.source_run_id").alias("run"), F.col("first.risk").alias("risk")))).alias("f"), F.max("last").alias("updated_at"))
+    return each.select("digest", *key, F.col("f")[0]["risk"].alias("risk"), F.lit("open").alias("status"), F.col("f")[0]["run"].alias("source_run_id"), F.filter(F.transform("f", lambda x: x["id"]), lambda i: i != "").alias("finding_ids"), F.col("f")[0]["at"].alias("created_at"), "updated_at")

@@ -63,6 +63,11 @@ def cache_key(model: Column, prompt: Column, system: Column, temperature: Column
     return F.sha2(F.format_string("%s|%s|%s|%.4f", model, prompt, system, temperature), 256)
 
 
+def embed_key(text: Column) -> Column:
+    """The name of a text in a cache of vectors: half of its SHA-256."""
+    return F.substring(F.sha2(text, 256), 1, 32)
+
+
 #: language -> [(kind, pattern of a line, its group that is the name, its group that is what it extends or belongs to)]
 LANGUAGES = {
     "python": [

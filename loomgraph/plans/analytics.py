@@ -111,6 +111,13 @@ def vsa_stats(spark, sf):
     return s.groupBy("relation").agg(F.countDistinct("shard").alias("shards"), F.count("*").alias("members"), F.countDistinct("source_id").alias("sources"))
 
 
+@query("ordered_dedup", """WITH f AS (SELECT user_id, event_type, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL)
+SELECT user_id, list(event_type ORDER BY ts, event_id) AS "values" FROM f GROUP BY user_id""")
+def ordered_dedup(spark, sf):
+    """What each user did, each kind once, in order of its first time."""
+    return analytics.ordered_distinct(table(spark, sf, "events"), "user_id", "event_type", ["ts", "event_id"])
+
+
 @query("sketched_quantiles", """WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
 SELECT event_type, n, r AS rank, max(value) FILTER (i = greatest(1, ceil(n * r)::BIGINT)) AS exact, true AS within FROM e, (VALUES (0.05::DOUBLE), (0.5), (0.95)) q(r) GROUP BY event_type, n, r""")
 def sketched_quantiles(spark, sf):
@@ -266,6 +273,27 @@ def memory_reviews(spark, sf):
     return memory.reviews(memories(spark, sf), F.expr("timestamp_ntz'1995-01-01 00:00:00'"), ("fact", "event"))
 
 
+KINDS = ["missed_recall", "blind_save", "duplicate_save", "wrong_room_hall", "noisy_memory", "scaffold_recommendation", "praise"]
+
+
+@query("scaffold_proposals", f"""WITH f AS (SELECT 'f' || o_orderkey AS id, 'run' || o_custkey % 11 AS run_id, 'k' || o_custkey % 5 AS collection, ({KINDS})[o_orderkey % 7 + 1] AS category, (['HIGH', 'low', 'medium'])[o_orderkey % 3 + 1] AS severity,
+  CASE WHEN o_orderkey % 2 = 0 THEN ' ' ELSE o_orderpriority END AS summary, o_orderstatus AS evidence, CASE WHEN o_orderkey % 3 = 0 THEN 'Say when.' ELSE '' END AS recommendation, o_orderdate AS ts FROM orders),
+p AS (SELECT CASE WHEN category IN ('missed_recall', 'blind_save', 'scaffold_recommendation') THEN 'project_agents' ELSE 'memory_policy' END AS target, collection, CASE WHEN trim(summary) = '' THEN 'Improve memory scaffold for ' || category ELSE summary END AS summary,
+  evidence AS current_problem, CASE WHEN recommendation <> '' THEN recommendation WHEN category IN ('missed_recall', 'blind_save') THEN 'Clarify consult-before-write rules in the project memory scaffold.' WHEN category = 'duplicate_save' THEN 'Clarify duplicate-check and update-vs-new-memory policy.'
+    WHEN category = 'wrong_room_hall' THEN 'Clarify project room taxonomy and allowed hall vocabulary.' WHEN category = 'noisy_memory' THEN 'Clarify do-not-save rules and wake_up pin discipline.' ELSE 'Review and refine the project memory scaffold.' END AS proposed_change,
+  CASE lower(severity) WHEN 'high' THEN 'High behavior impact; requires careful human review before applying.' WHEN 'low' THEN 'Low risk; wording-only scaffold change.' ELSE 'Medium risk; may change agent memory behavior.' END AS risk, run_id, id, ts FROM f WHERE category <> 'praise')
+SELECT sha256(target || chr(0) || collection || chr(0) || summary || chr(0) || current_problem || chr(0) || proposed_change) AS digest, target, collection, summary, current_problem, proposed_change, arg_min(risk, (ts, id)) AS risk, 'open' AS status,
+  arg_min(run_id, (ts, id)) AS source_run_id, list(id ORDER BY ts, id) AS finding_ids, min(ts) AS created_at, max(ts) AS updated_at FROM p GROUP BY ALL""")
+def scaffold_proposals(spark, sf):
+    """Proposals to change the scaffold, by digest, of findings made of orders."""
+    kinds = ", ".join(f"'{k}'" for k in KINDS)
+    found = table(spark, sf, "orders").selectExpr(
+        "concat('f', o_orderkey) as id", "concat('run', o_custkey % 11) as run_id", "concat('k', o_custkey % 5) as collection", f"element_at(array({kinds}), int(o_orderkey % 7) + 1) as category", "element_at(array('HIGH', 'low', 'medium'), int(o_orderkey % 3) + 1) as severity",
+        "if(o_orderkey % 2 = 0, ' ', o_orderpriority) as summary", "o_orderstatus as evidence", "if(o_orderkey % 3 = 0, 'Say when.', '') as recommendation", "o_orderdate as at",
+    )
+    return memory.proposals(found)
+
+
 @query("task_promotion", "SELECT DISTINCT l_orderkey AS task FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_linestatus = 'O') AND count(*) FILTER (l_returnflag = 'R') = 0")
 def task_promotion(spark, sf):
     """Tasks all of whose steps passed and that nothing blocks: open lines, none returned."""

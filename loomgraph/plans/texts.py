@@ -168,6 +168,14 @@ def cache_keys(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", texts.cache_key(F.lit("m"), F.col("text"), F.lit(""), F.lit(0.7)).alias("key"))
 
 
+@query("embed_cache", "WITH k AS (SELECT DISTINCT substr(sha256(text), 1, 32) AS key FROM documents WHERE doc_id % 3 = 0) SELECT doc_id, substr(sha256(text), 1, 32) AS key, key IN (SELECT key FROM k) AS hit FROM documents")
+def embed_cache(spark, sf):
+    """Texts by their names in a cache of vectors that every third text is in."""
+    d = table(spark, sf, "documents").select("doc_id", texts.embed_key(F.col("text")).alias("key"))
+    held = d.where("doc_id % 3 = 0").select("key", F.lit(True).alias("_hit")).distinct()
+    return d.join(held, "key", "left").select("doc_id", "key", F.coalesce("_hit", F.lit(False)).alias("hit"))
+
+
 @query("embedding_contract", "SELECT label, substr(sha256('enc|tok|mean|l2|64|' || label), 1, 24) AS contract FROM (SELECT DISTINCT label FROM embeddings)")
 def embedding_contract(spark, sf):
     d = table(spark, sf, "embeddings").select("label").distinct()
