@@ -2,7 +2,7 @@
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import records, vector
+from ..operators import hypervector, records, vector
 from ..registry import query
 from ..sources import readers
 from .base import MEMORIES, memories, table
@@ -187,6 +187,22 @@ def vsa_query(spark, sf):
     return asked.select("s", "o", F.array_max(F.transform("names", lambda n: F.struct(vector.dot(F.col("u"), n["g"]).alias("d"), n["guess"].alias("guess"))))["guess"].alias("answer"))
 
 
+_SIGN = "(2 * ((('0x' || substr({0}, (16 * (pos // 64) + 16 - (pos % 64) // 4)::INT, 1))::INT >> (pos % 4)::INT) & 1) - 1)"
+
+
+@query("vsa_recall", f"""WITH p AS (SELECT unnest(range(256)) AS pos), c AS (SELECT 'c' || c_custkey AS s, 'n' || c_nationkey AS o, c_custkey // 12 AS shard FROM customer), pr AS (SELECT sha256('predicate:LIVES_IN') AS hp),
+ns AS MATERIALIZED (SELECT o, pos, {_SIGN.format("sha256('entity:' || o)")} AS x FROM (SELECT DISTINCT o FROM c), p), k AS MATERIALIZED (SELECT s, o, shard, pos, {_SIGN.format("sha256('entity:' || s)")} * {_SIGN.format("hp")} AS x FROM c, pr, p),
+b AS MATERIALIZED (SELECT k.shard, k.pos, sum(k.x * ns.x) AS n FROM k JOIN ns USING (o, pos) GROUP BY ALL), z AS (SELECT shard, sqrt(sum(n * n)) AS norm FROM b GROUP BY shard),
+d AS (SELECT k.s AS subject, ns.o AS answer, sum(b.n * k.x * ns.x) / (any_value(norm) * 16) AS similarity FROM k JOIN b ON b.shard = k.shard AND b.pos = k.pos JOIN z ON z.shard = k.shard JOIN ns ON ns.pos = k.pos GROUP BY ALL)
+SELECT subject, answer, round(similarity, 6) AS similarity FROM d QUALIFY row_number() OVER (PARTITION BY subject ORDER BY round(similarity, 9) DESC, answer) = 1""")
+def vsa_recall(spark, sf):
+    """Where each customer lives, asked of the bundle of twelve customers' facts, by packed signs."""
+    c = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("subject"), F.concat(F.lit("n"), "c_nationkey").alias("o"), F.expr("c_custkey div 12").alias("shard"), F.lit("LIVES_IN").alias("predicate"))
+    held = hypervector.bundle(c.withColumn("v", hypervector.fact(F.col("subject"), F.col("predicate"), F.col("o"))), "shard", "v")
+    found = hypervector.answers(c.select("shard", "subject", "predicate"), held, c.select("predicate", F.col("o").alias("name")).distinct())
+    return found.select("subject", "answer", F.round("similarity", 6).alias("similarity"))
+
+
 RDF = '<r:RDF xmlns:r="http://r#" xmlns:o="http://o#" xmlns:s="http://s#"><o:Class r:about="http://x#N{0}"><s:label>Nation {0}</s:label><s:subClassOf r:resource="http://x#R"/></o:Class><o:ObjectProperty r:about="http://x/in{0}"/><o:Ontology r:about="http://x"/></r:RDF>'
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 import uuid
 
 import pytest
@@ -385,6 +386,37 @@ def test_vsa_answers(spark):
     assert sum(r.o == r.answer for r in found) >= 0.9 * len(found)
 
 
+def test_hypervectors(spark):
+    """Packed signs against whole numbers: binding, sums, cosines; twelve facts answer without a mistake."""
+    import hashlib
+
+    from loomgraph.operators import hypervector as hv
+
+    def signs(name, words=hv.WORDS):
+        hexes = "".join(hashlib.sha256((name if k == 0 else f"{name}#{k}").encode()).hexdigest() for k in range((words + 3) // 4))
+        return [1 if int(hexes[16 * i : 16 * i + 16], 16) >> b & 1 else -1 for i in range(words) for b in range(64)]
+
+    facts = [("s1", f"c{i}", "in", f"n{i % 5}") for i in range(12)] + [("s2", "c1", "in", "n3")]
+    df = spark.createDataFrame(facts, "shard string, subject string, predicate string, target string")
+    coded = df.withColumn("v", hv.fact(F.col("subject"), F.col("predicate"), F.col("target"), 16))
+    held = hv.bundle(coded, "shard", "v", 16)
+    names = spark.createDataFrame([("in", f"n{i}") for i in range(5)], "predicate string, name string")
+    got = {(r.subject, r.answer): r.similarity for r in hv.answers(df.where("shard = 's1'"), held, names, 5, 16).collect()}
+    times = lambda *v: [math.prod(x) for x in zip(*v)]
+    of = lambda kind, name: signs(f"{kind}:{name}", 16)
+    sums = [sum(x) for x in zip(*[times(of("entity", s), of("predicate", p), of("entity", o)) for shard, s, p, o in facts if shard == "s1"])]
+    norm = math.sqrt(sum(x * x for x in sums)) * 32
+    for (s, o), found in got.items():
+        assert found == pytest.approx(sum(map(math.prod, zip(sums, of("entity", s), of("predicate", "in"), of("entity", o)))) / norm)
+    top = {s: max((x for x in got if x[0] == s), key=got.get)[1] for s in {x[0] for x in got}}
+    assert top == {s: o for shard, s, _, o in facts if shard == "s1"}
+    a, b = signs("a"), signs("b")
+    one = spark.range(1).select(hv.similarity(hv.symbol(F.lit("a")), hv.symbol(F.lit("b"))).alias("ab"), hv.similarity(hv.symbol(F.lit("a")), hv.symbol(F.lit("a"))).alias("aa")).first()
+    assert one.ab == pytest.approx(sum(map(math.prod, zip(a, b))) / 256) and one.aa == 1
+    with pytest.raises(Exception, match="more vectors than its planes"):
+        hv.bundle(spark.range(20).select(F.lit(1).alias("g"), hv.symbol(F.col("id").cast("string")).alias("v")), "g", "v").collect()
+
+
 def test_readers(spark, tmp_path):
     page = "<html><body><nav>no</nav><article><h1>Title</h1><p>One <b>two</b>.<p>Three<script>x</script></article><p>out</p></body></html>"
     assert readers.html_text(page) == "# Title\n\nOne two.\n\nThree"
