@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..sources.store import fresh, written
 
 #: shares in which a sweep moves the nodes at first, at most; sweeps of a level; least gain of a sweep
-SHARES, MOST_SHARES, SWEEPS, GAIN = 3, 12, 24, 1e-6
+SHARES, MOST_SHARES, SWEEPS, GAIN = 3, 6, 12, 1e-6
 
 
 class Graph(NamedTuple):
