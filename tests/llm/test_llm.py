@@ -571,7 +571,7 @@ def test_pipeline(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracle(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "labels", "pages", "benchmark"):
+    for t in ("documents", "labels", "pages", "benchmark", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     mine, other = queries.queries()[name](spark, SF), c.sql(queries.oracle_sql()[name])
     order = sorted(mine.columns)
