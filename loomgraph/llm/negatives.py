@@ -91,6 +91,8 @@ def _packed(with_scores):
         number, held, size = TaskContext.get().partitionId() << 33, [], 0
 
         def close(table):
+            # files are read back in order of their sizes: only here do a block's rows stand in order of label
+            table = table.take(pa.array(np.argsort(np.asarray(table.column("label")), kind="stable")))
             q = table.column("q").combine_chunks()
             m = _matrix(q, int(np.diff(np.asarray(q.offsets)).max()))
             m = m.astype("<i2") if not m.size or abs(m).max() < 1 << 15 else m.astype("<i8")
@@ -120,7 +122,7 @@ BLOCKS, SCORES = ["block long", "has array<bigint>", "row binary", "vec_id binar
 
 
 def packed(rows: DataFrame, name: str) -> DataFrame:
-    """``rows(row, vec_id, label, q)``, in the order in which they stand, as a table of blocks."""
+    """``rows(row, vec_id, label, q)`` as a table of blocks, each in order of label."""
     extra = "scores" in rows.columns
     return stored(rows.mapInArrow(_packed(extra), ", ".join(BLOCKS + [SCORES] * extra)), name)
 

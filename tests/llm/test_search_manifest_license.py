@@ -76,6 +76,17 @@ def test_negatives_in_small_blocks(spark, monkeypatch):
     assert got(spark.createDataFrame([(*x, "r", 9, "s", 8) for x in rows], VECTORS)) == mined(rows)
 
 
+def test_negatives_of_many_small_files(spark):
+    """A task reads several files of the stored rows, the largest first, so that labels come out of order."""
+    r, parts = random.Random(5), spark.conf.get("spark.sql.shuffle.partitions")
+    rows = [(i, [r.gauss(0, 0.3) for _ in range(12)], r.randrange(10)) for i in range(800)]
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert got(spark.createDataFrame([(*x, "r", 9, "s", 8) for x in rows], VECTORS)) == mined(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_bounds_rule_out_no_pair():
     """What a stage drops has an exact product outside of what was asked for."""
     rng = np.random.default_rng(1)
