@@ -67,9 +67,9 @@ def rerank(results: DataFrame, max_gap: float | None = None) -> DataFrame:
     return results.withColumn("new_rank", F.row_number().over(every.orderBy(key.desc_nulls_last(), F.col("rank"))).cast("long"))
 
 
-def unit(score: Column) -> Column:
-    """A score from 0 to 1: negative ones are 0, those over 1 distances."""
-    return F.when(score < 0, 0.0).when(score <= 1, score).otherwise(1 / (1 + score))
+def unit(score: Column, whole: bool = True) -> Column:
+    """A score from 0 to 1: negative ones are 0, those over 1 distances; so is 1 itself unless it is a ``whole`` score."""
+    return F.when(score < 0, 0.0).when(score <= 1 if whole else score < 1, score).otherwise(1 / (1 + score))
 
 
 def confidence(scores: DataFrame) -> DataFrame:
