@@ -51,6 +51,14 @@ def bundle(rows: DataFrame, by, vec: str, words: int = WORDS, planes: int = PLAN
     return each.select(*by, "n", F.when(full.isNull(), F.aggregate("_vs", none, add)).alias("planes"))
 
 
+def count_dot(planes: Column, n: Column, candidate: Column, count: int = PLANES, words: int = WORDS) -> Column:
+    """The product of a bundle's sums and a vector, a whole number."""
+    plus = functools.reduce(lambda a, b: a + b, [(1 << k) * F.bit_count(planes[k][w].bitwiseAND(candidate[w])) for k in range(count) for w in range(words)])
+    whole = functools.reduce(lambda a, b: a + b, [(1 << k) * F.bit_count(planes[k][w]) for k in range(count) for w in range(words)])
+    ones = functools.reduce(lambda a, b: a + b, [F.bit_count(candidate[w]) for w in range(words)])
+    return 2 * (2 * plus - whole) - n * (2 * ones - 64 * words)
+
+
 def count_similarity(planes: Column, n: Column, candidate: Column, count: int = PLANES) -> Column:
     """The cosine of a bundle's sums and a vector; 0 where the sums are all 0."""
     size = 64 * F.size(candidate)

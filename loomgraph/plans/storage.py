@@ -178,13 +178,17 @@ def vsa_superposition(spark, sf):
 @query("vsa_query")
 def vsa_query(spark, sf):
     """Which nation does a customer's bundle of facts hold: bound symbols, summed, unbound, compared."""
-    c = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("s"), F.concat(F.lit("n"), "c_nationkey").alias("o"), F.floor(F.col("c_custkey") / 12).alias("shard"))
-    facts = c.withColumn("v", records.bind(records.symbol(F.col("s"), 256), records.symbol(F.col("o"), 256)))
-    sums = records.bundle(facts, "shard", "v")
+    c = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("s"), F.concat(F.lit("n"), "c_nationkey").alias("o"), F.floor(F.col("c_custkey") / 12).alias("shard")).where("shard is not null")
+    none = F.array(*[F.lit(0).cast("long")] * hypervector.WORDS)  # no name: every sign is -1
+    signs = lambda name: F.when(name.isNull(), none).otherwise(hypervector.symbol(F.concat(name, F.lit("#0"))))  # noqa: E731  256 of them, packed
+    facts = c.withColumn("v", hypervector.bind(signs(F.col("s")), signs(F.col("o"))))
+    most = facts.groupBy("shard").count().agg(F.max("count")).first()[0] or 1  # twelve, unless keys repeat
+    sums = hypervector.bundle(facts, "shard", "v", planes=most.bit_length())
     # the vocabulary is one row: each name's symbol
-    names = c.select("o").distinct().agg(F.sort_array(F.collect_list(F.struct(F.col("o").alias("guess"), records.symbol(F.col("o"), 256).alias("g")))).alias("names"))
-    asked = c.join(sums, "shard").withColumn("u", records.bind(F.col("bundle"), records.symbol(F.col("s"), 256))).crossJoin(names)
-    return asked.select("s", "o", F.array_max(F.transform("names", lambda n: F.struct(vector.dot(F.col("u"), n["g"]).alias("d"), n["guess"].alias("guess"))))["guess"].alias("answer"))
+    names = c.select("o").distinct().select(F.col("o").alias("guess"), signs(F.col("o")).alias("g")).agg(F.sort_array(F.collect_list(F.struct("guess", "g"))).alias("names"))
+    asked = c.join(sums, "shard").withColumn("u", signs(F.col("s"))).crossJoin(names)
+    likeness = lambda x: hypervector.count_dot(F.col("planes"), F.col("n"), hypervector.bind(F.col("u"), x["g"]), most.bit_length())
+    return asked.select("s", "o", F.array_max(F.transform("names", lambda x: F.struct(likeness(x).alias("d"), x["guess"].alias("guess"))))["guess"].alias("answer"))
 
 
 _SIGN = "(2 * ((('0x' || substr({0}, (16 * (pos // 64) + 16 - (pos % 64) // 4)::INT, 1))::INT >> (pos % 4)::INT) & 1) - 1)"

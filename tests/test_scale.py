@@ -19,3 +19,19 @@ def test_a_score_of_one_is_a_distance_where_the_sql_says_so(spark, tmp_path):
     c.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet/*.parquet'")
     mine = registry.queries()["score_normalise"](spark, sf).collect()
     assert sorted(map(tuple, mine)) == sorted(c.sql(registry.oracle_sql()["score_normalise"]).fetchall())
+
+
+def test_vsa_query_on_packed_signs(spark, tmp_path):
+    """The same answers as the sums of unpacked signs, with keys that repeat, nulls and a bundle of more than fifteen facts."""
+    from loomgraph.operators import records, vector
+
+    rows = [(k, k * 7 % 25 if k % 11 else None) for k in range(400)] + [(5, n) for n in range(20)] + [(None, 3)]
+    sf = put(spark, tmp_path, customer=spark.createDataFrame(rows, "c_custkey long, c_nationkey int"))
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(F.concat(F.lit("c"), "c_custkey").alias("s"), F.concat(F.lit("n"), "c_nationkey").alias("o"), F.floor(F.col("c_custkey") / 12).alias("shard"))
+    sums = records.bundle(c.withColumn("v", records.bind(records.symbol(F.col("s"), 256), records.symbol(F.col("o"), 256))), "shard", "v")
+    names = c.select("o").distinct().select(F.col("o").alias("guess"), records.symbol(F.col("o"), 256).alias("g"))
+    asked = c.join(sums, "shard").withColumn("u", records.bind(F.col("bundle"), records.symbol(F.col("s"), 256))).crossJoin(names)
+    told = asked.groupBy("s", "o").agg(F.max(F.struct(vector.dot(F.col("u"), F.col("g")).alias("d"), "guess"))["guess"].alias("answer")).distinct()
+    query = registry.queries()["vsa_query"](spark, sf)
+    assert sorted(map(repr, query.distinct().collect())) == sorted(map(repr, told.collect())) and query.count() == 420
+    assert "pos" not in query._jdf.queryExecution().optimizedPlan().toString()  # no row a sign
