@@ -103,8 +103,12 @@ def _best(block, k):
     return run
 
 
-#: rows of one bucket of ``similar_pairs``, on average, where rows are unrelated
-BUCKET = 32
+#: rows of one bucket of ``similar_pairs``, on average, where rows are unrelated; rows above which a bucket is divided
+BUCKET, CROWDED = 2048, 8192
+#: components of the rows of a group at most (16 MB), least rows of one, products held at a time
+GROUP, LEAST_ROWS, HELD = 1 << 21, 1024, 1 << 20
+#: rows that a task deals out at a time
+DEALT = 256
 
 
 def similar_pairs(vectors: DataFrame, least: float, id_col: str = "id", vec_col: str = "embedding", tables: int | None = None, bits: int | None = None, recall: float = 0.95) -> DataFrame:
@@ -113,89 +117,236 @@ def similar_pairs(vectors: DataFrame, least: float, id_col: str = "id", vec_col:
     Used where the table is too large for all pairs; ``exact_pairs`` is the exact form.
     A pair at ``least`` shares a table's key with probability (1 - angle / pi) ** bits;
     there are as many tables as find it with probability ``recall``, 12 at least.  The bits grow with
-    the logarithm of the table, so that a bucket of unrelated rows keeps about ``BUCKET`` of them: the
-    work a row grows with the number of tables, below all pairs.
+    the logarithm of the table, so that a bucket of unrelated rows keeps about ``BUCKET`` of them.  A bucket
+    is one matrix product: what is shuffled is each row once a table, and the pairs that were confirmed.
+    Buckets above ``CROWDED`` rows are divided, each pair of parts being a product of its own.  Where the buckets of all
+    tables hold as many pairs as there are (low thresholds need many tables), all pairs are compared: ``exact_pairs``.
     """
     named = vectors.where(F.col(vec_col).isNotNull())
+    rows = named.select(F.col(id_col).alias("id"), _numbers(vectors, vec_col).alias("v"))
+    n, given = named.count(), bits is not None or tables is not None
     if bits is None:
-        bits = int(np.clip(np.ceil(np.log2(max(named.count(), 1) / BUCKET)), 6, 24))
+        bits = int(np.clip(np.ceil(np.log2(max(n, 1) / BUCKET)), 6, 24))
     if tables is None:
         meet = (1 - np.arccos(np.clip(least, -1, 1)) / np.pi) ** bits
         tables = 12 if meet >= 1 else max(12, int(np.ceil(np.log(1 - recall) / np.log1p(-max(meet, 1e-3)))))
+    kind = rows.schema["id"].dataType.simpleString()
+    if not given and kind in ("bigint", "int") and tables * n / 2**bits >= n / 2:
+        found = exact_pairs(vectors, least, id_col, vec_col)
+        return found.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "score")
     dim = vectors.select(F.max(F.size(vec_col))).first()[0] or 1
     planes = np.random.default_rng(42).standard_normal((tables, bits, dim))
-    rows = named.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    kind = rows.schema["id"].dataType.simpleString()
-    keyed = rows.select("id", F.transform("v", lambda x: x.cast("double")).alias("v")).mapInArrow(_keys(planes), f"id {kind}, key long")
-    left, right = keyed.select(F.col("id").alias("a"), "key"), keyed.select(F.col("id").alias("b"), "key")
-    pairs = left.join(right, "key").where("a < b").select("a", "b").distinct()
-    pairs = pairs.join(rows.toDF("a", "va"), "a").join(rows.toDF("b", "vb"), "b").dropDuplicates(["a", "b"])
-    return pairs.select("a", "b", cosine(F.col("va"), F.col("vb")).alias("score")).where(F.col("score") >= least)
+    crowds = rows.mapInArrow(_crowds(planes), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > CROWDED)
+    crowds = {r.key: -(-r.n // CROWDED) for r in crowds.collect()}  # at most tables * n / CROWDED
+    of = rows.schema["v"].dataType.simpleString()
+    keyed = rows.mapInArrow(_dealt(planes, vectors.sparkSession.sparkContext.broadcast(crowds)), f"key long, low int, high int, own int, id {kind}, v {of}")
+    placed = keyed.repartition(max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return placed.mapInArrow(_products(least), f"a {kind}, b {kind}, score double").groupBy("a", "b").agg(F.max("score").alias("score"))
+
+
+def _numbers(vectors, vec_col):
+    """The vectors, as floats or doubles."""
+    of = vectors.schema[vec_col].dataType.elementType.simpleString()
+    return F.col(vec_col) if of in ("float", "double") else F.transform(vec_col, lambda x: x.cast("double"))
+
 
+def _flat(lists):
+    """The components of an array of lists in a row, null ones as NaN."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
 
-def _keys(planes):
+
+def _keys(lists, planes):
+    """A row's key in each table."""
     tables, bits, dim = planes.shape
-    flat = planes.reshape(-1, dim).T
+    sizes = np.diff(np.asarray(lists.offsets))
+    m = np.zeros((len(sizes), dim))
+    m[np.arange(dim) < sizes[:, None]] = _flat(lists)
+    sides = ((m @ planes.reshape(-1, dim).T) >= 0).reshape(-1, tables, bits)
+    return (np.arange(tables) << bits) + sides @ (1 << np.arange(bits))
+
+
+def _crowds(planes):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                keys, n = np.unique(_keys(batch.column(1), planes), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    return run
+
+
+def _dealt(planes, crowds):
+    """Each row to its bucket of each table; to all pairs of parts with its own where the bucket is divided."""
 
     def run(batches):
+        place = 0
         for batch in batches:
-            m = np.zeros((batch.num_rows, dim))
-            for i, v in enumerate(batch.column(1).to_pylist()):
-                m[i, : len(v)] = np.asarray(v, np.float64)
-            sides = ((m @ flat) >= 0).reshape(-1, tables, bits)
-            keys = (np.arange(tables) << bits) + sides @ (1 << np.arange(bits))
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), tables)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys.ravel().astype(np.int64))], names=["id", "key"])
+            for at in range(0, batch.num_rows, DEALT):
+                part = batch.slice(at, DEALT)
+                keys = _keys(part.column(1), planes)
+                row, key = np.repeat(np.arange(len(keys)), keys.shape[1]), keys.ravel().astype(np.int64)
+                parts = np.array([crowds.value.get(k, 1) for k in key.tolist()]) if crowds.value else np.ones(len(key), int)
+                own = (place + row) % parts  # any part will do
+                place += len(keys)
+                again = np.repeat(np.arange(len(key)), parts)
+                other = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
+                row, key, own = row[again], key[again], own[again]
+                low, high = np.minimum(own, other), np.maximum(own, other)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), *(pa.array(x.astype(np.int32)) for x in (low, high, own)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], names=["key", "low", "high", "own", "id", "v"]
+                )
 
     return run
 
 
-def exact_pairs(vectors: DataFrame, least: float, id_col: str = "id", vec_col: str = "embedding", block: int = 2048) -> DataFrame:
-    """(a, b, score), a < b, cosine >= least: every row against all rows, as products of blocks of rows.
+def _grouped(vectors: DataFrame, id_col: str, vec_col: str, block: int | None):
+    """(rows(id, v), their number, rows of a group): the fewer groups, the less is shuffled, but there are several tasks a core."""
+    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), _numbers(vectors, vec_col).alias("v"))
+    n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows, n, block or min(max(LEAST_ROWS, -(-n // int(np.ceil(np.sqrt(4 * parts))))), max(1, GROUP // max(dim or 1, 1)))
+
+
+def _placed(keyed: DataFrame, keys: int) -> DataFrame:
+    parts = max(1, min(keys, 4 * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return keyed.select("key", "low", "high", "own", "id", "v").repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+
+def _all_groups(vectors, id_col, vec_col, block):
+    """Rows dealt to all pairs of groups."""
+    rows, n, block = _grouped(vectors, id_col, vec_col, block)
+    groups = max(1, -(-n // block))
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+    every = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return _placed(every.select(F.lit(0).cast("long").alias("key"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "v"), groups * (groups + 1) // 2)
+
+
+def exact_pairs(vectors: DataFrame, least: float, id_col: str = "id", vec_col: str = "embedding", block: int | None = None) -> DataFrame:
+    """(a, b, score), a < b, cosine >= least: every row against all rows, as products of groups of rows.
 
-    Rows are dealt into blocks of ``block`` by a hash of their id; each pair of blocks is one
-    key's work, two blocks in memory.  Nothing passes the driver; the work, and what is shuffled,
-    grow with the square of the table by definition: ``similar_pairs`` is the form for large ones.
+    Rows are dealt into groups by a hash of their id; each pair of groups is one
+    key's work, two groups in memory, a strip of their products at a time.  Nothing passes the driver; the work
+    grows with the square of the table by definition, what is shuffled with the table times its groups.
     """
-    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
-    blocks = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keyed = every.select((F.least("own", "other") * blocks + F.greatest("own", "other")).alias("key"), "own", "id", "v")
-    parts = max(1, min(blocks * (blocks + 1) // 2, 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    placed = keyed.repartition(parts, "key").sortWithinPartitions("key")
-    return placed.mapInArrow(_products(least, blocks), "a long, b long, score double")
-
-
-def _products(least, blocks):
-    def finish(key, own, ids, vectors):
-        low, high = divmod(key, blocks)
-        own, ids = np.array(own), np.array(ids, np.int64)
-        sizes = np.array([len(v) for v in vectors])
+    return _all_groups(vectors, id_col, vec_col, block).mapInArrow(_products(least), "a long, b long, score double")
+
+
+def linked(vectors: DataFrame, least: float, id_col: str = "id", vec_col: str = "embedding", block: int | None = None) -> DataFrame:
+    """(a, b): edges with the same components as all of ``exact_pairs``; a task gives one a row at most, not one a pair."""
+    return _all_groups(vectors, id_col, vec_col, block).mapInArrow(_forest(least), "a long, b long")
+
+
+def best_earlier(chosen: DataFrame, vectors: DataFrame, least: float, block: int | None = None) -> DataFrame:
+    """(a, b, score): for each of ``vectors(id, v)`` the best by cosine, then id, of ``chosen(id, v)`` with a smaller id, where that is >= least."""
+    few, n, size = _grouped(chosen, "id", "v", block)
+    rows, m, block = _grouped(vectors, "id", "v", block)
+    block = max(size, block)
+    tall, wide = max(1, -(-n // block)), max(1, -(-m // block))
+
+    def dealt(rows, own, groups, other):
+        each = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups))).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+        key = F.col("o") * wide + F.col("g") if own else F.col("g") * wide + F.col("o")
+        return each.select(key.cast("long").alias("key"), F.lit(0).alias("low"), F.lit(1).alias("high"), F.lit(own).alias("own"), "id", "v")
+
+    placed = _placed(dealt(few, 0, tall, wide).unionByName(dealt(rows, 1, wide, tall)), tall * wide)
+    found = placed.mapInArrow(_best_of(least), "a long, b long, score double")
+    return found.groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a"), F.max("score").alias("score")).select("a", "b", "score")
+
+
+def _tiles(batches):
+    """(ids, unit rows, places of the one group, places of the other) of each key, for vectors of one size at a time."""
+
+    def close(held):
+        table = pa.Table.from_batches(held)
+        own, ids, low, high = (np.asarray(table.column(c)) for c in ("own", "id", "low", "high"))
+        lists = table.column("v").combine_chunks()
+        sizes = np.diff(np.asarray(lists.offsets))
         for size in np.unique(sizes):  # vectors of one size compare
             same = np.flatnonzero(sizes == size)
-            m, side, names = _unit(np.array([vectors[i] for i in same], np.float64).reshape(len(same), size)), own[same], ids[same]
-            x, y = np.flatnonzero(side == low), np.flatnonzero(side == high)
-            score = np.clip(m[x] @ m[y].T, -1, 1)
-            i, j = np.nonzero(score >= least)
-            a, b, s = names[x[i]], names[y[j]], score[i, j]
-            keep = a < b if low == high else a != b
-            a, b, s = a[keep], b[keep], s[keep]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s)], names=["a", "b", "score"])
+            m, side = _unit(_flat(lists.take(pa.array(same))).reshape(len(same), size)), own[same]
+            yield ids[same], m, np.flatnonzero(side == low[0]), np.flatnonzero(side == high[0])
+
+    held, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("key", "low", "high")])
+        starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
+        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+            key = tuple(keys[:, a])
+            if key != now and held:
+                yield from close(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield from close(held)
+
+
+def _hits(m, x, y, least):
+    """Pairs of places (i of x, j of y) with their cosine, a strip of products at a time."""
+    right = m[y].T
+    step = max(1, HELD // max(1, len(y)))
+    for at in range(0, len(x), step):
+        score = np.clip(m[x[at : at + step]] @ right, -1, 1)
+        i, j = np.nonzero(score >= least)
+        if len(i):
+            yield x[at + i], y[j], score[i, j]
+
+
+def _products(least):
+    def run(batches):
+        for ids, m, x, y in _tiles(batches):
+            once = np.array_equal(x, y)
+            for i, j, s in _hits(m, x, y, least):
+                a, b = ids[i], ids[j]
+                keep = a < b if once else a != b
+                a, b, s = a[keep], b[keep], s[keep]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.where(a < b, a, b)), pa.array(np.where(a < b, b, a)), pa.array(s)], names=["a", "b", "score"])
 
+    return run
+
+
+def _forest(least):
     def run(batches):
-        now, own, ids, vectors = None, [], [], []
-        for batch in batches:
-            for key, o, i, v in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != now:
-                    if ids:
-                        yield from finish(now, own, ids, vectors)
-                    now, own, ids, vectors = key, [], [], []
-                own.append(o)
-                ids.append(i)
-                vectors.append(v)
-        if ids:
-            yield from finish(now, own, ids, vectors)
+        for ids, m, x, y in _tiles(batches):
+            root = np.arange(len(ids))
+            for i, j, _ in _hits(m, x, y, least):
+                keep = ids[i] != ids[j]
+                i, j = i[keep], j[keep]
+                while True:
+                    a, b = root[i], root[j]
+                    far = a != b
+                    if not far.any():
+                        break
+                    i, j, a, b = i[far], j[far], a[far], b[far]
+                    np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+                    while not np.array_equal(up := root[root], root):
+                        root = up
+            a, b = ids[root], ids
+            keep = a != b
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+    return run
+
+
+def _best_of(least):
+    def run(batches):
+        for ids, m, x, y in _tiles(batches):
+            x = x[np.argsort(ids[x], kind="stable")]  # the first of equal scores has the smallest id
+            if not len(x) or not len(y):
+                continue
+            right, step = m[x].T, max(1, HELD // len(x))
+            for at in range(0, len(y), step):
+                part = y[at : at + step]
+                score = np.clip(m[part] @ right, -1, 1)
+                score[~((score >= least) & (ids[x] < ids[part][:, None]))] = -np.inf
+                top = np.argmax(score, axis=1)
+                s = score[np.arange(len(part)), top]
+                keep = s > -np.inf
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[x[top[keep]]]), pa.array(ids[part[keep]]), pa.array(s[keep])], names=["a", "b", "score"])
 
     return run

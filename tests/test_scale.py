@@ -35,3 +35,46 @@ def test_vsa_query_on_packed_signs(spark, tmp_path):
     query = registry.queries()["vsa_query"](spark, sf)
     assert sorted(map(repr, query.distinct().collect())) == sorted(map(repr, told.collect())) and query.count() == 420
     assert "pos" not in query._jdf.queryExecution().optimizedPlan().toString()  # no row a sign
+
+
+def some_vectors(spark, n=600, dim=8):
+    import random
+
+    r = random.Random(4)
+    kinds = [[r.gauss(0, 1) for _ in range(dim)] for _ in range(40)]
+    made = [(i, [x + r.gauss(0, 0.05) for x in r.choice(kinds)] if i % 3 else [r.gauss(0, 1) for _ in range(dim)]) for i in range(n)]
+    made += [(n + i, made[5][1]) for i in range(60)] + [(n + 60, [0.0] * dim), (n + 61, [1.0]), (n + 62, []), (n + 63, None), (7, made[5][1])]
+    return spark.createDataFrame(made, "id long, embedding array<float>")
+
+
+def test_pairs_forests_and_greedy_rounds_agree(spark, monkeypatch):
+    from loomgraph.operators import graph, vector
+    from loomgraph.operators.components import components
+
+    monkeypatch.setattr(vector, "HELD", 64)
+    v = some_vectors(spark)
+    a, b = v.toDF("a", "va"), v.toDF("b", "vb")
+    true = a.join(b, F.expr("a < b and size(va) = size(vb)")).where(vector.cosine(F.col("va"), F.col("vb")) >= 0.8).select("a", "b", vector.cosine(F.col("va"), F.col("vb")).alias("score")).cache()
+    want = {(r.a, r.b) for r in true.collect()}
+    for block in (None, 50):
+        assert {(r.a, r.b) for r in vector.exact_pairs(v, 0.8, block=block).collect()} == want
+        assert sorted(components(vector.linked(v, 0.8, block=block)).collect()) == sorted(components(true).collect())
+    unique = v.where("id <> 7")
+    told = {r.removed: r.kept for r in graph.greedy_dedup(vector.exact_pairs(unique, 0.8)).collect()}
+    monkeypatch.setattr(graph, "FIRST", 70)
+    found = {r.removed: r.kept for r in graph.greedy_dedup_vectors(unique, 0.8).collect()}
+    assert found.keys() == told.keys() and sum(found[k] != told[k] for k in told) <= 2  # equal scores
+
+
+def test_buckets_are_products_and_crowded_ones_divided(spark, monkeypatch):
+    from loomgraph.operators import vector
+
+    v = some_vectors(spark)
+    want = {(r.a, r.b) for r in vector.exact_pairs(v, 0.95).collect()}
+    assert {(r.a, r.b) for r in vector.similar_pairs(v, 0.4).collect()} == {(r.a, r.b) for r in vector.exact_pairs(v, 0.4).collect()}  # too many tables
+    whole = vector.similar_pairs(v, 0.95, tables=12, bits=6)
+    found = sorted((r.a, r.b) for r in whole.collect())
+    assert len(found) == len(set(found)) and set(found) <= want and len(found) > 0.95 * len(want)
+    assert "Join" not in whole._jdf.queryExecution().optimizedPlan().toString()  # no candidate leaves its task
+    monkeypatch.setattr(vector, "CROWDED", 20)
+    assert sorted((r.a, r.b) for r in vector.similar_pairs(v, 0.95, tables=12, bits=6).collect()) == found
