@@ -205,10 +205,9 @@ def greedy_dedup(pairs: DataFrame) -> DataFrame:
     Rounds: a node all of whose earlier neighbours are decided is decided; the kept one with
     the best score is its match.  As many rounds as the longest chain of dependence.
     """
-    todo = pairs.select("a", "b", "score")
+    todo = written(pairs.select("a", "b", "score"), "greedy-pairs")
     nodes = todo.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     state = written(nodes.withColumn("kept", F.lit(None).cast("boolean")), "greedy")
-    todo = written(todo, "greedy-pairs")
     while True:
         known = todo.join(state.select(F.col("id").alias("a"), F.col("kept").alias("a_kept")), "a")
         verdict = known.groupBy(F.col("b").alias("id")).agg(F.max(F.coalesce("a_kept", F.lit(False))).alias("hit"), F.max(F.col("a_kept").isNull()).alias("open"))
@@ -225,6 +224,37 @@ def greedy_dedup(pairs: DataFrame) -> DataFrame:
     return todo.join(kept, "a", "left_semi").join(gone, "b", "left_semi").groupBy(F.col("b").alias("removed")).agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("kept"))
 
 
+#: rows of the first round of ``greedy_dedup_vectors``; each later one takes as many as all before it
+FIRST = 8192
+
+
+def greedy_dedup_vectors(vectors: DataFrame, least: float, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+    """(removed, kept) as ``greedy_dedup`` finds them in all pairs of cosine >= least, in order of id; the pairs are never all made.
+
+    A round takes the next rows by id, drops those that a row kept before is similar to, and compares
+    what is left among itself.  So rows are compared with kept ones, and pairs of a round with each other.
+    """
+    from .vector import best_earlier, exact_pairs
+
+    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    n, low = rows.agg(F.count("*"), F.min("id")).first()
+    shares = [FIRST * 2**k / n for k in range(64) if n and FIRST * 2**k < n]
+    ends = [int(x) for x in rows.approxQuantile("id", shares, 0.1 * shares[0])] if shares else []  # any ends will do
+    kept, after = None, (low or 0) - 1
+    for end in [*sorted(set(ends)), None]:
+        part = rows.where(F.col("id") > after) if end is None else rows.where((F.col("id") > after) & (F.col("id") <= end))
+        if kept is not None:
+            part = part.join(best_earlier(kept, part, least).select(F.col("b").alias("id")), "id", "left_anti")
+        part = written(part, "greedy-part")
+        gone = greedy_dedup(exact_pairs(part, least, vec_col="v")).select(F.col("removed").alias("id"))
+        new = part.join(gone, "id", "left_anti")
+        kept = written(new if kept is None else kept.unionByName(new), "greedy-kept")
+        after = after if end is None else end
+    rest = rows.join(kept.select("id"), "id", "left_anti")
+    # what was similar once is so in a product of another shape, whose sums can differ in the last place
+    return best_earlier(kept, rest, least - 1e-12).select(F.col("b").alias("removed"), F.col("a").alias("kept"))
+
+
 def remap_edges(edges: DataFrame, merged: DataFrame) -> DataFrame:
     """Edges whose removed ends are replaced by the kept nodes of ``merged(removed, kept)``; nothing is deduplicated again."""
     a, b = merged.toDF("source_id", "_s"), merged.toDF("target_id", "_t")
