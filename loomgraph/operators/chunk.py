@@ -7,6 +7,8 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.store import arrow
+
 OID = "6ba7b8129dad11d180b400c04fd430c8"
 HEADING = r"^(?:глава|chapter)\s+\d+"
 CODE_START = r"^(?:func |def |class |type |async def |function |export |public |private |impl |fn )"
@@ -192,7 +194,7 @@ def chunks(docs: DataFrame, strategy: str = "sentence", id_col: str = "doc_id",
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.int64(), pa.string(), pa.string()))], names=["doc", "chunk_index", "chunk_id", "text"])
 
-    return docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc string, chunk_index long, chunk_id string, text string")
+    return arrow(docs).select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc string, chunk_index long, chunk_id string, text string")
 
 
 def simple_paragraphs(docs: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,7 +237,7 @@ def _table(docs, id_col, text_col, each, schema, kinds):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), *kinds))], names=names)
 
-    return docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return arrow(docs).select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def parent_children(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

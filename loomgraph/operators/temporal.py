@@ -6,6 +6,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.store import arrow
+
 # fixed values: month names as they begin in running text
 MONTHS = {
     1: ("янв", "jan"), 2: ("фев", "feb"), 3: ("мар", "mar"), 4: ("апр", "apr"), 5: ("мая", "май", "may"), 6: ("июн", "jun"),
@@ -74,7 +76,7 @@ def extract_dates(docs: DataFrame, reference: dt.date, id_col: str = "doc_id", t
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.date32(), pa.string(), pa.float64()))], names=["doc", "day", "raw", "confidence"])
 
-    return docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc string, day date, raw string, confidence double")
+    return arrow(docs).select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc string, day date, raw string, confidence double")
 
 
 def iso_dates(text: Column) -> Column:

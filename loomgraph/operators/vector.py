@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.store import arrow
 from .lexical import top_per
 
 
@@ -69,7 +70,7 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id
     for at in range(0, max(rows.num_rows, 1), step):
         part = rows.slice(at, step)
         block = spark.sparkContext.broadcast((part.column(0).to_pylist(), [x.as_py() for x in part.column(1)]))
-        found = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding")).mapInArrow(_best(block, k), "qid long, id long, score double")
+        found = arrow(vectors).select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding")).mapInArrow(_best(block, k), "qid long, id long, score double")
         out = found if out is None else out.union(found)
     return top_per(out, "qid", [F.round("score", 9).desc(), F.col("id")], k)
 
@@ -79,26 +80,48 @@ def _unit(m):
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+#: rows and queries whose products a task holds at a time
+STRIP, ASKED = 2048, 512
+
+
+def _better(held, ids, i, score, found):
+    """Put scores of rows ``found`` into the lists i of ``held`` and ``ids``, whose length stays."""
+    touched, at = np.unique(i, return_inverse=True)
+    k = held.shape[1]
+    g = np.concatenate([np.repeat(np.arange(len(touched)), k), at])
+    s, d = np.concatenate([held[touched].ravel(), score]), np.concatenate([ids[touched].ravel(), found])
+    order = np.lexsort((d, -np.round(s, 9), g))
+    g, s, d = g[order], s[order], d[order]
+    keep = np.arange(len(g)) - np.searchsorted(g, np.arange(len(touched)))[g] < k
+    held[touched], ids[touched] = s[keep].reshape(-1, k), d[keep].reshape(-1, k)
+
+
 def _best(block, k):
     def run(batches):
         qids, vectors = block.value
         if not qids:
             return
         q = _unit(np.asarray(vectors, np.float64))
-        held_ids, held = np.zeros((len(qids), 0), np.int64), np.zeros((len(qids), 0))
+        ids, held = np.full((len(qids), k), np.iinfo(np.int64).max), np.full((len(qids), k), -np.inf)
+        width = 64  # the first rows fill the lists, few of the later ones enter them
         for batch in batches:
             lists = batch.column(1)
             same = np.flatnonzero(np.diff(np.asarray(lists.offsets)) == q.shape[1])
             if not len(same):
                 continue
-            m = np.asarray(lists.take(pa.array(same)).flatten(), np.float64).reshape(len(same), q.shape[1])
-            ids = np.broadcast_to(np.asarray(batch.column(0))[same], (len(qids), len(same)))
-            held_ids, held = np.concatenate([held_ids, ids], axis=1), np.concatenate([held, np.clip(q @ _unit(m).T, -1, 1)], axis=1)
-            if held.shape[1] > k:
-                order = np.lexsort((held_ids, -np.round(held, 9)), axis=1)[:, :k]
-                held_ids, held = np.take_along_axis(held_ids, order, 1), np.take_along_axis(held, order, 1)
-        if held.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(qids), held.shape[1])), pa.array(held_ids.ravel()), pa.array(held.ravel())], names=["qid", "id", "score"])
+            m = _unit(np.asarray(lists.take(pa.array(same)).flatten(), np.float64).reshape(len(same), q.shape[1]))
+            names, at = np.asarray(batch.column(0))[same], 0
+            while at < len(m):
+                part = m[at : at + width].T
+                for a in range(0, len(q), ASKED):
+                    score = np.clip(q[a : a + ASKED] @ part, -1, 1)
+                    i, j = np.nonzero(score >= held[a : a + ASKED, -1:] - 1e-8)  # equal to nine places counts as equal
+                    if len(i):
+                        _better(held, ids, i + a, score[i, j], names[at + j])
+                at, width = at + width, min(2 * width, STRIP)
+        i, j = np.nonzero(held > -np.inf)
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(qids)[i]), pa.array(ids[i, j]), pa.array(held[i, j])], names=["qid", "id", "score"])
 
     return run
 
@@ -123,7 +146,7 @@ def similar_pairs(vectors: DataFrame, least: float, id_col: str = "id", vec_col:
     tables hold as many pairs as there are (low thresholds need many tables), all pairs are compared: ``exact_pairs``.
     """
     named = vectors.where(F.col(vec_col).isNotNull())
-    rows = named.select(F.col(id_col).alias("id"), _numbers(vectors, vec_col).alias("v"))
+    rows = arrow(named).select(F.col(id_col).alias("id"), _numbers(vectors, vec_col).alias("v"))
     n, given = named.count(), bits is not None or tables is not None
     if bits is None:
         bits = int(np.clip(np.ceil(np.log2(max(n, 1) / BUCKET)), 6, 24))
@@ -201,7 +224,7 @@ def _dealt(planes, crowds):
 
 def _grouped(vectors: DataFrame, id_col: str, vec_col: str, block: int | None):
     """(rows(id, v), their number, rows of a group): the fewer groups, the less is shuffled, but there are several tasks a core."""
-    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), _numbers(vectors, vec_col).alias("v"))
+    rows = arrow(vectors).where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), _numbers(vectors, vec_col).alias("v"))
     n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return rows, n, block or min(max(LEAST_ROWS, -(-n // int(np.ceil(np.sqrt(4 * parts))))), max(1, GROUP // max(dim or 1, 1)))

@@ -6,6 +6,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from .store import arrow
+
 # fixed values: extensions and what they hold
 FORMATS = {
     "pdf": ("pdf",), "docx": ("docx",), "pptx": ("pptx",), "xlsx": ("xlsx",), "html": ("html", "htm"), "epub": ("epub",), "odt": ("odt",), "md": ("md", "markdown"),
@@ -111,7 +113,7 @@ def page_texts(pages: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([html_text(h) for h in batch.column(1).to_pylist()], pa.string())], names=["page_id", "text"])
 
-    return pages.select("page_id", "html").mapInArrow(run, "page_id long, text string")
+    return arrow(pages).select("page_id", "html").mapInArrow(run, "page_id long, text string")
 
 
 def git_commits(lines: DataFrame) -> DataFrame:
@@ -161,7 +163,7 @@ def ontologies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["doc", "kind", "uri", "name", "label", "parent"])
 
-    return docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc string, kind string, uri string, name string, label string, parent string")
+    return arrow(docs).select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc string, kind string, uri string, name string, label string, parent string")
 
 
 def ontology(spark: SparkSession, xml: str) -> DataFrame:

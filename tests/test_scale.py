@@ -78,3 +78,44 @@ def test_buckets_are_products_and_crowded_ones_divided(spark, monkeypatch):
     assert "Join" not in whole._jdf.queryExecution().optimizedPlan().toString()  # no candidate leaves its task
     monkeypatch.setattr(vector, "CROWDED", 20)
     assert sorted((r.a, r.b) for r in vector.similar_pairs(v, 0.95, tables=12, bits=6).collect()) == found
+
+
+def test_batched_top_k_holds_strips(spark):
+    """600 queries against 10,000 rows are 48 MB of products at once."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from loomgraph.operators import vector
+
+    r = np.random.default_rng(2)
+    q, m = r.integers(-3, 4, (600, 6)).astype(float), r.integers(-3, 4, (10_000, 6)).astype(float)  # many equal scores
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(list(m))], names=["id", "embedding"])
+    run = vector._best(SimpleNamespace(value=(list(range(600)), list(q))), 7)
+    tracemalloc.start()
+    out = list(run([batch.slice(0, 5), batch.slice(5)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    got = {}
+    for b in out:
+        for qid, i, s in zip(*(c.to_pylist() for c in b.columns)):
+            got.setdefault(qid, set()).add((i, round(s, 9)))
+    score = vector._unit(q) @ vector._unit(m).T
+    for k in range(600):
+        order = np.lexsort((np.arange(10_000), -np.round(score[k], 9)))[:7]
+        assert {i for i, _ in got[k]} == set(order.tolist())
+
+
+def test_python_gets_batches_of_bounded_bytes(spark, monkeypatch):
+    from loomgraph.operators import chunk, lexicalindex
+
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id", "id as doc_id", "repeat('word and ', 1000) as text")
+    seen = lambda: lambda batches: (b.slice(0, 0) for b in batches if b.nbytes < 6 << 20 or 1 / 0)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    for call in (lambda: chunk.chunks(rows), lambda: chunk.parent_children(rows), lambda: lexicalindex.forward(rows)):
+        call()
+        assert rows.mapInArrow(seen(), rows.schema).count() == 0
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
