@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..sources.store import fresh, written
+from ..sources.store import arrow, fresh, written
 from .lexical import top_per
 from .vector import _unit, batch_topk, cosine, finite
 
@@ -119,7 +119,7 @@ class VectorIndex:
 
     @staticmethod
     def _usable(vectors, id_col, vec_col, dim):
-        rows = vectors.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
+        rows = arrow(vectors).select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
         return rows.where(F.col("id").isNotNull() & (F.size("v") == dim) & finite(F.col("v")) & ~F.exists("v", lambda x: x.isNull()) & F.exists("v", lambda x: x != 0))
 
     @staticmethod
@@ -309,7 +309,7 @@ class VectorIndex:
                         names=["qid", "id", "seq", "cell", "about"],
                     )
 
-        found = pairs.select("cell", "seq", "ids", "codes", "qids", "qs", "nears").mapInArrow(run, f"qid {qkind}, id {kind}, seq int, cell long, about double")
+        found = arrow(pairs).select("cell", "seq", "ids", "codes", "qids", "qs", "nears").mapInArrow(run, f"qid {qkind}, id {kind}, seq int, cell long, about double")
         # rows that are over don't take places
         return top_per(self._live(found, segments), "qid", [F.col("about").desc(), F.col("id")], keep).select("qid", "id", "seq", "cell")
 
