@@ -13,12 +13,21 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..sources.store import fresh, written
+from ..sources.store import fresh, written as _written
 
 #: shares in which a sweep moves the nodes at first, at most; sweeps of a level; least gain of a sweep
 SHARES, MOST_SHARES, SWEEPS, GAIN = 3, 6, 12, 1e-6
 
 
+def wide(df: DataFrame) -> DataFrame:
+    """A table of as many rows as nodes or communities: joined by merging, never through the driver, however small a sweep leaves it."""
+    return df.hint("merge")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return wide(_written(df, name))
+
+
 class Graph(NamedTuple):
     """Edges both ways, nodes with their degree (a loop counts twice) and loop, the sum of all weights."""
 
@@ -47,7 +56,7 @@ def quality(graph: Graph, labels: DataFrame, resolution: float = 1.0) -> float:
     ends = graph.walk.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").where("ca = cb")
     inside = ends.groupBy(F.col("ca").alias("community")).agg((F.sum("w") / 2).alias("inner"))
     own = labels.join(graph.nodes, "id").groupBy("community").agg(F.sum("k").alias("tot"), F.sum("loop").alias("loop"))
-    each = own.join(inside, "community", "left")
+    each = own.join(wide(inside), "community", "left")
     part = (F.coalesce("inner", F.lit(0.0)) + F.col("loop")) / graph.m - resolution * F.pow(F.col("tot") / (2 * graph.m), 2)
     return each.agg(F.sum(part)).first()[0] or 0.0
 
@@ -60,8 +69,8 @@ def _moved(graph: Graph, labels: DataFrame, resolution: float, seed: int, share:
     votes = graph.walk.where(turn("a")).join(labels.toDF("b", "community"), "b").select("a", "community", "w")
     votes = votes.union(mine.select("id", "community", F.lit(0.0)))  # staying is always an option
     votes = votes.groupBy("a", "community").agg(F.sum("w").alias("w"))
-    own = mine.join(totals.select("community", F.col("size").alias("own_size")), "community").select(F.col("id").alias("a"), F.col("community").alias("own"), "k", "own_size")
-    each = votes.join(own, "a").join(totals, "community")
+    own = mine.join(wide(totals).select("community", F.col("size").alias("own_size")), "community").select(F.col("id").alias("a"), F.col("community").alias("own"), "k", "own_size")
+    each = votes.join(wide(own), "a").join(wide(totals), "community")
     rest = F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
     gain = F.col("w") / graph.m - resolution * rest * F.col("k") / (2 * graph.m * graph.m)
     # two lone nodes would only swap: the one goes to the other's smaller name
@@ -70,14 +79,14 @@ def _moved(graph: Graph, labels: DataFrame, resolution: float, seed: int, share:
         F.min_by("community", F.struct(-F.col("gain"), "community")).alias("new"), F.max("gain").alias("most"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay")
     )
     goes = best.where("most > stay + 1e-12").select(F.col("a").alias("id"), "new")
-    return written(labels.join(goes, "id", "left").select("id", F.coalesce("new", "community").alias("community")), "labels")
+    return written(labels.join(wide(goes), "id", "left").select("id", F.coalesce("new", "community").alias("community")), "labels")
 
 
 def phase1(graph: Graph, start: DataFrame | None = None, resolution: float = 1.0):
     """(labels(id, community), the modularity after each sweep that counted): moves from ``start``, or from every node alone."""
     labels = graph.nodes.select("id", F.col("id").alias("community"))
     if start is not None:
-        labels = labels.join(start.select("id", F.col("community").alias("known")), "id", "left").select("id", F.coalesce("known", "community").alias("community"))
+        labels = labels.join(wide(start).select("id", F.col("community").alias("known")), "id", "left").select("id", F.coalesce("known", "community").alias("community"))
     labels = written(labels, "labels")
     steps, shares = [quality(graph, labels, resolution)], SHARES
     for sweep in range(SWEEPS if graph.m else 0):
@@ -95,7 +104,7 @@ def phase1(graph: Graph, start: DataFrame | None = None, resolution: float = 1.0
         labels, steps = after, steps + [q]
     # a community is named after its smallest member
     names = labels.groupBy("community").agg(F.min("id").alias("name"))
-    return written(labels.join(names, "community").select("id", F.col("name").alias("community")), "labels"), steps
+    return written(labels.join(wide(names), "community").select("id", F.col("name").alias("community")), "labels"), steps
 
 
 def contracted(graph: Graph, labels: DataFrame) -> Graph:

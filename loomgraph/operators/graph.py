@@ -173,7 +173,7 @@ def community_graph(edges: DataFrame) -> DataFrame:
 
 def modularity(graph: DataFrame, partition: DataFrame, resolution: float = 1.0) -> DataFrame:
     """Modularity of ``partition(id, community)`` over ``graph(a, b, weight)``."""
-    p = partition.select("id", "community")
+    p = partition.select("id", "community").hint("merge")  # as many rows as nodes
     ends = graph.join(p.toDF("a", "ca"), "a").join(p.toDF("b", "cb"), "b")
     inside = ends.where("ca = cb").groupBy(F.col("ca").alias("community")).agg(F.sum("weight").alias("inner"))
     total = ends.select(F.explode(F.array("ca", "cb")).alias("community"), "weight").groupBy("community").agg(F.sum("weight").alias("tot"))
@@ -192,10 +192,10 @@ def label_moves(graph: DataFrame, rounds: int = 5, start: DataFrame | None = Non
     if start is not None:
         labels = labels.join(start.select("id", F.col("community").alias("_c")), "id", "left").select("id", F.coalesce("_c", "community").alias("community"))
     for r in range(rounds):
-        votes = walk.join(labels.select(F.col("id").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
+        votes = walk.join(labels.hint("merge").select(F.col("id").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
         best = votes.groupBy(F.col("a").alias("id")).agg(F.max_by("community", F.struct("w", "community")).alias("new"))
         stay = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0  # half move at a time: no endless swaps
-        labels = written(labels.join(best, "id").select("id", F.when(stay, F.col("community")).otherwise(F.col("new")).alias("community")), "labels")
+        labels = written(labels.join(best.hint("merge"), "id").select("id", F.when(stay, F.col("community")).otherwise(F.col("new")).alias("community")), "labels")
     return labels
 
 

@@ -119,3 +119,25 @@ def test_python_gets_batches_of_bounded_bytes(spark, monkeypatch):
         call()
         assert rows.mapInArrow(seen(), rows.schema).count() == 0
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+def test_sweeps_broadcast_nothing(spark):
+    from loomgraph.operators import communities, graph
+
+    g = spark.range(60).selectExpr("id as a", "id + 1 + id % 3 as b", "1D as weight")
+    whole = communities.weighted(g)
+    labels = whole.nodes.select("id", (F.col("id") % 7).alias("community"))
+    plans = []
+    real = communities._written
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    try:
+        communities._written = noted
+        communities._moved(whole, communities.written(labels, "labels"), 1.0, 0, 0, 3)
+    finally:
+        communities._written = real
+    assert not any("Broadcast" in p for p in plans) and any("SortMergeJoin" in p for p in plans)
+    assert "Broadcast" not in graph.modularity(g, labels).select("modularity")._jdf.queryExecution().optimizedPlan().toString()
