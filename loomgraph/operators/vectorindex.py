@@ -30,8 +30,8 @@ SAMPLE, ASKED = 16_384, 256
 MOST_CELLS = 8192
 #: components that share a code, and codes of such a group
 GROUP, CODES = 2, 256
-#: rows of a block of codes, and queries that meet it at a time
-BLOCK, QUERIES = 1024, 256
+#: rows of a block of codes; queries of a block, components of a part of the rows that meet it (64 MB), least rows of one, queries at a time
+BLOCK, QUERIES, PART, LEAST_ROWS, STRIP = 1024, 1024, 1 << 23, 4096, 16
 #: how many times k a search scores by full vectors: the first that calibration finds to be enough
 DEPTHS = (3, 6, 12, 25, 50, 100)
 
@@ -74,6 +74,61 @@ def _books(table):
     return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "x": pa.array([words[:, 0]], pa.list_(pa.float64())), "y": pa.array([words[:, 1]], pa.list_(pa.float64()))})
 
 
+def _together(batches):
+    """The rows of each (block, part), as one table."""
+    held, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("block", "part")])
+        starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
+        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+            if held and tuple(keys[:, a]) != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = tuple(keys[:, a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _best_codes(keep, words, dim):
+    """The ``keep`` best of a part's rows for each query of a block, by codes, then id."""
+
+    def run(batches):
+        for table in _together(batches):
+            asked = table.filter(table.column("cells").is_valid())
+            rows = table.filter(table.column("code").is_valid()).sort_by("id")  # the first of equal ones come first
+            if not asked.num_rows or not rows.num_rows:
+                continue
+            codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+            part = words[np.arange(words.shape[0]), codes].reshape(len(codes), -1)[:, :dim].T
+            of = rows.select(["id", "seq", "cell"]).combine_chunks().to_batches()[0]
+            cells, at = np.unique(np.asarray(of.column(2)), return_inverse=True)
+            n = min(keep, len(codes))
+            for a in range(0, asked.num_rows, STRIP):
+                some = asked.slice(a, STRIP).combine_chunks().to_batches()[0]
+                near = np.full((some.num_rows, len(cells)), -np.inf)
+                for i in range(some.num_rows):
+                    own, value = (np.asarray(some.column(some.schema.get_field_index(c))[i].values) for c in ("cells", "nears"))
+                    place = np.minimum(np.searchsorted(cells, own), len(cells) - 1)
+                    same = cells[place] == own
+                    near[i, place[same]] = value[same]
+                score = _vectors(some, "q", dim) @ part + near[:, at]
+                picked = []
+                for s in score:
+                    least = np.partition(s, len(s) - n)[len(s) - n]
+                    more = np.flatnonzero(s > least)
+                    best = np.concatenate([more, np.flatnonzero(s == least)[: n - len(more)]])
+                    picked.append(best[s[best] > -np.inf])
+                row, took = np.repeat(np.arange(len(picked)), [len(p) for p in picked]), np.concatenate(picked)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(some.schema.get_field_index("qid")).take(pa.array(row)), *(c.take(pa.array(took)) for c in of.columns), pa.array(score[row, took])], names=["qid", "id", "seq", "cell", "about"]
+                )
+
+    return run
+
+
 class VectorIndex:
     """``model`` (centroids, codebook, probes), and segments of codes and vectors, under one path."""
 
@@ -264,8 +319,8 @@ class VectorIndex:
 
     # searching
 
-    def probed(self, queries: DataFrame, probes: int | None = None) -> DataFrame:
-        """(qid, q, cell, near): the cells that each of ``queries(qid, embedding)`` reads."""
+    def _probes(self, queries: DataFrame, probes: int | None = None) -> DataFrame:
+        """(qid, q, cells, nears): each of ``queries(qid, embedding)`` with the cells that it reads."""
         n, dim = min(probes or self.probes, self.cells), self.dim
         shared = self.spark.sparkContext.broadcast(self.centroids)
         kind = queries.schema["qid"].dataType.simpleString()
@@ -274,44 +329,55 @@ class VectorIndex:
             for batch in batches:
                 near = _vectors(batch, "q", dim) @ shared.value.T
                 cells = np.argpartition(-near, n - 1, axis=1)[:, :n]
-                ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(near)), n)))
-                vectors = batch.column(1).take(pa.array(np.repeat(np.arange(len(near)), n)))
-                yield pa.RecordBatch.from_arrays([ids, vectors, pa.array(cells.ravel()), pa.array(np.take_along_axis(near, cells, 1).ravel())], names=["qid", "q", "cell", "near"])
+                ends = pa.array(np.arange(len(near) + 1, dtype=np.int32) * n)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (cells, np.take_along_axis(near, cells, 1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["qid", "q", "cells", "nears"])
 
-        return self._usable(queries, "qid", "embedding", dim).toDF("qid", "q").mapInArrow(run, f"qid {kind}, q array<double>, cell long, near double")
+        return self._usable(queries, "qid", "embedding", dim).toDF("qid", "q").mapInArrow(run, f"qid {kind}, q array<double>, cells array<long>, nears array<double>")
 
-    def candidates(self, queries: DataFrame, k: int, probes: int | None = None, depth: int | None = None) -> DataFrame:
-        """(qid, id, seq, cell): the best ``depth`` * k of each query by codes, live or not; reads codes of probed cells only."""
-        segments, depth = self._segments(), depth or self.depth
-        asked = written(self.probed(queries, probes), "index-probes")
-        wanted = [r[0] for r in asked.select("cell").distinct().collect()]  # at most MOST_CELLS numbers: the scan's partition filter
-        codes = self._read("codes", segments)
-        kind, qkind = self.kind, asked.schema["qid"].dataType.simpleString()
-        # the queries of a cell in blocks; a pair of blocks is a matrix product
-        packed = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-asked.select("qid").distinct().count() // QUERIES)))))
-        packed = packed.groupBy("cell", "block").agg(F.collect_list("qid").alias("qids"), F.collect_list("q").alias("qs"), F.collect_list("near").alias("nears"))
-        pairs = codes.where(F.col("cell").isin(wanted)).join(packed, "cell")
-        keep, words, dim = depth * k, self.words, self.dim
+    def probed(self, queries: DataFrame, probes: int | None = None) -> DataFrame:
+        """(qid, q, cell, near): the cells that each of ``queries(qid, embedding)`` reads."""
+        each = self._probes(queries, probes).select("qid", "q", F.explode(F.arrays_zip("cells", "nears")).alias("c"))
+        return each.select("qid", "q", F.col("c.cells").alias("cell"), F.col("c.nears").alias("near"))
+
+    def _coded_rows(self, segments, wanted) -> DataFrame:
+        """(id, seq, cell, code) of the live rows of these cells."""
+        kind, width = self.kind, self.words.shape[0]
 
         def run(batches):
             for batch in batches:
-                get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
-                for i in range(batch.num_rows):
-                    codes = np.frombuffer(get("codes")[i].as_py(), np.uint8).reshape(-1, words.shape[0])
-                    qs = _unit(np.array(get("qs")[i].as_py(), np.float64))
-                    part = words[np.arange(words.shape[0]), codes].reshape(len(codes), -1)[:, :dim]
-                    score = qs @ part.T + np.array(get("nears")[i].as_py())[:, None]
-                    n = min(keep, score.shape[1])
-                    best = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                    qids, ids = get("qids")[i].values, get("ids")[i].values
-                    yield pa.RecordBatch.from_arrays(
-                        [qids.take(pa.array(np.repeat(np.arange(len(qs)), n))), ids.take(pa.array(best.ravel())), pa.array(np.full(best.size, get("seq")[i].as_py(), np.int32)), pa.array(np.full(best.size, get("cell")[i].as_py())), pa.array(np.take_along_axis(score, best, 1).ravel())],
-                        names=["qid", "id", "seq", "cell", "about"],
-                    )
-
-        found = arrow(pairs).select("cell", "seq", "ids", "codes", "qids", "qs", "nears").mapInArrow(run, f"qid {qkind}, id {kind}, seq int, cell long, about double")
-        # rows that are over don't take places
-        return top_per(self._live(found, segments), "qid", [F.col("about").desc(), F.col("id")], keep).select("qid", "id", "seq", "cell")
+                seq, cell, ids, codes = batch.columns
+                n = np.diff(np.asarray(ids.offsets))
+                data = b"".join(c.as_py() for c in codes)
+                code = pa.Array.from_buffers(pa.binary(), int(n.sum()), [None, pa.py_buffer((np.arange(n.sum() + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([ids.flatten(), pa.array(np.repeat(np.asarray(seq), n)), pa.array(np.repeat(np.asarray(cell), n)), code], names=["id", "seq", "cell", "code"])
+
+        blocks = self._read("codes", segments).where(F.col("cell").isin(wanted)).select("seq", "cell", "ids", "codes")
+        return self._live(arrow(blocks).mapInArrow(run, f"id {kind}, seq int, cell long, code binary"), segments)
+
+    def candidates(self, queries: DataFrame, k: int, probes: int | None = None, depth: int | None = None) -> DataFrame:
+        """(qid, id, seq, cell): the best ``depth`` * k live rows of each query by codes; reads codes of probed cells only.
+
+        Rows that are over are left out first.  Blocks of queries and parts of the rows are dealt to each
+        other; a task gives the best of a query and part, not every product of theirs.
+        """
+        segments, depth = self._segments(), depth or self.depth
+        asked = written(self._probes(queries, probes), "index-probes")
+        wanted = [r[0] for r in asked.select(F.explode("cells")).distinct().collect()]  # at most MOST_CELLS numbers: the scan's partition filter
+        codes = self._coded_rows(segments, wanted)
+        n, m = (self._read("codes", segments).where(F.col("cell").isin(wanted)).agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0], asked.count())
+        tasks = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        blocks = max(1, -(-m // QUERIES))
+        parts = max(1, -(-n // max(1, PART // max(self.dim, 1))), min(-(-tasks // blocks), -(-n // LEAST_ROWS)))
+        kind, qkind = self.kind, asked.schema["qid"].dataType.simpleString()
+        deal = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+        mine = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        none = lambda *types: [F.lit(None).cast(t).alias(c) for c, t in types]
+        left = asked.select(mine("qid", blocks).alias("block"), deal("part", parts), "qid", "q", "cells", "nears", *none(("id", kind), ("seq", "int"), ("cell", "long"), ("code", "binary")))
+        right = codes.select(deal("block", blocks), mine("id", parts).alias("part"), *none(("qid", qkind), ("q", "array<double>"), ("cells", "array<long>"), ("nears", "array<double>")), "id", "seq", "cell", "code")
+        dealt = arrow(left.unionByName(right)).repartition(min(blocks * parts, 4 * tasks), "block", "part").sortWithinPartitions("block", "part")
+        found = dealt.mapInArrow(_best_codes(depth * k, self.words, self.dim), f"qid {qkind}, id {kind}, seq int, cell long, about double")
+        return top_per(found, "qid", [F.col("about").desc(), F.col("id")], depth * k).select("qid", "id", "seq", "cell")
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None, depth: int | None = None) -> DataFrame:
         """(qid, id, score, rank): about the k best by cosine of each of ``queries(qid, embedding)``; scores are exact."""

@@ -141,3 +141,22 @@ def test_sweeps_broadcast_nothing(spark):
         communities._written = real
     assert not any("Broadcast" in p for p in plans) and any("SortMergeJoin" in p for p in plans)
     assert "Broadcast" not in graph.modularity(g, labels).select("modularity")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vector_search_ranks_the_best_of_each_part(spark, tmp_path, monkeypatch):
+    """What is ranked is the best of a part for each query, not of each block of codes, and rows that are over take no places."""
+    from loomgraph.operators import vectorindex
+
+    v = some_vectors(spark).where("id < 660 and id <> 7")
+    index = vectorindex.VectorIndex.fit(v, str(tmp_path / "ix"), cells=16, rounds=2).remove(v.where("id % 2 = 1").select("id"))
+    asked = v.where("id % 20 = 0").select(F.col("id").alias("qid"), "embedding")
+    ranked, real = [], vectorindex.top_per
+    monkeypatch.setattr(vectorindex, "top_per", lambda df, *more: ranked.append(df) or real(df, *more))
+    few = index.candidates(asked, 2, probes=16, depth=3)
+    assert ranked[0].count() <= 6 * asked.count() and few.count() == 6 * asked.count()
+    everything = sorted(map(tuple, index.candidates(asked, 100, probes=16, depth=100).collect()))
+    assert len(everything) == asked.count() * v.where("id % 2 = 0").count()
+    for name, value in (("QUERIES", 7), ("PART", 8 * 50), ("LEAST_ROWS", 20)):  # many blocks and parts
+        monkeypatch.setattr(vectorindex, name, value)
+    assert sorted(map(tuple, index.candidates(asked, 100, probes=16, depth=100).collect())) == everything
+    assert sorted(map(tuple, index.candidates(asked, 2, probes=16, depth=3).collect())) == sorted(map(tuple, few.collect()))
