@@ -4,7 +4,7 @@ from pyspark.sql import Window, functions as F
 
 from ..operators import fuse, lexical, lexicalindex, records, vector, vectorindex
 from ..registry import query
-from ..sources.store import files_state, fresh
+from ..sources.store import files_state, fresh, written
 from .base import table
 
 QUERY = "the of thing that entaion"
@@ -334,11 +334,14 @@ def retrieval_quality(spark, sf):
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
     d = docs(spark, sf)
     found = index(spark, sf).search(items, 5).select("qid", F.col("doc").alias("id"), "rank")
-    # three inner words of an item in a row name the documents that are compared with its text
-    words = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 2), lambda i: F.concat_ws(" ", F.slice(c, i, 3)))
-    named = items.withColumn("ts", lexical.tokens(F.col("text"))).where("size(ts) >= 5").select("qid", F.col("text").alias("item"), F.concat_ws(" ", F.slice("ts", 2, 3)).alias("key"))
-    keyed = d.withColumn("ts", lexical.tokens(F.col("text"))).where("size(ts) >= 3").select("id", "text", F.explode(F.array_distinct(words(F.col("ts")))).alias("key"))
-    truth = keyed.join(named, "key").where(F.contains("text", "item")).select("qid", "id")
+    # a text that contains an item has all its words but the first and the last whole: the rarest name the documents that are compared
+    texts, asked = d.select("id", "text"), items.withColumn("ts", lexical.tokens(F.col("text"))).select("qid", F.col("text").alias("item"), "ts")
+    inner = asked.where("size(ts) >= 3").select("qid", F.concat_ws(" ", F.slice("ts", 2, F.size("ts") - 2)).alias("text"))
+    named = written(index(spark, sf).holding(inner).withColumnRenamed("doc", "id").join(asked.where("size(ts) >= 3").select("qid", "item"), "qid"), "named")
+    truth = named.join(texts, "id").where(F.contains("text", "item")).select("qid", "id")
+    short = asked.where("size(ts) < 3 and item is not null").select("qid", "item")
+    if not short.isEmpty():
+        truth = truth.union(texts.join(short, F.contains("text", "item")).select("qid", "id"))
     best = truth.join(found, ["qid", "id"], "left").groupBy("qid").agg(F.coalesce(F.min("rank"), F.lit(99)).alias("r"))
     return best.agg(
         F.count("*").alias("queries"), F.round(F.avg((F.col("r") == 1).cast("double")), 2).alias("recall_1"),

@@ -182,3 +182,15 @@ def test_many_long_queries_read_the_documents_once(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(lexicalindex, "ASKED", 300)
     monkeypatch.setattr(lexicalindex, "HELD", 100)  # several blocks of queries, few documents at a time
     assert scored(index.search(asked, 7, 0.9, 0.4)) == want
+
+
+def test_retrieval_quality_of_short_items(spark, tmp_path):
+    """Items of a word or none, and parts of words at an item's ends, are in the truth as in the SQL."""
+    made = [(0, "one two three four five six"), (1, "two"), (2, "None two three four five sixty"), (3, None), (4, ""), (5, "a b, two three"), (6, "x"), (7, "other words here for length")]
+    items = [(0, "one two three four five six"), (1, "two three four"), (2, "two"), (3, ", "), (4, None), (5, "ne two three four fi"), (6, "never seen in any text"), (7, "x")]
+    sf = put(spark, tmp_path, documents=spark.createDataFrame([(i, x, "s", "en", 1) for i, x in made], "doc_id long, text string, source string, lang string, n_chars long"), benchmark=spark.createDataFrame(items, "item_id long, text string"))
+    c = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet/*.parquet'")
+    mine = registry.queries()["retrieval_quality"](spark, sf).select("queries", "recall_1", "recall_5", "mrr").collect()
+    assert list(map(tuple, mine)) == [tuple(map(float, r)) for r in c.sql(registry.oracle_sql()["retrieval_quality"]).fetchall()]
