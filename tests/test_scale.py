@@ -194,3 +194,19 @@ def test_retrieval_quality_of_short_items(spark, tmp_path):
         c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet/*.parquet'")
     mine = registry.queries()["retrieval_quality"](spark, sf).select("queries", "recall_1", "recall_5", "mrr").collect()
     assert list(map(tuple, mine)) == [tuple(map(float, r)) for r in c.sql(registry.oracle_sql()["retrieval_quality"]).fetchall()]
+
+
+def test_substring_postings_are_lists(spark, tmp_path):
+    """A piece's texts of a batch are one row of the postings, whatever letters there are."""
+    from loomgraph.operators import substring
+
+    made = [(i, f"abcabc {i % 7}𝄞éß TEXT\n\0end") for i in range(300)] + [(900, None), (901, ""), (902, "ab"), (903, "a𝄞b𝄞")]
+    t = spark.createDataFrame(made, "id long, text string").coalesce(1)
+    index = substring.SubstringIndex.build(t, str(tmp_path / "s"))
+    kept = index._read("postings")
+    assert kept.count() < 300
+    each = lambda df: sorted(map(tuple, df.collect()))
+    assert each(kept.where("piece in ('abc', 'xt\\n', 'bca')").select("piece", F.explode("ids").alias("id")).distinct()) == sorted((p, i) for p in ("abc", "bca", "xt\n") for i in range(300))
+    p = spark.createDataFrame([(0, "CABC 3𝄞É"), (1, "\0end"), (2, "𝄞b𝄞"), (3, "b𝄞"), (4, "absent"), (5, ""), (6, "t\n\0")], "qid long, pattern string")
+    want = sorted((q, i) for q, x in map(tuple, p.collect()) for i, y in made if x and y and x.lower() in y.lower())
+    assert each(index.containing(p)) == want
