@@ -210,3 +210,39 @@ def test_substring_postings_are_lists(spark, tmp_path):
     p = spark.createDataFrame([(0, "CABC 3𝄞É"), (1, "\0end"), (2, "𝄞b𝄞"), (3, "b𝄞"), (4, "absent"), (5, ""), (6, "t\n\0")], "qid long, pattern string")
     want = sorted((q, i) for q, x in map(tuple, p.collect()) for i, y in made if x and y and x.lower() in y.lower())
     assert each(index.containing(p)) == want
+
+
+def test_distances_between_kinds_of_nodes(spark, monkeypatch):
+    """As brute force, with nodes alike, loops, ends that are null and nodes of many edges; an end that is null is reached once and not left."""
+    import random
+
+    from loomgraph.operators import traverse
+
+    monkeypatch.setattr(traverse, "SHARED", 4)
+    monkeypatch.setattr(traverse, "BLOCK", 3)
+    r = random.Random(8)
+    edges = [(f"c{i}", f"n{i % 3}") for i in range(60)] + [(f"c{i}", f"p{i % 2}") for i in range(40)] + [("n0", "r"), ("n1", "r"), ("n2", None), (None, "p0"), ("c7", None), ("c1", "c1"), ("c4", "c1"), ("c1", "c4"), ("x", "y")]
+    edges += [(f"t{r.randrange(9)}", f"t{r.randrange(9)}") for _ in range(12)] + [("t1", "c3")]
+    e = spark.createDataFrame([(a, b, "r") for a, b in edges], "source_id string, target_id string, relation string").coalesce(1)
+    seeds = [f"c{i}" for i in range(0, 60, 2)] + ["c1", "c7", "n1", "p0", "x", "y", "t1", "t4", "c2", "unknown", None]
+    asked = spark.createDataFrame([(s,) for s in seeds], "seed string").coalesce(1)
+    for both, hops in ((True, 3), (False, 3)):
+        near = {}
+        for a, b in edges + [(b, a) for a, b in edges if both]:
+            near.setdefault(a, set()).add(b)
+        want = {}
+        for s in {s for s in seeds if s}:
+            front, want[s, s] = {s}, 0
+            for d in range(1, hops + 1):
+                front = {b for a in front if a for b in near.get(a, ()) if (s, b) not in want}
+                want.update({(s, b): d for b in front})
+        walk = traverse.Walk(e, both=both, buckets=2)
+        got = sorted(map(repr, (tuple(x) for x in walk.distances(asked, hops).collect())))
+        assert got == sorted(repr((s, i, d)) for (s, i), d in want.items())
+        kinds = walk.kinds()
+        assert kinds.select("kind").distinct().count() < kinds.count() / 2
+    # no row of a start and a node is shuffled
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = walk.distances(asked, 2)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" in plan and "Exchange" not in plan[: plan.index("explode(seeds")]
