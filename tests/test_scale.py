@@ -246,3 +246,21 @@ def test_distances_between_kinds_of_nodes(spark, monkeypatch):
     plan = walk.distances(asked, 2)._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Exchange" in plan and "Exchange" not in plan[: plan.index("explode(seeds")]
+
+
+def test_distances_of_many_starts_in_longer_blocks(spark, monkeypatch):
+    """Blocks of nodes grow with the starts, those of starts shrink; nothing but the explodes makes, joins or compares single rows."""
+    from loomgraph.operators import traverse
+
+    for name, value in (("BLOCK", 8), ("EACH", 4), ("BLOCKS", 8), ("ROWS", 256)):
+        monkeypatch.setattr(traverse, name, value, raising=False)
+    sizes, blocks = [], traverse._blocks
+    monkeypatch.setattr(traverse, "_blocks", lambda rows, size: sizes.append(size) or blocks(rows, size))
+    e = spark.range(600).selectExpr("concat('c', id) as source_id", "'n' as target_id", "'r' as relation").coalesce(1)
+    far = traverse.Walk(e, buckets=2).distances(e.selectExpr("source_id as seed"), 2)
+    assert sizes[0] > 8 and sizes[1] < 64 and sizes[0] * sizes[1] <= 256
+    plan = far._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("explode(seeds")]
+    assert "Generate explode(ids" in above and not any(x in above for x in ("Union", "Filter", "Join"))
+    assert sorted(map(tuple, far.groupBy("distance").count().collect())) == [(0, 600), (1, 600), (2, 600 * 599)]
+    assert far.distinct().count() == 600 * 601 and far.where("(distance = 0) <> (seed = id)").isEmpty()
